@@ -36,21 +36,32 @@ def build_session(master: str | None = None, app: str = "scriptorium",
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A fallback is only applied when the setting is absent (tests, local runs);
-    on a cluster the configured shared folder always wins.
+    A fallback is only applied when the setting is absent (tests, local
+    runs): the given folder, else ``_checkpoints`` under the session's
+    warehouse folder.  On a cluster the configured shared folder always wins.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    if not current:
+        current = fallback or os.path.join(
+            spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback:
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return None
+    return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where one intermediate result feeds two branches that must see the
+    very same rows (sampled range bounds, row order inside partitions), and
+    where a lost executor must not force a recomputation from the sources.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
