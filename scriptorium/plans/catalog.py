@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "scriptorium.plans.q_geo",
     "scriptorium.plans.q_text",
+    "scriptorium.plans.q_trends",
 ]
 
 

@@ -50,3 +50,35 @@ def affiliations(customer: DataFrame) -> DataFrame:
         pick(AFFILIATION_TEMPLATES, F.col("c_custkey")).alias("Affiliations"),
         "c_mktsegment",
     )
+
+
+# --- publication-date strings derived from orders ------------------------------
+# o_orderkey % 8 picks the rendering; 4-6 are values no format accepts.
+def publication_dates(orders: DataFrame) -> DataFrame:
+    """metadata stand-in: ``ID, Publication_Date`` (strings) from orders."""
+    d = F.col("o_orderdate")
+    k = F.pmod(F.col("o_orderkey"), F.lit(8))
+    text = (F.when(k == 0, F.date_format(d, "yyyy-MM-dd"))
+            .when(k == 1, F.date_format(d, "yyyy MMM"))
+            .when(k == 2, F.date_format(d, "yyyy"))
+            .when(k == 3, F.date_format(d, "MM/dd/yyyy"))
+            .when(k == 4, F.lit("n.d."))
+            .when(k == 5, F.lit(None).cast("string"))
+            .when(k == 6, F.concat(F.date_format(d, "yyyy"), F.lit("-02-30")))
+            .otherwise(F.date_format(d, "yyyy-MM-dd")))
+    return orders.select(F.col("o_orderkey").alias("ID"), text.alias("Publication_Date"))
+
+
+SQL_PUBLICATION_DATES = """pubs AS (
+  SELECT o_orderkey AS ID,
+         CASE o_orderkey % 8
+           WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+           WHEN 1 THEN strftime(o_orderdate, '%Y %b')
+           WHEN 2 THEN strftime(o_orderdate, '%Y')
+           WHEN 3 THEN strftime(o_orderdate, '%m/%d/%Y')
+           WHEN 4 THEN 'n.d.'
+           WHEN 5 THEN NULL
+           WHEN 6 THEN strftime(o_orderdate, '%Y') || '-02-30'
+           ELSE strftime(o_orderdate, '%Y-%m-%d') END AS Publication_Date
+  FROM orders)"""
+SQL_YEAR = "year(try_strptime({x}, ['%Y-%m-%d', '%Y %b', '%m/%d/%Y', '%Y']))"
