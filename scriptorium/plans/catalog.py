@@ -8,6 +8,7 @@ _MODULES = [
     "scriptorium.plans.q_geo",
     "scriptorium.plans.q_text",
     "scriptorium.plans.q_trends",
+    "scriptorium.plans.q_chem",
 ]
 
 
