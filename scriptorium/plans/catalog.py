@@ -9,6 +9,7 @@ _MODULES = [
     "scriptorium.plans.q_text",
     "scriptorium.plans.q_trends",
     "scriptorium.plans.q_chem",
+    "scriptorium.plans.q_vectors",
 ]
 
 
