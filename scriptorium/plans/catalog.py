@@ -10,6 +10,7 @@ _MODULES = [
     "scriptorium.plans.q_trends",
     "scriptorium.plans.q_chem",
     "scriptorium.plans.q_vectors",
+    "scriptorium.plans.q_citations",
 ]
 
 

@@ -82,3 +82,90 @@ SQL_PUBLICATION_DATES = """pubs AS (
            ELSE strftime(o_orderdate, '%Y-%m-%d') END AS Publication_Date
   FROM orders)"""
 SQL_YEAR = "year(try_strptime({x}, ['%Y-%m-%d', '%Y %b', '%m/%d/%Y', '%Y']))"
+
+
+# --- citation XML built from documents ---------------------------------------
+# --- FIXED VALUES: names, journals and section headings of the stand-in ------
+SURNAMES = ["Smith", "O'Brien", "García", "Müller", "Rossi", "Nguyen", "Kowalski",
+            "Dubois", "Tanaka", "D'Angelo", "Silva", "Ivanova", "Haddad"]
+FORENAMES = ["Ana", "John", "Li", "Marie-Claire", "Ola", "Pedro", "Sofia", "Jean's",
+             "Kenji", "Fatima", "Lars"]
+JOURNALS = ['Journal of "Amyloid" Research', "Neuro'Science Letters", "Acta Biochimica",
+            "Protein Science", "Cell Reports"]
+SECTION_HEADINGS = ["BACKGROUND: ", "<strong>BACKGROUND</strong> ", "Results: ",
+                    "[Image: see text] ", "• ", ""]
+CORRUPT_EVERY = 50  # doc_id % 50 == 49 → record truncated
+
+
+def _wrap_first_word(col: Column, tag: str) -> Column:
+    return F.regexp_replace(col, r"^(\S+)", f"<{tag}>$1</{tag}>")
+
+
+def citation_xml(documents: DataFrame) -> DataFrame:
+    """One ``<PubmedArticle>`` string per document (``doc_id, raw``).
+
+    Title = first line, sections = the other non-blank lines; doc_id
+    arithmetic adds inline tags, section headings, authors (some without a
+    fore name), journals with quotes, missing titles/years, and truncates
+    every 50th record.
+    """
+    from scriptorium.functions.text import ustrip, xml_escape
+
+    d = F.col("doc_id")
+    lines = F.split(F.col("text"), "\n")
+    title = ustrip(F.get(lines, 0))
+    title_xml = F.when(title == F.lit(""), F.lit("")).otherwise(F.concat(
+        F.lit("<ArticleTitle>"),
+        F.when(F.pmod(d, F.lit(3)) == 0, _wrap_first_word(xml_escape(title), "i")).otherwise(xml_escape(title)),
+        F.lit("</ArticleTitle>")))
+    body = F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), ustrip),
+                    lambda s: s != F.lit(""))
+    body = F.when(F.size(lines) > 1, body).otherwise(F.array().cast("array<string>"))
+    heading = pick(SECTION_HEADINGS, d)
+    labelled = F.transform(body, lambda s, i: F.when(i == 0, F.concat(heading, s)).otherwise(s))
+
+    def section(s: Column) -> Column:
+        esc = xml_escape(s)
+        esc = F.when(F.pmod(d, F.lit(4)) == 1, _wrap_first_word(esc, "b")).otherwise(esc)
+        return F.concat(F.lit('<AbstractText Label="S">'), esc, F.lit("</AbstractText>"))
+
+    abstract_xml = F.when(F.size(labelled) == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<Abstract>"), F.array_join(F.transform(labelled, section), ""), F.lit("</Abstract>")))
+    n_auth = F.pmod(d, F.lit(4))
+
+    def author(j: Column) -> Column:
+        last = F.element_at(F.array(*[F.lit(s) for s in SURNAMES]), (F.pmod(d + j, F.lit(len(SURNAMES))) + 1).cast("int"))
+        fore = F.element_at(F.array(*[F.lit(s) for s in FORENAMES]),
+                            (F.pmod(d * 3 + j, F.lit(len(FORENAMES))) + 1).cast("int"))
+        fore_xml = F.when(F.pmod(d + j, F.lit(7)) == 0, F.lit("")).otherwise(
+            F.concat(F.lit("<ForeName>"), xml_escape(fore), F.lit("</ForeName>")))
+        return F.concat(F.lit('<Author ValidYN="Y"><LastName>'), xml_escape(last), F.lit("</LastName>"),
+                        fore_xml, F.lit("</Author>"))
+
+    authors_xml = F.when(n_auth == 0, F.lit("")).otherwise(F.concat(
+        F.lit("<AuthorList>"),
+        F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n_auth - 1), author), ""),
+        F.lit("</AuthorList>")))
+    year_xml = F.when(F.pmod(d, F.lit(11)) == 5, F.lit("")).otherwise(
+        F.concat(F.lit("<Year>"), (F.lit(1990) + F.pmod(d, F.lit(36))).cast("string"), F.lit("</Year>")))
+    journal_title = F.when(F.pmod(d, F.lit(10)) == 9, F.lit("")).otherwise(
+        F.concat(F.lit("<Title>"), xml_escape(pick(JOURNALS, d)), F.lit("</Title>")))
+    xml = F.concat(
+        F.lit('<PubmedArticle><MedlineCitation Status="MEDLINE"><PMID Version="1">'), d.cast("string"),
+        F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), year_xml,
+        F.lit("</PubDate></JournalIssue>"), journal_title, F.lit("</Journal>"),
+        title_xml, abstract_xml, authors_xml,
+        F.lit("</Article></MedlineCitation></PubmedArticle>"))
+    xml = F.when(F.pmod(d, F.lit(CORRUPT_EVERY)) == CORRUPT_EVERY - 1, F.substring(xml, 1, 120)).otherwise(xml)
+    return documents.select("doc_id", xml.alias("raw"))
+
+
+def requested_id_lines(documents: DataFrame) -> DataFrame:
+    """pmids.txt stand-in: one line per document id, some padded with
+    spaces, some malformed (``<id>a``), plus a header line per 100 ids."""
+    d = F.col("doc_id")
+    line = (F.when(F.pmod(d, F.lit(13)) == 0, F.concat(F.lit("  "), d.cast("string"), F.lit(" ")))
+            .when(F.pmod(d, F.lit(17)) == 0, F.concat(d.cast("string"), F.lit("a")))
+            .otherwise(d.cast("string")))
+    header = documents.where(F.pmod(d, F.lit(100)) == 0).select(F.lit("PMID list").alias("value"))
+    return documents.select(line.alias("value")).unionByName(header)
