@@ -11,6 +11,7 @@ _MODULES = [
     "scriptorium.plans.q_chem",
     "scriptorium.plans.q_vectors",
     "scriptorium.plans.q_citations",
+    "scriptorium.plans.q_topics",
 ]
 
 
