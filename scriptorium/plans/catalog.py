@@ -12,6 +12,7 @@ _MODULES = [
     "scriptorium.plans.q_vectors",
     "scriptorium.plans.q_citations",
     "scriptorium.plans.q_topics",
+    "scriptorium.plans.q_embed",
 ]
 
 
