@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import topic_tokens, vectorizer_terms
+from scriptorium.session import materialize
 
 
 @dataclass
@@ -44,7 +45,9 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS
     """M1 + M2."""
     corpus = prepare_corpus(docs, id_col, text_col, num_partitions)
     cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab_size, minDF=1.0).fit(corpus)
-    tf = cv.transform(corpus).select("id", "tf")
+    # every LDA iteration passes over the corpus: write the term counts once to
+    # the shared checkpoint folder instead of re-tokenizing per iteration
+    tf = materialize(cv.transform(corpus).select("id", "tf"))
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="tf",
               subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0,
               docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,

@@ -13,6 +13,7 @@ _MODULES = [
     "scriptorium.plans.q_citations",
     "scriptorium.plans.q_topics",
     "scriptorium.plans.q_embed",
+    "scriptorium.plans.q_stream",
 ]
 
 

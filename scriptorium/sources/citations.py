@@ -49,7 +49,9 @@ def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_records_from_chunks(df: DataFrame, col: str) -> DataFrame:
     end = f"</{RECORD_TAG}>"
-    body = F.regexp_extract(F.col(col), r"(?s)(<" + RECORD_TAG + r"[ >].*)$", 1)
+    # start at the last opening tag of the chunk: a truncated record (no end
+    # tag) in front of it is dropped instead of corrupting its successor
+    body = F.regexp_extract(F.col(col), r"(?s)^.*(<" + RECORD_TAG + r"[ >].*)$", 1)
     return (df.select(body.alias("_body"))
             .where(F.col("_body") != F.lit(""))
             .select(F.concat(F.col("_body"), F.lit(end)).alias("raw")))
