@@ -270,3 +270,30 @@ QUERIES = {
     "knn_smote_summary": knn_smote_summary_q,
     "resume_todo": resume_todo_q,
 }
+
+
+# --- rows-only: approximate neighbours and the 2-D map ---------------------------
+
+def knn_approx_q(spark, sf_dir):
+    """LSH neighbours of the test rows among the train rows, with the recall
+    against the exact neighbours per query."""
+    from scriptorium.operators.vectors import approx_knn
+    split = _split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    k = fv.MAX_NEIGHBOURS
+    approx = approx_knn(test, train, k, id_col="vec_id", vec_col="embedding")
+    exact = knn(test, train, k, id_col="vec_id", vec_col="embedding")
+    hits = approx.select("q_id", "b_id").join(exact.select("q_id", "b_id"), ["q_id", "b_id"])
+    return (exact.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_exact"))
+            .join(hits.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_found")), "q_id", "left")
+            .fillna(0, ["n_found"])
+            .select(F.col("q_id").alias("vec_id"), "n_exact", "n_found",
+                    (F.col("n_found") / F.col("n_exact")).alias("recall")))
+
+
+def pca_projection_q(spark, sf_dir):
+    from scriptorium.operators.vectors import project_2d
+    return project_2d(embeddings(spark, sf_dir), "vec_id", "embedding", ["label"])
+
+
+QUERIES.update({"knn_approx": knn_approx_q, "pca_projection": pca_projection_q})
