@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,11 +40,26 @@ def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions:
             .repartition(n, "id").sortWithinPartitions("id"))
 
 
+def vocabulary(corpus: DataFrame, vocab_size: int) -> list[str]:
+    """M1 vocabulary: the ``vocab_size`` most frequent terms (ties by term),
+    in alphabetical order like the reference's vectorizer.
+
+    MLlib's own ``CountVectorizer.fit`` orders equally frequent terms
+    arbitrarily, which moves term indices between runs and so changes the
+    seeded LDA start; this order is fixed.  The list is bounded by
+    ``vocab_size`` and is what the vectorizer model holds anyway.
+    """
+    counts = (corpus.select(F.explode("terms").alias("term"))
+              .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    top = counts.orderBy(F.desc("n"), "term").limit(vocab_size)
+    return sorted(r.term for r in top.select("term").collect())
+
+
 def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
                seed: int = fv.SEED, vocab_size: int = 1 << 18, num_partitions: int | None = None) -> TopicFit:
     """M1 + M2."""
     corpus = prepare_corpus(docs, id_col, text_col, num_partitions)
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab_size, minDF=1.0).fit(corpus)
+    cv = CountVectorizerModel.from_vocabulary(vocabulary(corpus, vocab_size), inputCol="terms", outputCol="tf")
     # every LDA iteration passes over the corpus: write the term counts once to
     # the shared checkpoint folder instead of re-tokenizing per iteration
     tf = materialize(cv.transform(corpus).select("id", "tf"))
