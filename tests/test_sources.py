@@ -39,3 +39,14 @@ def test_cache_absent_then_appended_once(spark, tmp_path):
     assert append_cache(new, cache, path).count() == 1
     again = append_cache(new, read_cache(spark, path), path)
     assert again.count() == 0 and read_cache(spark, path).count() == 1
+
+
+def test_csv_sink_and_raw_landing(spark, tmp_path):
+    from scriptorium.sources.tables import land_raw, write_csv
+    df = spark.createDataFrame([("Italy", 3), ("Oman", 1)], "Country string, Count long")
+    write_csv(df, str(tmp_path / "freq"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "freq"))
+    assert back.columns == ["Country", "Count"] and back.count() == 2
+    raw = spark.createDataFrame([(0, "<x/>"), (1, "<y/>")], "batch int, payload string")
+    land_raw(raw, str(tmp_path / "raw"))
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir() if p.name.startswith("batch=")) == ["batch=0", "batch=1"]
