@@ -38,13 +38,20 @@ def vocabulary(doc_terms: DataFrame, id_col: str) -> DataFrame:
     return consecutive_index(agg, ["term"], out="term_index")
 
 
-def top_terms(doc_terms: DataFrame, group_col: str, k: int) -> DataFrame:
+def group_term_counts(df: DataFrame, group_col: str, text_col: str) -> DataFrame:
+    """(group, term, n): term frequencies per group, aggregated map-side."""
+    terms = vectorizer_terms(topic_tokens(F.col(text_col)))
+    return (df.select(group_col, F.explode(terms).alias("term"))
+            .groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def top_terms(term_counts_by_group: DataFrame, group_col: str, k: int) -> DataFrame:
     """W1 form: the k most frequent terms per group, ties by term.
 
     The window runs over already-aggregated (group, term) counts, whose size
     is bounded by the vocabulary per group, not by the corpus.
     """
-    counts = doc_terms.groupBy(group_col, "term").agg(F.sum("n").alias("freq"))
+    counts = term_counts_by_group.groupBy(group_col, "term").agg(F.sum("n").alias("freq"))
     w = Window.partitionBy(group_col).orderBy(F.desc("freq"), "term")
     return (counts.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))

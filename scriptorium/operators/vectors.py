@@ -176,6 +176,7 @@ def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max:
 # --- SMOTE ---------------------------------------------------------------------
 
 U_MUL, U_ADD, U_MOD = 7919, 13, 10007
+GEN_CHUNK = 100_000  # synthetic points generated per task-sized chunk
 CLASS_MUL = 104729
 NEIGHBOUR_MUL, NEIGHBOUR_CLASS_MUL = 31, 17
 
@@ -209,7 +210,15 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     # one synthetic row per (class, j); j spread over the class's base rows
     j = F.col("_j")
     c = F.col(label_col).cast("long")
-    todo = (plan.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("need") - 1)))
+    # point numbers are generated in chunks spread over tasks: a class that
+    # needs a billion points must not be expanded inside one task
+    chunk = F.col("_chunk")
+    chunks = (plan.withColumn("_chunk", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.ceil(F.col("need") / F.lit(GEN_CHUNK)).cast("long") - 1)))
+              .repartition("_chunk", label_col))
+    todo = (chunks.withColumn("_j", F.explode(F.sequence(
+                chunk * GEN_CHUNK, F.least(F.col("need"), (chunk + 1) * GEN_CHUNK) - 1)))
+            .drop("_chunk")
             .withColumn("_rn", F.pmod(j, F.col("n_c")) + 1)
             .withColumn("_m", F.pmod(j * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL, F.col("k_c")) + 1)
             .withColumn("u", F.pmod(j * U_MUL + c * CLASS_MUL + U_ADD, F.lit(U_MOD)) / F.lit(float(U_MOD)))

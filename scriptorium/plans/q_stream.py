@@ -31,7 +31,7 @@ def citation_stream_ingest_q(spark, sf_dir):
     base, landing = _land_citations(spark, sf_dir)
     table = os.path.join(base, "records")
     ingest_citations(spark, landing, table, os.path.join(base, "quarantine"), os.path.join(base, "_checkpoint"))
-    return spark.read.parquet(table)
+    return spark.read.parquet(table).drop("epoch")
 
 
 def stream_year_counts_q(spark, sf_dir):

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import remove_forbidden_phrases
-from scriptorium.operators.textops import dedupe_exact, term_counts, token_stats, top_terms, vocabulary
+from scriptorium.operators.textops import (dedupe_exact, group_term_counts, term_counts, token_stats,
+                                          top_terms, vocabulary)
 from scriptorium.plans.sqltext import q, str_list
 from scriptorium.plans.standins import pick
 from scriptorium.session import read_table, widen
@@ -60,9 +61,7 @@ def vocabulary_q(spark, sf_dir):
 
 
 def top_terms_per_group_q(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    counts = term_counts(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    return top_terms(counts, "lang", 10)
+    return top_terms(group_term_counts(documents(spark, sf_dir), "lang", "text"), "lang", 10)
 
 
 # --- oracle ------------------------------------------------------------------

@@ -67,20 +67,23 @@ def embedding_align_q(spark, sf_dir):
 
 
 def align_diagnostics_q(spark, sf_dir):
-    """Shapes before and after the alignment, one row."""
+    """Shapes before and after the alignment, one row.
+
+    Three aggregates, each filling its own columns, are stacked with a union
+    and folded by one global aggregation (no join between them)."""
     emb = read_table(spark, sf_dir, "embeddings")
     lab = read_table(spark, sf_dir, "labels")
-    e = emb.agg(F.count(F.lit(1)).alias("n_embeddings"), F.count_distinct("vec_id").alias("n_embedding_ids"),
-                F.max(F.size("embedding")).alias("dims"))
-    m = lab.agg(F.count(F.lit(1)).alias("n_metadata"), F.count_distinct("doc_id").alias("n_metadata_ids"))
-    c = emb.select(F.col("vec_id").alias("id")).intersect(lab.select(F.col("doc_id").alias("id"))) \
-        .agg(F.count(F.lit(1)).alias("n_common"))
-    # three one-row aggregates side by side
-    one = F.lit(1)
-    return (e.withColumn("_k", one).join(m.withColumn("_k", one), "_k").join(c.withColumn("_k", one), "_k")
-            .select(F.col("n_embeddings").cast("bigint"), F.col("n_embedding_ids").cast("bigint"),
-                    F.col("dims").cast("bigint"), F.col("n_metadata").cast("bigint"),
-                    F.col("n_metadata_ids").cast("bigint"), F.col("n_common").cast("bigint")))
+    cols = ["n_embeddings", "n_embedding_ids", "dims", "n_metadata", "n_metadata_ids", "n_common"]
+
+    def part(df, **vals):
+        return df.agg(*[(vals[c] if c in vals else F.lit(None)).cast("bigint").alias(c) for c in cols])
+
+    e = part(emb, n_embeddings=F.count(F.lit(1)), n_embedding_ids=F.count_distinct("vec_id"),
+             dims=F.max(F.size("embedding")))
+    m = part(lab, n_metadata=F.count(F.lit(1)), n_metadata_ids=F.count_distinct("doc_id"))
+    common = emb.select(F.col("vec_id").alias("id")).intersect(lab.select(F.col("doc_id").alias("id")))
+    c = part(common, n_common=F.count(F.lit(1)))
+    return e.unionByName(m).unionByName(c).agg(*[F.max(x).alias(x) for x in cols])
 
 
 def smote_points_q(spark, sf_dir):

@@ -4,7 +4,8 @@ The reference fetches ids in batches of 50 with three attempts each and
 resumes embedding by counting stored rows.  Here files landing in a folder
 are the unit of arrival; the streaming checkpoint is the retry/resume
 mechanism (a restarted query continues after the last committed batch), and
-every sink is keyed so a replayed batch cannot add a row twice.
+every micro-batch writes its own folder, so a replayed batch replaces its
+earlier output instead of adding rows twice.
 
 All paths are folders under the shared checkpoint location of the session
 (``spark.checkpoint.dir``), never a machine-local temporary folder.
@@ -34,22 +35,20 @@ def citation_stream(spark: SparkSession, landing: str, max_files_per_trigger: in
     return parse_raw(raw_records_from_chunks(lines, "value"))
 
 
-def ingest_citations(spark: SparkSession, landing: str, table: str, bad_table: str, checkpoint: str) -> None:
-    """Land parsed records (and quarantined ones) batch by batch.
+def write_epoch(df: DataFrame, table: str, epoch: int) -> None:
+    """Write one micro-batch into ``table/epoch=<id>``, replacing that folder.
 
-    A batch is appended only for pmids the table does not hold yet, so a
-    batch replayed after a failure is a no-op.
+    A batch replayed after a failure (same id, same files) rewrites its own
+    folder instead of appending twice; the cost does not grow with the table.
     """
+    df.write.mode("overwrite").parquet(os.path.join(table, f"epoch={epoch}"))
+
+
+def ingest_citations(spark: SparkSession, landing: str, table: str, bad_table: str, checkpoint: str) -> None:
+    """Land parsed records (and quarantined ones) batch by batch."""
     def write(batch: DataFrame, epoch: int) -> None:
-        recs = records(batch)
-        try:
-            have = spark.read.parquet(table).select("pmid")
-            recs = recs.join(have, "pmid", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        recs.write.mode("append").parquet(table)
-        quarantine(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(bad_table)
+        write_epoch(records(batch), table, epoch)
+        write_epoch(quarantine(batch), bad_table, epoch)
 
     q = (citation_stream(spark, landing).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -81,17 +80,14 @@ def dedupe_within_watermark(stream: DataFrame, keys: list[str], event_time: str,
 
 def embed_stream(spark: SparkSession, source: DataFrame, id_col: str, text_col: str, store: str,
                  checkpoint: str, embedder=hash_embedding) -> None:
-    """Embed arriving records and append them to the keyed store,
-    skipping ids the store already holds (J8)."""
+    """Embed arriving records into the keyed store, one folder per
+    micro-batch (replays overwrite their own folder).  Records already held
+    by an earlier store are skipped with :func:`scriptorium.operators.embed.pending`
+    before the stream starts (batch form: ``embed_increment``)."""
     def write(batch: DataFrame, epoch: int) -> None:
         out = batch.select(F.col(id_col).cast("long").alias("id"),
                            embedder(F.col(text_col)).cast("array<double>").alias("embedding"))
-        try:
-            out = out.join(spark.read.parquet(store).select("id"), "id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        out.write.mode("append").parquet(store)
+        write_epoch(out, store, epoch)
 
     q = (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
