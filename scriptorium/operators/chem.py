@@ -105,7 +105,9 @@ def mention_summary(ment: DataFrame, cache: DataFrame, id_col: str) -> DataFrame
     distinct terms.
     """
     per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("Frequency"))
-    joined = per_term.join(cache, "term", "left")
+    # per_term has at most one row per lexicon term (a fixed list): it is the
+    # broadcast side, and the cache, however large, is only streamed past it
+    joined = cache.join(F.broadcast(per_term), "term", "right")
     hit = F.col("molecular_formula").isNotNull() | F.col("iupac_name").isNotNull() | \
         F.col("chebi_class").isNotNull()
     na = F.lit(fv.NOT_AVAILABLE)
@@ -135,4 +137,8 @@ def treemap(summary: DataFrame) -> DataFrame:
 def cache_misses(ment: DataFrame, cache: DataFrame) -> DataFrame:
     """K6: distinct mention terms the cache cannot answer (to be looked up)."""
     per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"))
-    return per_term.join(cache.select("term"), "term", "left_anti")
+    # an anti-join would have to build the cache side; the right outer join
+    # builds the bounded per-term side and keeps terms without a cache row
+    held = cache.select("term", F.lit(True).alias("_held"))
+    return (held.join(F.broadcast(per_term), "term", "right")
+            .where(F.col("_held").isNull()).select("term", "n_mentions"))

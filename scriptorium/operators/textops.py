@@ -10,18 +10,18 @@ from scriptorium.operators.indexing import consecutive_index
 
 
 def dedupe_exact(df: DataFrame, text_col: str, id_col: str, keep_cols: list[str] | None = None) -> DataFrame:
-    """U4: one row per distinct text, the one with the lowest id.
+    """U4: one row per distinct text, the one with the lowest id, with the
+    number of copies.
 
-    A grouped ``min_by`` rather than a window: partial aggregation collapses
-    copies on the map side, so a text repeated a million times is shuffled
-    once per task, not once per copy.
+    Texts are grouped by their SHA-256 digest: the aggregation is a hash
+    aggregate on a 64-character key with a long minimum, partial on the map
+    side, so neither the texts nor the copies of a hot text are shuffled.
+    The kept rows' other columns are joined back by id (narrow columns only).
     """
     keep_cols = list(keep_cols or [])
-    kept = F.min_by(F.struct(F.col(id_col), *[F.col(c) for c in keep_cols]), F.col(id_col))
-    return (df.groupBy(text_col)
-            .agg(kept.alias("_k"), F.count(F.lit(1)).alias("n_copies"))
-            .select(F.col(f"_k.{id_col}").alias(id_col),
-                    *[F.col(f"_k.{c}").alias(c) for c in keep_cols], text_col, "n_copies"))
+    firsts = (df.select(F.col(id_col), F.sha2(F.col(text_col), 256).alias("_h"))
+              .groupBy("_h").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies")))
+    return firsts.join(df.select(id_col, *keep_cols), id_col).select(id_col, *keep_cols, "n_copies")
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

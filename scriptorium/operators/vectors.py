@@ -85,18 +85,27 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
                        (F.col(group_col) if group_col else F.lit(0)).alias(g))
     b = base.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                     (F.col(group_col) if group_col else F.lit(0)).alias(g), *extra)
-    sizes = (b.groupBy(g).agg(F.count(F.lit(1)).alias("_nb_rows"))
-             .join(q.groupBy(g).agg(F.count(F.lit(1)).alias("_nq_rows")), g))
-    sizes = sizes.select(g, F.ceil(F.col("_nb_rows") / block_rows).cast("int").alias("_nb"),
-                         F.ceil(F.col("_nq_rows") / block_rows).cast("int").alias("_nq"))
-    # one row per group: joined back before the replication
-    b_rep = (b.join(sizes, g)
-             .withColumn("_bb", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+    if group_col is None:
+        # one group: the block counts are two scalars (no join on a constant)
+        nb = max(1, -(-b.count() // block_rows))
+        nq = max(1, -(-q.count() // block_rows))
+        b_blk, q_blk = F.lit(nb), F.lit(nq)
+        b_sized, q_sized = b, q
+    else:
+        # one row per group with its block counts, equi-joined on the group
+        sizes = (b.groupBy(g).agg(F.count(F.lit(1)).alias("_nb_rows"))
+                 .join(q.groupBy(g).agg(F.count(F.lit(1)).alias("_nq_rows")), g))
+        sizes = sizes.select(g, F.ceil(F.col("_nb_rows") / block_rows).cast("int").alias("_nb"),
+                             F.ceil(F.col("_nq_rows") / block_rows).cast("int").alias("_nq"))
+        b_sized, q_sized = b.join(sizes, g), q.join(sizes, g)
+        b_blk, q_blk = F.col("_nb"), F.col("_nq")
+    b_rep = (b_sized
+             .withColumn("_bb", F.pmod(F.xxhash64("id"), b_blk).cast("int"))
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), q_blk - 1)))
              .drop("_nb", "_nq"))
-    q_rep = (q.join(sizes, g)
-             .withColumn("_qb", F.pmod(F.xxhash64("id"), F.col("_nq")).cast("int"))
-             .withColumn("_bb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    q_rep = (q_sized
+             .withColumn("_qb", F.pmod(F.xxhash64("id"), q_blk).cast("int"))
+             .withColumn("_bb", F.explode(F.sequence(F.lit(0), b_blk - 1)))
              .drop("_nb", "_nq"))
     b_type = {f.name: f.dataType for f in base.schema.fields}
     schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("b_id", T.LongType()),

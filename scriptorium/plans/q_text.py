@@ -45,7 +45,7 @@ def forbidden_phrases_q(spark, sf_dir):
 
 
 def dedupe_records_q(spark, sf_dir):
-    return dedupe_exact(documents(spark, sf_dir), "text", "doc_id", ["lang", "source", "n_chars"]).drop("text")
+    return dedupe_exact(documents(spark, sf_dir), "text", "doc_id", ["lang", "source", "n_chars"])
 
 
 def token_stats_q(spark, sf_dir):
