@@ -13,6 +13,8 @@ sorted inside each before fitting: same data and settings → same topics.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import topic_tokens, vectorizer_terms
-from scriptorium.session import materialize
+from scriptorium.session import checkpoint_dir, materialize
 
 
 @dataclass
@@ -31,35 +33,56 @@ class TopicFit:
     model: LDAModel
     k: int
     corpus: DataFrame  # id, tf (sparse counts)
+    terms: DataFrame   # idx, term: the vectorizer's vocabulary
 
 
 def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions: int | None = None) -> DataFrame:
     n = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     terms = vectorizer_terms(topic_tokens(F.col(text_col)))
-    return (docs.select(F.col(id_col).alias("id"), terms.alias("terms"))
-            .repartition(n, "id").sortWithinPartitions("id"))
+    # partition the raw rows by id first: tokenizing then runs in all tasks,
+    # and the partitioning (hence the LDA result) depends only on the ids
+    return (docs.repartition(n, F.col(id_col))
+            .select(F.col(id_col).alias("id"), terms.alias("terms"))
+            .sortWithinPartitions("id"))
 
 
-def vocabulary(corpus: DataFrame, vocab_size: int) -> list[str]:
-    """M1 vocabulary: the ``vocab_size`` most frequent terms (ties by term),
-    in alphabetical order like the reference's vectorizer.
+def vocabulary(corpus: DataFrame, vocab_size: int) -> DataFrame:
+    """M1 vocabulary as one row ``vocabulary: array<string>``: the
+    ``vocab_size`` most frequent terms (ties by term) in alphabetical order,
+    like the reference's vectorizer.
 
     MLlib's own ``CountVectorizer.fit`` orders equally frequent terms
     arbitrarily, which moves term indices between runs and so changes the
-    seeded LDA start; this order is fixed.  The list is bounded by
-    ``vocab_size`` and is what the vectorizer model holds anyway.
+    seeded LDA start; this order is fixed.  The array is bounded by
+    ``vocab_size`` and is exactly what the vectorizer model holds.
     """
-    counts = (corpus.select(F.explode("terms").alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), "term").limit(vocab_size)
-    return sorted(r.term for r in top.select("term").collect())
+    counts = materialize(corpus.select(F.explode("terms").alias("term"))
+                         .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    kept = counts if counts.count() <= vocab_size else \
+        counts.orderBy(F.desc("n"), "term").limit(vocab_size)
+    return kept.agg(F.array_sort(F.collect_list("term")).alias("vocabulary"))
+
+
+def vectorizer(corpus: DataFrame, vocab_size: int) -> tuple[CountVectorizerModel, DataFrame]:
+    """A ``CountVectorizerModel`` over :func:`vocabulary`, built without
+    moving the vocabulary through Python: a model saved with MLlib's writer
+    gets the Spark-computed vocabulary as its data and is loaded back.
+    Returns the model and the ``(idx, term)`` table."""
+    spark = corpus.sparkSession
+    folder = os.path.join(checkpoint_dir(spark), "models", f"vectorizer-{uuid.uuid4().hex}")
+    CountVectorizerModel.from_vocabulary(["_"], inputCol="terms", outputCol="tf").write().save(folder)
+    data = os.path.join(folder, "data")
+    vocabulary(corpus, vocab_size).write.mode("overwrite").parquet(data)
+    model = CountVectorizerModel.load(folder)
+    terms = spark.read.parquet(data).select(F.posexplode("vocabulary").alias("idx", "term"))
+    return model, terms
 
 
 def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
                seed: int = fv.SEED, vocab_size: int = 1 << 18, num_partitions: int | None = None) -> TopicFit:
     """M1 + M2."""
     corpus = prepare_corpus(docs, id_col, text_col, num_partitions)
-    cv = CountVectorizerModel.from_vocabulary(vocabulary(corpus, vocab_size), inputCol="terms", outputCol="tf")
+    cv, terms = vectorizer(corpus, vocab_size)
     # every LDA iteration passes over the corpus: write the term counts once to
     # the shared checkpoint folder instead of re-tokenizing per iteration
     tf = materialize(cv.transform(corpus).select("id", "tf"))
@@ -67,7 +90,7 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS
               subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0,
               docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
               optimizeDocConcentration=False)
-    return TopicFit(cv, lda.fit(tf), k, tf)
+    return TopicFit(cv, lda.fit(tf), k, tf, terms)
 
 
 def topic_shares(fit: TopicFit) -> DataFrame:
@@ -83,14 +106,14 @@ def topic_shares(fit: TopicFit) -> DataFrame:
 def top_words(fit: TopicFit, n: int = fv.TOP_WORDS) -> DataFrame:
     """Per topic, the ``n`` strongest terms ordered weakest → strongest.
 
-    ``describeTopics`` yields k rows; only their term indices are looked up in
-    the vectorizer's vocabulary (which MLlib keeps with the model)."""
-    vocab = fit.vectorizer.vocabulary
-    rows = fit.model.describeTopics(n).orderBy("topic").collect()
-    spark = fit.corpus.sparkSession
-    data = [(int(r["topic"]), ", ".join(vocab[i] for i in reversed(list(r["termIndices"]))))
-            for r in rows]
-    return spark.createDataFrame(data, "topic int, Top_Words string")
+    ``describeTopics`` yields k rows of term indices; they are joined to the
+    vocabulary table (the k×n side is broadcast) and folded per topic."""
+    top = fit.model.describeTopics(n).select(
+        "topic", F.posexplode("termIndices").alias("rank", "idx"))
+    named = fit.terms.join(F.broadcast(top), "idx")
+    return named.groupBy("topic").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rank"), F.col("term")))),
+                                 lambda x: x["term"]), ", ").alias("Top_Words"))
 
 
 def topic_table(fit: TopicFit, n_words: int = fv.TOP_WORDS) -> DataFrame:
