@@ -4,8 +4,10 @@ The reference embeds each text block with a transformer ([CLS] vector of the
 last layer, at most 512 tokens, batches of 50).  The engine keeps that shape
 with a pluggable model run by ``predict_batch_udf`` (Arrow batches, the model
 loaded once per Python worker), and ships a default embedder written only in
-SQL expressions: signed feature hashing of the first 512 word pieces, L2
-normalised.  It needs no model files and stays inside whole-stage codegen.
+SQL expressions: signed feature hashing of all word pieces of the whole text,
+L2 normalised.  It needs no model files and stays inside whole-stage codegen.
+(A transformer only sees its first 512 tokens; ``max_tokens`` reproduces that
+limit when wanted, the default embeds the whole text.)
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ from scriptorium.functions.text import word_pieces
 DEFAULT_DIM = 64
 
 
-def _bucket(t: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim))
+def _bucket(digest: Column, dim: int) -> Column:
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
-def _sign(t: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
+def _sign(digest: Column) -> Column:
+    return F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def hash_embedding(text: Column, dim: int = DEFAULT_DIM, max_tokens: int = fv.MAX_TOKENS) -> Column:
+def hash_embedding(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
     """P19 default: sum of ±1 per token in bucket md5(token) mod dim, L2
     normalised (all zeros for a text without tokens)."""
-    toks = F.slice(word_pieces(text), 1, max_tokens)
-    feats = F.transform(toks, lambda t: F.struct(_bucket(t, dim).alias("b"), _sign(t).alias("s")))
+    toks = word_pieces(text)
+    if max_tokens is not None:
+        toks = F.slice(toks, 1, max_tokens)
+    digests = F.transform(toks, F.md5)  # one digest per token: bucket and sign
+    feats = F.transform(digests, lambda h: F.struct(_bucket(h, dim).alias("b"), _sign(h).alias("s")))
     return F.aggregate(
         feats, F.array_repeat(F.lit(0.0), dim),
         lambda acc, f: F.transform(acc, lambda v, i: F.when(i == f["b"], v + f["s"]).otherwise(v)),

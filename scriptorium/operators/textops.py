@@ -57,15 +57,15 @@ def top_terms(term_counts_by_group: DataFrame, group_col: str, k: int) -> DataFr
             .where(F.col("rank") <= k))
 
 
-def embed_token_count(text: Column, max_tokens: int = fv.MAX_TOKENS) -> Column:
-    """Tokens the embedder sees: word pieces truncated to ``max_tokens``."""
-    return F.least(F.size(word_pieces(text)), F.lit(max_tokens))
-
-
-def token_stats(df: DataFrame, text_col: str, by: list[str]) -> DataFrame:
-    """A5: average and maximum token length (true counts, not padded)."""
-    n = embed_token_count(F.col(text_col))
+def token_stats(df: DataFrame, text_col: str, by: list[str], max_tokens: int = fv.MAX_TOKENS) -> DataFrame:
+    """A5: average and maximum token counts of whole texts (true counts, not
+    padded), the same capped at the model limit ``max_tokens`` (what a
+    512-token model sees), and the number of topic-model tokens."""
+    n = F.size(word_pieces(F.col(text_col)))
+    capped = F.least(n, F.lit(max_tokens))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"),
                                F.round(F.avg(n), 6).alias("avg_tokens"),
                                F.max(n).cast("bigint").alias("max_tokens"),
+                               F.round(F.avg(capped), 6).alias("avg_model_tokens"),
+                               F.max(capped).cast("bigint").alias("max_model_tokens"),
                                F.sum(F.size(topic_tokens(F.col(text_col)))).cast("bigint").alias("topic_tokens"))

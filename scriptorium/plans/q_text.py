@@ -116,8 +116,10 @@ SELECT arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min
 FROM documents GROUP BY text""",
     "token_stats": f"""
 SELECT lang, count(*) AS n_docs,
-       round(avg(least(len({SQL_WORD_PIECES.format(x='text')}), 512)), 6) AS avg_tokens,
-       CAST(max(least(len({SQL_WORD_PIECES.format(x='text')}), 512)) AS BIGINT) AS max_tokens,
+       round(avg(len({SQL_WORD_PIECES.format(x='text')})), 6) AS avg_tokens,
+       CAST(max(len({SQL_WORD_PIECES.format(x='text')})) AS BIGINT) AS max_tokens,
+       round(avg(least(len({SQL_WORD_PIECES.format(x='text')}), 512)), 6) AS avg_model_tokens,
+       CAST(max(least(len({SQL_WORD_PIECES.format(x='text')}), 512)) AS BIGINT) AS max_model_tokens,
        CAST(sum(len({sql_topic_tokens('text')})) AS BIGINT) AS topic_tokens
 FROM documents GROUP BY lang""",
     "doc_term_counts": f"WITH {_DOC_TERMS} SELECT doc_id, term, n FROM doc_terms",
