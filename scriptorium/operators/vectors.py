@@ -201,6 +201,11 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     x = base + u (neighbour - base).  Neighbours are searched only inside
     minority classes.  Synthetic ids are negative and consecutive per class.
     Returns the synthetic rows: ``id, label, vec, base_id, neighbour_id, u``.
+
+    Plan: every base row first gets its neighbours' ids and vectors (joins
+    on unique ids only), then its own points are generated from it in
+    chunks spread over tasks.  A two-row class that needs a billion points
+    therefore creates no hot join key and no oversized task.
     """
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     n_max = counts.agg(F.max("n_c")).first()[0]
@@ -215,34 +220,34 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     minority = df.join(plan.select(label_col), label_col)
     neigh = knn(minority, minority, k_max, id_col=id_col, vec_col=vec_col, group_col=label_col,
                 exclude_self=True, block_rows=block_rows)
+    # per base row: its k nearest same-class neighbours with their vectors
+    nn_vec = neigh.join(minority.select(F.col(id_col).alias("b_id"), F.col(vec_col).alias("_nv")), "b_id")
+    nn_list = nn_vec.groupBy(F.col("q_id").alias("base_id")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "b_id", "_nv"))).alias("_nn"))
     ranked = group_row_number(minority.withColumn("_o", order_key(id_col)), [label_col], ["_o", id_col], "_rn")
-    # one synthetic row per (class, j); j spread over the class's base rows
+    base = (ranked.select(label_col, "_rn", F.col(id_col).alias("base_id"), F.col(vec_col).alias("_bv"))
+            .join(plan, label_col)
+            .where(F.col("_rn") <= F.col("need"))
+            .join(nn_list, "base_id")
+            # points j = (rn - 1) + t * n_c for t = 0 .. n_pts - 1
+            .withColumn("_n_pts", F.floor((F.col("need") - F.col("_rn")) / F.col("n_c")) + 1))
+    chunk = F.col("_chunk")
+    chunks = (base.withColumn("_chunk", F.explode(F.sequence(
+                F.lit(0).cast("long"), F.ceil(F.col("_n_pts") / F.lit(GEN_CHUNK)).cast("long") - 1)))
+              .repartition("base_id", "_chunk"))
+    t = F.explode(F.sequence(chunk * GEN_CHUNK, F.least(F.col("_n_pts"), (chunk + 1) * GEN_CHUNK) - 1))
     j = F.col("_j")
     c = F.col(label_col).cast("long")
-    # point numbers are generated in chunks spread over tasks: a class that
-    # needs a billion points must not be expanded inside one task
-    chunk = F.col("_chunk")
-    chunks = (plan.withColumn("_chunk", F.explode(F.sequence(
-                F.lit(0).cast("long"), F.ceil(F.col("need") / F.lit(GEN_CHUNK)).cast("long") - 1)))
-              .repartition("_chunk", label_col))
-    todo = (chunks.withColumn("_j", F.explode(F.sequence(
-                chunk * GEN_CHUNK, F.least(F.col("need"), (chunk + 1) * GEN_CHUNK) - 1)))
-            .drop("_chunk")
-            .withColumn("_rn", F.pmod(j, F.col("n_c")) + 1)
-            .withColumn("_m", F.pmod(j * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL, F.col("k_c")) + 1)
-            .withColumn("u", F.pmod(j * U_MUL + c * CLASS_MUL + U_ADD, F.lit(U_MOD)) / F.lit(float(U_MOD)))
-            .withColumn("syn_id", -(F.col("id_off") + j + 1)))
-    with_base = todo.join(ranked.select(label_col, "_rn", F.col(id_col).alias("base_id"),
-                                        F.col(vec_col).alias("_bv")), [label_col, "_rn"])
-    with_nn = with_base.join(neigh.select(F.col("q_id").alias("base_id"), F.col("rank").alias("_m"),
-                                          F.col("b_id").alias("neighbour_id")), ["base_id", "_m"])
-    with_nv = with_nn.join(df.select(F.col(id_col).alias("neighbour_id"), F.col(vec_col).alias("_nv")),
-                           "neighbour_id")
+    pts = (chunks.withColumn("_t", t)
+           .withColumn("_j", F.col("_rn") - 1 + F.col("_t") * F.col("n_c"))
+           .withColumn("_m", (F.pmod(j * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL, F.col("k_c")) + 1).cast("int"))
+           .withColumn("u", F.pmod(j * U_MUL + c * CLASS_MUL + U_ADD, F.lit(U_MOD)) / F.lit(float(U_MOD)))
+           .withColumn("_pick", F.element_at(F.col("_nn"), F.col("_m"))))
     u = F.col("u")
-    vec = F.zip_with(F.col("_bv"), F.col("_nv"),
+    vec = F.zip_with(F.col("_bv"), F.col("_pick._nv"),
                      lambda a, b: a.cast("double") + u * (b.cast("double") - a.cast("double")))
-    return with_nv.select(F.col("syn_id").alias(id_col), F.col(label_col), vec.alias(vec_col),
-                          "base_id", "neighbour_id", "u")
+    return pts.select((-(F.col("id_off") + j + 1)).alias(id_col), F.col(label_col), vec.alias(vec_col),
+                      "base_id", F.col("_pick.b_id").alias("neighbour_id"), "u")
 
 
 def oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, **kw) -> DataFrame:

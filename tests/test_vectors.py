@@ -97,3 +97,15 @@ def test_report_values(spark):
     assert rep["macro avg"].precision == pytest.approx(round((2 / 3 + p1 + 0) / 3, 6))
     w = (2 / 3 * 3 + p1 * 2 + 0) / 6
     assert rep["weighted avg"].precision == pytest.approx(round(w, 6))
+
+
+def test_smote_chunked_generation_for_tiny_class(spark, monkeypatch):
+    import scriptorium.operators.vectors as V
+    monkeypatch.setattr(V, "GEN_CHUNK", 3)
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(32, 2))
+    lab = [0] * 30 + [1] * 2          # class 1 needs 28 points from two rows
+    syn = V.smote(frame(spark, range(32), X, lab), "id", "vec", "label").collect()
+    assert len(syn) == 28 and sorted(r.id for r in syn) == list(range(-28, 0))
+    assert {r.base_id for r in syn} == {30, 31}
+    assert all({r.base_id, r.neighbour_id} == {30, 31} for r in syn)
