@@ -16,7 +16,8 @@ from scriptorium.sources.citations import records
 from scriptorium.streaming.ingest import (citation_stream, dedupe_within_watermark, embed_stream,
                                           ingest_citations, running_counts, work_dir, write_complete)
 
-LANDING_FILES = 4
+LANDING_FILES = 32      # files landed per test stream
+FILES_PER_TRIGGER = 8   # files per micro-batch: four batches, each spread over tasks
 
 
 def _land_citations(spark, sf_dir):
@@ -30,14 +31,15 @@ def _land_citations(spark, sf_dir):
 def citation_stream_ingest_q(spark, sf_dir):
     base, landing = _land_citations(spark, sf_dir)
     table = os.path.join(base, "records")
-    ingest_citations(spark, landing, table, os.path.join(base, "quarantine"), os.path.join(base, "_checkpoint"))
+    ingest_citations(spark, landing, table, os.path.join(base, "quarantine"), os.path.join(base, "_checkpoint"),
+                     max_files_per_trigger=FILES_PER_TRIGGER)
     return spark.read.parquet(table).drop("epoch")
 
 
 def stream_year_counts_q(spark, sf_dir):
     base, landing = _land_citations(spark, sf_dir)
     table = os.path.join(base, "year_counts")
-    counts = running_counts(records(citation_stream(spark, landing)), "pub_date")
+    counts = running_counts(records(citation_stream(spark, landing, FILES_PER_TRIGGER)), "pub_date")
     write_complete(counts, table, os.path.join(base, "_checkpoint"))
     return spark.read.parquet(table)
 
@@ -70,7 +72,7 @@ def stream_embed_q(spark, sf_dir):
     landing = os.path.join(base, "landing")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     docs.repartition(LANDING_FILES).write.parquet(landing)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(landing)
     store = os.path.join(base, "store")
     embed_stream(spark, stream, "doc_id", "text", store, os.path.join(base, "_checkpoint"))
     return spark.read.parquet(store).select(

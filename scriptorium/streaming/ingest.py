@@ -44,13 +44,19 @@ def write_epoch(df: DataFrame, table: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(table, f"epoch={epoch}"))
 
 
-def ingest_citations(spark: SparkSession, landing: str, table: str, bad_table: str, checkpoint: str) -> None:
+def ingest_citations(spark: SparkSession, landing: str, table: str, bad_table: str, checkpoint: str,
+                     max_files_per_trigger: int = 1) -> None:
     """Land parsed records (and quarantined ones) batch by batch."""
     def write(batch: DataFrame, epoch: int) -> None:
-        write_epoch(records(batch), table, epoch)
-        write_epoch(quarantine(batch), bad_table, epoch)
-
-    q = (citation_stream(spark, landing).writeStream.foreachBatch(write)
+        # two sinks read the same parsed batch: parse it once
+        batch.persist()
+        try:
+            write_epoch(records(batch), table, epoch)
+            write_epoch(quarantine(batch), bad_table, epoch)
+        finally:
+            batch.unpersist()
+
+    q = (citation_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
