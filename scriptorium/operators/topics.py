@@ -7,8 +7,9 @@ held at 1 (``learningDecay`` ≈ 0, ``learningOffset`` = 1) performs the batch
 variational updates of the reference's library; symmetric priors 1/k.
 
 LDA results depend on how the documents are partitioned, so the corpus is
-hash-partitioned on the document id into a fixed number of partitions and
-sorted inside each before fitting: same data and settings → same topics.
+hash-partitioned on the document id into a fixed number of partitions (the
+cluster's core count unless given) and sorted inside each before fitting:
+same data, settings and partition count → same topics.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ class TopicFit:
 
 
 def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions: int | None = None) -> DataFrame:
-    n = num_partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one partition per core: every LDA iteration passes over all of them
+    n = num_partitions or docs.sparkSession.sparkContext.defaultParallelism
     terms = vectorizer_terms(topic_tokens(F.col(text_col)))
     # partition the raw rows by id first: tokenizing then runs in all tasks,
     # and the partitioning (hence the LDA result) depends only on the ids
