@@ -53,7 +53,7 @@ def top_terms(term_counts_by_group: DataFrame, group_col: str, k: int) -> DataFr
     """
     counts = term_counts_by_group.groupBy(group_col, "term").agg(F.sum("n").alias("freq"))
     w = Window.partitionBy(group_col).orderBy(F.desc("freq"), "term")
-    return (counts.withColumn("rank", F.row_number().over(w))
+    return (counts.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("rank") <= k))
 
 

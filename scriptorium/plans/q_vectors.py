@@ -63,7 +63,7 @@ def knn_run_summary_q(spark, sf_dir):
 
 
 def embedding_align_q(spark, sf_dir):
-    return aligned(spark, sf_dir).select("vec_id", "label", F.size("embedding").alias("dims"))
+    return aligned(spark, sf_dir).select("vec_id", "label", F.size("embedding").cast("bigint").alias("dims"))
 
 
 def align_diagnostics_q(spark, sf_dir):
@@ -180,7 +180,7 @@ nn AS (
 todo AS (
   SELECT p.*, j, j % n_c + 1 AS rn, (j * 31 + cls * 17) % k_c + 1 AS m,
          CAST((j * 7919 + cls * 104729 + 13) % 10007 AS DOUBLE) / 10007.0::DOUBLE AS u,
-         -(id_off + j + 1) AS syn_id
+         CAST(-(id_off + j + 1) AS BIGINT) AS syn_id
   FROM plan p, (SELECT unnest(range(0, (SELECT max(need) FROM plan))) AS j) js
   WHERE j < p.need),
 syn AS (

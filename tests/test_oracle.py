@@ -18,6 +18,7 @@ def con(sf_dir):
 def test_query_matches_oracle(spark, con, sf_dir, name):
     info = compare(spark, con, name, QUERIES[name], ORACLE.get(name), sf_dir)
     assert info["status"] in ("match", "rows-only"), info
+    assert "type_diff" not in info, info
 
 
 def test_entry_runs(spark):
