@@ -250,6 +250,26 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
                       "base_id", F.col("_pick.b_id").alias("neighbour_id"), "u")
 
 
+def smote_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str,
+                   oversample_mode: str = "before_split", test_share: float = fv.TEST_SHARE,
+                   **kw) -> tuple[DataFrame, int, int]:
+    """Q-K2: SMOTE + split + k-NN.  ``before_split`` is the reference order
+    (synthetic neighbours of test rows can leak into training);
+    ``train_only`` splits first and oversamples the training rows only."""
+    if oversample_mode == "before_split":
+        split = stratified_split(oversample(df, id_col, vec_col, label_col, **kw), label_col, id_col, test_share)
+    elif oversample_mode == "train_only":
+        split = stratified_split(df, label_col, id_col, test_share)
+        train = split.where(~F.col("is_test")).drop("is_test")
+        test = split.where(F.col("is_test")).select(
+            id_col, label_col, F.col(vec_col).cast("array<double>").alias(vec_col), "is_test")
+        split = (oversample(train, id_col, vec_col, label_col, **kw).withColumn("is_test", F.lit(False))
+                 .unionByName(test))
+    else:
+        raise ValueError(f"unknown oversample mode {oversample_mode!r}")
+    return classify(split, id_col, vec_col, label_col)
+
+
 def oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, **kw) -> DataFrame:
     """Original rows (vectors as double) ∪ synthetic rows."""
     syn = smote(df, id_col, vec_col, label_col, **kw)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.operators.evaluate import confusion, report, run_summary
-from scriptorium.operators.vectors import classify, knn, oversample, smote, stratified_split
+from scriptorium.operators.vectors import classify, knn, oversample, smote, smote_classify, stratified_split
 from scriptorium.session import read_table, widen
 
 NO_OVERSAMPLING = "No Oversampling"
@@ -101,11 +101,16 @@ def smote_counts_q(spark, sf_dir):
 
 def knn_smote_summary_q(spark, sf_dir):
     """The reference's classification run: align → SMOTE → split → k-NN."""
-    res = oversample(aligned(spark, sf_dir), "vec_id", "embedding", "label")
-    pred, k, n_train = classify(stratified_split(res, "label", "vec_id"), "vec_id", "embedding", "label")
+    pred, k, n_train = smote_classify(aligned(spark, sf_dir), "vec_id", "embedding", "label", "before_split")
     return run_summary(pred, n_train, k, mitigation=fv.MITIGATION)
 
 
+def knn_smote_train_only_summary_q(spark, sf_dir):
+    """Q-K2, leak-free order: align → split → SMOTE on training rows → k-NN."""
+    pred, k, n_train = smote_classify(aligned(spark, sf_dir), "vec_id", "embedding", "label", "train_only")
+    return run_summary(pred, n_train, k, mitigation="SMOTE (train only)")
+
+
 def resume_todo_q(spark, sf_dir):
     """J8 + W6: documents without a stored embedding, in batches of 50."""
     from scriptorium.operators.indexing import consecutive_index
@@ -164,15 +169,16 @@ _ALIGNED = """al AS (
   SELECT e.vec_id AS id, l.quality * 2 + l.toxic AS cls, e.embedding AS vec
   FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id
   WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL)"""
-_SMOTE = _ALIGNED + """,
-cnt AS (SELECT cls, count(*) AS n_c FROM al GROUP BY cls),
+def _smote_sql(src: str) -> str:
+    """SMOTE CTEs over relation ``src`` (id, cls, vec); the result is ``syn``."""
+    return f"""cnt AS (SELECT cls, count(*) AS n_c FROM {src} GROUP BY cls),
 plan AS (
   SELECT cls, n_c, n_max - n_c AS need, least(5, n_c - 1) AS k_c,
          coalesce(sum(n_max - n_c) OVER (ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS id_off
   FROM cnt, (SELECT max(n_c) AS n_max FROM cnt) mx WHERE n_c < n_max),
 ranked AS (
   SELECT a.*, row_number() OVER (PARTITION BY a.cls ORDER BY (a.id * 7919) % 10007, a.id) AS rn
-  FROM al a JOIN plan p ON p.cls = a.cls),
+  FROM {src} a JOIN plan p ON p.cls = a.cls),
 nn AS (
   SELECT a.id AS base_id, b.id AS nb_id,
          row_number() OVER (PARTITION BY a.id ORDER BY list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), b.id) AS m
@@ -190,7 +196,33 @@ syn AS (
   FROM todo t
   JOIN ranked r ON r.cls = t.cls AND r.rn = t.rn
   JOIN nn n ON n.base_id = r.id AND n.m = t.m
-  JOIN al v ON v.id = n.nb_id)"""
+  JOIN {src} v ON v.id = n.nb_id)"""
+
+
+_SMOTE = _ALIGNED + ",\n" + _smote_sql("al")
+
+
+def _knn_summary_sql(split: str, mitigation: str) -> str:
+    """k-NN + run summary over relation ``split`` (vec_id, label, embedding DOUBLE[], is_test)."""
+    return f"""tr AS (SELECT * FROM {split} WHERE NOT is_test),
+te AS (SELECT * FROM {split} WHERE is_test),
+kk AS (SELECT least(5, count(*)) AS k FROM tr),
+d AS (SELECT t.vec_id AS q_id, b.vec_id AS b_id, b.label AS b_label, list_distance(t.embedding, b.embedding) AS dist
+      FROM te t, tr b),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM d)
+       WHERE rank <= (SELECT k FROM kk)),
+nbw AS (SELECT *, min(dist) OVER (PARTITION BY q_id) AS mind FROM nb),
+sc AS (SELECT q_id, b_label, sum(CASE WHEN mind = 0 THEN (CASE WHEN dist = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+                                      ELSE 1.0::DOUBLE / dist END) AS s FROM nbw GROUP BY q_id, b_label),
+best AS (SELECT q_id, b_label AS prediction FROM (
+           SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, b_label) AS r FROM sc) WHERE r = 1),
+pred AS (SELECT t.vec_id, t.label, b.prediction FROM te t LEFT JOIN best b ON b.q_id = t.vec_id)
+SELECT 'PubMedBERT' AS "Model", (SELECT count(*) FROM tr) AS "Training Size", count(*) AS "Test Size",
+       CAST((SELECT k FROM kk) AS BIGINT) AS k,
+       round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS "Accuracy",
+       '{mitigation}' AS "Mitigation"
+FROM pred"""
+
 
 ORACLE = {
     "stratified_split": f"WITH {_SPLIT} SELECT vec_id, label, is_test FROM split",
@@ -236,24 +268,18 @@ sp AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY ((vec_id * 7919) % 10007 + 10007) % 10007, vec_id)
               <= (count(*) OVER (PARTITION BY label) + 4) // 5 AS is_test
   FROM res),
-tr AS (SELECT * FROM sp WHERE NOT is_test),
-te AS (SELECT * FROM sp WHERE is_test),
-kk AS (SELECT least(5, count(*)) AS k FROM tr),
-d AS (SELECT t.vec_id AS q_id, b.vec_id AS b_id, b.label AS b_label, list_distance(t.embedding, b.embedding) AS dist
-      FROM te t, tr b),
-nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM d)
-       WHERE rank <= (SELECT k FROM kk)),
-nbw AS (SELECT *, min(dist) OVER (PARTITION BY q_id) AS mind FROM nb),
-sc AS (SELECT q_id, b_label, sum(CASE WHEN mind = 0 THEN (CASE WHEN dist = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-                                      ELSE 1.0::DOUBLE / dist END) AS s FROM nbw GROUP BY q_id, b_label),
-best AS (SELECT q_id, b_label AS prediction FROM (
-           SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, b_label) AS r FROM sc) WHERE r = 1),
-pred AS (SELECT t.vec_id, t.label, b.prediction FROM te t LEFT JOIN best b ON b.q_id = t.vec_id)
-SELECT 'PubMedBERT' AS "Model", (SELECT count(*) FROM tr) AS "Training Size", count(*) AS "Test Size",
-       CAST((SELECT k FROM kk) AS BIGINT) AS k,
-       round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS "Accuracy",
-       'SMOTE' AS "Mitigation"
-FROM pred""",
+{_knn_summary_sql("sp", "SMOTE")}""",
+    "knn_smote_train_only_summary": f"""WITH {_ALIGNED},
+sp0 AS (
+  SELECT *, row_number() OVER (PARTITION BY cls ORDER BY (id * 7919) % 10007, id)
+              <= (count(*) OVER (PARTITION BY cls) + 4) // 5 AS is_test
+  FROM al),
+trn AS (SELECT id, cls, vec FROM sp0 WHERE NOT is_test),
+{_smote_sql("trn")},
+sp AS (SELECT id AS vec_id, cls AS label, CAST(vec AS DOUBLE[]) AS embedding, false AS is_test FROM trn
+       UNION ALL SELECT vec_id, label, embedding, false FROM syn
+       UNION ALL SELECT id, cls, CAST(vec AS DOUBLE[]), true FROM sp0 WHERE is_test),
+{_knn_summary_sql("sp", "SMOTE (train only)")}""",
     "resume_todo": """
 SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 50) AS BIGINT) AS batch
 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
@@ -271,6 +297,7 @@ QUERIES = {
     "smote_points": smote_points_q,
     "smote_counts": smote_counts_q,
     "knn_smote_summary": knn_smote_summary_q,
+    "knn_smote_train_only_summary": knn_smote_train_only_summary_q,
     "resume_todo": resume_todo_q,
 }
 

@@ -134,14 +134,18 @@ def write_blocks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     render_block(df).select("block").write.mode(mode).text(path)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """Split files into ``Abstract #`` records and extract the fields.
 
     The split is on ``\\nAbstract #`` (abstracts may hold blank lines), and the
-    first record of a file is kept (the reference loses it unless the file
-    starts with a newline).
+    first record of a file is kept.  ``compat=True`` reproduces Q-B1: the
+    reference drops the first piece of every file, so it loses the first
+    record unless the file starts with a newline.
     """
     raw = spark.read.text(path, lineSep="\nAbstract #").where(F.trim(F.col("value")) != F.lit(""))
+    if compat:
+        # the first piece of a file is the only one still carrying the prefix
+        raw = raw.where(~F.col("value").startswith("Abstract #"))
     text = F.when(F.col("value").startswith("Abstract #"), F.col("value")) \
         .otherwise(F.concat(F.lit("Abstract #"), F.col("value")))
     rec = raw.select(text.alias("block"))

@@ -74,3 +74,13 @@ def test_id_lines_and_missing(spark):
     assert sorted(r.pmid for r in ids.collect()) == ["101", "103"]
     got = spark.createDataFrame([("103",)], "pmid string")
     assert [r.pmid for r in missing_ids(ids, got).collect()] == ["101"]
+
+
+def test_blocks_compat_drops_first_record(spark, tmp_path):
+    block = "Abstract #{0}\nTitle: t{0}\nAuthors: a\nAbstract: x\n\ny\nJournal: j\nPublication Date: 2020\n"
+    (tmp_path / "plain.txt").write_text(block.format(1) + "\n" + block.format(2) + "\n")
+    (tmp_path / "lead.txt").write_text("\n" + block.format(3) + "\n" + block.format(4) + "\n")
+    ids = sorted(r.pmid for r in read_blocks(spark, str(tmp_path)).collect())
+    assert ids == ["1", "2", "3", "4"]
+    ids = sorted(r.pmid for r in read_blocks(spark, str(tmp_path), compat=True).collect())
+    assert ids == ["2", "3", "4"]          # Q-B1: only a leading newline saves the first record
