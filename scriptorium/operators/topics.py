@@ -81,15 +81,22 @@ def vectorizer(corpus: DataFrame, vocab_size: int) -> tuple[CountVectorizerModel
 
 
 def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
-               seed: int = fv.SEED, vocab_size: int = 1 << 18, num_partitions: int | None = None) -> TopicFit:
-    """M1 + M2."""
+               seed: int = fv.SEED, vocab_size: int = 1 << 18, num_partitions: int | None = None,
+               subsampling_rate: float = 1.0) -> TopicFit:
+    """M1 + M2.
+
+    ``subsampling_rate=1`` makes every iteration a full pass (the reference's
+    batch updates).  On very large corpora a small rate turns the same fit
+    into true online learning: each iteration touches only that fraction.
+    """
     corpus = prepare_corpus(docs, id_col, text_col, num_partitions)
     cv, terms = vectorizer(corpus, vocab_size)
     # every LDA iteration passes over the corpus: write the term counts once to
     # the shared checkpoint folder instead of re-tokenizing per iteration
     tf = materialize(cv.transform(corpus).select("id", "tf"))
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="tf",
-              subsamplingRate=1.0, learningDecay=1e-9, learningOffset=1.0,
+              subsamplingRate=subsampling_rate, learningDecay=1e-9 if subsampling_rate >= 1.0 else 0.51,
+              learningOffset=1.0 if subsampling_rate >= 1.0 else 1024.0,
               docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
               optimizeDocConcentration=False)
     return TopicFit(cv, lda.fit(tf), k, tf, terms)
