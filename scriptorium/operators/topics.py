@@ -89,7 +89,8 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS
     batch updates).  On very large corpora a small rate turns the same fit
     into true online learning: each iteration touches only that fraction.
     """
-    corpus = prepare_corpus(docs, id_col, text_col, num_partitions)
+    # tokens are needed by the vocabulary pass and the vectorizer pass
+    corpus = materialize(prepare_corpus(docs, id_col, text_col, num_partitions))
     cv, terms = vectorizer(corpus, vocab_size)
     # every LDA iteration passes over the corpus: write the term counts once to
     # the shared checkpoint folder instead of re-tokenizing per iteration
