@@ -14,18 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import word_pieces
-
-CACHE_SCHEMA = T.StructType([
-    T.StructField("term", T.StringType(), False),
-    T.StructField("molecular_formula", T.StringType(), True),
-    T.StructField("iupac_name", T.StringType(), True),
-    T.StructField("chebi_class", T.StringType(), True),
-])
-
+from scriptorium.sources.tables import CACHE_SCHEMA
 
 def lexicon_frame(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     rows = sorted({" ".join(t.lower().split()) for t in terms})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.functions import fixed_values as fv
 from scriptorium.plans.q_text import sql_remove_phrases
 from scriptorium.plans.sqltext import str_list
 from scriptorium.plans.standins import (CORRUPT_EVERY, FORENAMES, JOURNALS, SECTION_HEADINGS, SURNAMES,

@@ -1,6 +1,5 @@
 """Mentions: overlap rule, empty result (Q-C4), lookups; session helpers."""
 
-from pyspark.sql import functions as F
 
 from scriptorium.operators.chem import cache_frame, cache_misses, mention_summary, mentions
 from scriptorium.session import widen
