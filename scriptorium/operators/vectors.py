@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.operators.indexing import group_row_number
+from scriptorium.session import materialize
 
 ORDER_MUL, ORDER_MOD = 7919, 10007  # arithmetic shuffle key shared with the oracle
 
@@ -149,7 +150,8 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_share: flo
     arithmetic order go to test.  Adds boolean ``is_test``."""
     frac = Fraction(test_share).limit_denominator(10000)
     ranked = group_row_number(df.withColumn("_o", order_key(id_col)), [label_col], ["_o", id_col], "_rn")
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    # counted from the numbered (checkpointed) rows, not from the input plan
+    counts = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.floor((F.col("_n") * frac.numerator + frac.denominator - 1) / frac.denominator)
     return (ranked.join(counts, label_col)
             .withColumn("is_test", F.col("_rn") <= n_test)
@@ -194,7 +196,8 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
           block_rows: int = 2048) -> DataFrame:
     """M5: raise every class to the majority count with synthetic points.
 
-    Class c with n_c rows needs ``n_max - n_c`` points.  Point j takes the
+    Class c (its position among the sorted labels) with n_c rows needs
+    ``n_max - n_c`` points.  Point j takes the
     base row ranked ``j mod n_c`` (arithmetic order), its neighbour number
     ``(31 j + 17 c) mod k_c + 1`` among the k_c = min(5, n_c - 1) nearest
     same-class rows, and ``u = ((7919 j + 104729 c + 13) mod 10007) / 10007``:
@@ -207,7 +210,13 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     chunks spread over tasks.  A two-row class that needs a billion points
     therefore creates no hot join key and no oversized task.
     """
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
+    # the input is read by several jobs below (class counts, neighbour search,
+    # ranking, vector look-ups): compute it once
+    df = materialize(df.select(id_col, label_col, vec_col))
+    # class number for the arithmetic: position of the label among all labels
+    # (labels may be strings such as decades); one row per class
+    counts = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
+              .withColumn("_cidx", F.row_number().over(Window.orderBy(label_col)) - 1))
     n_max = counts.agg(F.max("n_c")).first()[0]
     small = counts.where((F.col("n_c") < n_max))
     bad = small.where(F.col("n_c") < 2).limit(1).collect()
@@ -237,7 +246,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
               .repartition("base_id", "_chunk"))
     t = F.explode(F.sequence(chunk * GEN_CHUNK, F.least(F.col("_n_pts"), (chunk + 1) * GEN_CHUNK) - 1))
     j = F.col("_j")
-    c = F.col(label_col).cast("long")
+    c = F.col("_cidx").cast("long")
     pts = (chunks.withColumn("_t", t)
            .withColumn("_j", F.col("_rn") - 1 + F.col("_t") * F.col("n_c"))
            .withColumn("_m", (F.pmod(j * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL, F.col("k_c")) + 1).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import fixed_values as fv
 from scriptorium.operators.evaluate import confusion, report, run_summary
 from scriptorium.operators.vectors import classify, knn, oversample, smote, smote_classify, stratified_split
+from scriptorium.plans.standins import SQL_PUBLICATION_DATES, SQL_YEAR
 from scriptorium.session import read_table, widen
 
 NO_OVERSAMPLING = "No Oversampling"
@@ -24,6 +25,21 @@ def aligned(spark, sf_dir):
         "vec_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"), "embedding")
 
 
+def aligned_decades(spark, sf_dir):
+    """The reference's path without a label column: J1 with the metadata
+    dates (P8), rows without a year dropped (F3), label = decade as a string
+    (P9, P10)."""
+    from scriptorium.functions.dates import label_or_decade, pub_year
+    from scriptorium.plans.standins import publication_dates
+    emb = embeddings(spark, sf_dir)
+    pubs = publication_dates(read_table(spark, sf_dir, "orders"))
+    year = pub_year(F.col("Publication_Date"))
+    return (emb.join(pubs, emb.vec_id == pubs.ID)
+            .select("vec_id", year.alias("year"), "embedding")
+            .where(F.col("year").isNotNull())
+            .select("vec_id", "year", label_or_decade(None, F.col("year")).alias("label"), "embedding"))
+
+
 def _split(spark, sf_dir):
     return stratified_split(embeddings(spark, sf_dir), "label", "vec_id")
 
@@ -105,6 +121,17 @@ def knn_smote_summary_q(spark, sf_dir):
     return run_summary(pred, n_train, k, mitigation=fv.MITIGATION)
 
 
+def decade_labels_q(spark, sf_dir):
+    return aligned_decades(spark, sf_dir).select("vec_id", "year", "label")
+
+
+def knn_decade_summary_q(spark, sf_dir):
+    """The reference run with decade labels: SMOTE → split → k-NN."""
+    al = aligned_decades(spark, sf_dir).drop("year")
+    pred, k, n_train = smote_classify(al, "vec_id", "embedding", "label", "before_split")
+    return run_summary(pred, n_train, k, mitigation=fv.MITIGATION)
+
+
 def knn_smote_train_only_summary_q(spark, sf_dir):
     """Q-K2, leak-free order: align → split → SMOTE on training rows → k-NN."""
     pred, k, n_train = smote_classify(aligned(spark, sf_dir), "vec_id", "embedding", "label", "train_only")
@@ -171,9 +198,9 @@ _ALIGNED = """al AS (
   WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL)"""
 def _smote_sql(src: str) -> str:
     """SMOTE CTEs over relation ``src`` (id, cls, vec); the result is ``syn``."""
-    return f"""cnt AS (SELECT cls, count(*) AS n_c FROM {src} GROUP BY cls),
+    return f"""cnt AS (SELECT cls, count(*) AS n_c, row_number() OVER (ORDER BY cls) - 1 AS cidx FROM {src} GROUP BY cls),
 plan AS (
-  SELECT cls, n_c, n_max - n_c AS need, least(5, n_c - 1) AS k_c,
+  SELECT cls, cidx, n_c, n_max - n_c AS need, least(5, n_c - 1) AS k_c,
          coalesce(sum(n_max - n_c) OVER (ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS id_off
   FROM cnt, (SELECT max(n_c) AS n_max FROM cnt) mx WHERE n_c < n_max),
 ranked AS (
@@ -184,8 +211,8 @@ nn AS (
          row_number() OVER (PARTITION BY a.id ORDER BY list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), b.id) AS m
   FROM ranked a JOIN ranked b ON a.cls = b.cls AND a.id <> b.id),
 todo AS (
-  SELECT p.*, j, j % n_c + 1 AS rn, (j * 31 + cls * 17) % k_c + 1 AS m,
-         CAST((j * 7919 + cls * 104729 + 13) % 10007 AS DOUBLE) / 10007.0::DOUBLE AS u,
+  SELECT p.*, j, j % n_c + 1 AS rn, (j * 31 + cidx * 17) % k_c + 1 AS m,
+         CAST((j * 7919 + cidx * 104729 + 13) % 10007 AS DOUBLE) / 10007.0::DOUBLE AS u,
          CAST(-(id_off + j + 1) AS BIGINT) AS syn_id
   FROM plan p, (SELECT unnest(range(0, (SELECT max(need) FROM plan))) AS j) js
   WHERE j < p.need),
@@ -202,6 +229,15 @@ syn AS (
 _SMOTE = _ALIGNED + ",\n" + _smote_sql("al")
 
 
+_Y = SQL_YEAR.format(x="Publication_Date")
+_DECADES = f"""{SQL_PUBLICATION_DATES},
+dl AS (
+  SELECT e.vec_id AS id, CAST({_Y} AS INTEGER) AS year,
+         CAST(CAST(floor({_Y} / 10) * 10 AS INTEGER) AS VARCHAR) AS cls, e.embedding AS vec
+  FROM embeddings e JOIN pubs p ON p.ID = e.vec_id
+  WHERE {_Y} IS NOT NULL)"""
+
+
 def _knn_summary_sql(split: str, mitigation: str) -> str:
     """k-NN + run summary over relation ``split`` (vec_id, label, embedding DOUBLE[], is_test)."""
     return f"""tr AS (SELECT * FROM {split} WHERE NOT is_test),
@@ -268,6 +304,17 @@ sp AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY ((vec_id * 7919) % 10007 + 10007) % 10007, vec_id)
               <= (count(*) OVER (PARTITION BY label) + 4) // 5 AS is_test
   FROM res),
+{_knn_summary_sql("sp", "SMOTE")}""",
+    "decade_labels": f"""WITH {_DECADES}
+SELECT id AS vec_id, year, cls AS label FROM dl""",
+    "knn_decade_summary": f"""WITH {_DECADES},
+{_smote_sql("dl")},
+res AS (SELECT id AS vec_id, cls AS label, CAST(vec AS DOUBLE[]) AS embedding FROM dl
+        UNION ALL SELECT vec_id, label, embedding FROM syn),
+sp AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY ((vec_id * 7919) % 10007 + 10007) % 10007, vec_id)
+              <= (count(*) OVER (PARTITION BY label) + 4) // 5 AS is_test
+  FROM res),
 {_knn_summary_sql("sp", "SMOTE")}""",
     "knn_smote_train_only_summary": f"""WITH {_ALIGNED},
 sp0 AS (
@@ -298,6 +345,8 @@ QUERIES = {
     "smote_counts": smote_counts_q,
     "knn_smote_summary": knn_smote_summary_q,
     "knn_smote_train_only_summary": knn_smote_train_only_summary_q,
+    "decade_labels": decade_labels_q,
+    "knn_decade_summary": knn_decade_summary_q,
     "resume_todo": resume_todo_q,
 }
 
