@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import fixed_values as fv
+from scriptorium.operators.trends import part_frequency
 from scriptorium.plans.q_text import sql_remove_phrases
 from scriptorium.plans.sqltext import str_list
 from scriptorium.plans.standins import (CORRUPT_EVERY, FORENAMES, JOURNALS, SECTION_HEADINGS, SURNAMES,
@@ -29,6 +31,14 @@ def citation_quarantine_q(spark, sf_dir):
     return q.select(F.regexp_extract("raw", r"<PMID[^>]*>([0-9]+)</PMID>", 1).alias("pmid"), "raw_chars")
 
 
+def author_frequency_q(spark, sf_dir):
+    """Authors of the parsed records, split on ``; `` and counted;
+    the sentinels (no author, unnamed author) are not authors."""
+    recs = records(_parsed(spark, sf_dir)).where(F.col("authors") != F.lit(fv.NO_AUTHORS))
+    counts = part_frequency(recs, "authors", "; ", "author")
+    return counts.where(F.col("author") != F.lit(fv.NO_NAME))
+
+
 def citation_missing_q(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     requested = docs.select(F.col("doc_id").cast("string").alias("pmid"))
@@ -77,6 +87,10 @@ SELECT pmid, 'Abstract #' || pmid || chr(10) || 'Title: ' || title || chr(10) ||
        || 'Abstract: ' || abstract || chr(10) || 'Journal: ' || journal || chr(10)
        || 'Publication Date: ' || pub_date || chr(10) AS block
 FROM expected""",
+    "author_frequency": f"""WITH {_EXPECTED}
+SELECT author, count(*) AS n FROM (SELECT trim(unnest(string_split(authors, '; '))) AS author FROM expected
+                                   WHERE authors <> 'No Authors')
+WHERE author <> 'No Name' AND author <> '' GROUP BY author""",
     "citation_quarantine": f"""
 SELECT CAST(doc_id AS VARCHAR) AS pmid, 120 AS raw_chars FROM documents
 WHERE doc_id % {CORRUPT_EVERY} = {CORRUPT_EVERY - 1}""",
@@ -93,5 +107,6 @@ QUERIES = {
     "citation_export": citation_export_q,
     "citation_quarantine": citation_quarantine_q,
     "citation_missing": citation_missing_q,
+    "author_frequency": author_frequency_q,
     "missing_ids": missing_ids_q,
 }
