@@ -38,11 +38,17 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def remove_forbidden_phrases(col: Column, phrases: Sequence[str] = fv.FORBIDDEN_PHRASES) -> Column:
-    """Replace each phrase (in list order) by one space, then strip."""
+    """Replace each phrase (in list order) by one space, then strip.
+
+    A text in which no phrase occurs (case-insensitively) is only stripped:
+    if no phrase matches the original text, no step of the chain can match,
+    so one literal scan replaces the sequence of pattern scans.
+    """
     out = col
     for phrase in phrases:
         out = F.regexp_replace(out, phrase_pattern(phrase), " ")
-    return ustrip(out)
+    any_phrase = "(?iu)" + "|".join("\\Q" + p + "\\E" for p in phrases)
+    return F.when(col.rlike(any_phrase), ustrip(out)).otherwise(ustrip(col))
 
 
 def strip_inline_tags(raw: Column, tags: Sequence[str] = fv.INLINE_TAGS) -> Column:

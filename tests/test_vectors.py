@@ -109,3 +109,14 @@ def test_smote_chunked_generation_for_tiny_class(spark, monkeypatch):
     assert len(syn) == 28 and sorted(r.id for r in syn) == list(range(-28, 0))
     assert {r.base_id for r in syn} == {30, 31}
     assert all({r.base_id, r.neighbour_id} == {30, 31} for r in syn)
+
+
+def test_confusion_total_equals_test_rows(spark):
+    from scriptorium.operators.vectors import classify
+    rng = np.random.default_rng(4)
+    df = frame(spark, range(120), rng.normal(size=(120, 6)), [i % 4 for i in range(120)])
+    split = stratified_split(df, "label", "id")
+    pred, k, n_train = classify(split, "id", "vec", "label")
+    n_test = split.where(F.col("is_test")).count()
+    assert confusion(pred).agg(F.sum("n")).first()[0] == n_test == pred.count()
+    assert k == 5 and n_train == 120 - n_test
