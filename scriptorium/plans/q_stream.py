@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.plans.q_citations import _EXPECTED
 from scriptorium.plans.q_embed import ORACLE as EMBED_ORACLE
+from scriptorium.plans.q_geo import ORACLE as GEO_ORACLE
 from scriptorium.plans.standins import citation_xml
 from scriptorium.session import read_table
 from scriptorium.sources.citations import records
@@ -79,11 +80,34 @@ def stream_embed_q(spark, sf_dir):
         F.col("id").alias("doc_id"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+def stream_country_counts_q(spark, sf_dir):
+    """Running country counts over metadata CSV files as they land."""
+    from pyspark.sql import types as T
+
+    from scriptorium.operators.geo import country_of, keep_affiliation
+    from scriptorium.plans.standins import affiliations
+    from scriptorium.sources.tables import read_csv_stream, write_csv
+
+    base = work_dir(spark, "countries")
+    landing = os.path.join(base, "landing")
+    meta = affiliations(read_table(spark, sf_dir, "customer")).select("ID", "Affiliations")
+    write_csv(meta.repartition(LANDING_FILES), landing)
+    schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("Affiliations", T.StringType())])
+    stream = read_csv_stream(spark, landing, schema, FILES_PER_TRIGGER)
+    labelled = (stream.where(keep_affiliation(F.col("Affiliations")))
+                .select(country_of(F.col("Affiliations")).alias("Country"))
+                .where(F.col("Country").isNotNull()))
+    table = os.path.join(base, "counts")
+    write_complete(running_counts(labelled, "Country"), table, os.path.join(base, "_checkpoint"))
+    return spark.read.parquet(table).select("Country", F.col("n").alias("Count"))
+
+
 ORACLE = {
     "citation_stream_ingest": f"WITH {_EXPECTED} SELECT * FROM expected",
     "stream_year_counts": f"WITH {_EXPECTED} SELECT pub_date, count(*) AS n FROM expected GROUP BY pub_date",
     "stream_event_dedupe": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
     "stream_embed": EMBED_ORACLE["hash_embedding"],
+    "stream_country_counts": GEO_ORACLE["country_frequency"],
 }
 
 QUERIES = {
@@ -91,4 +115,5 @@ QUERIES = {
     "stream_year_counts": stream_year_counts_q,
     "stream_event_dedupe": stream_event_dedupe_q,
     "stream_embed": stream_embed_q,
+    "stream_country_counts": stream_country_counts_q,
 }

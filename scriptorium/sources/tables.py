@@ -56,6 +56,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return na_to_null(df)
 
 
+def read_csv_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1) -> DataFrame:
+    """S3 as a stream source: same options, schema and NA handling."""
+    df = (spark.readStream.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("maxFilesPerTrigger", max_files_per_trigger).schema(schema).csv(path))
+    return na_to_null(df)
+
+
 def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("ID",)) -> DataFrame:
     """The metadata table with the columns the operators use."""
     return require_columns(read_csv(spark, path, METADATA_SCHEMA), required, "metadata")
