@@ -171,6 +171,11 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_id_lines(spark.read.text(path))
 
 
+def write_id_list(ids: DataFrame, path: str, key: str = "pmid", mode: str = "overwrite") -> None:
+    """K2: one id per line (e.g. the missing-id report)."""
+    ids.select(F.col(key).cast("string")).write.mode(mode).text(path)
+
+
 def missing_ids(requested: DataFrame, received: DataFrame, key: str = "pmid") -> DataFrame:
     """Requested ids with no record."""
     return requested.select(key).distinct().join(received.select(key), key, "left_anti")

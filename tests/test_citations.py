@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from scriptorium.sources.citations import (missing_ids, parse_id_lines, parse_raw, quarantine, read_blocks,
-                                           read_citations, records, write_blocks)
+                                           read_citations, read_id_list, records, write_blocks, write_id_list)
 
 GOOD = ('<PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article>'
         '<Journal><JournalIssue><PubDate><Year> 2021 </Year></PubDate></JournalIssue>'
@@ -84,3 +84,9 @@ def test_blocks_compat_drops_first_record(spark, tmp_path):
     assert ids == ["1", "2", "3", "4"]
     ids = sorted(r.pmid for r in read_blocks(spark, str(tmp_path), compat=True).collect())
     assert ids == ["2", "3", "4"]          # Q-B1: only a leading newline saves the first record
+
+
+def test_missing_id_file_round_trip(spark, tmp_path):
+    ids = spark.createDataFrame([("7",), ("42",)], "pmid string")
+    write_id_list(ids, str(tmp_path / "missing"))
+    assert sorted(r.pmid for r in read_id_list(spark, str(tmp_path / "missing")).collect()) == ["42", "7"]

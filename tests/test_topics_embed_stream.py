@@ -48,3 +48,31 @@ def test_stream_ingest_restart_adds_nothing(spark, sf_dir):
     ingest_citations(spark, landing, args[1], args[2], os.path.join(base, "ck2"))  # replay from scratch
     assert spark.read.parquet(args[1]).count() == n
     assert spark.read.parquet(args[1]).select("pmid").distinct().count() == n
+
+
+def test_model_hook_runs_in_batches(spark):
+    from scriptorium.operators.embed import embed, model_embedding
+
+    def _make_length_model():  # defined here so workers receive it by value
+        import numpy as np
+
+        def predict(texts):
+            # a stand-in model: [characters, words, 1.0] per text
+            return np.array([[len(t), len(t.split()), 1.0] for t in texts], dtype=np.float32)
+        return predict
+    docs = spark.createDataFrame([(i, "word " * i) for i in range(1, 121)], "id long, text string")
+    out = embed(docs, "id", "text", model_embedding(_make_length_model, dim=3, batch_size=50))
+    rows = {r.id: r.embedding for r in out.collect()}
+    assert len(rows) == 120 and rows[7] == [35.0, 7.0, 1.0]
+
+
+def test_lsh_and_pca(spark, sf_dir):
+    from scriptorium.operators.vectors import approx_knn, knn, project_2d
+    emb = read_table(spark, sf_dir, "embeddings")
+    q, b = emb.where(F.col("vec_id") % 5 == 0), emb.where(F.col("vec_id") % 5 != 0)
+    exact = knn(q, b, 5, id_col="vec_id", vec_col="embedding").select("q_id", "b_id")
+    approx = approx_knn(q, b, 5, id_col="vec_id", vec_col="embedding").select("q_id", "b_id")
+    recall = approx.join(exact, ["q_id", "b_id"]).count() / exact.count()
+    assert recall > 0.9
+    xy = project_2d(emb, "vec_id", "embedding").toPandas()
+    assert len(xy) == emb.count() and xy["x"].var() >= xy["y"].var()
