@@ -169,16 +169,27 @@ def weighted_vote(neigh: DataFrame, label_col: str = "b_label") -> DataFrame:
 
 
 def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int = fv.MAX_NEIGHBOURS,
-             block_rows: int = 2048) -> tuple[DataFrame, int, int]:
+             block_rows: int = 2048, method: str = "exact", **lsh) -> tuple[DataFrame, int, int]:
     """M7: k-NN over the split (train = base, test = queries).  Returns
-    (``id, label, prediction``, k, n_train) with k = min(k_max, n_train)."""
+    (``id, label, prediction``, k, n_train) with k = min(k_max, n_train).
+
+    ``method="exact"`` is the blocked exact search (work grows with
+    test × train); ``method="lsh"`` uses random-projection LSH, whose work
+    grows with the pairs sharing hash buckets — the choice for very large sets.
+    """
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
     n_train = train.count()
     if n_train == 0:
         raise ValueError("nothing left to train on")
     k = min(k_max, n_train)
-    neigh = knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows)
+    if method == "exact":
+        neigh = knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows)
+    elif method == "lsh":
+        neigh = (approx_knn(test, train, k, id_col=id_col, vec_col=vec_col, **lsh)
+                 .join(train.select(F.col(id_col).alias("b_id"), F.col(label_col).alias(f"b_{label_col}")), "b_id"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
     pred = weighted_vote(neigh, f"b_{label_col}")
     out = test.select(F.col(id_col), F.col(label_col)).join(pred.withColumnRenamed("q_id", id_col), id_col, "left")
     return out, k, n_train

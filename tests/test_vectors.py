@@ -120,3 +120,14 @@ def test_confusion_total_equals_test_rows(spark):
     n_test = split.where(F.col("is_test")).count()
     assert confusion(pred).agg(F.sum("n")).first()[0] == n_test == pred.count()
     assert k == 5 and n_train == 120 - n_test
+
+
+def test_lsh_classifier_agrees_with_exact(spark, sf_dir):
+    from scriptorium.operators.vectors import classify
+    from scriptorium.session import read_table
+    split = stratified_split(read_table(spark, sf_dir, "embeddings"), "label", "vec_id")
+    exact = classify(split, "vec_id", "embedding", "label")[0]
+    approx = classify(split, "vec_id", "embedding", "label", method="lsh")[0]
+    same = exact.join(approx.withColumnRenamed("prediction", "p2"), ["vec_id", "label"]) \
+        .where(F.col("prediction") == F.col("p2")).count()
+    assert same / exact.count() > 0.9
