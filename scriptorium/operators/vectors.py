@@ -74,11 +74,13 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
 
 def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec",
         group_col: str | None = None, extra_cols: list[str] | None = None,
-        exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+        exclude_self: bool = False, block_rows: int = 2048,
+        sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact Euclidean k nearest base rows of every query row (J6; J7 with
     ``group_col``).  Ties are broken by the smaller base id.
 
     Returns ``q_id, b_id, dist, b_<extra>..., rank`` with ``rank`` 1..k.
+    ``sizes`` = (base rows, query rows) when the caller already knows them.
     """
     extra = list(extra_cols or [])
     g = group_col or "_g"
@@ -88,8 +90,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
                     (F.col(group_col) if group_col else F.lit(0)).alias(g), *extra)
     if group_col is None:
         # one group: the block counts are two scalars (no join on a constant)
-        nb = max(1, -(-b.count() // block_rows))
-        nq = max(1, -(-q.count() // block_rows))
+        n_b, n_q = sizes if sizes is not None else (b.count(), q.count())
+        nb = max(1, -(-n_b // block_rows))
+        nq = max(1, -(-n_q // block_rows))
         b_blk, q_blk = F.lit(nb), F.lit(nq)
         b_sized, q_sized = b, q
     else:
@@ -179,12 +182,14 @@ def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max:
     """
     train = split.where(~F.col("is_test"))
     test = split.where(F.col("is_test"))
-    n_train = train.count()
+    sizes = {r["is_test"]: r["n"] for r in split.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_train, n_test = sizes.get(False, 0), sizes.get(True, 0)
     if n_train == 0:
         raise ValueError("nothing left to train on")
     k = min(k_max, n_train)
     if method == "exact":
-        neigh = knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows)
+        neigh = knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows,
+                    sizes=(n_train, n_test))
     elif method == "lsh":
         neigh = (approx_knn(test, train, k, id_col=id_col, vec_col=vec_col, **lsh)
                  .join(train.select(F.col(id_col).alias("b_id"), F.col(label_col).alias(f"b_{label_col}")), "b_id"))
@@ -228,11 +233,12 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     # (labels may be strings such as decades); one row per class
     counts = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
               .withColumn("_cidx", F.row_number().over(Window.orderBy(label_col)) - 1))
-    n_max = counts.agg(F.max("n_c")).first()[0]
-    small = counts.where((F.col("n_c") < n_max))
-    bad = small.where(F.col("n_c") < 2).limit(1).collect()
+    per_class = counts.select(label_col, "n_c").collect()   # one row per class
+    n_max = max(r["n_c"] for r in per_class)
+    bad = [r[label_col] for r in per_class if r["n_c"] < 2 and r["n_c"] < n_max]
     if bad:
-        raise ValueError(f"class {bad[0][label_col]!r} has a single row: no neighbour to interpolate")
+        raise ValueError(f"class {bad[0]!r} has a single row: no neighbour to interpolate")
+    small = counts.where((F.col("n_c") < n_max))
     plan = (small.withColumn("need", F.lit(n_max) - F.col("n_c"))
             .withColumn("k_c", F.least(F.lit(k_max), F.col("n_c") - 1))
             .withColumn("id_off", F.coalesce(F.sum("need").over(
