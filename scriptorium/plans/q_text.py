@@ -44,6 +44,12 @@ def forbidden_phrases_q(spark, sf_dir):
     return docs.select("doc_id", remove_forbidden_phrases(F.col("text")).alias("abstract"))
 
 
+def processed_text_q(spark, sf_dir):
+    """P11 + P12: the token list of each document joined back to text."""
+    from scriptorium.functions.text import join_tokens, topic_tokens
+    return documents(spark, sf_dir).select("doc_id", join_tokens(topic_tokens(F.col("text"))).alias("processed_text"))
+
+
 def dedupe_records_q(spark, sf_dir):
     return dedupe_exact(documents(spark, sf_dir), "text", "doc_id", ["lang", "source", "n_chars"])
 
@@ -110,6 +116,7 @@ FROM (SELECT doc_id,
              {_HEAD}[doc_id % {len(HEADINGS)} + 1]
              || replace(text, chr(10), chr(10) || {_HEAD}[(doc_id + 3) % {len(HEADINGS)} + 1]) AS text2
       FROM documents)""",
+    "processed_text": f"SELECT doc_id, array_to_string({sql_topic_tokens('text')}, ' ') AS processed_text FROM documents",
     "dedupe_records": """
 SELECT arg_min(doc_id, doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source,
        arg_min(n_chars, doc_id) AS n_chars, count(*) AS n_copies
@@ -137,6 +144,7 @@ WHERE rank <= 10""",
 
 QUERIES = {
     "forbidden_phrases": forbidden_phrases_q,
+    "processed_text": processed_text_q,
     "dedupe_records": dedupe_records_q,
     "token_stats": token_stats_q,
     "doc_term_counts": doc_term_counts_q,

@@ -131,3 +131,19 @@ def test_lsh_classifier_agrees_with_exact(spark, sf_dir):
     same = exact.join(approx.withColumnRenamed("prediction", "p2"), ["vec_id", "label"]) \
         .where(F.col("prediction") == F.col("p2")).count()
     assert same / exact.count() > 0.9
+
+
+def test_report_agrees_with_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 4, 300)
+    p = np.where(rng.random(300) < 0.6, y, rng.integers(0, 4, 300))
+    pred = spark.createDataFrame([(int(a), int(b)) for a, b in zip(y, p)], "label int, prediction int")
+    rep = {r["class"]: r for r in report(confusion(pred)).collect()}
+    ev = pred.select(F.col("label").cast("double"), F.col("prediction").cast("double"))
+    m = {name: MulticlassClassificationEvaluator(metricName=name).evaluate(ev)
+         for name in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+    assert rep["accuracy"].f1 == pytest.approx(m["accuracy"], abs=1e-6)
+    assert rep["weighted avg"].precision == pytest.approx(m["weightedPrecision"], abs=1e-6)
+    assert rep["weighted avg"].recall == pytest.approx(m["weightedRecall"], abs=1e-6)
+    assert rep["weighted avg"].f1 == pytest.approx(m["f1"], abs=1e-6)
