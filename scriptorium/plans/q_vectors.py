@@ -253,7 +253,7 @@ sc AS (SELECT q_id, b_label, sum(CASE WHEN mind = 0 THEN (CASE WHEN dist = 0 THE
 best AS (SELECT q_id, b_label AS prediction FROM (
            SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, b_label) AS r FROM sc) WHERE r = 1),
 pred AS (SELECT t.vec_id, t.label, b.prediction FROM te t LEFT JOIN best b ON b.q_id = t.vec_id)
-SELECT 'PubMedBERT' AS "Model", (SELECT count(*) FROM tr) AS "Training Size", count(*) AS "Test Size",
+SELECT '{fv.MODEL_NAME}' AS "Model", (SELECT count(*) FROM tr) AS "Training Size", count(*) AS "Test Size",
        CAST((SELECT k FROM kk) AS BIGINT) AS k,
        round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS "Accuracy",
        '{mitigation}' AS "Mitigation"
@@ -276,7 +276,7 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
                  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
                  CAST(sum(support) AS BIGINT) FROM pf""",
     "knn_run_summary": f"""WITH {_PRED}
-SELECT 'PubMedBERT' AS "Model", (SELECT count(*) FROM train) AS "Training Size", count(*) AS "Test Size",
+SELECT '{fv.MODEL_NAME}' AS "Model", (SELECT count(*) FROM train) AS "Training Size", count(*) AS "Test Size",
        CAST((SELECT k FROM kk) AS BIGINT) AS k,
        round(avg(CASE WHEN label = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS "Accuracy",
        'No Oversampling' AS "Mitigation"

@@ -90,7 +90,7 @@ SURNAMES = ["Smith", "O'Brien", "García", "Müller", "Rossi", "Nguyen", "Kowals
             "Dubois", "Tanaka", "D'Angelo", "Silva", "Ivanova", "Haddad"]
 FORENAMES = ["Ana", "John", "Li", "Marie-Claire", "Ola", "Pedro", "Sofia", "Jean's",
              "Kenji", "Fatima", "Lars"]
-JOURNALS = ['Journal of "Amyloid" Research', "Neuro'Science Letters", "Acta Biochimica",
+JOURNALS = ['Journal of "Protein" Research', "Neuro'Science Letters", "Acta Biochimica",
             "Protein Science", "Cell Reports"]
 SECTION_HEADINGS = ["BACKGROUND: ", "<strong>BACKGROUND</strong> ", "Results: ",
                     "[Image: see text] ", "• ", ""]

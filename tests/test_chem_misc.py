@@ -4,26 +4,26 @@
 from scriptorium.operators.chem import cache_frame, cache_misses, mention_summary, mentions
 from scriptorium.session import widen
 
-LEX = ["amyloid", "amyloid beta", "beta sheet", "tau", "amyloid beta peptide"]
-CACHE = [("tau", "C1", "tau protein", "CHEBI:23431"), ("amyloid beta peptide", None, None, None)]
+LEX = ["collagen", "collagen beta", "beta sheet", "tau", "collagen beta peptide"]
+CACHE = [("tau", "C1", "tau protein", "CHEBI:23431"), ("collagen beta peptide", None, None, None)]
 
 
 def test_overlaps_and_counts(spark):
-    docs = spark.createDataFrame([(1, "Amyloid beta peptide forms a beta sheet; tau, TAU and amyloid."),
+    docs = spark.createDataFrame([(1, "Collagen beta peptide forms a beta sheet; tau, TAU and collagen."),
                                   (2, "nothing here")], "id long, text string")
     got = sorted((r.id, r.pos, r.term) for r in mentions(docs, "id", "text", LEX).collect())
-    # tokens: amyloid(1) beta(2) peptide(3) forms(4) a(5) beta(6) sheet(7) tau(8) tau(9) and(10) amyloid(11)
-    # the longest term at position 1 wins; 'amyloid beta' and 'amyloid' at 1 are dropped
-    assert got == [(1, 1, "amyloid beta peptide"), (1, 6, "beta sheet"), (1, 8, "tau"), (1, 9, "tau"),
-                   (1, 11, "amyloid")]
+    # tokens: collagen(1) beta(2) peptide(3) forms(4) a(5) beta(6) sheet(7) tau(8) tau(9) and(10) collagen(11)
+    # the longest term at position 1 wins; 'collagen beta' and 'collagen' at 1 are dropped
+    assert got == [(1, 1, "collagen beta peptide"), (1, 6, "beta sheet"), (1, 8, "tau"), (1, 9, "tau"),
+                   (1, 11, "collagen")]
     summary = {r.Term: r for r in mention_summary(mentions(docs, "id", "text", LEX),
                                                    cache_frame(spark, CACHE), "id").collect()}
     assert summary["tau"].Frequency == 2 and summary["tau"]["ChEBI Class Name"] == "Analgesic"
     assert summary["tau"]["PubChem Info"] == '{"molecular_formula": "C1", "iupac_name": "tau protein"}'
-    assert summary["amyloid"]["PubChem Info"] == '{"molecular_formula": "N/A", "iupac_name": "N/A"}'
-    assert summary["amyloid"]["ChEBI Class Name"] == "Unknown Class"
+    assert summary["collagen"]["PubChem Info"] == '{"molecular_formula": "N/A", "iupac_name": "N/A"}'
+    assert summary["collagen"]["ChEBI Class Name"] == "Unknown Class"
     misses = {r.term for r in cache_misses(mentions(docs, "id", "text", LEX), cache_frame(spark, CACHE)).collect()}
-    assert misses == {"amyloid", "beta sheet"}
+    assert misses == {"collagen", "beta sheet"}
 
 
 def test_no_mentions_gives_empty_table(spark):

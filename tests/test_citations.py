@@ -8,7 +8,7 @@ from scriptorium.sources.citations import (missing_ids, parse_id_lines, parse_ra
 GOOD = ('<PubmedArticle><MedlineCitation><PMID Version="1">11</PMID><Article>'
         '<Journal><JournalIssue><PubDate><Year> 2021 </Year></PubDate></JournalIssue>'
         "<Title>J. O'Neil \"Chem\"</Title></Journal>"
-        "<ArticleTitle>  Tau &amp; <i>amyloid</i> </ArticleTitle>"
+        "<ArticleTitle>  Tau &amp; <i>keratin</i> </ArticleTitle>"
         '<Abstract><AbstractText Label="B">BACKGROUND: p &lt; 0.05 for H<sub>2</sub>O</AbstractText>'
         "<AbstractText><b>Results</b> were clear.</AbstractText><AbstractText>  </AbstractText></Abstract>"
         "<AuthorList><Author><LastName>O'Brien</LastName><ForeName>Ann</ForeName></Author>"
@@ -27,7 +27,7 @@ def test_good_record(spark):
     r = records(parse(spark, [GOOD])).first().asDict()
     assert r == {
         "pmid": "11",
-        "title": "Tau & amyloid",
+        "title": "Tau & keratin",
         "authors": "OBrien, Ann; No Name",
         "abstract": "p < 0.05 for H2O Results were clear.",
         "journal": "J. ONeil Chem",
@@ -65,7 +65,7 @@ def test_files_blocks_roundtrip(spark, tmp_path):
     back = read_blocks(spark, str(tmp_path / "blocks"))
     assert sorted(r.pmid for r in back.collect()) == ["11", "13"]
     row = back.where(F.col("pmid") == "11").first()
-    assert row.title == "Tau & amyloid" and row.pub_date == "2021"
+    assert row.title == "Tau & keratin" and row.pub_date == "2021"
 
 
 def test_id_lines_and_missing(spark):

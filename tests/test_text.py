@@ -22,7 +22,7 @@ def test_clean_text(spark):
 
 def test_forbidden_phrases(spark):
     f = remove_forbidden_phrases
-    assert one(spark, "BACKGROUND: Amyloid beta", f) == "Amyloid beta"
+    assert one(spark, "BACKGROUND: Keratin beta", f) == "Keratin beta"
     assert one(spark, "background: x", f) == "x"                      # case-insensitive
     assert one(spark, "Materials and methods: x", f) == "Materials and x"  # Q-P6
     assert one(spark, "<b>RESULTS:</b> y", f) == "y"
@@ -33,7 +33,7 @@ def test_forbidden_phrases(spark):
 
 
 def test_topic_tokens(spark):
-    text = "The beta-amyloid IL-6 of Alzheimer's disease, (plaques) 3.5 and 42 x"
+    text = "The beta-keratin IL-6 of Alzheimer's disease, (plaques) 3.5 and 42 x"
     toks = one(spark, text, lambda c: vectorizer_terms(topic_tokens(c)))
     # inner punctuation drops the token (Q-T1); stop words and 1-char terms go
     assert toks == ["alzheimer", "disease", "plaques", "42"]

@@ -22,7 +22,7 @@ def test_topic_table_invariants(spark, sf_dir):
 
 
 def test_hash_embedding_unit_length(spark):
-    df = spark.createDataFrame([("Amyloid beta plaques",), ("",)], "t string")
+    df = spark.createDataFrame([("Keratin beta plaques",), ("",)], "t string")
     v = [r[0] for r in df.select(hash_embedding(F.col("t"))).collect()]
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-9 and set(v[1]) == {0.0}
 
