@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import word_pieces
+from scriptorium.session import materialize
 from scriptorium.sources.tables import CACHE_SCHEMA
 
 def lexicon_frame(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
@@ -89,6 +90,26 @@ def cache_frame(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(list(rows), CACHE_SCHEMA)
 
 
+def cache_hits(per_term: DataFrame, cache: DataFrame) -> DataFrame:
+    """Cache rows for the mentioned terms.  ``per_term`` holds at most one
+    row per lexicon term (a fixed list), so it is the broadcast side and the
+    cache, however large, is only streamed past it once; the hits (bounded
+    the same way) are written once because two branches read them."""
+    return materialize(cache.join(F.broadcast(per_term.select("term")), "term"))
+
+
+def lookup(per_term: DataFrame, cache: DataFrame) -> DataFrame:
+    """J4 as a left outer join of the bounded ``per_term`` table with the
+    cache, built from an inner broadcast join (hits) plus the terms without
+    a hit; a plain outer join could not broadcast the preserved small side."""
+    hits = cache_hits(per_term, cache)
+    found = per_term.join(F.broadcast(hits), "term")
+    missing = (per_term.join(F.broadcast(hits.select("term")), "term", "left_anti")
+               .select(*per_term.columns, *[F.lit(None).cast(f.dataType).alias(f.name)
+                                            for f in cache.schema.fields if f.name != "term"]))
+    return found.unionByName(missing)
+
+
 def mention_summary(ment: DataFrame, cache: DataFrame, id_col: str) -> DataFrame:
     """A2 (after J4, J5): ``Term, Entity Type, ChEBI Class, ChEBI Class Name,
     PubChem Info, Frequency``; one row per distinct term.
@@ -98,9 +119,7 @@ def mention_summary(ment: DataFrame, cache: DataFrame, id_col: str) -> DataFrame
     distinct terms.
     """
     per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("Frequency"))
-    # per_term has at most one row per lexicon term (a fixed list): it is the
-    # broadcast side, and the cache, however large, is only streamed past it
-    joined = cache.join(F.broadcast(per_term), "term", "right")
+    joined = lookup(per_term, cache)
     hit = F.col("molecular_formula").isNotNull() | F.col("iupac_name").isNotNull() | \
         F.col("chebi_class").isNotNull()
     na = F.lit(fv.NOT_AVAILABLE)
@@ -130,8 +149,5 @@ def treemap(summary: DataFrame) -> DataFrame:
 def cache_misses(ment: DataFrame, cache: DataFrame) -> DataFrame:
     """K6: distinct mention terms the cache cannot answer (to be looked up)."""
     per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"))
-    # an anti-join would have to build the cache side; the right outer join
-    # builds the bounded per-term side and keeps terms without a cache row
-    held = cache.select("term", F.lit(True).alias("_held"))
-    return (held.join(F.broadcast(per_term), "term", "right")
-            .where(F.col("_held").isNull()).select("term", "n_mentions"))
+    hits = cache_hits(per_term, cache)
+    return per_term.join(F.broadcast(hits.select("term")), "term", "left_anti")
