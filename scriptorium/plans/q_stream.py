@@ -94,12 +94,16 @@ def stream_country_counts_q(spark, sf_dir):
     write_csv(meta.repartition(LANDING_FILES), landing)
     schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("Affiliations", T.StringType())])
     stream = read_csv_stream(spark, landing, schema, FILES_PER_TRIGGER)
-    labelled = (stream.where(keep_affiliation(F.col("Affiliations")))
-                .select(country_of(F.col("Affiliations")).alias("Country"))
-                .where(F.col("Country").isNotNull()))
+    # as in the batch plan, the stream keeps counts per distinct affiliation
+    # string (state bounded by the distinct strings); the 354-rule lookup runs
+    # on that small table, not on every arriving row
+    kept = stream.where(keep_affiliation(F.col("Affiliations")))
     table = os.path.join(base, "counts")
-    write_complete(running_counts(labelled, "Country"), table, os.path.join(base, "_checkpoint"))
-    return spark.read.parquet(table).select("Country", F.col("n").alias("Count"))
+    write_complete(running_counts(kept, "Affiliations"), table, os.path.join(base, "_checkpoint"))
+    per_string = spark.read.parquet(table)
+    labelled = per_string.select(country_of(F.col("Affiliations")).alias("Country"), "n")
+    return (labelled.where(F.col("Country").isNotNull())
+            .groupBy("Country").agg(F.sum("n").alias("Count")))
 
 
 ORACLE = {
