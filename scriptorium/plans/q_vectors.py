@@ -9,6 +9,7 @@ from scriptorium.operators.evaluate import confusion, report, run_summary
 from scriptorium.operators.vectors import classify, knn, oversample, smote, smote_classify, stratified_split
 from scriptorium.plans.standins import SQL_PUBLICATION_DATES, SQL_YEAR
 from scriptorium.session import read_table, widen
+from scriptorium.sources.tables import require_unique
 
 NO_OVERSAMPLING = "No Oversampling"
 
@@ -19,8 +20,9 @@ def embeddings(spark, sf_dir):
 
 def aligned(spark, sf_dir):
     """Embeddings ⋈ labels on the key; class = quality*2 + toxic."""
-    emb = embeddings(spark, sf_dir)
-    lab = read_table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
+    emb = require_unique(embeddings(spark, sf_dir), "vec_id", "embeddings")
+    lab = require_unique(read_table(spark, sf_dir, "labels"), "doc_id", "labels")
+    lab = lab.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     return emb.join(lab, emb.vec_id == lab.doc_id).select(
         "vec_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"), "embedding")
 
@@ -31,8 +33,8 @@ def aligned_decades(spark, sf_dir):
     (P9, P10)."""
     from scriptorium.functions.dates import label_or_decade, pub_year
     from scriptorium.plans.standins import publication_dates
-    emb = embeddings(spark, sf_dir)
-    pubs = publication_dates(read_table(spark, sf_dir, "orders"))
+    emb = require_unique(embeddings(spark, sf_dir), "vec_id", "embeddings")
+    pubs = require_unique(publication_dates(read_table(spark, sf_dir, "orders")), "ID", "metadata")
     year = pub_year(F.col("Publication_Date"))
     return (emb.join(pubs, emb.vec_id == pubs.ID)
             .select("vec_id", year.alias("year"), "embedding")

@@ -34,6 +34,15 @@ def require_columns(df: DataFrame, cols: Iterable[str], what: str = "input") ->
     return df
 
 
+def require_unique(df: DataFrame, key: str, what: str = "input") -> DataFrame:
+    """Q-K6: fail if a key appears twice (only the key column is shuffled;
+    the check stops at the first duplicate found)."""
+    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"{what} has duplicate {key} {dup[0][key]!r}: one row per id is required")
+    return df
+
+
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     """fail if ``df`` is empty (reads at most one row)."""
     if not df.limit(1).collect():

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.sources.tables import (append_cache, read_cache, read_metadata, read_wide_embeddings,
-                                        require_columns, require_rows)
+                                        require_columns, require_rows, require_unique)
 
 
 def test_metadata_csv_with_na_tokens(spark, tmp_path):
@@ -50,3 +50,10 @@ def test_csv_sink_and_raw_landing(spark, tmp_path):
     raw = spark.createDataFrame([(0, "<x/>"), (1, "<y/>")], "batch int, payload string")
     land_raw(raw, str(tmp_path / "raw"))
     assert sorted(p.name for p in (tmp_path / "raw").iterdir() if p.name.startswith("batch=")) == ["batch=0", "batch=1"]
+
+
+def test_duplicate_ids_are_refused(spark):
+    ok = spark.createDataFrame([(1,), (2,)], "ID long")
+    assert require_unique(ok, "ID") is ok
+    with pytest.raises(ValueError, match="duplicate ID 2"):
+        require_unique(spark.createDataFrame([(1,), (2,), (2,)], "ID long"), "ID")
