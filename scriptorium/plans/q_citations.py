@@ -80,13 +80,14 @@ expected AS (
          CASE WHEN doc_id % 11 = 5 THEN 'No Date' ELSE CAST(1990 + doc_id % 36 AS VARCHAR) END AS pub_date
   FROM parts)"""
 
+_BLOCK_SQL = """'Abstract #' || pmid || chr(10) || 'Title: ' || title || chr(10) || 'Authors: ' || authors || chr(10)
+       || 'Abstract: ' || abstract || chr(10) || 'Journal: ' || journal || chr(10)
+       || 'Publication Date: ' || pub_date || chr(10)"""
+
 ORACLE = {
     "citation_parse": f"WITH {_EXPECTED} SELECT * FROM expected",
     "citation_export": f"""WITH {_EXPECTED}
-SELECT pmid, 'Abstract #' || pmid || chr(10) || 'Title: ' || title || chr(10) || 'Authors: ' || authors || chr(10)
-       || 'Abstract: ' || abstract || chr(10) || 'Journal: ' || journal || chr(10)
-       || 'Publication Date: ' || pub_date || chr(10) AS block
-FROM expected""",
+SELECT pmid, {_BLOCK_SQL} AS block FROM expected""",
     "author_frequency": f"""WITH {_EXPECTED}
 SELECT author, count(*) AS n FROM (SELECT trim(unnest(string_split(authors, '; '))) AS author FROM expected
                                    WHERE authors <> 'No Authors')

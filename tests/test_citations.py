@@ -90,3 +90,13 @@ def test_missing_id_file_round_trip(spark, tmp_path):
     ids = spark.createDataFrame([("7",), ("42",)], "pmid string")
     write_id_list(ids, str(tmp_path / "missing"))
     assert sorted(r.pmid for r in read_id_list(spark, str(tmp_path / "missing")).collect()) == ["42", "7"]
+
+
+def test_quotes_kept_in_title_and_abstract_and_other_dates(spark):
+    raw = ("<PubmedArticle><MedlineCitation><PMID>5</PMID><Article><Journal><JournalIssue><PubDate>"
+           "<MedlineDate>2019 Winter</MedlineDate></PubDate></JournalIssue><Title>\"J\"</Title></Journal>"
+           "<ArticleTitle>The \"quoted\" one's title</ArticleTitle>"
+           "<Abstract><AbstractText>It's \"here\"</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>")
+    r = records(parse(spark, [raw])).first()
+    assert r.title == 'The "quoted" one\'s title' and r.abstract == 'It\'s "here"'   # Q-P3
+    assert r.journal == "J" and r.pub_date == "No Date"                              # Q-P4
