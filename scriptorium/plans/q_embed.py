@@ -34,7 +34,7 @@ emb_vecs AS (
   SELECT eid, list_transform(range({_D}), lambda d: list_sum(list_transform(f, lambda x: CASE WHEN x.b = d THEN x.s ELSE 0.0::DOUBLE END))) AS v
   FROM emb_feats)
 SELECT eid AS {out_id},
-       list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-300), 6))
+       list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-300), 6) + 0.0)
        AS embedding
 FROM emb_vecs"""
 

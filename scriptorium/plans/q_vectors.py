@@ -294,7 +294,7 @@ SELECT (SELECT count(*) FROM embeddings) AS n_embeddings,
        (SELECT count(DISTINCT doc_id) FROM labels) AS n_metadata_ids,
        (SELECT count(*) FROM (SELECT vec_id FROM embeddings INTERSECT SELECT doc_id FROM labels)) AS n_common""",
     "smote_points": f"""WITH {_SMOTE}
-SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 6)) AS embedding, base_id, neighbour_id,
+SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 6) + 0.0) AS embedding, base_id, neighbour_id,
        round(u, 6) AS u FROM syn""",
     "smote_counts": f"""WITH {_ALIGNED},
 cnt AS (SELECT cls, count(*) AS n_c FROM al GROUP BY cls)
