@@ -33,7 +33,7 @@ def citation_stream_ingest_q(spark, sf_dir):
     base, landing = _land_citations(spark, sf_dir)
     table = os.path.join(base, "records")
     ingest_citations(spark, landing, table, os.path.join(base, "quarantine"), os.path.join(base, "_checkpoint"),
-                     max_files_per_trigger=FILES_PER_TRIGGER)
+                     max_files_per_trigger=FILES_PER_TRIGGER, raw_table=os.path.join(base, "raw"))
     return spark.read.parquet(table).drop("epoch")
 
 

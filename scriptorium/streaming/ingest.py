@@ -45,14 +45,17 @@ def write_epoch(df: DataFrame, table: str, epoch: int) -> None:
 
 
 def ingest_citations(spark: SparkSession, landing: str, table: str, bad_table: str, checkpoint: str,
-                     max_files_per_trigger: int = 1) -> None:
-    """Land parsed records (and quarantined ones) batch by batch."""
+                     max_files_per_trigger: int = 1, raw_table: str | None = None) -> None:
+    """Land parsed records (and quarantined ones) batch by batch; with
+    ``raw_table`` also keep each batch's raw records (K3)."""
     def write(batch: DataFrame, epoch: int) -> None:
-        # two sinks read the same parsed batch: parse it once
+        # several sinks read the same parsed batch: parse it once
         batch.persist()
         try:
             write_epoch(records(batch), table, epoch)
             write_epoch(quarantine(batch), bad_table, epoch)
+            if raw_table is not None:
+                write_epoch(batch.select("raw"), raw_table, epoch)
         finally:
             batch.unpersist()
 

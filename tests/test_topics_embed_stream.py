@@ -47,8 +47,10 @@ def test_stream_ingest_restart_adds_nothing(spark, sf_dir):
     landing = os.path.join(base, "landing")
     citation_xml(read_table(spark, sf_dir, "documents")).select("raw").repartition(3).write.text(landing)
     args = (landing, os.path.join(base, "t"), os.path.join(base, "q"), os.path.join(base, "ck"))
-    ingest_citations(spark, *args)
+    ingest_citations(spark, *args, raw_table=os.path.join(base, "raw"))
     n = spark.read.parquet(args[1]).count()
+    raw = spark.read.parquet(os.path.join(base, "raw"))          # K3: raw records kept per batch
+    assert raw.count() == n + spark.read.parquet(args[2]).count() and "epoch" in raw.columns
     ingest_citations(spark, *args)        # same checkpoint: nothing new
     ingest_citations(spark, landing, args[1], args[2], os.path.join(base, "ck2"))  # replay from scratch
     assert spark.read.parquet(args[1]).count() == n
