@@ -136,7 +136,11 @@ def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
 
     The defaults suit unit-length vectors (all distances ≤ 2): on the fixture
     embeddings they find 99.7 % of the exact 5 nearest neighbours.  A
-    threshold above the largest distance would pair nearly everything."""
+    threshold above the largest distance would pair nearly everything.
+    MLlib pairs every query and base row sharing a bucket, so a very dense
+    region (one bucket holding a large share of the rows) costs quadratic
+    work in that bucket: a smaller ``bucket_length`` with more tables keeps
+    buckets small at a similar recall."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
