@@ -83,3 +83,23 @@ def test_lsh_and_pca(spark, sf_dir):
     assert recall > 0.9
     xy = project_2d(emb, "vec_id", "embedding").toPandas()
     assert len(xy) == emb.count() and xy["x"].var() >= xy["y"].var()
+
+
+def test_watermark_dedupe_drops_repeats(spark):
+    import datetime as dt
+    from scriptorium.streaming.ingest import dedupe_within_watermark, running_counts, write_complete
+    base = work_dir(spark, "dedupe-test")
+    landing = os.path.join(base, "landing")
+    t0 = dt.datetime(2024, 1, 1, 12, 0)
+    schema = "event_id long, ts timestamp_ntz, event_type string"
+    first = [(1, t0, "click"), (2, t0 + dt.timedelta(minutes=1), "view"), (3, t0 + dt.timedelta(minutes=2), "click")]
+    second = [(1, t0 + dt.timedelta(minutes=10), "click"),   # repeat within the watermark delay
+              (4, t0 + dt.timedelta(minutes=11), "view")]
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(landing)
+    spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    counts = running_counts(dedupe_within_watermark(stream, ["event_id"], "ts", "1 hour"), "event_type")
+    table = os.path.join(base, "counts")
+    write_complete(counts, table, os.path.join(base, "ck"))
+    got = {r.event_type: r.n for r in spark.read.parquet(table).collect()}
+    assert got == {"click": 2, "view": 2}
