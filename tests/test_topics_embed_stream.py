@@ -103,3 +103,12 @@ def test_watermark_dedupe_drops_repeats(spark):
     write_complete(counts, table, os.path.join(base, "ck"))
     got = {r.event_type: r.n for r in spark.read.parquet(table).collect()}
     assert got == {"click": 2, "view": 2}
+
+
+def test_empty_document_gets_uniform_topics(spark, sf_dir):
+    from scriptorium.operators.topics import topic_shares
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").limit(60) \
+        .unionByName(spark.createDataFrame([(-1, "the and of ,"), (-2, "")], "doc_id long, text string"))
+    fit = fit_topics(docs, "doc_id", "text", max_iter=2)
+    shares = {r.id: r.shares for r in topic_shares(fit).where(F.col("id") < 0).collect()}
+    assert shares == {-1: [0.2] * 5, -2: [0.2] * 5}     # M3: no terms → uniform mixture
