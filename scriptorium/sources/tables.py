@@ -58,23 +58,57 @@ def na_to_null(df: DataFrame, cols: Sequence[str] | None = None,
                        if c in cols else F.col(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """S3: header CSV, explicit schema, quoted multi-line fields, NA → null."""
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the header line (reads only the first line)."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             required: Sequence[str] = ()) -> DataFrame:
+    """S3: header CSV with quoted multi-line fields; NA tokens → null.
+
+    Columns are matched to ``schema`` by *name* (Spark's CSV reader would
+    apply a given schema by position): the file's own columns are read with
+    the types the schema gives them (string otherwise), then the schema's
+    columns are selected, absent optional ones as null.  ``required``
+    columns must be present in the file (P13).
+    """
+    head = csv_header(spark, path)
+    require_columns_list(head, required, path)
+    wanted = {f.name: f.dataType for f in schema.fields}
+    file_schema = T.StructType([T.StructField(c, wanted.get(c, T.StringType()), True) for c in head])
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").schema(schema).csv(path))
-    return na_to_null(df)
+          .option("mode", "PERMISSIVE").schema(file_schema).csv(path))
+    df = na_to_null(df)
+    return df.select(*[F.col(f"`{f.name}`") if f.name in head else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
-def read_csv_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1) -> DataFrame:
-    """S3 as a stream source: same options, schema and NA handling."""
+def require_columns_list(columns: Sequence[str], required: Sequence[str], what: str) -> None:
+    missing = [c for c in required if c not in columns]
+    if missing:
+        raise ValueError(f"{what} lacks required column(s): {', '.join(missing)}")
+
+
+def read_csv_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 1,
+                    required: Sequence[str] = ()) -> DataFrame:
+    """S3 as a stream source: same options and NA handling, columns matched
+    by name against the header of the files already landed."""
+    head = csv_header(spark, path)
+    require_columns_list(head, required, path)
+    wanted = {f.name: f.dataType for f in schema.fields}
+    file_schema = T.StructType([T.StructField(c, wanted.get(c, T.StringType()), True) for c in head])
     df = (spark.readStream.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("maxFilesPerTrigger", max_files_per_trigger).schema(schema).csv(path))
-    return na_to_null(df)
+          .option("maxFilesPerTrigger", max_files_per_trigger).schema(file_schema).csv(path))
+    df = na_to_null(df)
+    return df.select(*[F.col(f"`{f.name}`") if f.name in head else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("ID",)) -> DataFrame:
-    """The metadata table with the columns the operators use."""
-    return require_columns(read_csv(spark, path, METADATA_SCHEMA), required, "metadata")
+    """The metadata table with the columns the operators use (matched by
+    name; ``required`` ones must be in the file)."""
+    return read_csv(spark, path, METADATA_SCHEMA, required)
 
 
 def read_wide_embeddings(spark: SparkSession, path: str, id_col: str = "ID") -> DataFrame:
@@ -91,8 +125,9 @@ def read_wide_embeddings(spark: SparkSession, path: str, id_col: str = "ID") ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K4: header CSV, no index column."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """K4: header CSV, no index column; quotes inside fields are doubled
+    (RFC 4180, as the reader above and common CSV tools expect)."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def land_raw(df: DataFrame, path: str, batch_col: str = "batch", mode: str = "append") -> None:

@@ -57,3 +57,13 @@ def test_duplicate_ids_are_refused(spark):
     assert require_unique(ok, "ID") is ok
     with pytest.raises(ValueError, match="duplicate ID 2"):
         require_unique(spark.createDataFrame([(1,), (2,), (2,)], "ID long"), "ID")
+
+
+def test_csv_columns_matched_by_name(spark, tmp_path):
+    p = tmp_path / "meta.csv"
+    p.write_text("Affiliations,extra,ID\n\"Rome, Italy\",x,5\n")
+    df = read_metadata(spark, str(p), required=["ID", "Affiliations"])
+    row = df.first()
+    assert row.ID == 5 and row.Affiliations == "Rome, Italy" and row.Abstract is None
+    with pytest.raises(ValueError, match="Abstract"):
+        read_metadata(spark, str(p), required=["ID", "Abstract"])
