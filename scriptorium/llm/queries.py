@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import common, html_extract, mixing, pieces, quality, secrets, urlfilter
+from scriptorium.llm import common, fingerprint, html_extract, mixing, pieces, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scan": lambda s, d: secrets.report(common.table(s, d, "documents")),
     "op2_sentencepiece": lambda s, d: pieces.report(common.table(s, d, "documents")),
+    "op3_fingerprint": lambda s, d: fingerprint.against_next(common.table(s, d, "documents")),
     "op4_quality_rules": lambda s, d: quality.report(common.table(s, d, "documents")),
     "op5_source_mix": lambda s, d: mixing.report(common.table(s, d, "documents")),
     "op6_html_extract": lambda s, d: html_extract.report(common.table(s, d, "pages")),
