@@ -49,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def word_list(text: Column) -> Column:
     """Words of a text as an array; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def word_count(text: Column) -> Column:

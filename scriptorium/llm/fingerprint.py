@@ -1,13 +1,18 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A text's terms are its words; a term weighs its count times the square of its
-length less one (at least 1), so that frequent short words count little.  For
-each of ``SAMPLES`` draws every term gets two gamma(2, 1) numbers and a uniform
-one from its hash: with r, c and b, t = floor(ln(w) / r + b) and
-ln a = ln c - r (t + 1 - b).  The draw picks the term with the least a; two
-texts pick the same (term, t) with probability equal to their generalised
-Jaccard similarity.  The least a itself stands for the pick, since it depends on
-nothing else; sixteen bits of its hash make four digits of the fingerprint.
+length less one (at least 1), so that frequent short words count little.  In a
+draw a term has two gamma(2, 1) numbers r and c and a uniform one b, all from
+its hash: with weight w, t = floor(ln(w) / r + b) and
+ln a = ln c - r (t + 1 - b).  The term with the least a is picked; two texts pick
+the same (term, t) with probability equal to their generalised Jaccard
+similarity.  The least a itself stands for the pick, since it depends on nothing
+else; sixteen bits of its hash make four digits of the fingerprint.
+
+Draws are made by bins: in each of ``ROUNDS`` rounds a term's hash sends it to
+one of ``BINS`` bins, each of which is one draw among its terms, so a term is
+sampled ``ROUNDS`` times for ``ROUNDS * BINS`` digits.  A bin without terms
+borrows the digits of the next one with terms in its round.
 
 Plan of ``against_next``: documents go by blocks of adjacent ids to the tasks,
 once; each block also gets the first document of the next block, so that
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import common
 from scriptorium.operators.indexing import consecutive_index
 
-SAMPLES = 64
+ROUNDS, BINS = 4, 16
 BLOCK_IDS = 256
 MAX_BLOCKS = 1_000_000
 
@@ -64,21 +69,15 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) / F.lit(float(1 << width))
 
 
-def log_a(h: Column, lnw: Column, draw: int) -> Column:
-    """ln a of a term in one draw."""
-    x = F.xxhash64(h, F.lit(draw))
+def log_a(x: Column, lnw: Column) -> Column:
+    """ln a of a term in one round, ``x`` its hash there (whose lowest bits chose the bin)."""
     y = F.xxhash64(x)
-    r = -F.ln(_uniform(x, 0, 21) * _uniform(x, 21, 21))
-    b = _uniform(x, 42, 22)
+    r = -F.ln(_uniform(x, 4, 20) * _uniform(x, 24, 20))
+    b = _uniform(x, 44, 20)
     c = -F.ln(_uniform(y, 0, 32) * _uniform(y, 32, 32))
     return F.ln(c) - r * (F.floor(lnw / r + b) + 1 - b)
 
 
-def codes(samples: list[Column]) -> Column:
-    """Sixteen bits of each draw's pick."""
-    return F.array(*[F.xxhash64(s).bitwiseAND(F.lit(0xFFFF)).cast("int") for s in samples])
-
-
 def render(code: Column) -> Column:
     return F.array_join(F.transform(code, lambda c: F.lpad(F.lower(F.hex(c)), 4, "0")), "")
 
@@ -89,19 +88,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(equal, F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def _sampled(df: DataFrame, keys: list[str], carry: list[str], samples: int) -> DataFrame:
-    """Draws of every group of (h, n) rows by ``keys``; rows with a null h only keep their group."""
-    weighed = df.withColumn("lnw", log_weight(F.col("h"), F.col("n")))
-    least = [F.min(log_a(F.col("h"), F.col("lnw"), k)).alias(f"m{k}") for k in range(samples)]
-    done = weighed.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carry], *least)
-    return done.select(*keys, *carry, codes([F.col(f"m{k}") for k in range(samples)]).alias("codes"))
+def _codes(found: Column, text: int) -> Column:
+    """The digits of one text from its sorted (k, code) pairs; a bin without pair takes the next of its round."""
+    def of_round(g: int) -> Column:
+        low = text * ROUNDS * BINS + g * BINS
+        inside = F.filter(found, lambda e: (e["k"] >= low) & (e["k"] < low + BINS))
+        return common.bound(inside, lambda e: F.when(F.size(e) == BINS, F.transform(e, lambda x: x["code"])).otherwise(
+            F.transform(F.sequence(F.lit(low), F.lit(low + BINS - 1)), lambda k: F.coalesce(
+                F.get(F.filter(e, lambda x: x["k"] >= k), F.lit(0))["code"], F.get(e, F.lit(0))["code"], F.lit(0)))))
+    return F.flatten(F.array(*[of_round(g) for g in range(ROUNDS)]))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """One row per row: doc_id and fingerprint."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    spread = rows.select("doc_id", "row", F.inline_outer("terms"))
-    return _sampled(spread, ["row"], ["doc_id"], samples).select("doc_id", render(F.col("codes")).alias("fingerprint"))
+def draw(df: DataFrame, keys: list[str], texts: list[str], carry: list[str]) -> DataFrame:
+    """Rows (keys, carry as long, codes0, codes1 ...): the digits of several texts a row.
+
+    ``keys`` name a row.  Where ``df`` is distributed by one of them, no row
+    moves.  The carried values travel as pairs of their own beside the picks,
+    so that only two numbers are kept for a pair.
+    """
+    marks, slots = 1 << 20, ROUNDS * BINS
+    pair = "array<struct<k:int,h:bigint,n:int,v:bigint>>"
+    own = F.array(*[F.struct(F.lit(marks + j).alias("k"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), F.col(c).cast("long").alias("v"))
+                    for j, c in enumerate(carry)])
+    of_text = lambda i: F.transform(terms(F.col(texts[i])), lambda x: F.struct(F.lit(i * slots).alias("k"), x["h"].alias("h"), x["n"].alias("n"), F.lit(None).cast("long").alias("v")))
+    spread = df.select(*keys, F.inline(F.concat(own.cast(pair), *[of_text(i).cast(pair) for i in range(len(texts))])))
+    rounds = F.when(F.col("k") >= marks, F.array(F.lit(0))).otherwise(F.array(*[F.lit(g) for g in range(ROUNDS)]))
+    weighed = spread.select(*keys, "k", "h", "v", log_weight(F.col("h"), F.col("n")).alias("lnw"), F.explode(rounds).alias("g"))
+    hashed = weighed.select(*keys, "k", "v", "lnw", "g", F.when(F.col("h").isNotNull(), F.xxhash64("h", "g")).alias("x"))
+    bin_of = F.col("k") + F.coalesce(F.col("g") * BINS + F.col("x").bitwiseAND(F.lit(BINS - 1)).cast("int"), F.lit(0))
+    picks = hashed.select(*keys, bin_of.alias("k"), "v", log_a(F.col("x"), F.col("lnw")).alias("a")).groupBy(*keys, "k").agg(F.min("a").alias("a"), F.min("v").alias("v"))
+    code = F.xxhash64("a").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    found = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", code.alias("code"), "v"))).alias("found"))
+    marked = F.filter("found", lambda e: e["k"] >= marks)
+    held = found.select(*keys, "found", marked.alias("marked"))
+    return held.select(*keys, *[F.get("marked", F.lit(j))["v"].alias(c) for j, c in enumerate(carry)],
+                       *[_codes(F.col("found"), i).alias(f"codes{i}") for i in range(len(texts))])
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: doc_id (long) and fingerprint."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return draw(rows, ["row"], ["text"], ["doc_id"]).select("doc_id", render(F.col("codes0")).alias("fingerprint"))
 
 
 def in_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -122,7 +149,7 @@ def in_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return placed.select("ord", "doc_id", "text", F.inline(F.filter(seats, lambda s: s["block"].isNotNull())))
 
 
-def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
+def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint each text and its edited form, whose second half gives way to the next text's start.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -135,18 +162,12 @@ def against_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
     both = met.select("block", "pos", "halo", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    # the digest as four numbers, so that it passes through the aggregation in fixed width
+    # the digest as four numbers, so that it is carried in fixed width
     digest = F.sha2("edited", 256)
     words = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
-    tagged = lambda c, w: F.transform(c, lambda x: F.struct(F.lit(w).alias("which"), x["h"].alias("h"), x["n"].alias("n")))
-    seats = F.array(*[F.struct(F.lit(w).alias("which"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n")) for w in (0, 1)])
-    spread = both.select("block", "pos", "halo", "doc_id", "n_chars", *words,
-                         F.inline(F.concat(seats, tagged(terms(F.col("text")), 0), tagged(terms(F.col("edited")), 1))))
-    drawn = _sampled(spread, ["block", "pos", "which"], ["halo", "doc_id", "n_chars", "d0", "d1", "d2", "d3"], samples)
-    along = Window.partitionBy("block").orderBy("pos", "which")
-    beside = drawn.select("*", F.lead("codes", 1).over(along).alias("edited_codes"), F.lead("codes", 2).over(along).alias("next_codes"))
-    own = beside.where((F.col("which") == 0) & ~F.col("halo"))
+    drawn = draw(both.select("*", *words), ["block", "pos"], ["text", "edited"], ["halo", "doc_id", "n_chars", "d0", "d1", "d2", "d3"])
+    beside = drawn.select("*", F.lead("codes0").over(Window.partitionBy("block").orderBy("pos")).alias("next_codes"))
     digits = F.concat(*[F.lpad(F.lower(F.hex(f"d{k}")), 16, "0") for k in range(4)])
-    return own.select(
-        "doc_id", "n_chars", digits.alias("edited_sha256"), render(F.col("codes")).alias("fingerprint"), render(F.col("edited_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"), likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
+    return beside.where(F.col("halo") == 0).select(
+        "doc_id", "n_chars", digits.alias("edited_sha256"), render(F.col("codes0")).alias("fingerprint"), render(F.col("codes1")).alias("edited_fingerprint"),
+        likeness(F.col("codes0"), F.col("codes1")).alias("near_edited"), likeness(F.col("codes0"), F.col("next_codes")).alias("near_next"))
