@@ -52,7 +52,7 @@ def terms(text: Column) -> Column:
     hashes = F.sort_array(F.transform(common.word_list(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.length(w), F.lit(63)).cast("long"))))
 
     def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
         return common.bound(starts, lambda st: F.transform(st, lambda p, k: F.struct(
             F.get(s, p).alias("h"), (F.coalesce(F.get(st, k + 1), F.size(s)) - p).alias("n"))))
 
