@@ -10,12 +10,14 @@ size is fixed and which is the only thing broadcast.
    gamma(2, 1) numbers r, c (by quantile) and a uniform b, t = floor(ln(w) / r + b) and
    ln a = ln c - r (t + 1 - b); the least a is the sample.  ``ROWS`` samples make
    a band; equal bands make a bucket.
-3. Each bucket's least node is compared with its other nodes: one pair a
-   member, not one a pair.  Where that leaves a bucket in several components,
-   the members of different components are compared as well, by twos, if their
-   total weights allow the wanted similarity; this keeps links that a single
-   centre would lose.  Every pair is verified by weighted Jaccard similarity of
-   the whole texts.
+3. Each bucket's least node, its centre, is compared with the other nodes: one
+   pair a member.  What is then not linked to the centre's component is compared
+   with all other nodes of the bucket, since a centre alone would lose links.
+   This goes by blocks of at most ``BLOCK`` nodes, each pair of blocks in one
+   task with an inverted index of shingles; two nodes are compared in the first
+   band they share only, not at all if they are in one component already, and
+   the task returns links that join components, never pairs.  Similarity is
+   weighted Jaccard similarity of the whole texts throughout.
 4. Classes are the connected components of the verified links, by least labels
    and pointer jumps; labels and links stay distributed.
 
@@ -50,6 +52,7 @@ from scriptorium.llm import common
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
+BLOCK = 256
 IDF_BITS, IDF_RANGE = 18, 0.25
 #: Bytes of text that are hashed at once, and shingles that are sampled at once.
 CHUNK, LOT = 1 << 16, 1 << 12
@@ -238,13 +241,21 @@ def signed(df: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), sign(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
-def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar enough, by their whole texts."""
+def texts_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) of nodes given as (key, doc_id)."""
 
     @F.arrow_udf("string")
     def key_of(texts: pa.Array) -> pa.Array:
         return pa.array([node_key(t.as_py()) for t in texts], pa.string())
 
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    met = docs.join(nodes.select("key", F.col("doc_id").alias("rep")), F.col("doc_id").eqNullSafe(F.col("rep")))
+    return met.select("key", "text", key_of("text").alias("own")).where("key = own").select("key", "text")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar enough."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         table, last, out = idf.value, (None, None), []
@@ -252,19 +263,88 @@ def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, tex
             x = x.as_py()
             if last[0] != x:
                 last = (x, weighted(next(texts_shingles([pa.scalar(x)])), table))
-            other = weighted(next(texts_shingles([y])), table)
-            out.append(similarity(last[1], other) >= SIMILARITY)
+            out.append(similarity(last[1], weighted(next(texts_shingles([y])), table)) >= SIMILARITY)
         return pa.array(out, pa.bool_())
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", F.col("doc_id").alias("rep")), "key")
-    texts = (df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-             .join(wanted.withColumnRenamed("key", "wanted"), F.col("doc_id").eqNullSafe(F.col("rep")))
-             .select("wanted", "text", key_of("text").alias("key")).where(F.col("key") == F.col("wanted")).select("key", "text"))
-    texts = common.checkpointed(texts)
     a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return pairs.join(b, "b").join(a, "a").where(similar("x", "y")).select("a", "b").distinct()
 
 
+class Postings:
+    """Shingles of several texts by shingle, to compare one text with all of them."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        sizes = [len(s) for s, _ in sets]
+        all_, doc = np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(all_, kind="stable")
+        self.words, first = np.unique(all_[order], return_index=True)
+        self.at = np.concatenate([first, [len(all_)]])
+        self.doc, self.weight = doc[order], np.concatenate([w for _, w in sets])[order]
+        self.totals = np.array([w.sum(dtype=np.float64) for _, w in sets])
+
+    def similarities(self, one: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        place = np.searchsorted(self.words, one[0])
+        hit = np.flatnonzero(self.words[np.minimum(place, len(self.words) - 1)] == one[0])
+        place = place[hit]
+        n = self.at[place + 1] - self.at[place]
+        flat = np.repeat(self.at[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(self.doc[flat], np.minimum(np.repeat(one[1][hit], n), self.weight[flat]).astype(np.float64), len(self.totals))
+        return shared / (self.totals + one[1].sum(dtype=np.float64) - shared)
+
+
+def block_links(block: pd.DataFrame, table: np.ndarray) -> list[tuple[str, str]]:
+    """Links that join components, between the nodes of seats i and j of one bucket.
+
+    ``block`` has key, label, total, bands, chunk, i, j, band, lead and text of each node.
+    """
+    i, j, band, lead = (block[c].iloc[0] for c in ("i", "j", "band", "lead"))
+    block = block.sort_values("key").reset_index(drop=True)
+    sets = [weighted(s, table) for s in texts_shingles(pa.array(block["text"], pa.string()))]
+    keys, totals, chunk = block["key"].to_numpy(), block["total"].to_numpy(), block["chunk"].to_numpy()
+    before = np.stack([np.asarray(b)[:band] for b in block["bands"]]) if band else np.zeros((len(block), 0), np.int64)
+    label = block["label"].to_numpy().copy()
+    right = np.flatnonzero(chunk == j)
+    index, out = Postings([sets[k] for k in right]), []
+    for a in np.flatnonzero(chunk == i):
+        if keys[a] == lead:
+            continue
+        test = (label[right] != label[a]) & (keys[right] != lead)
+        test &= np.minimum(totals[right], totals[a]) >= SIMILARITY * np.maximum(totals[right], totals[a]) - 1e-3
+        if i == j:
+            test &= right > a
+        if band:
+            test &= ~(before[right] == before[a]).any(1)
+        if not test.any():
+            continue
+        for b in right[test & (index.similarities(sets[a]) >= SIMILARITY)]:
+            if label[b] != label[a]:
+                out.append((keys[a], keys[b]))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def rest_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Links inside buckets that the comparison with the centres did not make one component."""
+    lead_label = labels.select(F.col("key").alias("lead"), F.col("label").alias("lead_label"))
+    seated = members.join(labels, "key", "left").join(lead_label, "lead", "left").select(
+        "band", "h", "key", "lead", F.coalesce("label", "key").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label"))
+    off = F.col("label") != F.col("lead_label")
+    sizes = seated.groupBy("band", "h").agg(F.count_if(off).alias("off"), F.count_if(~off).alias("on")).where("off > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    placed = seated.join(sizes.select("band", "h", blocks("off").alias("n_off"), blocks("on").alias("n_on")), ["band", "h"])
+    spread = F.xxhash64("key")
+    chunk = F.when(off, F.pmod(spread, "n_off")).otherwise(F.col("n_off") + F.pmod(spread, "n_on")).cast("int")
+    others = F.sequence(F.lit(0), F.when(off, F.col("n_off") + F.col("n_on")).otherwise(F.col("n_off")) - 1)
+    seats = placed.select("band", "h", "key", "lead", "label", chunk.alias("chunk"), F.explode(others).alias("other")).select(
+        "*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    full = seats.join(nodes.select("key", "total", "bands"), "key").join(texts, "key")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(block_links(block, idf.value), columns=["a", "b"])
+
+    return full.groupBy("band", "h", "i", "j").applyInPandas(compare, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the least key of every linked node's component."""
     links = common.checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -285,21 +365,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     idf = spark.sparkContext.broadcast(idf_table(bucket_counts(df, text_col).toPandas()))
     docs = common.checkpointed(signed(df, id_col, text_col, idf))
     nodes = common.checkpointed(docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.first("bands").alias("bands")))
-    seats = nodes.select("key", "total", F.posexplode("bands").alias("band", "h"))
+    seats = nodes.select("key", F.posexplode("bands").alias("band", "h"))
     buckets = seats.groupBy("band", "h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "h", "lead")
     members = common.checkpointed(seats.join(buckets, ["band", "h"]))
-    star = common.checkpointed(members.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct())
-    links = common.checkpointed(verified(star, df, nodes, id_col, text_col, idf))
-    labels = components(links)
-    seated = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = seated.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("band", "h")
-    rest = common.checkpointed(seated.join(mixed, ["band", "h"]))
-    one, two = (rest.select("band", "h", *[F.col(c).alias(f"{c}{i}") for c in ("key", "label", "total", "lead")]) for i in (1, 2))
-    fits = (F.col("label1") != F.col("label2")) & (F.col("key1") < F.col("key2")) & (F.col("key1") != F.col("lead1"))
-    fits &= F.least("total1", "total2") >= SIMILARITY * F.greatest("total1", "total2") - 1e-6
-    cross = one.join(two, ["band", "h"]).where(fits).select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct()
-    cross = common.checkpointed(cross.join(star, ["a", "b"], "left_anti"))
-    more = verified(cross, df, nodes, id_col, text_col, idf)
+    star = members.where(F.col("key") != F.col("lead")).select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    seen = members.select("key").distinct().join(nodes.select("key", "doc_id"), "key")
+    texts = common.checkpointed(texts_of(seen, df, id_col, text_col))
+    links = common.checkpointed(similar_pairs(star, texts, idf))
+    more = common.checkpointed(rest_links(members, components(links), nodes, texts, idf))
     labels = components(links.union(more))
     by_node = nodes.join(labels, "key", "left").select("key", "doc_id", "n", F.coalesce("label", "key").alias("label"))
     by_class = by_node.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import common, fingerprint, html_extract, mixing, pieces, quality, secrets, urlfilter
+from scriptorium.llm import common, fingerprint, html_extract, mixing, neardup, pieces, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scan": lambda s, d: secrets.report(common.table(s, d, "documents")),
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": lambda s, d: quality.report(common.table(s, d, "documents")),
     "op5_source_mix": lambda s, d: mixing.report(common.table(s, d, "documents")),
     "op6_html_extract": lambda s, d: html_extract.report(common.table(s, d, "pages")),
+    "op7_minhash_neardup": lambda s, d: neardup.report(common.table(s, d, "documents")),
     "op8_url_filter": lambda s, d: urlfilter.report(common.table(s, d, "pages")),
 }
 
@@ -18,5 +19,6 @@ ORACLE = {
     "op4_quality_rules": quality.oracle(),
     "op5_source_mix": lambda s, d: mixing.report(common.table(s, d, "documents")),
     "op6_html_extract": lambda s, d: html_extract.report(common.table(s, d, "pages")),
+    "op7_minhash_neardup": lambda s, d: neardup.report(common.table(s, d, "documents")),
     "op8_url_filter": urlfilter.oracle(),
 }
