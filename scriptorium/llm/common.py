@@ -63,3 +63,18 @@ def bound(value: Column, use) -> Column:
     every element; a variable is read.
     """
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:
+    """Join ``rows`` to a table with one row a key, each key's rows dealt to ``salts`` tasks.
+
+    ``keyed`` is repeated ``salts`` times, so a key that holds a third of all
+    rows is no single task, whatever adaptive execution does.  Null keys match.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = keyed.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in keyed.columns if c not in keys],
+                         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt2"))
+    on = F.col("_salt") == F.col("_salt2")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(right, on, how).drop("_salt", "_salt2", *[f"_{k}" for k in keys])

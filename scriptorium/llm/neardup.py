@@ -45,7 +45,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import common
@@ -382,3 +382,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return classes(df, id_col, text_col).select("doc_id", "class_id", "class_size")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stand for their class: one each, with the least id (nulls last)."""
+    found = classes(df, id_col, text_col)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    chosen = first.select(F.col("f.doc_id").alias("_rep"), F.col("f.key").alias("_key"))
+
+    @F.arrow_udf("string")
+    def key_of(texts: pa.Array) -> pa.Array:
+        return pa.array([node_key(t.as_py()) for t in texts], pa.string())
+
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), key_of(F.col(text_col)).alias("_own"))
+    met = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_own") == F.col("_key")))
+    # equal rows of one id and one text: one of them stays
+    one = met.withColumn("_n", F.row_number().over(Window.partitionBy("_rep", "_key").orderBy("_own"))).where("_n = 1")
+    return one.select("_row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import common, fingerprint, html_extract, mixing, neardup, pieces, quality, secrets, urlfilter
+from scriptorium.llm import common, fingerprint, html_extract, langid, licenses, mixing, neardup, pieces, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scan": lambda s, d: secrets.report(common.table(s, d, "documents")),
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_html_extract": lambda s, d: html_extract.report(common.table(s, d, "pages")),
     "op7_minhash_neardup": lambda s, d: neardup.report(common.table(s, d, "documents")),
     "op8_url_filter": lambda s, d: urlfilter.report(common.table(s, d, "pages")),
+    "op9_language_id": lambda s, d: langid.report(common.table(s, d, "documents")),
+    "op10_license_scan": lambda s, d: licenses.report(common.table(s, d, "documents")),
 }
 
 ORACLE = {
