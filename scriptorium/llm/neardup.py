@@ -304,6 +304,8 @@ def block_links(block: pd.DataFrame, table: np.ndarray) -> list[tuple[str, str]]
     before = np.stack([np.asarray(b)[:band] for b in block["bands"]]) if band else np.zeros((len(block), 0), np.int64)
     label = block["label"].to_numpy().copy()
     right = np.flatnonzero(chunk == j)
+    if not len(right) or not (chunk == i).any():
+        return []
     index, out = Postings([sets[k] for k in right]), []
     for a in np.flatnonzero(chunk == i):
         if keys[a] == lead:

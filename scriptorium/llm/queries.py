@@ -19,8 +19,5 @@ QUERIES = {
 
 ORACLE = {
     "op4_quality_rules": quality.oracle(),
-    "op5_source_mix": lambda s, d: mixing.report(common.table(s, d, "documents")),
-    "op6_html_extract": lambda s, d: html_extract.report(common.table(s, d, "pages")),
-    "op7_minhash_neardup": lambda s, d: neardup.report(common.table(s, d, "documents")),
     "op8_url_filter": urlfilter.oracle(),
 }
