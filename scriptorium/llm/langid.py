@@ -73,7 +73,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, sample: int =
         F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
     # a cut of the hash leaves about twice the sample before texts move to a label's task
     found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    cut = F.coalesce(*[F.when((F.col("label") == l) & (n > 2 * sample), F.lit(int(-2**63 + 2**64 * (2 * sample / n)))) for l, n in found.items()], F.lit(2**63 - 1))
+    cuts = [F.when(F.col("label") == l, F.lit(int(-2**63 + 2**64 * (2 * sample / n)))) for l, n in found.items() if n > 2 * sample]
+    cut = F.coalesce(*cuts, F.lit(2**63 - 1))
     some = rows.where(F.col("h") <= cut).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= sample).select("label", "text")
 
     def count(batches):
