@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 # --- FIXED VALUES: accepted date formats, tried in order ----------------------
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy MMM", "MM/dd/yyyy", "yyyy"]
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy MMM", "MM/dd/yyyy", "yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                "yyyy MMM d", "yyyy/MM/dd", "yyyy-MM", "MMM yyyy", "yyyy-M-d"]
 
 
 def parse_date(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

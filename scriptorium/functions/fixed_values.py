@@ -102,8 +102,8 @@ FORBIDDEN_PHRASES = [
     "[reaction: see text]",
 ]
 
-# inline markup removed before the XML parse (text of the children is kept)
-INLINE_TAGS = ["i", "b", "u", "sub", "sup", "em", "strong", "mml:math", "mml:mi", "mml:mn", "mml:mo"]
+# sections whose markup is removed before the XML parse (all text is kept)
+MIXED_SECTIONS = ["ArticleTitle", "AbstractText"]
 
 # --- FIXED VALUES: missing-value sentinels -----------------------------------
 

@@ -51,14 +51,19 @@ def remove_forbidden_phrases(col: Column, phrases: Sequence[str] = fv.FORBIDDEN_
     return F.when(col.rlike(any_phrase), ustrip(out)).otherwise(ustrip(col))
 
 
-def strip_inline_tags(raw: Column, tags: Sequence[str] = fv.INLINE_TAGS) -> Column:
-    """P2 on the raw XML string: drop inline markup, keep the children's text.
+def strip_inline_tags(raw: Column, sections: Sequence[str] = fv.MIXED_SECTIONS) -> Column:
+    """P2 on the raw XML string: drop all markup inside the mixed-content
+    sections (title, abstract), whatever its name, and keep the text.
+
+    A tag lies inside a section if a section's end follows it before any
+    section's start.
 
     Applied before the parse, where every real ``<`` is markup (text ``<`` is
     escaped as ``&lt;``), so escaped text can never be mistaken for a tag.
     """
-    names = "|".join(re.escape(t) for t in tags)
-    return F.regexp_replace(raw, r"</?(?:" + names + r")(?:\s[^>]*)?/?>", "")
+    names = "|".join(re.escape(t) for t in sections)
+    other = r"<(?!/?(?:" + names + r")[\s/>])"
+    return F.regexp_replace(raw, other + r"[^>]*>(?=[^<]*+(?:" + other + r"[^<]*+)*+</(?:" + names + r")\s*>)", "")
 
 
 def xml_escape(col: Column) -> Column:

@@ -69,13 +69,20 @@ STORE_SCHEMA = T.StructType([T.StructField("id", T.LongType(), False),
                              T.StructField("embedding", T.ArrayType(T.DoubleType()), True)])
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
+def store_schema(id_type: str = "bigint") -> T.StructType:
+    """The store's schema with ids of the records' own type."""
+    key = T.StringType() if id_type == "string" else T.LongType()
+    return T.StructType([T.StructField("id", key, False), STORE_SCHEMA["embedding"]])
+
+
+def read_store(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """The stored embeddings; an absent store is an empty table."""
+    schema = store_schema(id_type)
     try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:  # missing path → nothing embedded yet
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], STORE_SCHEMA)
+            return spark.createDataFrame([], schema)
         raise
 
 
@@ -89,10 +96,14 @@ def embed_increment(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     """T2 batch form: embed what the store lacks and append it (K5).
 
     Re-running after a failure embeds only what is still missing, so the
-    append is idempotent at record level.  Returns the number of rows added.
+    append is idempotent at record level.  An id that occurs twice in one run
+    is embedded once.  Ids are strings in the store if they are in ``docs``,
+    else long.  Returns the number of rows added.
     """
-    todo = pending(docs, read_store(spark, store_path), id_col)
+    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
+    before = read_store(spark, store_path, id_type).count()
+    todo = pending(docs, read_store(spark, store_path, id_type), id_col).dropDuplicates([id_col])
     out = embed(todo, id_col, text_col, embedder).select(
-        F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
+        F.col("id").cast(id_type), F.col("embedding").cast("array<double>"))
     out.write.mode("append").parquet(store_path)
-    return read_store(spark, store_path).count()
+    return read_store(spark, store_path, id_type).count() - before

@@ -19,8 +19,16 @@ def dedupe_exact(df: DataFrame, text_col: str, id_col: str, keep_cols: list[str]
     The kept rows' other columns are joined back by id (narrow columns only).
     """
     keep_cols = list(keep_cols or [])
-    firsts = (df.select(F.col(id_col), F.sha2(F.col(text_col), 256).alias("_h"))
-              .groupBy("_h").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("n_copies")))
+    # a null text is a copy of nothing: its key is the row's own id
+    key = F.coalesce(F.sha2(F.col(text_col), 256), F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    rows = df.select(F.col(id_col), key.alias("_h"))
+    if dict(df.dtypes)[id_col] == "string":
+        # "9" is lower than "10"; ids that are no numbers come last, by their text
+        number = F.expr(f"try_cast(`{id_col}` AS DECIMAL(38, 0))")
+        least = F.min(F.struct(number.isNull(), number, F.col(id_col).alias("id")))["id"]
+    else:
+        least = F.min(id_col)
+    firsts = rows.groupBy("_h").agg(least.alias(id_col), F.count(F.lit(1)).alias("n_copies"))
     return firsts.join(df.select(id_col, *keep_cols), id_col).select(id_col, *keep_cols, "n_copies")
 
 

@@ -37,9 +37,10 @@ class TopicFit:
     terms: DataFrame   # idx, term: the vectorizer's vocabulary
 
 
-def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions: int | None = None) -> DataFrame:
-    # one partition per core: every LDA iteration passes over all of them
-    n = num_partitions or docs.sparkSession.sparkContext.defaultParallelism
+def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions: int = 16) -> DataFrame:
+    # a fixed number, raised with the data: the fit depends on the partitions,
+    # so it must not depend on the cluster of the moment
+    n = num_partitions
     terms = vectorizer_terms(topic_tokens(F.col(text_col)))
     # partition the raw rows by id first: tokenizing then runs in all tasks,
     # and the partitioning (hence the LDA result) depends only on the ids
@@ -48,24 +49,23 @@ def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions:
             .sortWithinPartitions("id"))
 
 
-def vocabulary(corpus: DataFrame, vocab_size: int) -> DataFrame:
-    """M1 vocabulary as one row ``vocabulary: array<string>``: the
-    ``vocab_size`` most frequent terms (ties by term) in alphabetical order,
-    like the reference's vectorizer.
+def vocabulary(corpus: DataFrame, vocab_size: int | None) -> DataFrame:
+    """M1 vocabulary as one row ``vocabulary: array<string>``: every term in
+    alphabetical order, like the reference's vectorizer; with ``vocab_size``
+    only that many of the most frequent ones (ties by term).
 
     MLlib's own ``CountVectorizer.fit`` orders equally frequent terms
     arbitrarily, which moves term indices between runs and so changes the
-    seeded LDA start; this order is fixed.  The array is bounded by
-    ``vocab_size`` and is exactly what the vectorizer model holds.
+    seeded LDA start; this order is fixed.  The array is exactly what MLlib's
+    vectorizer model holds in any case, on the driver and in every task.
     """
-    counts = materialize(corpus.select(F.explode("terms").alias("term"))
-                         .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    kept = counts if counts.count() <= vocab_size else \
-        counts.orderBy(F.desc("n"), "term").limit(vocab_size)
+    kept = corpus.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if vocab_size is not None:
+        kept = kept.orderBy(F.desc("n"), "term").limit(vocab_size)
     return kept.agg(F.array_sort(F.collect_list("term")).alias("vocabulary"))
 
 
-def vectorizer(corpus: DataFrame, vocab_size: int) -> tuple[CountVectorizerModel, DataFrame]:
+def vectorizer(corpus: DataFrame, vocab_size: int | None) -> tuple[CountVectorizerModel, DataFrame]:
     """A ``CountVectorizerModel`` over :func:`vocabulary`, built without
     moving the vocabulary through Python: a model saved with MLlib's writer
     gets the Spark-computed vocabulary as its data and is loaded back.
@@ -81,7 +81,7 @@ def vectorizer(corpus: DataFrame, vocab_size: int) -> tuple[CountVectorizerModel
 
 
 def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
-               seed: int = fv.SEED, vocab_size: int = 1 << 18, num_partitions: int | None = None,
+               seed: int = fv.SEED, vocab_size: int | None = None, num_partitions: int = 16,
                subsampling_rate: float = 1.0) -> TopicFit:
     """M1 + M2.
 

@@ -43,13 +43,24 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
         B = np.stack(b["vec"].to_numpy()).astype(np.float64)
         qid = q["id"].to_numpy(np.int64)
         bid = b["id"].to_numpy(np.int64)
-        m = min(len(B), k + 8 + (1 if exclude_self else 0))
-        bn = (B * B).sum(1)
-        out = []
-        for s in range(0, len(Q), 1024):
-            Qc, ids = Q[s:s + 1024], qid[s:s + 1024]
+        # centred, so that vectors far from the origin lose no digits
+        centre = B.mean(0)
+        Qm, Bm = Q - centre, B - centre
+        bn, qn = (Bm * Bm).sum(1), (Qm * Qm).sum(1)
+        need = min(len(B), k + (1 if exclude_self else 0))
+        out, s, step = [], 0, 1024
+        while s < len(Q):
+            Qc, ids = Q[s:s + step], qid[s:s + step]
             # expansion only to choose candidates; exact distances recomputed below
-            approx = (Qc * Qc).sum(1)[:, None] + bn[None, :] - 2.0 * Qc @ B.T
+            approx = qn[s:s + step, None] + bn[None, :] - 2.0 * Qm[s:s + step] @ Bm.T
+            # every row within the rounding error of the k-th one is a candidate
+            error = 8 * (B.shape[1] + 4) * np.finfo(np.float64).eps * (qn[s:s + step] + bn.max())
+            kth = np.partition(approx, need - 1, axis=1)[:, need - 1]
+            m = int((approx <= (kth + 2 * error)[:, None]).sum(1).max())
+            if len(Qc) > 1 and len(Qc) * m * B.shape[1] > 1 << 24:
+                step = max(1, (1 << 24) // (m * B.shape[1]))  # many equal distances: fewer queries at a time
+                Qc, ids, approx = Qc[:step], ids[:step], approx[:step]
+            s += len(Qc)
             if exclude_self:
                 approx[ids[:, None] == bid[None, :]] = np.inf
             cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(B) else \

@@ -27,13 +27,21 @@ from scriptorium.sources.tables import (read_cache, read_csv, read_metadata, rea
                                         require_unique, write_csv)
 
 
+def unique_records(recs: DataFrame) -> DataFrame:
+    """U4: one record per distinct abstract; records without an abstract all stay."""
+    fields = ["title", "authors", "abstract", "journal", "pub_date"]
+    text = F.when(F.col("abstract") != F.lit(fv.NO_ABSTRACT), F.col("abstract"))
+    return dedupe_exact(recs.withColumn("_text", text), "_text", "pmid", fields).select("pmid", *fields)
+
+
 def citation_run(spark: SparkSession, xml_path: str, ids_path: str, out_dir: str) -> DataFrame:
     """Citation files + requested ids → text blocks and missing-id list."""
-    recs = read_citations(spark, xml_path)
+    # parsed once: the records are written and read back for the other outputs
+    parsed = os.path.join(out_dir, "records")
+    read_citations(spark, xml_path).write.mode("overwrite").parquet(parsed)
+    recs = spark.read.parquet(parsed)
     write_blocks(recs, os.path.join(out_dir, "abstracts"))
-    write_blocks(dedupe_exact(recs, "abstract", "pmid", ["title", "authors", "abstract", "journal", "pub_date"])
-                 .select("pmid", "title", "authors", "abstract", "journal", "pub_date"),
-                 os.path.join(out_dir, "unique_abstracts"))
+    write_blocks(unique_records(recs), os.path.join(out_dir, "unique_abstracts"))
     missing = missing_ids(read_id_list(spark, ids_path), recs)
     write_id_list(missing, os.path.join(out_dir, "missing_abstracts"))
     return recs
@@ -42,9 +50,7 @@ def citation_run(spark: SparkSession, xml_path: str, ids_path: str, out_dir: str
 def embedding_run(spark: SparkSession, blocks_path: str, store_path: str, embedder=hash_embedding) -> int:
     """Text blocks → keyed embedding store; resumes where the store stops."""
     blocks = read_blocks(spark, blocks_path)
-    return embed_increment(spark, blocks.where(F.col("pmid").rlike(r"^[0-9]+$"))
-                           .select(F.col("pmid").cast("long").alias("pmid"), "block"),
-                           "pmid", "block", store_path, embedder)
+    return embed_increment(spark, blocks.select("pmid", "block"), "pmid", "block", store_path, embedder)
 
 
 def country_run(spark: SparkSession, metadata_csv: str, out_dir: str) -> DataFrame:
@@ -81,7 +87,11 @@ def topic_run(spark: SparkSession, metadata_csv: str, out_dir: str,
 def patent_topic_run(spark: SparkSession, patents_csv: str, out_dir: str) -> DataFrame:
     """Patent titles → topic table."""
     schema = T.StructType([T.StructField("Title", T.StringType())])
-    titles = read_csv(spark, patents_csv, schema).withColumn("pid", F.monotonically_increasing_id())
+    # keyed by content, so the topics do not depend on how the files were split
+    titles = (read_csv(spark, patents_csv, schema).where(F.col("Title").isNotNull())
+              .groupBy("Title").agg(F.count(F.lit(1)).alias("n"))
+              .select("Title", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+              .withColumn("pid", F.xxhash64("Title", "copy")))
     table = topic_table(fit_topics(titles, "pid", "Title"))
     write_csv(table, os.path.join(out_dir, "patent_topic_frequencies"))
     return table

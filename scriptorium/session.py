@@ -38,20 +38,29 @@ def build_session(master: str | None = None, app: str = "scriptorium",
     return builder.getOrCreate()
 
 
+#: Folders used where the setting is absent, by application; the setting itself
+#: is static and cannot be changed in a running session.
+_FALLBACKS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A fallback is only applied when the setting is absent (tests, local
     runs): the given folder, else ``_checkpoints`` under the session's
-    warehouse folder.  On a cluster the configured shared folder always wins.
+    warehouse folder.  On a cluster the configured shared folder always wins,
+    and without one the call fails.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACKS.get(sc.applicationId)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = fallback or os.path.join(
             spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        _FALLBACKS[sc.applicationId] = current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 

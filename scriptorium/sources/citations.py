@@ -41,28 +41,36 @@ RECORD_COLUMNS = ["pmid", "title", "authors", "abstract", "journal", "pub_date"]
 
 def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
     """S1 step 1: one row per ``<PubmedArticle>`` element of the files at
-    ``path`` (``raw`` column; text outside records is dropped, F8)."""
+    ``path`` (``raw`` column), and what the files hold beside records."""
     end = f"</{RECORD_TAG}>"
     lines = spark.read.text(path, lineSep=end)
     return raw_records_from_chunks(lines, "value")
 
 
 def raw_records_from_chunks(df: DataFrame, col: str) -> DataFrame:
+    """Records of chunks that were cut at the closing tag.
+
+    A chunk is parted at every opening tag: its last part gets the closing tag
+    back; a part before it is a truncated record, and text that is neither a
+    record nor the file's wrapper is a rejected payload.  Both are kept as they
+    are: they do not parse, so they end in :func:`quarantine` (K7, F8).
+    """
     end = f"</{RECORD_TAG}>"
-    # start at the last opening tag of the chunk: a truncated record (no end
-    # tag) in front of it is dropped instead of corrupting its successor
-    body = F.regexp_extract(F.col(col), r"(?s)^.*(<" + RECORD_TAG + r"[ >].*)$", 1)
-    return (df.select(body.alias("_body"))
-            .where(F.col("_body") != F.lit(""))
-            .select(F.concat(F.col("_body"), F.lit(end)).alias("raw")))
+    parts = F.split(F.col(col), r"(?=<" + RECORD_TAG + r"[\s>])")
+    part = df.select(F.posexplode(parts).alias("_at", "_part"), F.size(parts).alias("_n"))
+    is_record = F.col("_part").rlike(r"^<" + RECORD_TAG + r"[\s>]")
+    wrapper = r"(?s)<\?xml.*?\?>|<!DOCTYPE[^>]*>|</?" + RECORD_TAG + r"Set(?:\s[^>]*)?/?>|\uFEFF"
+    is_payload = F.trim(F.regexp_replace(F.regexp_replace(F.col("_part"), wrapper, ""), r"\s+", "")) != F.lit("")
+    return (part.where(is_record | is_payload)
+            .select(F.when(is_record & (F.col("_at") == F.col("_n") - 1), F.concat("_part", F.lit(end)))
+                    .otherwise(F.col("_part")).alias("raw")))
 
 
-def parse_raw(df: DataFrame, raw_col: str = "raw", inline_tags: Sequence[str] = fv.INLINE_TAGS,
-              compat: bool = False) -> DataFrame:
+def parse_raw(df: DataFrame, raw_col: str = "raw", compat: bool = False) -> DataFrame:
     """S1 steps 2–3: add ``parsed`` (struct) and ``leading_text`` flags."""
     raw = F.col(raw_col)
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    out = df.withColumn("parsed", F.from_xml(strip_inline_tags(raw, inline_tags), CITATION_SCHEMA, opts))
+    out = df.withColumn("parsed", F.from_xml(strip_inline_tags(raw), CITATION_SCHEMA, opts))
     if compat:
         # reference quirk: a section whose text starts with a child element is
         # skipped; remember, per section, whether it starts with text
@@ -111,8 +119,11 @@ def records(parsed: DataFrame, phrases: Sequence[str] = fv.FORBIDDEN_PHRASES, co
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """K7: records the parser rejected, kept as data."""
-    return parsed.where(F.col("parsed.MedlineCitation").isNull()).select(
-        F.col(f"parsed.{CORRUPT}").alias("raw"), F.length(f"parsed.{CORRUPT}").alias("raw_chars"))
+    text = F.col(f"parsed.{CORRUPT}")
+    if "raw" in parsed.columns:
+        # well-formed but no citation: the parser has nothing to complain about
+        text = F.coalesce(text, F.col("raw"))
+    return parsed.where(F.col("parsed.MedlineCitation").isNull()).select(text.alias("raw"), F.length(text).alias("raw_chars"))
 
 
 def read_citations(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
@@ -150,13 +161,20 @@ def read_blocks(spark: SparkSession, path: str, compat: bool = False) -> DataFra
         .otherwise(F.concat(F.lit("Abstract #"), F.col("value")))
     rec = raw.select(text.alias("block"))
 
-    def field(label: str) -> Column:
-        return F.regexp_extract(F.col("block"), r"(?m)^" + label + r": (.*)$", 1)
+    # a field runs to the next label, over as many lines as it has; the abstract
+    # runs to the last "Journal:" label, since it may quote one
+    whole = (r"(?s)^[^\n]*\nTitle: (.*?)\nAuthors: (.*?)\nAbstract: (.*)\nJournal: (.*?)"
+             r"\nPublication Date: (.*?)\n*$")
+
+    def field(number: int, label: str) -> Column:
+        block = F.col("block")
+        line = F.regexp_extract(block, r"(?m)^" + label + r": (.*)$", 1)
+        return F.when(block.rlike(whole), F.regexp_extract(block, whole, number)).otherwise(line)
 
     return rec.select(F.regexp_extract("block", r"^Abstract #(.*)", 1).alias("pmid"),
-                      field("Title").alias("title"), field("Authors").alias("authors"),
-                      field("Abstract").alias("abstract"), field("Journal").alias("journal"),
-                      field("Publication Date").alias("pub_date"), "block")
+                      field(1, "Title").alias("title"), field(2, "Authors").alias("authors"),
+                      field(3, "Abstract").alias("abstract"), field(4, "Journal").alias("journal"),
+                      field(5, "Publication Date").alias("pub_date"), "block")
 
 
 # --- id lists (S2, F4) and the missing-id report (J2) -----------------------------

@@ -37,7 +37,7 @@ def test_embed_increment_resumes(spark, sf_dir, tmp_path):
     store = str(tmp_path / "store")
     first = embed_increment(spark, docs.where(F.col("doc_id") < 50), "doc_id", "text", store)
     assert first == 50
-    total = embed_increment(spark, docs, "doc_id", "text", store)   # only the rest is added
+    total = first + embed_increment(spark, docs, "doc_id", "text", store)   # only the rest is added
     assert total == docs.count()
     assert read_store(spark, store).select("id").distinct().count() == total
 
