@@ -6,7 +6,7 @@ pieces are expanded to the 1..N-grams that *start with a lexicon first word*
 (a hash-set test, so only candidate positions leave the row), joined to the
 broadcast lexicon, and overlapping candidates are resolved per document:
 the longest term at a start position wins, and a candidate that starts
-inside an earlier candidate is dropped.  Lookups run after the mentions are
+inside a kept one is dropped; what was dropped itself drops nothing.  Lookups run after the mentions are
 aggregated per term, so the dimension join sees one row per distinct term.
 """
 
@@ -52,15 +52,28 @@ def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Seque
 
 
 def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
-    """Longest term per start; drop a candidate that starts inside an earlier
-    one.  Both windows share the document partitioning (one shuffle)."""
+    """Longest term per start; then from left to right, a candidate stays if it
+    starts behind the last one that stayed.
+
+    Candidates fall into runs, in which each starts inside an earlier one; a
+    run is decided by itself, in one fold over its candidates.  The windows and
+    the grouping share the document partitioning (one shuffle)."""
     by_start = Window.partitionBy(id_col).orderBy("pos", F.desc("n_words"))
     first = cands.withColumn("_prev_pos", F.lag("pos").over(by_start))
     first = first.where(F.col("_prev_pos").isNull() | (F.col("_prev_pos") != F.col("pos")))
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ends = first.withColumn("_prev_end", F.max(F.col("pos") + F.col("n_words") - 1).over(before))
-    return (ends.where(F.col("_prev_end").isNull() | (F.col("_prev_end") < F.col("pos")))
-            .drop("_prev_pos", "_prev_end"))
+    by_pos = Window.partitionBy(id_col).orderBy("pos")
+    reach = F.max(F.col("pos") + F.col("n_words") - 1).over(by_pos.rowsBetween(Window.unboundedPreceding, -1))
+    runs = first.withColumn("_opens", F.when(reach >= F.col("pos"), 0).otherwise(1)).withColumn(
+        "_run", F.sum("_opens").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = runs.groupBy(id_col, "_run").agg(F.array_sort(F.collect_list(F.struct("pos", "n_words", "term"))).alias("_hits"))
+    kind = dict(hits.dtypes)["_hits"]
+
+    def step(kept: Column, hit: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        inside = F.coalesce(last["pos"] + last["n_words"] > hit["pos"], F.lit(False))
+        return F.when(inside, kept).otherwise(F.concat(kept, F.array(hit)))
+
+    return hits.select(id_col, F.inline(F.aggregate("_hits", F.array().cast(kind), step)))
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> DataFrame:

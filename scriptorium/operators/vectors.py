@@ -86,7 +86,7 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
 def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec",
         group_col: str | None = None, extra_cols: list[str] | None = None,
         exclude_self: bool = False, block_rows: int = 2048,
-        sizes: tuple[int, int] | None = None, ranked: bool = True) -> DataFrame:
+        sizes: tuple[int, int] | None = None, ranked: bool = True, few_groups: bool = False) -> DataFrame:
     """Exact Euclidean k nearest base rows of every query row (J6; J7 with
     ``group_col``).  Ties are broken by the smaller base id.
 
@@ -94,6 +94,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
     ``sizes`` = (base rows, query rows) when the caller already knows them.
     ``ranked=False`` returns the per-cell candidates (up to k per query and
     cell) without the final ranking, for callers that merge them first.
+    ``few_groups=True`` says that the groups are classes, whose table of sizes
+    is small enough to be broadcast; a class with most rows is then no hot join key.
 
     Cost per group with B = ``block_rows``: rows shuffled ≈
     n_b·⌈n_q/B⌉ + n_q·⌈n_b/B⌉, cells = ⌈n_q/B⌉·⌈n_b/B⌉, each holding at most
@@ -120,6 +122,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
                  .join(q.groupBy(g).agg(F.count(F.lit(1)).alias("_nq_rows")), g))
         sizes = sizes.select(g, F.ceil(F.col("_nb_rows") / block_rows).cast("int").alias("_nb"),
                              F.ceil(F.col("_nq_rows") / block_rows).cast("int").alias("_nq"))
+        if few_groups:
+            sizes = F.broadcast(sizes)
         b_sized, q_sized = b.join(sizes, g), q.join(sizes, g)
         b_blk, q_blk = F.col("_nb"), F.col("_nq")
     b_rep = (b_sized
@@ -144,11 +148,13 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
 
 
 def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec",
-               bucket_length: float = 0.7, num_tables: int = 6, threshold: float = 1.4,
+               bucket_length: float = 0.7, num_tables: int = 6,
                seed: int = fv.SEED, block_rows: int = 2048) -> DataFrame:
     """Approximate neighbours with random-projection LSH: the k nearest base
-    rows within ``threshold`` among those sharing a hash bucket with the
-    query in at least one of ``num_tables`` tables.
+    rows among those sharing a hash bucket with the query in at least one of
+    ``num_tables`` tables.  A query that shares buckets with fewer than k base
+    rows gets its neighbours from the exact search, so every query has
+    min(k, base rows) of them.
 
     MLlib's ``BucketedRandomProjectionLSH`` supplies the hash functions; the
     candidate search is this module's blocked k-NN with the (table, bucket)
@@ -157,17 +163,20 @@ def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
     split into blocks like any large group.  Matches found in several tables
     are merged per (query, base) pair before the final top-k.
 
-    The defaults suit unit-length vectors (all distances ≤ 2): on the fixture
-    embeddings they find 99.7 % of the exact 5 nearest neighbours.
+    ``bucket_length`` is in units of the base's spread, the root of the summed
+    variances, so it suits vectors of any scale and offset.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     def prep(df):
         return df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                          array_to_vector(F.col(vec_col)).alias("features"))
 
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
+    stats = prep(base).agg(Summarizer.variance(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    spread = float(np.sqrt(stats["v"].toArray().sum())) if stats["n"] > 1 else 0.0
+    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length * (spread or 1.0),
                                       numHashTables=num_tables, seed=seed)
     model = lsh.fit(prep(base))  # draws the random projections only
 
@@ -179,10 +188,17 @@ def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
 
     cand = knn(bucketed(queries), bucketed(base), k, id_col="id", vec_col="vec", group_col="_bucket",
                block_rows=block_rows, ranked=False)
-    best = (cand.groupBy("q_id", "b_id").agg(F.min("dist").alias("dist"))
-            .where(F.col("dist") <= threshold))
+    best = cand.groupBy("q_id", "b_id").agg(F.min("dist").alias("dist"))
     w = Window.partitionBy("q_id").orderBy("dist", "b_id")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = materialize(best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    # ranks are consecutive: a query with enough neighbours has one of rank k
+    full = top.where(F.col("rank") == k).select("q_id")
+    short = prep(queries).select("id", "vec").join(full, F.col("id") == F.col("q_id"), "left_anti")
+    n_short = short.count()
+    if not n_short:
+        return top
+    rest = knn(short, prep(base).select("id", "vec"), k, block_rows=block_rows, sizes=(stats["n"], n_short))
+    return top.join(full, "q_id", "left_semi").unionByName(rest.select("q_id", "b_id", "dist", "rank"))
 
 
 # --- split, vote --------------------------------------------------------------
@@ -195,7 +211,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_share: flo
     # counted from the numbered (checkpointed) rows, not from the input plan
     counts = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.floor((F.col("_n") * frac.numerator + frac.denominator - 1) / frac.denominator)
-    return (ranked.join(counts, label_col)
+    return (ranked.join(F.broadcast(counts), label_col)  # one row per class
             .withColumn("is_test", F.col("_rn") <= n_test)
             .drop("_o", "_rn", "_n"))
 
@@ -241,7 +257,9 @@ def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max:
 
 # --- SMOTE ---------------------------------------------------------------------
 
-U_MUL, U_ADD, U_MOD = 7919, 13, 10007
+# u = (rn * U_ROW + t * U_DRAW + c * CLASS_MUL + U_ADD) mod U_MOD / U_MOD: the modulus is
+# prime and neither factor a multiple of it, so u moves with every draw of a row
+U_ROW, U_DRAW, U_ADD, U_MOD = 742938285, 950706376, 13, 2147483647
 GEN_CHUNK = 100_000  # synthetic points generated per task-sized chunk
 CLASS_MUL = 104729
 NEIGHBOUR_MUL, NEIGHBOUR_CLASS_MUL = 31, 17
@@ -252,10 +270,12 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     """M5: raise every class to the majority count with synthetic points.
 
     Class c (its position among the sorted labels) with n_c rows needs
-    ``n_max - n_c`` points.  Point j takes the
-    base row ranked ``j mod n_c`` (arithmetic order), its neighbour number
-    ``(31 j + 17 c) mod k_c + 1`` among the k_c = min(5, n_c - 1) nearest
-    same-class rows, and ``u = ((7919 j + 104729 c + 13) mod 10007) / 10007``:
+    ``n_max - n_c`` points.  Point j is draw ``t = j div n_c`` of the
+    base row ranked ``rn = j mod n_c + 1`` (arithmetic order).  It takes the row's
+    neighbour number ``(31 rn + 17 c + t) mod k_c + 1`` among the k_c =
+    min(5, n_c - 1) nearest same-class rows, so that successive draws of a row
+    go round all its neighbours whatever the class size, and a ``u`` in [0, 1)
+    that moves with row and draw (``U_ROW``, ``U_DRAW``):
     x = base + u (neighbour - base).  Neighbours are searched only inside
     minority classes.  Synthetic ids are negative and consecutive per class.
     Returns the synthetic rows: ``id, label, vec, base_id, neighbour_id, u``.
@@ -282,9 +302,10 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
             .withColumn("k_c", F.least(F.lit(k_max), F.col("n_c") - 1))
             .withColumn("id_off", F.coalesce(F.sum("need").over(
                 Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    plan = F.broadcast(plan)   # one row per class, as collected above
     minority = df.join(plan.select(label_col), label_col)
     neigh = knn(minority, minority, k_max, id_col=id_col, vec_col=vec_col, group_col=label_col,
-                exclude_self=True, block_rows=block_rows)
+                exclude_self=True, block_rows=block_rows, few_groups=True)
     # per base row: its k nearest same-class neighbours with their vectors
     nn_vec = neigh.join(minority.select(F.col(id_col).alias("b_id"), F.col(vec_col).alias("_nv")), "b_id")
     nn_list = nn_vec.groupBy(F.col("q_id").alias("base_id")).agg(
@@ -305,8 +326,9 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     c = F.col("_cidx").cast("long")
     pts = (chunks.withColumn("_t", t)
            .withColumn("_j", F.col("_rn") - 1 + F.col("_t") * F.col("n_c"))
-           .withColumn("_m", (F.pmod(j * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL, F.col("k_c")) + 1).cast("int"))
-           .withColumn("u", F.pmod(j * U_MUL + c * CLASS_MUL + U_ADD, F.lit(U_MOD)) / F.lit(float(U_MOD)))
+           .withColumn("_m", (F.pmod(F.col("_rn") * NEIGHBOUR_MUL + c * NEIGHBOUR_CLASS_MUL + F.col("_t"), F.col("k_c")) + 1).cast("int"))
+           .withColumn("u", F.pmod(F.pmod("_rn", F.lit(U_MOD)) * U_ROW + F.pmod("_t", F.lit(U_MOD)) * U_DRAW
+                                   + c * CLASS_MUL + U_ADD, F.lit(U_MOD)) / F.lit(float(U_MOD)))
            .withColumn("_pick", F.element_at(F.col("_nn"), F.col("_m"))))
     u = F.col("u")
     vec = F.zip_with(F.col("_bv"), F.col("_pick._nv"),

@@ -62,11 +62,13 @@ cands AS (SELECT g.doc_id, g.pos, g.n_words, g.term FROM grams g JOIN lex USING
 firsts AS (
   SELECT * FROM (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos, n_words DESC) AS prev_pos FROM cands)
   WHERE prev_pos IS NULL OR prev_pos <> pos),
-ends AS (
-  SELECT *, max(pos + n_words - 1) OVER (PARTITION BY doc_id ORDER BY pos
-                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
-  FROM firsts),
-ment AS (SELECT doc_id, pos, n_words, term FROM ends WHERE prev_end IS NULL OR prev_end < pos),
+succ AS (
+  SELECT f.doc_id, f.pos, f.n_words, f.term, g.pos AS next_pos
+  FROM firsts f ASOF LEFT JOIN firsts g ON f.doc_id = g.doc_id AND f.pos + f.n_words <= g.pos),
+ment AS (
+  SELECT * FROM succ WHERE (doc_id, pos) IN (SELECT (doc_id, min(pos)) FROM succ GROUP BY doc_id)
+  UNION ALL
+  SELECT s.* FROM ment m JOIN succ s ON s.doc_id = m.doc_id AND s.pos = m.next_pos),
 cache(term, molecular_formula, iupac_name, chebi_class) AS (VALUES {values_rows(CACHE)}),
 classes(cid, cname) AS (VALUES {values_rows(fv.CHEBI_CLASS_NAMES)})"""
 
@@ -85,16 +87,16 @@ _SUMMARY = """summary AS (
   LEFT JOIN classes k ON k.cid = coalesce(c.chebi_class, 'N/A'))"""
 
 ORACLE = {
-    "term_mentions": f"""WITH {_MENTIONS}, {_SUMMARY}
+    "term_mentions": f"""WITH RECURSIVE {_MENTIONS}, {_SUMMARY}
 SELECT "Term", "Entity Type", "ChEBI Class", "ChEBI Class Name", min("PubChem Info") AS "PubChem Info",
        CAST(sum("Frequency") AS BIGINT) AS "Frequency"
 FROM summary GROUP BY ALL ORDER BY 1, 2, 3, 4""",
-    "mention_treemap": f"""WITH {_MENTIONS}, {_SUMMARY}
+    "mention_treemap": f"""WITH RECURSIVE {_MENTIONS}, {_SUMMARY}
 SELECT "Term", "ChEBI Class Name", grouping_id("Term", "ChEBI Class Name") AS level,
        CAST(sum("Frequency") AS BIGINT) AS value,
        round(sum("Frequency" * "Frequency") / sum("Frequency"), 6) AS color
 FROM summary GROUP BY ROLLUP ("Term", "ChEBI Class Name")""",
-    "cache_misses": f"""WITH {_MENTIONS}
+    "cache_misses": f"""WITH RECURSIVE {_MENTIONS}
 SELECT term, count(*) AS n_mentions FROM ment WHERE term NOT IN (SELECT term FROM cache) GROUP BY term""",
 }
 

@@ -110,6 +110,13 @@ def smote_points_q(spark, sf_dir):
                       "base_id", "neighbour_id", F.round("u", 6).alias("u"))
 
 
+def smote_neighbour_spread_q(spark, sf_dir):
+    """Per base row: the points made from it and how many of its neighbours they use."""
+    syn = smote(aligned(spark, sf_dir), "vec_id", "embedding", "label")
+    return syn.groupBy("label", "base_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.count_distinct("neighbour_id").alias("n_neighbours"))
+
+
 def smote_counts_q(spark, sf_dir):
     al = aligned(spark, sf_dir)
     before = al.groupBy("label").agg(F.count(F.lit(1)).alias("n_before"))
@@ -213,8 +220,9 @@ nn AS (
          row_number() OVER (PARTITION BY a.id ORDER BY list_distance(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), b.id) AS m
   FROM ranked a JOIN ranked b ON a.cls = b.cls AND a.id <> b.id),
 todo AS (
-  SELECT p.*, j, j % n_c + 1 AS rn, (j * 31 + cidx * 17) % k_c + 1 AS m,
-         CAST((j * 7919 + cidx * 104729 + 13) % 10007 AS DOUBLE) / 10007.0::DOUBLE AS u,
+  SELECT p.*, j, j % n_c + 1 AS rn, ((j % n_c + 1) * 31 + cidx * 17 + j // n_c) % k_c + 1 AS m,
+         CAST(((j % n_c + 1) * 742938285 + (j // n_c) * 950706376 + cidx * 104729 + 13) % 2147483647 AS DOUBLE)
+           / 2147483647.0::DOUBLE AS u,
          CAST(-(id_off + j + 1) AS BIGINT) AS syn_id
   FROM plan p, (SELECT unnest(range(0, (SELECT max(need) FROM plan))) AS j) js
   WHERE j < p.need),
@@ -296,6 +304,15 @@ SELECT (SELECT count(*) FROM embeddings) AS n_embeddings,
     "smote_points": f"""WITH {_SMOTE}
 SELECT vec_id, label, list_transform(embedding, lambda x: round(x, 6) + 0.0) AS embedding, base_id, neighbour_id,
        round(u, 6) AS u FROM syn""",
+    # from the class sizes alone: base rows in their order, points dealt round, every neighbour in turn
+    "smote_neighbour_spread": f"""WITH {_ALIGNED},
+cnt AS (SELECT cls, count(*) AS n_c FROM al GROUP BY cls),
+ranked AS (SELECT id, cls, row_number() OVER (PARTITION BY cls ORDER BY (id * 7919) % 10007, id) AS rn FROM al),
+pts AS (SELECT r.cls, r.id, c.n_c, (SELECT max(n_c) FROM cnt) - c.n_c - r.rn AS left_over
+        FROM ranked r JOIN cnt c USING (cls))
+SELECT cls AS label, id AS base_id, left_over // n_c + 1 AS n_points,
+       least(left_over // n_c + 1, 5, n_c - 1) AS n_neighbours
+FROM pts WHERE left_over >= 0""",
     "smote_counts": f"""WITH {_ALIGNED},
 cnt AS (SELECT cls, count(*) AS n_c FROM al GROUP BY cls)
 SELECT cls AS label, n_c AS n_before, (SELECT max(n_c) FROM cnt) AS n_after FROM cnt""",
@@ -345,6 +362,7 @@ QUERIES = {
     "align_diagnostics": align_diagnostics_q,
     "smote_points": smote_points_q,
     "smote_counts": smote_counts_q,
+    "smote_neighbour_spread": smote_neighbour_spread_q,
     "knn_smote_summary": knn_smote_summary_q,
     "knn_smote_train_only_summary": knn_smote_train_only_summary_q,
     "decade_labels": decade_labels_q,

@@ -67,10 +67,14 @@ def raw_records_from_chunks(df: DataFrame, col: str) -> DataFrame:
 
 
 def parse_raw(df: DataFrame, raw_col: str = "raw", compat: bool = False) -> DataFrame:
-    """S1 steps 2–3: add ``parsed`` (struct) and ``leading_text`` flags."""
+    """S1 steps 2–3: add ``parsed`` (struct) and ``leading_text`` flags.
+
+    The struct comes out of a generator over one element, which the optimizer
+    does not copy into the filters and projections above: one parse a record.
+    """
     raw = F.col(raw_col)
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    out = df.withColumn("parsed", F.from_xml(strip_inline_tags(raw), CITATION_SCHEMA, opts))
+    out = df.select("*", F.explode(F.array(F.from_xml(strip_inline_tags(raw), CITATION_SCHEMA, opts))).alias("parsed"))
     if compat:
         # reference quirk: a section whose text starts with a child element is
         # skipped; remember, per section, whether it starts with text

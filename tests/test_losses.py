@@ -81,3 +81,43 @@ def test_knn_with_equal_and_far_vectors(spark):
     for i, v in q:
         want = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), b) for b, w in far)[:5]
         assert [got[(i, k + 1)] for k in range(5)] == [b for _, b in want]
+
+
+def test_a_dropped_mention_drops_no_other(spark):
+    from scriptorium.operators.chem import mentions
+    docs = spark.createDataFrame([(1, "acid blue dye red"), (2, "blue dye red acid blue"), (3, "red"), (4, None)], "id long, text string")
+    got = mentions(docs, "id", "text", ["acid blue", "blue dye", "dye red", "red"]).select("id", "pos", "term").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "acid blue"), (1, 3, "dye red"), (2, 1, "blue dye"), (2, 3, "red"), (2, 4, "acid blue"), (3, 1, "red")]
+
+
+def test_lsh_gives_every_query_its_neighbours(spark):
+    from scriptorium.operators.vectors import approx_knn
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(50, 20, (220, 8))
+    vecs[0] += 1000   # far from every bucket of the base
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    q = spark.createDataFrame(rows[:20], "id long, vec array<double>")
+    b = spark.createDataFrame(rows[20:], "id long, vec array<double>")
+    got = approx_knn(q, b, 5).groupBy("q_id").count().collect()
+    assert len(got) == 20 and all(r["count"] == 5 for r in got)
+    far = sorted(np.argsort(((vecs[20:] - vecs[0]) ** 2).sum(1))[:5] + 20)
+    assert sorted(r.b_id for r in approx_knn(q.where("id = 0"), b, 5).collect()) == far
+
+
+def test_smote_rows_use_all_their_neighbours(spark):
+    from scriptorium.operators.vectors import smote
+    # 10 rows raised to 70: six draws a row over five neighbours, the class size a multiple of their number
+    rows = [(i, "big" if i < 70 else "small", [float(i), float(i * i % 17)]) for i in range(80)]
+    syn = smote(spark.createDataFrame(rows, "id long, label string, vec array<double>"), "id", "vec", "label").collect()
+    assert len(syn) == 60
+    for base in range(70, 80):
+        mine = [r for r in syn if r.base_id == base]
+        assert len({r.neighbour_id for r in mine}) == 5 and len({r.u for r in mine}) == len(mine)
+
+
+def test_records_are_parsed_once(spark, sf_dir):
+    from scriptorium.plans import catalog
+    for name in ("citation_parse", "citation_export", "citation_quarantine", "citation_missing", "author_frequency"):
+        df = catalog.queries()[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1, name
