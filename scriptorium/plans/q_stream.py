@@ -49,22 +49,25 @@ def stream_event_dedupe_q(spark, sf_dir):
     base = work_dir(spark, "events")
     landing = os.path.join(base, "landing")
     events = read_table(spark, sf_dir, "events")
-    # arrivals are chronological: land the events as successive appends, each
-    # covering the next quarter of the time range (cut points from quantiles)
+    # arrivals are chronological: each append covers the next quarter of the
+    # time range (cut points from quantiles), rows without a time come first.
+    # Every third event is delivered twice at once and every fifth once more
+    # with the next quarter; the stream runs to the end after each append and
+    # goes on from its checkpoint
     secs = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.select(secs.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.001)
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (secs >= F.lit(int(lo)))
-        if hi is not None:
-            cond = cond & (secs < F.lit(int(hi)))
-        events.where(cond).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    counts = running_counts(dedupe_within_watermark(stream, ["event_id"], "ts", "1 hour"), "event_type")
+    quarter = F.lit(0)
+    for cut in cuts:
+        quarter = quarter + F.when(secs >= F.lit(int(cut)), 1).otherwise(0)
     table = os.path.join(base, "counts")
-    write_complete(counts, table, os.path.join(base, "_checkpoint"))
+    for n in range(len(cuts) + 1):
+        now = events.where(quarter == n)
+        twice = now.where(F.pmod("event_id", F.lit(3)) == 0)
+        again = events.where((quarter == n - 1) & (F.pmod("event_id", F.lit(5)) == 0))
+        now.unionByName(twice).unionByName(again).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(events.schema).parquet(landing)
+        counts = running_counts(dedupe_within_watermark(stream, ["event_id"], "ts", "1 hour"), "event_type")
+        write_complete(counts, table, os.path.join(base, "_checkpoint"))
     return spark.read.parquet(table)
 
 

@@ -27,11 +27,11 @@ def topic_frequencies_q(spark, sf_dir):
 
 def patent_titles(spark, sf_dir):
     """Title stand-in: every non-blank line of every document is one title
-    record (id = doc_id · 2^20 + line number), so the whole text is used."""
+    record (id = "doc_id:line number"), so the whole text is used."""
     docs = read_table(spark, sf_dir, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "Title"))
     return (lines.where(F.trim(F.col("Title")) != F.lit(""))
-            .select((F.col("doc_id") * (1 << 20) + F.col("line_no")).alias("title_id"), "Title"))
+            .select(F.concat_ws(":", "doc_id", "line_no").alias("title_id"), "Title"))
 
 
 def patent_topic_frequencies_q(spark, sf_dir):
