@@ -18,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scriptorium.operators.embed import hash_embedding
+from scriptorium.operators.embed import hash_embedding, pending, read_store
 from scriptorium.session import checkpoint_dir
 from scriptorium.sources.citations import RECORD_TAG, parse_raw, quarantine, raw_records_from_chunks, records
 
@@ -88,14 +88,25 @@ def dedupe_within_watermark(stream: DataFrame, keys: list[str], event_time: str,
 
 
 def embed_stream(spark: SparkSession, source: DataFrame, id_col: str, text_col: str, store: str,
-                 checkpoint: str, embedder=hash_embedding) -> None:
+                 checkpoint: str, embedder=hash_embedding, held: str | None = None) -> None:
     """Embed arriving records into the keyed store, one folder per
-    micro-batch (replays overwrite their own folder).  Records already held
-    by an earlier store are skipped with :func:`scriptorium.operators.embed.pending`
-    before the stream starts (batch form: ``embed_increment``)."""
+    micro-batch (replays overwrite their own folder).
+
+    Records whose id other batches of this store, or an earlier store at
+    ``held``, already have are skipped (J8), as are repeats within a batch;
+    each batch reads the stored ids for it, not the vectors.  Batch form:
+    ``embed_increment``."""
     def write(batch: DataFrame, epoch: int) -> None:
-        out = batch.select(F.col(id_col).cast("long").alias("id"),
-                           embedder(F.col(text_col)).cast("array<double>").alias("embedding"))
+        spark_ = batch.sparkSession
+        id_type = "string" if dict(batch.dtypes)[id_col] == "string" else "bigint"
+        done = read_store(spark_, store, id_type)
+        if "epoch" in done.columns:
+            done = done.where(F.col("epoch") != epoch)  # a replay does not skip its own rows
+        todo = pending(batch, done, id_col)
+        if held is not None:
+            todo = pending(todo, read_store(spark_, held, id_type), id_col)
+        out = todo.dropDuplicates([id_col]).select(
+            F.col(id_col).cast(id_type).alias("id"), embedder(F.col(text_col)).cast("array<double>").alias("embedding"))
         write_epoch(out, store, epoch)
 
     q = (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

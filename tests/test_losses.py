@@ -121,3 +121,18 @@ def test_records_are_parsed_once(spark, sf_dir):
         df = catalog.queries()[name](spark, sf_dir)
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1, name
+
+
+def test_embedding_stream_skips_what_is_stored(spark, tmp_path):
+    from scriptorium.streaming.ingest import embed_stream
+    landing, store, held, ck = (str(tmp_path / x) for x in ("landing", "store", "held", "ck"))
+    embed_increment(spark, spark.createDataFrame([(1, "held text")], "id long, text string"), "id", "text", held)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "id long, text string").write.mode("append").parquet(landing)
+        embed_stream(spark, spark.readStream.schema("id long, text string").parquet(landing), "id", "text", store, ck, held=held)
+
+    arrive([(1, "held text"), (2, "two"), (3, "three"), (3, "three")])
+    arrive([(2, "two"), (4, "four")])
+    arrive([(4, "four"), (5, None)])
+    assert sorted(r.id for r in read_store(spark, store).collect()) == [2, 3, 4, 5]
