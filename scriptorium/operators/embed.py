@@ -26,23 +26,39 @@ def _bucket(digest: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
-def _sign(digest: Column) -> Column:
-    return F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
+def _minus(digest: Column) -> Column:
+    return (F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8).cast("int")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas in ``body`` use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def hash_embedding(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
     """P19 default: sum of ±1 per token in bucket md5(token) mod dim, L2
-    normalised (all zeros for a text without tokens)."""
+    normalised (all zeros for a text without tokens).
+
+    Tokens become odd numbers by bucket and sign and are sorted among one even
+    mark per bucket and sign; the distances between marks are the counts.  So
+    a token costs its share of a sort, whatever the dimension."""
     toks = word_pieces(text)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
     digests = F.transform(toks, F.md5)  # one digest per token: bucket and sign
-    feats = F.transform(digests, lambda h: F.struct(_bucket(h, dim).alias("b"), _sign(h).alias("s")))
-    return F.aggregate(
-        feats, F.array_repeat(F.lit(0.0), dim),
-        lambda acc, f: F.transform(acc, lambda v, i: F.when(i == f["b"], v + f["s"]).otherwise(v)),
-        lambda acc: F.transform(acc, lambda v: v / F.greatest(
-            F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))))
+    codes = F.transform(digests, lambda h: (4 * _bucket(h, dim) + _minus(h) * 2 + 1).cast("int"))
+    ordered = F.sort_array(F.concat(codes, F.sequence(F.lit(0), F.lit(4 * dim), F.lit(2))))
+    marks = F.filter(F.transform(ordered, lambda x, i: F.when(x % 2 == 0, i)), lambda i: i.isNotNull())
+
+    def sums(at: Column) -> Column:
+        plus_less_minus = lambda i: 2 * F.get(at, 2 * i + 1) - F.get(at, 2 * i) - F.get(at, 2 * i + 2)
+        return F.when(at.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: plus_less_minus(i).cast("double")))
+
+    def unit(v: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
+        return _let(norm, lambda n: F.transform(v, lambda x: x / n))
+
+    return _let(_let(marks, sums), unit)
 
 
 def model_embedding(make_predict_fn: Callable, dim: int, batch_size: int = fv.BATCH_SIZE) -> Callable[[Column], Column]:

@@ -14,6 +14,7 @@ _MODULES = [
     "scriptorium.plans.q_topics",
     "scriptorium.plans.q_embed",
     "scriptorium.plans.q_stream",
+    "scriptorium.plans.q_files",
 ]
 
 

@@ -17,30 +17,38 @@ from scriptorium.sources.citations import records
 from scriptorium.streaming.ingest import (citation_stream, dedupe_within_watermark, embed_stream,
                                           ingest_citations, running_counts, work_dir, write_complete)
 
-LANDING_FILES = 32      # files landed per test stream
-FILES_PER_TRIGGER = 8   # files per micro-batch: four batches, each spread over tasks
+LEAST_FILES = 32        # files landed per test stream, at least
+ROWS_PER_FILE = 50_000  # more files where they would hold more rows than this
+BATCHES = 4             # micro-batches a stream takes for what was landed
+
+
+def landing_files(rows: int) -> tuple[int, int]:
+    """(files to land, files per micro-batch) for so many rows."""
+    files = max(LEAST_FILES, -(-rows // ROWS_PER_FILE))
+    return files, -(-files // BATCHES)
 
 
 def _land_citations(spark, sf_dir):
     base = work_dir(spark, "citations")
     landing = os.path.join(base, "landing")
-    citation_xml(read_table(spark, sf_dir, "documents")).select("raw") \
-        .repartition(LANDING_FILES).write.text(landing)
-    return base, landing
+    docs = read_table(spark, sf_dir, "documents")
+    files, per_batch = landing_files(docs.count())
+    citation_xml(docs).select("raw").repartition(files).write.text(landing)
+    return base, landing, per_batch
 
 
 def citation_stream_ingest_q(spark, sf_dir):
-    base, landing = _land_citations(spark, sf_dir)
+    base, landing, per_batch = _land_citations(spark, sf_dir)
     table = os.path.join(base, "records")
     ingest_citations(spark, landing, table, os.path.join(base, "quarantine"), os.path.join(base, "_checkpoint"),
-                     max_files_per_trigger=FILES_PER_TRIGGER, raw_table=os.path.join(base, "raw"))
+                     max_files_per_trigger=per_batch, raw_table=os.path.join(base, "raw"))
     return spark.read.parquet(table).drop("epoch")
 
 
 def stream_year_counts_q(spark, sf_dir):
-    base, landing = _land_citations(spark, sf_dir)
+    base, landing, per_batch = _land_citations(spark, sf_dir)
     table = os.path.join(base, "year_counts")
-    counts = running_counts(records(citation_stream(spark, landing, FILES_PER_TRIGGER)), "pub_date")
+    counts = running_counts(records(citation_stream(spark, landing, per_batch)), "pub_date")
     write_complete(counts, table, os.path.join(base, "_checkpoint"))
     return spark.read.parquet(table)
 
@@ -75,8 +83,9 @@ def stream_embed_q(spark, sf_dir):
     base = work_dir(spark, "embed")
     landing = os.path.join(base, "landing")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition(LANDING_FILES).write.parquet(landing)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(landing)
+    files, per_batch = landing_files(docs.count())
+    docs.repartition(files).write.parquet(landing)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", per_batch).parquet(landing)
     store = os.path.join(base, "store")
     embed_stream(spark, stream, "doc_id", "text", store, os.path.join(base, "_checkpoint"))
     return spark.read.parquet(store).select(
@@ -94,19 +103,17 @@ def stream_country_counts_q(spark, sf_dir):
     base = work_dir(spark, "countries")
     landing = os.path.join(base, "landing")
     meta = affiliations(read_table(spark, sf_dir, "customer")).select("ID", "Affiliations")
-    write_csv(meta.repartition(LANDING_FILES), landing)
+    files, per_batch = landing_files(meta.count())
+    write_csv(meta.repartition(files), landing)
     schema = T.StructType([T.StructField("ID", T.LongType()), T.StructField("Affiliations", T.StringType())])
-    stream = read_csv_stream(spark, landing, schema, FILES_PER_TRIGGER)
-    # as in the batch plan, the stream keeps counts per distinct affiliation
-    # string (state bounded by the distinct strings); the 354-rule lookup runs
-    # on that small table, not on every arriving row
+    stream = read_csv_stream(spark, landing, schema, per_batch)
+    # countries are the stream's keys, so state and result table stay within
+    # the rule list's countries however many affiliation strings arrive
     kept = stream.where(keep_affiliation(F.col("Affiliations")))
+    countries = kept.select(country_of(F.col("Affiliations")).alias("Country")).where(F.col("Country").isNotNull())
     table = os.path.join(base, "counts")
-    write_complete(running_counts(kept, "Affiliations"), table, os.path.join(base, "_checkpoint"))
-    per_string = spark.read.parquet(table)
-    labelled = per_string.select(country_of(F.col("Affiliations")).alias("Country"), "n")
-    return (labelled.where(F.col("Country").isNotNull())
-            .groupBy("Country").agg(F.sum("n").alias("Count")))
+    write_complete(running_counts(countries, "Country"), table, os.path.join(base, "_checkpoint"))
+    return spark.read.parquet(table).select("Country", F.col("n").alias("Count"))
 
 
 ORACLE = {

@@ -126,8 +126,10 @@ def read_wide_embeddings(spark: SparkSession, path: str, id_col: str = "ID") ->
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K4: header CSV, no index column; quotes inside fields are doubled
-    (RFC 4180, as the reader above and common CSV tools expect)."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    (RFC 4180, as the reader above and common CSV tools expect); white space
+    around a field is kept."""
+    (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def land_raw(df: DataFrame, path: str, batch_col: str = "batch", mode: str = "append") -> None:
@@ -155,6 +157,29 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+_ANSWER = "struct<molecular_formula:string,iupac_name:string,chebi_class:string>"
+
+
+def read_cache_json(spark: SparkSession, path: str) -> DataFrame:
+    """S6 in the reference's own format: files of one JSON object each, name →
+    answer.  A file that is no such object fails the read instead of losing
+    its answers.  An object is parsed whole in one task, so a large cache
+    should be many files (:func:`write_cache_json`)."""
+    whole = spark.read.text(path, wholetext=True)
+    answers = F.from_json("value", f"map<string,{_ANSWER}>", {"mode": "FAILFAST"})
+    return whole.select(F.explode(answers).alias("term", "a")).select("term", "a.*")
+
+
+def write_cache_json(cache: DataFrame, path: str, n_objects: int = 1, mode: str = "overwrite") -> None:
+    """K6 in the reference's own format: ``n_objects`` files of one JSON object
+    each (one is the reference's single file); a name must occur once."""
+    answer = F.struct(*[F.col(f.name) for f in CACHE_SCHEMA.fields if f.name != "term"])
+    part = F.pmod(F.xxhash64("term"), F.lit(max(n_objects, 1)))
+    entries = F.map_from_entries(F.collect_list(F.struct("term", answer)))
+    objects = cache.groupBy(part.alias("_part")).agg(entries.alias("_map")).select(F.to_json("_map").alias("value"))
+    objects.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
 def append_cache(new_rows: DataFrame, cache: DataFrame, path: str) -> DataFrame:
     """K6: append answers for names the cache does not hold yet (once per
     run, not once per hit); returns the rows written."""
