@@ -2,9 +2,10 @@
 
 The reference runs a per-row chemical NER model and a remote lookup with a
 local cache.  Here a term lexicon plays the NER part: each document's word
-pieces are expanded to the 1..N-grams that *start with a lexicon first word*
-(a hash-set test, so only candidate positions leave the row), joined to the
-broadcast lexicon, and overlapping candidates are resolved per document:
+pieces are expanded to 1..N-grams and joined to the lexicon.  A lexicon given as
+a list is a literal: only grams that *start with one of its first words* leave the
+row, and it is broadcast.  One given as a table, of any size, takes part in an
+ordinary join.  Overlapping candidates are resolved per document:
 the longest term at a start position wins, and a candidate that starts
 inside a kept one is dropped; what was dropped itself drops nothing.  Lookups run after the mentions are
 aggregated per term, so the dimension join sees one row per distinct term.
@@ -26,12 +27,24 @@ def lexicon_frame(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(t, len(t.split(" "))) for t in rows], "term string, n_words int")
 
 
-def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> DataFrame:
+def lexicon_table(terms: DataFrame) -> DataFrame:
+    """(term, n_words) of a table with a ``term`` column, as :func:`lexicon_frame`; nulls and blanks are no terms."""
+    words = F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != F.lit(""))
+    return (terms.select(words.alias("_w")).where(F.size("_w") > 0)
+            .select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("n_words")).distinct())
+
+
+def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | DataFrame) -> DataFrame:
     """All lexicon hits: (id, pos, n_words, term), pos 1-based."""
-    spark = docs.sparkSession
-    norm = sorted({" ".join(t.lower().split()) for t in terms})
-    max_n = max(len(t.split(" ")) for t in norm)
-    first_words = sorted({t.split(" ")[0] for t in norm})
+    if isinstance(terms, DataFrame):
+        lexicon = lexicon_table(terms)
+        max_n = lexicon.agg(F.max("n_words")).first()[0] or 1
+    else:
+        norm = sorted({" ".join(t.lower().split()) for t in terms})
+        max_n = max(len(t.split(" ")) for t in norm)
+        first_words = sorted({t.split(" ")[0] for t in norm})
+        # a literal in the caller's code: broadcasting it is safe
+        lexicon = F.broadcast(lexicon_frame(docs.sparkSession, norm))
     # tokens become a column first: an expression referenced inside a lambda
     # would be re-evaluated for every array element
     toks = F.col("_toks")
@@ -41,14 +54,14 @@ def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Seque
         return F.transform(ns, lambda n: F.struct(i.alias("pos"), n.alias("n_words"),
                                                   F.array_join(F.slice(toks, i, n), " ").alias("term")))
 
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))),
-                      lambda i: F.get(toks, i - 1).isin(*first_words))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1)))
+    if not isinstance(terms, DataFrame):
+        starts = F.filter(starts, lambda i: F.get(toks, i - 1).isin(*first_words))
     grams = F.flatten(F.transform(starts, grams_at))
     exploded = (docs.select(F.col(id_col), word_pieces(F.col(text_col)).alias("_toks"))
                 .where(F.size(toks) > 0)
                 .select(F.col(id_col), F.inline(grams)))
-    # the lexicon is an inline list: its size is fixed, so broadcasting is safe
-    return exploded.join(F.broadcast(lexicon_frame(spark, norm)), ["term", "n_words"])
+    return exploded.join(lexicon, ["term", "n_words"])
 
 
 def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
@@ -76,7 +89,7 @@ def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:
     return hits.select(id_col, F.inline(F.aggregate("_hits", F.array().cast(kind), step)))
 
 
-def mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> DataFrame:
+def mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | DataFrame) -> DataFrame:
     """One row per mention (id, pos, n_words, term)."""
     return resolve_overlaps(candidate_mentions(docs, id_col, text_col, terms), id_col)
 
@@ -103,21 +116,32 @@ def cache_frame(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(list(rows), CACHE_SCHEMA)
 
 
-def cache_hits(per_term: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cache rows for the mentioned terms.  ``per_term`` holds at most one
-    row per lexicon term (a fixed list), so it is the broadcast side and the
-    cache, however large, is only streamed past it once; the hits (bounded
-    the same way) are written once because two branches read them."""
-    return materialize(cache.join(F.broadcast(per_term.select("term")), "term"))
+#: Most rows of a per-term table that are broadcast.
+SMALL = 100_000
+
+
+def term_counts(ment: DataFrame, out: str) -> tuple[DataFrame, bool]:
+    """Mentions per term, written once (the texts are not read again), and
+    whether the table is small enough to be broadcast."""
+    per_term = materialize(ment.groupBy("term").agg(F.count(F.lit(1)).alias(out)))
+    return per_term, per_term.count() <= SMALL
+
+
+def cache_hits(per_term: DataFrame, cache: DataFrame, small: bool) -> DataFrame:
+    """Cache rows for the mentioned terms.  Where ``per_term`` is small it is
+    broadcast, and the cache, however large, is only streamed past it once;
+    the hits are written once because two branches read them."""
+    terms = per_term.select("term")
+    return materialize(cache.join(F.broadcast(terms) if small else terms, "term"))
 
 
-def lookup(per_term: DataFrame, cache: DataFrame) -> DataFrame:
-    """J4 as a left outer join of the bounded ``per_term`` table with the
-    cache, built from an inner broadcast join (hits) plus the terms without
-    a hit; a plain outer join could not broadcast the preserved small side."""
-    hits = cache_hits(per_term, cache)
-    found = per_term.join(F.broadcast(hits), "term")
-    missing = (per_term.join(F.broadcast(hits.select("term")), "term", "left_anti")
+def lookup(per_term: DataFrame, cache: DataFrame, small: bool) -> DataFrame:
+    """J4 as a left outer join of ``per_term`` with the cache, built from an
+    inner join (hits) plus the terms without a hit; a plain outer join could
+    not broadcast the preserved small side."""
+    hits = cache_hits(per_term, cache, small)
+    found = per_term.join(hits, "term")
+    missing = (per_term.join(hits.select("term"), "term", "left_anti")
                .select(*per_term.columns, *[F.lit(None).cast(f.dataType).alias(f.name)
                                             for f in cache.schema.fields if f.name != "term"]))
     return found.unionByName(missing)
@@ -131,8 +155,8 @@ def mention_summary(ment: DataFrame, cache: DataFrame, id_col: str) -> DataFrame
     the lookup join and everything after it is bounded by the number of
     distinct terms.
     """
-    per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("Frequency"))
-    joined = lookup(per_term, cache)
+    per_term, small = term_counts(ment, "Frequency")
+    joined = lookup(per_term, cache, small)
     hit = F.col("molecular_formula").isNotNull() | F.col("iupac_name").isNotNull() | \
         F.col("chebi_class").isNotNull()
     na = F.lit(fv.NOT_AVAILABLE)
@@ -161,6 +185,5 @@ def treemap(summary: DataFrame) -> DataFrame:
 
 def cache_misses(ment: DataFrame, cache: DataFrame) -> DataFrame:
     """K6: distinct mention terms the cache cannot answer (to be looked up)."""
-    per_term = ment.groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"))
-    hits = cache_hits(per_term, cache)
-    return per_term.join(F.broadcast(hits.select("term")), "term", "left_anti")
+    per_term, small = term_counts(ment, "n_mentions")
+    return per_term.join(cache_hits(per_term, cache, small).select("term"), "term", "left_anti")

@@ -27,9 +27,15 @@ from scriptorium.session import materialize
 ORDER_MUL, ORDER_MOD = 7919, 10007  # arithmetic shuffle key shared with the oracle
 
 
-def order_key(id_col: str):
-    """Seeded-by-arithmetic order used for splits and sample choice."""
-    return F.pmod(F.col(id_col) * F.lit(ORDER_MUL), F.lit(ORDER_MOD))
+def has_string_ids(df: DataFrame, id_col: str) -> bool:
+    return isinstance(df.schema[id_col].dataType, T.StringType)
+
+
+def order_key(df: DataFrame, id_col: str):
+    """Seeded-by-arithmetic order used for splits and sample choice; string ids
+    go in the order of a hash."""
+    number = F.xxhash64(id_col) if has_string_ids(df, id_col) else F.col(id_col) * F.lit(ORDER_MUL)
+    return F.pmod(number, F.lit(ORDER_MOD))
 
 
 # --- exact blocked k-NN --------------------------------------------------------
@@ -41,8 +47,11 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
             return pd.DataFrame({c: [] for c in cols})
         Q = np.stack(q["vec"].to_numpy()).astype(np.float64)
         B = np.stack(b["vec"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(np.int64)
-        bid = b["id"].to_numpy(np.int64)
+        qid, bid = q["id"].to_numpy(), b["id"].to_numpy()
+        # ids as places among the cell's base ids, which order numbers and strings alike
+        names, place = np.unique(bid, return_inverse=True)
+        own = np.minimum(np.searchsorted(names, qid), len(names) - 1)
+        own = np.where(names[own] == qid, own, -1)
         # centred, so that vectors far from the origin lose no digits
         centre = B.mean(0)
         Qm, Bm = Q - centre, B - centre
@@ -50,7 +59,7 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
         need = min(len(B), k + (1 if exclude_self else 0))
         out, s, step = [], 0, 1024
         while s < len(Q):
-            Qc, ids = Q[s:s + step], qid[s:s + step]
+            Qc, ids, me = Q[s:s + step], qid[s:s + step], own[s:s + step]
             # expansion only to choose candidates; exact distances recomputed below
             approx = qn[s:s + step, None] + bn[None, :] - 2.0 * Qm[s:s + step] @ Bm.T
             # every row within the rounding error of the k-th one is a candidate
@@ -59,18 +68,17 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
             m = int((approx <= (kth + 2 * error)[:, None]).sum(1).max())
             if len(Qc) > 1 and len(Qc) * m * B.shape[1] > 1 << 24:
                 step = max(1, (1 << 24) // (m * B.shape[1]))  # many equal distances: fewer queries at a time
-                Qc, ids, approx = Qc[:step], ids[:step], approx[:step]
+                Qc, ids, me, approx = Qc[:step], ids[:step], me[:step], approx[:step]
             s += len(Qc)
             if exclude_self:
-                approx[ids[:, None] == bid[None, :]] = np.inf
+                approx[me[:, None] == place[None, :]] = np.inf
             cand = np.argpartition(approx, m - 1, axis=1)[:, :m] if m < len(B) else \
                 np.broadcast_to(np.arange(len(B)), (len(Qc), len(B)))
             diff = Qc[:, None, :] - B[cand]
             exact = np.sqrt((diff * diff).sum(2))
             if exclude_self:
-                exact[ids[:, None] == bid[cand]] = np.inf
-            cb = bid[cand]
-            order = np.lexsort((cb, exact), axis=1)[:, :k]
+                exact[me[:, None] == place[cand]] = np.inf
+            order = np.lexsort((place[cand], exact), axis=1)[:, :k]
             rows = np.arange(len(Qc))[:, None]
             sel, d = cand[rows, order], exact[rows, order]
             keep = np.isfinite(d)
@@ -135,7 +143,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
              .withColumn("_bb", F.explode(F.sequence(F.lit(0), b_blk - 1)))
              .drop("_nb", "_nq"))
     b_type = {f.name: f.dataType for f in base.schema.fields}
-    schema = T.StructType([T.StructField("q_id", T.LongType()), T.StructField("b_id", T.LongType()),
+    id_type = lambda df: T.StringType() if has_string_ids(df, id_col) else T.LongType()
+    schema = T.StructType([T.StructField("q_id", id_type(queries)), T.StructField("b_id", id_type(base)),
                            T.StructField("dist", T.DoubleType())]
                           + [T.StructField(f"b_{c}", b_type[c]) for c in extra])
     cells = (q_rep.groupBy(g, "_qb", "_bb")
@@ -207,7 +216,7 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_share: flo
     """Per class, the first ceil(share × n_class) rows in the
     arithmetic order go to test.  Adds boolean ``is_test``."""
     frac = Fraction(test_share).limit_denominator(10000)
-    ranked = group_row_number(df.withColumn("_o", order_key(id_col)), [label_col], ["_o", id_col], "_rn")
+    ranked = group_row_number(df.withColumn("_o", order_key(df, id_col)), [label_col], ["_o", id_col], "_rn")
     # counted from the numbered (checkpointed) rows, not from the input plan
     counts = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.floor((F.col("_n") * frac.numerator + frac.denominator - 1) / frac.denominator)
@@ -277,7 +286,8 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     go round all its neighbours whatever the class size, and a ``u`` in [0, 1)
     that moves with row and draw (``U_ROW``, ``U_DRAW``):
     x = base + u (neighbour - base).  Neighbours are searched only inside
-    minority classes.  Synthetic ids are negative and consecutive per class.
+    minority classes.  Synthetic ids are negative and consecutive per class, or
+    ``synthetic-1`` and so on where ids are strings.
     Returns the synthetic rows: ``id, label, vec, base_id, neighbour_id, u``.
 
     Plan: every base row first gets its neighbours' ids and vectors (joins
@@ -310,7 +320,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     nn_vec = neigh.join(minority.select(F.col(id_col).alias("b_id"), F.col(vec_col).alias("_nv")), "b_id")
     nn_list = nn_vec.groupBy(F.col("q_id").alias("base_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "b_id", "_nv"))).alias("_nn"))
-    ranked = group_row_number(minority.withColumn("_o", order_key(id_col)), [label_col], ["_o", id_col], "_rn")
+    ranked = group_row_number(minority.withColumn("_o", order_key(minority, id_col)), [label_col], ["_o", id_col], "_rn")
     base = (ranked.select(label_col, "_rn", F.col(id_col).alias("base_id"), F.col(vec_col).alias("_bv"))
             .join(plan, label_col)
             .where(F.col("_rn") <= F.col("need"))
@@ -333,18 +343,23 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label_col: str, k_max: int =
     u = F.col("u")
     vec = F.zip_with(F.col("_bv"), F.col("_pick._nv"),
                      lambda a, b: a.cast("double") + u * (b.cast("double") - a.cast("double")))
-    return pts.select((-(F.col("id_off") + j + 1)).alias(id_col), F.col(label_col), vec.alias(vec_col),
+    number = F.col("id_off") + j + 1
+    new_id = F.concat(F.lit("synthetic-"), number.cast("string")) if has_string_ids(df, id_col) else -number
+    return pts.select(new_id.alias(id_col), F.col(label_col), vec.alias(vec_col),
                       "base_id", F.col("_pick.b_id").alias("neighbour_id"), "u")
 
 
 def smote_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str,
                    oversample_mode: str = "before_split", test_share: float = fv.TEST_SHARE,
-                   **kw) -> tuple[DataFrame, int, int]:
+                   method: str = "exact", **kw) -> tuple[DataFrame, int, int]:
     """Q-K2: SMOTE + split + k-NN.  ``before_split`` is the reference order
     (synthetic neighbours of test rows can leak into training);
-    ``train_only`` splits first and oversamples the training rows only."""
+    ``train_only`` splits first and oversamples the training rows only;
+    ``none`` does without SMOTE.  ``method`` is :func:`classify`'s."""
     if oversample_mode == "before_split":
         split = stratified_split(oversample(df, id_col, vec_col, label_col, **kw), label_col, id_col, test_share)
+    elif oversample_mode == "none":
+        split = stratified_split(df, label_col, id_col, test_share)
     elif oversample_mode == "train_only":
         split = stratified_split(df, label_col, id_col, test_share)
         train = split.where(~F.col("is_test")).drop("is_test")
@@ -354,7 +369,7 @@ def smote_classify(df: DataFrame, id_col: str, vec_col: str, label_col: str,
                  .unionByName(test))
     else:
         raise ValueError(f"unknown oversample mode {oversample_mode!r}")
-    return classify(split, id_col, vec_col, label_col)
+    return classify(split, id_col, vec_col, label_col, method=method)
 
 
 def oversample(df: DataFrame, id_col: str, vec_col: str, label_col: str, **kw) -> DataFrame:

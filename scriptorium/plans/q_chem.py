@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from scriptorium.functions import fixed_values as fv
-from scriptorium.operators.chem import cache_frame, cache_misses, mention_summary, mentions, treemap
+from scriptorium.operators.chem import cache_frame, cache_misses, lexicon_frame, mention_summary, mentions, treemap
 from scriptorium.plans.sqltext import values_rows
 from scriptorium.session import read_table, widen
 
@@ -44,15 +46,24 @@ def cache_misses_q(spark, sf_dir):
     return cache_misses(_mentions(spark, sf_dir), cache_frame(spark, CACHE))
 
 
+def lexicon_table_mentions_q(spark, sf_dir):
+    """J9 with the lexicon as a table: the words of all part names and of some phrases."""
+    parts = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+    table = parts.unionByName(lexicon_frame(spark, LEXICON).select("term"))
+    docs = widen(read_table(spark, sf_dir, "documents"))
+    return mentions(docs, "doc_id", "text", table).groupBy("term").agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
 def _lex_rows():
     norm = sorted({" ".join(t.lower().split()) for t in LEXICON})
     return values_rows([(t, len(t.split(" "))) for t in norm])
 
 
-_MENTIONS = f"""toks AS (
+def _mentions_sql(lex: str) -> str:
+    return f"""toks AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t
   FROM documents),
-lex(term, n_words) AS (VALUES {_lex_rows()}),
+lex(term, n_words) AS ({lex}),
 grams AS (
   SELECT doc_id, pos, n AS n_words, array_to_string(t[pos:pos + n - 1], ' ') AS term
   FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM toks) p,
@@ -72,6 +83,11 @@ ment AS (
 cache(term, molecular_formula, iupac_name, chebi_class) AS (VALUES {values_rows(CACHE)}),
 classes(cid, cname) AS (VALUES {values_rows(fv.CHEBI_CLASS_NAMES)})"""
 
+
+_MENTIONS = _mentions_sql(f"VALUES {_lex_rows()}")
+_TABLE_MENTIONS = _mentions_sql(f"""SELECT DISTINCT w, 1 FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> ''
+  UNION SELECT * FROM (VALUES {_lex_rows()})""")
+
 _SUMMARY = """summary AS (
   SELECT p.term AS "Term", 'Chemical' AS "Entity Type",
          coalesce(c.chebi_class, 'N/A') AS "ChEBI Class",
@@ -96,6 +112,8 @@ SELECT "Term", "ChEBI Class Name", grouping_id("Term", "ChEBI Class Name") AS le
        CAST(sum("Frequency") AS BIGINT) AS value,
        round(sum("Frequency" * "Frequency") / sum("Frequency"), 6) AS color
 FROM summary GROUP BY ROLLUP ("Term", "ChEBI Class Name")""",
+    "lexicon_table_mentions": f"""WITH RECURSIVE {_TABLE_MENTIONS}
+SELECT term, count(*) AS n_mentions FROM ment GROUP BY term""",
     "cache_misses": f"""WITH RECURSIVE {_MENTIONS}
 SELECT term, count(*) AS n_mentions FROM ment WHERE term NOT IN (SELECT term FROM cache) GROUP BY term""",
 }
@@ -104,4 +122,5 @@ QUERIES = {
     "term_mentions": term_mentions_q,
     "mention_treemap": mention_treemap_q,
     "cache_misses": cache_misses_q,
+    "lexicon_table_mentions": lexicon_table_mentions_q,
 }

@@ -11,8 +11,6 @@ from scriptorium.plans.standins import SQL_PUBLICATION_DATES, SQL_YEAR
 from scriptorium.session import read_table, widen
 from scriptorium.sources.tables import require_unique
 
-NO_OVERSAMPLING = "No Oversampling"
-
 
 def embeddings(spark, sf_dir):
     return widen(read_table(spark, sf_dir, "embeddings"))
@@ -77,7 +75,7 @@ def knn_report_q(spark, sf_dir):
 
 def knn_run_summary_q(spark, sf_dir):
     pred, k, n_train = _classified(spark, sf_dir)
-    return run_summary(pred, n_train, k, mitigation=NO_OVERSAMPLING)
+    return run_summary(pred, n_train, k, mitigation=fv.NO_OVERSAMPLING)
 
 
 def embedding_align_q(spark, sf_dir):

@@ -55,7 +55,7 @@ def embedding_run(spark: SparkSession, blocks_path: str, store_path: str, embedd
 
 def country_run(spark: SparkSession, metadata_csv: str, out_dir: str) -> DataFrame:
     """Affiliations → country frequency table."""
-    meta = read_metadata(spark, metadata_csv, required=["Affiliations"])
+    meta = read_metadata(spark, metadata_csv, required=["Affiliations"], id_type="string")
     freq = country_frequency(meta, "Affiliations")
     write_csv(freq, os.path.join(out_dir, "country_frequency"))
     return freq
@@ -64,7 +64,7 @@ def country_run(spark: SparkSession, metadata_csv: str, out_dir: str) -> DataFra
 def compound_run(spark: SparkSession, metadata_csv: str, lexicon: Sequence[str], cache_path: str,
                  out_dir: str) -> DataFrame:
     """Abstract mentions → looked-up compound summary (+ names to look up)."""
-    meta = read_metadata(spark, metadata_csv, required=["ID", "Abstract"])
+    meta = read_metadata(spark, metadata_csv, required=["ID", "Abstract"], id_type="string")
     ment = mentions(meta.where(F.col("Abstract").isNotNull()), "ID", "Abstract", lexicon)
     cache = read_cache(spark, cache_path)
     summary = mention_summary(ment, cache, "ID")
@@ -76,7 +76,7 @@ def compound_run(spark: SparkSession, metadata_csv: str, lexicon: Sequence[str],
 def topic_run(spark: SparkSession, metadata_csv: str, out_dir: str,
               years: tuple[int, int] = fv.YEAR_RANGE) -> DataFrame:
     """Abstracts published in ``years`` → topic table."""
-    meta = read_metadata(spark, metadata_csv, required=["ID", "Abstract", "Publication_Date"])
+    meta = read_metadata(spark, metadata_csv, required=["ID", "Abstract", "Publication_Date"], id_type="string")
     dated = meta.withColumn("year", pub_year(F.col("Publication_Date")))
     chosen = require_rows(dated.where(in_year_range(F.col("year"), *years)), "abstracts in the year range")
     table = topic_table(fit_topics(chosen, "ID", "Abstract"))
@@ -98,19 +98,19 @@ def patent_topic_run(spark: SparkSession, patents_csv: str, out_dir: str) -> Dat
 
 
 def classification_run(spark: SparkSession, embeddings_csv: str, metadata_csv: str, out_dir: str,
-                       oversample_mode: str = "before_split") -> tuple[DataFrame, DataFrame]:
-    """Wide embeddings + metadata → SMOTE → split → k-NN → run summary and
-    per-class report.  The label is the metadata's ``label`` column, else
+                       oversample_mode: str = "before_split", method: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """Wide embeddings + metadata → SMOTE (or none) → split → k-NN → run summary
+    and per-class report.  Ids may be of any form.  The label is the metadata's ``label`` column, else
     the publication decade."""
-    emb = require_unique(read_wide_embeddings(spark, embeddings_csv, "ID"), "id", "embeddings")
-    meta = require_unique(read_metadata(spark, metadata_csv, required=["ID"]), "ID", "metadata")
+    emb = require_unique(read_wide_embeddings(spark, embeddings_csv, "ID", id_type="string"), "id", "embeddings")
+    meta = require_unique(read_metadata(spark, metadata_csv, required=["ID"], id_type="string"), "ID", "metadata")
     year = pub_year(F.col("Publication_Date"))
     labelled = (meta.withColumn("year", year)
                 .withColumn("label", label_or_decade(F.col("label"), F.col("year")))
                 .where(F.col("label").isNotNull()))
     aligned = require_rows(emb.join(labelled.select(F.col("ID").alias("id"), "label"), "id"), "aligned data")
-    pred, k, n_train = smote_classify(aligned, "id", "embedding", "label", oversample_mode)
-    mitigation = fv.MITIGATION if oversample_mode == "before_split" else f"{fv.MITIGATION} ({oversample_mode})"
+    pred, k, n_train = smote_classify(aligned, "id", "embedding", "label", oversample_mode, method=method)
+    mitigation = {"before_split": fv.MITIGATION, "none": fv.NO_OVERSAMPLING}.get(oversample_mode, f"{fv.MITIGATION} ({oversample_mode})")
     summary = run_summary(pred, n_train, k, mitigation=mitigation)
     rep = report(confusion(pred))
     write_csv(summary, os.path.join(out_dir, "knn_results"))

@@ -105,21 +105,35 @@ def read_csv_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
                        for f in schema.fields])
 
 
-def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("ID",)) -> DataFrame:
+def typed_id(df: DataFrame, id_col: str, id_type: str) -> DataFrame:
+    """Ids as read from text in the wanted type.  An id that is no number fails
+    the query where numbers are wanted; it does not become null."""
+    if id_type == "string":
+        return df
+    number = F.trim(F.col(id_col)).try_cast(id_type)
+    told = F.concat(F.lit(f"{id_col} is not a number (read it with id_type='string'): "), F.col(id_col))
+    checked = F.when(number.isNull() & F.col(id_col).isNotNull(), F.raise_error(told).cast(id_type)).otherwise(number)
+    return df.withColumn(id_col, checked)
+
+
+def read_metadata(spark: SparkSession, path: str, required: Sequence[str] = ("ID",), id_type: str = "bigint") -> DataFrame:
     """The metadata table with the columns the operators use (matched by
-    name; ``required`` ones must be in the file)."""
-    return read_csv(spark, path, METADATA_SCHEMA, required)
+    name; ``required`` ones must be in the file).  ``id_type`` "string" takes
+    ids of any form."""
+    schema = T.StructType([T.StructField("ID", T.StringType(), True) if f.name == "ID" else f for f in METADATA_SCHEMA.fields])
+    return typed_id(read_csv(spark, path, schema, required), "ID", id_type)
 
 
-def read_wide_embeddings(spark: SparkSession, path: str, id_col: str = "ID") -> DataFrame:
+def read_wide_embeddings(spark: SparkSession, path: str, id_col: str = "ID", id_type: str = "bigint") -> DataFrame:
     """A CSV with an id column and one column per feature →
-    ``id, embedding array<double>`` (column order preserved)."""
+    ``id, embedding array<double>`` (column order preserved).  ``id_type``
+    "string" takes ids of any form."""
     head = spark.read.option("header", True).csv(path).columns  # header only, no data pass
     if id_col not in head:
         raise ValueError(f"embedding file lacks the {id_col!r} column")
-    schema = T.StructType([T.StructField(c, T.LongType() if c == id_col else T.DoubleType(), True)
+    schema = T.StructType([T.StructField(c, T.StringType() if c == id_col else T.DoubleType(), True)
                            for c in head])
-    df = spark.read.option("header", True).schema(schema).csv(path)
+    df = typed_id(spark.read.option("header", True).schema(schema).csv(path), id_col, id_type)
     feats = [c for c in head if c != id_col]
     return df.select(F.col(id_col).alias("id"), F.array(*[F.col(f"`{c}`") for c in feats]).alias("embedding"))
 

@@ -88,6 +88,9 @@ def test_a_dropped_mention_drops_no_other(spark):
     docs = spark.createDataFrame([(1, "acid blue dye red"), (2, "blue dye red acid blue"), (3, "red"), (4, None)], "id long, text string")
     got = mentions(docs, "id", "text", ["acid blue", "blue dye", "dye red", "red"]).select("id", "pos", "term").collect()
     assert sorted(map(tuple, got)) == [(1, 1, "acid blue"), (1, 3, "dye red"), (2, 1, "blue dye"), (2, 3, "red"), (2, 4, "acid blue"), (3, 1, "red")]
+    table = spark.createDataFrame([(t,) for t in ["Acid  blue", "blue dye", " dye red", "red", "red", "", None]], "term string")
+    assert sorted(map(tuple, mentions(docs, "id", "text", table).select("id", "pos", "term").collect())) == sorted(map(tuple, got))
+    assert mentions(docs, "id", "text", table.limit(0)).count() == 0
 
 
 def test_lsh_gives_every_query_its_neighbours(spark):
