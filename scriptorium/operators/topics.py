@@ -118,9 +118,13 @@ def top_words(fit: TopicFit, n: int = fv.TOP_WORDS) -> DataFrame:
 
     ``describeTopics`` yields k rows of term indices; they are joined to the
     vocabulary table (the k×n side is broadcast) and folded per topic."""
-    top = fit.model.describeTopics(n).select(
-        "topic", F.posexplode("termIndices").alias("rank", "idx"))
-    named = fit.terms.join(F.broadcast(top), "idx")
+    return named_words(fit.model.describeTopics(n).select("topic", F.posexplode("termIndices").alias("rank", "idx")), fit.terms)
+
+
+def named_words(top: DataFrame, terms: DataFrame) -> DataFrame:
+    """``topic, Top_Words`` from the few (topic, rank, idx), rank 0 the
+    strongest, and the vocabulary table (idx, term)."""
+    named = terms.join(F.broadcast(top), "idx")
     return named.groupBy("topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rank"), F.col("term")))),
                                  lambda x: x["term"]), ", ").alias("Top_Words"))
@@ -128,19 +132,31 @@ def top_words(fit: TopicFit, n: int = fv.TOP_WORDS) -> DataFrame:
 
 def topic_table(fit: TopicFit, n_words: int = fv.TOP_WORDS) -> DataFrame:
     """M4 = A4 ⋈ W1 ⋈ P15: ``Topic, Frequency, Top_Words``."""
-    shares = topic_shares(fit)
-    freq = (shares.select(F.posexplode("shares").alias("topic", "share"))
+    return labelled_topics(mean_shares(topic_shares(fit)), top_words(fit, n_words))
+
+
+def mean_shares(shares: DataFrame) -> DataFrame:
+    """A4: ``topic, Frequency``, the mean share of each topic."""
+    return (shares.select(F.posexplode("shares").alias("topic", "share"))
             .groupBy("topic").agg(F.avg("share").alias("Frequency")))
-    return (freq.join(top_words(fit, n_words), "topic")
+
+
+def labelled_topics(freq: DataFrame, words: DataFrame) -> DataFrame:
+    """M4: ``Topic, Frequency, Top_Words`` with topics counted from one."""
+    return (freq.join(words, "topic")
             .select(F.format_string("Topic %d", F.col("topic") + 1).alias("Topic"), "Frequency", "Top_Words")
             .orderBy("Topic"))
 
 
 def topics_by_period(fit: TopicFit, periods: DataFrame, period_col: str) -> DataFrame:
-    """Mean topic share per period (``periods``: id, period) and the
-    dominant topic of each period."""
-    shares = topic_shares(fit).join(periods.select(F.col("id"), F.col(period_col)), "id")
-    per = (shares.select(period_col, F.posexplode("shares").alias("topic", "share"))
+    """Mean topic share per period (``periods``: id, period)."""
+    return shares_by_period(topic_shares(fit), periods, period_col)
+
+
+def shares_by_period(shares: DataFrame, periods: DataFrame, period_col: str) -> DataFrame:
+    """A17 from ``id, shares``."""
+    met = shares.join(periods.select(F.col("id"), F.col(period_col)), "id")
+    per = (met.select(period_col, F.posexplode("shares").alias("topic", "share"))
            .groupBy(period_col, "topic").agg(F.avg("share").alias("Frequency"),
                                             F.count(F.lit(1)).alias("n_docs")))
     return per.select(period_col, F.format_string("Topic %d", F.col("topic") + 1).alias("Topic"),

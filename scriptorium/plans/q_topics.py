@@ -1,11 +1,13 @@
-"""Registered queries: topic models (rows-only checks; topic ids are arbitrary)."""
+"""Registered queries: topic models (rows-only checks; topic ids are arbitrary), and the
+tables made from a model's shares and words."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from scriptorium.functions.dates import in_year_range, pub_year
-from scriptorium.operators.topics import fit_topics, topic_table, topics_by_period
+from scriptorium.operators.topics import (fit_topics, labelled_topics, mean_shares, named_words, shares_by_period,
+                                          topic_table, topics_by_period)
 from scriptorium.plans.q_trends import FIXTURE_YEARS
 from scriptorium.plans.standins import publication_dates
 from scriptorium.session import read_table
@@ -44,9 +46,65 @@ def topics_by_period_q(spark, sf_dir):
     return topics_by_period(fit, docs.select(F.col("doc_id").alias("id"), "year"), "year")
 
 
+# --- the tables around a fit (A4, W1, P15, M4, A17), on shares and weights that SQL can compute too ---
+
+SHARE_TOPICS, SHARE_WORDS = 5, 10
+
+
+def derived_shares(spark, sf_dir):
+    """Shares of a few topics: the first values of each embedding, made positive and scaled to one."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    raw = F.transform(F.slice("embedding", 1, SHARE_TOPICS), lambda x: F.abs(x.cast("double")) + 0.001)
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
+    return (emb.select(F.col("vec_id").alias("id"), "label", raw.alias("raw")).withColumn("total", total)
+            .select("id", "label", F.transform("raw", lambda x: x / F.col("total")).alias("shares")))
+
+
+def derived_words(spark, sf_dir):
+    """((topic, rank, idx), (idx, term)): part names as vocabulary, weighed by an arithmetic of the key."""
+    part = read_table(spark, sf_dir, "part")
+    topics = F.explode(F.sequence(F.lit(0), F.lit(SHARE_TOPICS - 1)))
+    weight = F.pmod(F.col("idx") * (F.col("topic") * 104 + 7919), F.lit(10007))
+    strongest = Window.partitionBy("topic").orderBy(F.desc("weight"), "idx")
+    top = (part.select(F.col("p_partkey").alias("idx"), topics.alias("topic")).withColumn("weight", weight)
+           .withColumn("rank", F.row_number().over(strongest) - 1).where(F.col("rank") < SHARE_WORDS))
+    return top.select("topic", "rank", "idx"), part.select(F.col("p_partkey").alias("idx"), F.concat_ws(" ", "p_name", "p_partkey").alias("term"))
+
+
+def topic_table_of_shares_q(spark, sf_dir):
+    freq = mean_shares(derived_shares(spark, sf_dir))
+    words = named_words(*derived_words(spark, sf_dir))
+    return labelled_topics(freq, words).select("Topic", F.round("Frequency", 6).alias("Frequency"), "Top_Words")
+
+
+def shares_by_period_q(spark, sf_dir):
+    shares = derived_shares(spark, sf_dir)
+    per = shares_by_period(shares.select("id", "shares"), shares.select("id", F.col("label").alias("period")), "period")
+    return per.select("period", "Topic", F.round("Frequency", 6).alias("Frequency"), "n_docs")
+
+
+_SHARES = f"""raw AS (
+  SELECT vec_id, label, list_transform(embedding[1:{SHARE_TOPICS}], lambda x: abs(CAST(x AS DOUBLE)) + 0.001) AS r FROM embeddings),
+shares AS (
+  SELECT label, t AS topic, r[t + 1] / list_sum(r) AS share FROM raw, (SELECT unnest(range({SHARE_TOPICS})) AS t))"""
+
 QUERIES = {
     "topic_frequencies": topic_frequencies_q,
     "patent_topic_frequencies": patent_topic_frequencies_q,
     "topics_by_period": topics_by_period_q,
+    "topic_table_of_shares": topic_table_of_shares_q,
+    "shares_by_period": shares_by_period_q,
+}
+ORACLE = {
+    "topic_table_of_shares": f"""WITH {_SHARES},
+weights AS (
+  SELECT t AS topic, p_partkey, p_name || ' ' || p_partkey AS term,
+         row_number() OVER (PARTITION BY t ORDER BY (p_partkey * (t * 104 + 7919)) % 10007 DESC, p_partkey) AS n
+  FROM part, (SELECT unnest(range({SHARE_TOPICS})) AS t)),
+words AS (SELECT topic, string_agg(term, ', ' ORDER BY n DESC) AS w FROM weights WHERE n <= {SHARE_WORDS} GROUP BY topic),
+freq AS (SELECT topic, round(avg(share), 6) AS f FROM shares GROUP BY topic)
+SELECT 'Topic ' || (topic + 1) AS "Topic", f AS "Frequency", w AS "Top_Words" FROM freq JOIN words USING (topic)""",
+    "shares_by_period": f"""WITH {_SHARES}
+SELECT label AS period, 'Topic ' || (topic + 1) AS "Topic", round(avg(share), 6) AS "Frequency", count(*) AS n_docs
+FROM shares GROUP BY label, topic""",
 }
-ORACLE: dict[str, str] = {}
