@@ -9,10 +9,10 @@ the same (term, t) with probability equal to their generalised Jaccard
 similarity.  The least a itself stands for the pick, since it depends on nothing
 else; sixteen bits of its hash make four digits of the fingerprint.
 
-Draws are made by bins: in each of ``ROUNDS`` rounds a term's hash sends it to
-one of ``BINS`` bins, each of which is one draw among its terms, so a term is
-sampled ``ROUNDS`` times for ``ROUNDS * BINS`` digits.  A bin without terms
-borrows the digits of the next one with terms in its round.
+Every term takes part in all ``DRAWS`` draws.  They are made ``GROUP`` at a time:
+a row holds a term and one group of draws, whose least values are as many
+aggregates side by side, so that the aggregation looks up one key for all of them
+and no array is built a term.
 
 Plan of ``against_next``: documents go by blocks of adjacent ids to the tasks,
 once; each block also gets the first document of the next block, so that
@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm import common
 from scriptorium.operators.indexing import consecutive_index
 
-ROUNDS, BINS = 4, 16
+#: Draws a text, and how many of them one row makes.
+DRAWS, GROUP = 64, 16
 BLOCK_IDS = 256
 MAX_BLOCKS = 1_000_000
 
@@ -70,7 +71,7 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def log_a(x: Column, lnw: Column) -> Column:
-    """ln a of a term in one round, ``x`` its hash there (whose lowest bits chose the bin)."""
+    """ln a of a term in one draw, ``x`` its hash there."""
     y = F.xxhash64(x)
     r = -F.ln(_uniform(x, 4, 20) * _uniform(x, 24, 20))
     b = _uniform(x, 44, 20)
@@ -89,14 +90,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _codes(found: Column, text: int) -> Column:
-    """The digits of one text from its sorted (k, code) pairs; a bin without pair takes the next of its round."""
-    def of_round(g: int) -> Column:
-        low = text * ROUNDS * BINS + g * BINS
-        inside = F.filter(found, lambda e: (e["k"] >= low) & (e["k"] < low + BINS))
-        return common.bound(inside, lambda e: F.when(F.size(e) == BINS, F.transform(e, lambda x: x["code"])).otherwise(
-            F.transform(F.sequence(F.lit(low), F.lit(low + BINS - 1)), lambda k: F.coalesce(
-                F.get(F.filter(e, lambda x: x["k"] >= k), F.lit(0))["code"], F.get(e, F.lit(0))["code"], F.lit(0)))))
-    return F.flatten(F.array(*[of_round(g) for g in range(ROUNDS)]))
+    """The digits of one text from its sorted (k, g, codes) groups; zeros for a text without words."""
+    groups = F.transform(F.filter(found, lambda e: e["k"] == text), lambda e: e["codes"])
+    return F.when(F.exists(found, lambda e: e["k"] == text), F.flatten(groups)).otherwise(F.array_repeat(F.lit(0), DRAWS))
 
 
 def draw(df: DataFrame, keys: list[str], texts: list[str], carry: list[str]) -> DataFrame:
@@ -104,21 +100,20 @@ def draw(df: DataFrame, keys: list[str], texts: list[str], carry: list[str]) ->
 
     ``keys`` name a row.  Where ``df`` is distributed by one of them, no row
     moves.  The carried values travel as pairs of their own beside the picks,
-    so that only two numbers are kept for a pair.
+    so that a pair keeps little beside the least values.
     """
-    marks, slots = 1 << 20, ROUNDS * BINS
+    marks = len(texts)
     pair = "array<struct<k:int,h:bigint,n:int,v:bigint>>"
     own = F.array(*[F.struct(F.lit(marks + j).alias("k"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), F.col(c).cast("long").alias("v"))
                     for j, c in enumerate(carry)])
-    of_text = lambda i: F.transform(terms(F.col(texts[i])), lambda x: F.struct(F.lit(i * slots).alias("k"), x["h"].alias("h"), x["n"].alias("n"), F.lit(None).cast("long").alias("v")))
+    of_text = lambda i: F.transform(terms(F.col(texts[i])), lambda x: F.struct(F.lit(i).alias("k"), x["h"].alias("h"), x["n"].alias("n"), F.lit(None).cast("long").alias("v")))
     spread = df.select(*keys, F.inline(F.concat(own.cast(pair), *[of_text(i).cast(pair) for i in range(len(texts))])))
-    rounds = F.when(F.col("k") >= marks, F.array(F.lit(0))).otherwise(F.array(*[F.lit(g) for g in range(ROUNDS)]))
-    weighed = spread.select(*keys, "k", "h", "v", log_weight(F.col("h"), F.col("n")).alias("lnw"), F.explode(rounds).alias("g"))
-    hashed = weighed.select(*keys, "k", "v", "lnw", "g", F.when(F.col("h").isNotNull(), F.xxhash64("h", "g")).alias("x"))
-    bin_of = F.col("k") + F.coalesce(F.col("g") * BINS + F.col("x").bitwiseAND(F.lit(BINS - 1)).cast("int"), F.lit(0))
-    picks = hashed.select(*keys, bin_of.alias("k"), "v", log_a(F.col("x"), F.col("lnw")).alias("a")).groupBy(*keys, "k").agg(F.min("a").alias("a"), F.min("v").alias("v"))
-    code = F.xxhash64("a").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    found = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", code.alias("code"), "v"))).alias("found"))
+    groups = F.when(F.col("k") >= marks, F.array(F.lit(0))).otherwise(F.array(*[F.lit(g) for g in range(DRAWS // GROUP)]))
+    weighed = spread.select(*keys, "k", "h", "v", log_weight(F.col("h"), F.col("n")).alias("lnw"), F.explode(groups).alias("g"))
+    least = [F.min(log_a(F.xxhash64("h", F.col("g") * GROUP + j), F.col("lnw"))).alias(f"a{j}") for j in range(GROUP)]
+    picks = weighed.groupBy(*keys, "k", "g").agg(*least, F.min("v").alias("v"))
+    codes = F.array(*[F.xxhash64(f"a{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(GROUP)])
+    found = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "g", codes.alias("codes"), "v"))).alias("found"))
     marked = F.filter("found", lambda e: e["k"] >= marks)
     held = found.select(*keys, "found", marked.alias("marked"))
     return held.select(*keys, *[F.get("marked", F.lit(j))["v"].alias(c) for j, c in enumerate(carry)],

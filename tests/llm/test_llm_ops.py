@@ -154,6 +154,18 @@ def test_fingerprint_collisions_equal_weighted_jaccard(spark):
     assert abs(np.mean(diff)) < 0.03 and np.std(diff) < 0.1
 
 
+def test_fingerprint_collisions_with_one_dominating_term(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for length, times, others, least in ((40, 5, 100, 0.6), (63, 1, 60, 0.6), (20, 2, 60, 0.2), (14, 3, 20, 0.4)):
+        texts = [" ".join([w] * times + [word(5) for _ in range(others)]) for w in (word(length) for _ in range(24)) for _ in range(2)]
+        codes = [x.fingerprint for x in fingerprint.fingerprints(frame(spark, rows_of(texts))).orderBy("doc_id").collect()]
+        shared = times * (length - 1) ** 2
+        j = shared / (shared + 2 * others * 16)
+        found = np.mean([codes[k][i:i + 4] == codes[k + 1][i:i + 4] for k in range(0, len(texts), 2) for i in range(0, 256, 4)])
+        assert j > least and abs(found - j) < 0.06, (length, times, others, j, found)
+
+
 def test_quality_measures_equal_brute_force(spark):
     texts = AWKWARD + ["a b c d e " * 6, prose(3, 60) + " " + prose(3, 60), "*** " * 40, prose(9, 200)]
     for r in quality.report(frame(spark, rows_of(texts))).collect():
