@@ -1,10 +1,20 @@
 """License scans: TF-IDF cosine to templates, then inheritance down directories.
 
-Every line, and every block of lines between blank ones, that has a word typical
-of licences is a unit; its sparse TF-IDF vector is compared by cosine with
-those of the template notices.  Document frequencies of the template words
-are counted over all documents; words that no template has count as seen in
-none, so they lengthen a unit's vector but never meet a template's.
+Templates are one-sentence notices, the standard headers of source files and
+the full texts (and the title and preamble of those that have one).  Units are
+lines, blocks between blank lines, and windows of a template's length at every
+word, so a notice inside a long line is met as well; long templates meet the
+whole text and windows a quarter of their length apart, with dampened word counts,
+since common words would rule there.  A unit's sparse TF-IDF vector is compared by
+cosine.  Document frequencies of the template words are counted over all
+documents; words that no template has count as seen in none, so they lengthen
+a unit's vector but never meet a template's.  ``SPDX-License-Identifier`` lines
+name their licence and are read, not compared.
+
+A cosine is at most the root of the share of the template's squared length that
+lies on words of the text.  Templates whose share is too small for ``SIMILAR``
+are left out at once, which loses no match; the score of a text without licence
+is 0.
 
 A document whose own text has no licence inherits that of the licence file in
 its nearest ancestor directory.  Directories are resolved apart from the
@@ -21,9 +31,12 @@ empty table; only the named columns are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import functools
 import math
+import pkgutil
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,23 +62,70 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
 )
 
-TYPICAL = re.compile(r"licen[cs]|permission|redistribut|copyright|mozilla public", re.I)
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation, {1}. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU {0} License for more details.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+          "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+
+#: Standard headers of source files, and texts of the short licences (fixed values).
+HEADERS = (
+    *[(name, _GNU.format(kind, f"either version {v} of the License, or (at your option) any later version")) for name, kind, v in (
+        ("GPL-3.0", "General Public", "3"), ("GPL-2.0", "General Public", "2"), ("LGPL-3.0", "Lesser General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"),
+        ("AGPL-3.0", "Affero General Public", "3"))],
+    *[(name, _GNU.format("General Public", f"version {v} of the License").split(". This")[0] + ".") for name, v in (("GPL-3.0", "3"), ("GPL-2.0", "2"))],
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                   "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+            "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+            "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS),
+    ("BSD-2-Clause", _BSD + _AS_IS),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+                  "compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+
+#: Licences whose full text is a file of ``license_texts``.
+FULL = ("Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")
+
+SPDX = re.compile(r"SPDX-License-Identifier:[\x20\x09(]*([A-Za-z0-9.-]+)(\+?)", re.A)
 TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 SIMILAR = 0.7
+#: Templates with more words are long.
+LONG = 200
+
 
-VOCABULARY = sorted({w for _, t in TEMPLATES for w in TOKEN.findall(t.lower())})
+@functools.cache
+def templates() -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(licence, words) of all templates; only the driver reads them."""
+    out = [*TEMPLATES, *HEADERS]
+    for name in FULL:
+        text = pkgutil.get_data("scriptorium.llm", f"license_texts/{name}.txt").decode()
+        head = re.split(r"TERMS AND CONDITIONS", text)[0] if "Preamble" in text else ""
+        out += [(name, x) for x in (text, head) if x]
+    return tuple((name, tuple(TOKEN.findall(text.lower()))) for name, text in out)
+
+
+def vocabulary() -> list[str]:
+    return sorted({w for _, words in templates() for w in words})
 
 
 def word_frequencies(df: DataFrame, text_col: str) -> DataFrame:
     """(word, df): in how many documents a template word occurs; word "" counts documents."""
-    vocabulary = frozenset(VOCABULARY)
+    known = frozenset(vocabulary())
 
     def count(batches):
-        total = dict.fromkeys(["", *VOCABULARY], 0)
+        total = dict.fromkeys(["", *known], 0)
         for b in batches:
             for t in b.column(0):
                 total[""] += 1
-                for w in vocabulary.intersection(TOKEN.findall((t.as_py() or "").lower())):
+                for w in known.intersection(TOKEN.findall((t.as_py() or "").lower())):
                     total[w] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "df"])
 
@@ -73,44 +133,77 @@ def word_frequencies(df: DataFrame, text_col: str) -> DataFrame:
 
 
 class Matcher:
-    """Cosine of a unit of text to every template."""
+    """Cosine of units of a text to every template."""
 
     def __init__(self, frequencies: dict[str, int]):
-        docs = frequencies.get("", 0)
-        self.idf = {w: 1 + math.log((1 + docs) / (1 + frequencies.get(w, 0))) for w in VOCABULARY}
+        docs, words = frequencies.get("", 0), vocabulary()
+        self.idf = {w: 1 + math.log((1 + docs) / (1 + frequencies.get(w, 0))) for w in words}
         self.unknown = 1 + math.log(1 + docs)
-        self.templates = [(name, *self.vector(text)) for name, text in TEMPLATES]
-
-    def vector(self, text: str) -> tuple[dict[str, float], float]:
+        self.row = {w: i for i, w in enumerate(words)}
+        self.templates = [(name, len(t), *self.vector(t, len(t) > LONG)) for name, t in templates()]
+        #: Share of a template's squared length on each word.
+        self.share = np.zeros((len(words), len(self.templates)))
+        for k, (_, _, weights, length) in enumerate(self.templates):
+            for w, x in weights.items():
+                self.share[self.row[w], k] = (x / length) ** 2
+
+    def vector(self, words, dampened: bool) -> tuple[dict[str, float], float]:
         counts: dict[str, int] = {}
-        for w in TOKEN.findall(text.lower()):
+        for w in words:
             counts[w] = counts.get(w, 0) + 1
-        weights = {w: n * self.idf.get(w, self.unknown) for w, n in counts.items()}
+        weights = {w: (1 + math.log(n) if dampened else n) * self.idf.get(w, self.unknown) for w, n in counts.items()}
         return weights, math.sqrt(sum(x * x for x in weights.values()))
 
-    def best(self, unit: str) -> tuple[float, str]:
-        vector, norm = self.vector(unit)
-        score, name = 0.0, ""
-        for licence, weights, length in self.templates:
-            dot = sum(x * vector.get(w, 0.0) for w, x in weights.items())
-            cosine = dot / (norm * length) if norm else 0.0
-            if cosine > score + 1e-12:
-                score, name = cosine, licence
-        return score, name
+    def cosine(self, k: int, words) -> float:
+        _, size, weights, length = self.templates[k]
+        vector, norm = self.vector(words, size > LONG)
+        return sum(x * weights.get(w, 0.0) for w, x in vector.items()) / (norm * length) if norm else 0.0
+
+    def windows(self, k: int, words: list[str], idf: np.ndarray, least: float):
+        """Windows of template ``k``'s length that may come above ``least``, the best first."""
+        _, size, weights, length = self.templates[k]
+        m = min(size, len(words))
+        if size > LONG:
+            starts = [*range(0, len(words) - m, max(m // 4, 1)), len(words) - m]
+            yield from ((1.0, words[i:i + m]) for i in starts)
+            return
+        met = np.array([weights.get(w, 0.0) for w in words]) * idf
+        total = lambda x: (c := np.concatenate([[0.0], np.cumsum(x)]))[m:] - c[:-m]
+        # a word that occurs n times adds n squared to the exact norm, here only n
+        bound = total(met) / (np.sqrt(np.maximum(total(idf * idf), 1e-12)) * length)
+        at = np.nonzero(bound >= least - 1e-9)[0]
+        for i in at[np.argsort(-bound[at], kind="stable")]:
+            yield float(bound[i]), words[i:i + m]
 
     def scan(self, text: str | None) -> tuple[str | None, float]:
-        """The best licence of a text and its cosine; None below ``SIMILAR``."""
-        if not text or not TYPICAL.search(text):
+        """The best licence of a text and its cosine; None and 0 below ``SIMILAR``."""
+        if not text:
+            return None, 0.0
+        named = SPDX.search(text)
+        if named:
+            return re.sub(r"-(only|or-later)$", "", named[1].rstrip(".-")), 1.0
+        words = TOKEN.findall(text.lower())
+        rows = [self.row[w] for w in set(words) if w in self.row]
+        near = np.nonzero(self.share[rows].sum(0) >= SIMILAR ** 2 - 1e-6)[0]
+        if not len(near):
             return None, 0.0
-        score, name = 0.0, ""
+        idf = np.array([self.idf.get(w, self.unknown) for w in words])
+        units = [words]
         for block in re.split(r"\n[\x20\x09-\x0D]*\n", text):
-            if TYPICAL.search(block):
-                lines = [x for x in block.split("\n") if TYPICAL.search(x)]
-                for unit in dict.fromkeys([*lines, block]):
-                    found = self.best(unit)
-                    if found[0] > score:
-                        score, name = found
-        return (name, score) if score >= SIMILAR else (None, score)
+            units += [TOKEN.findall(x.lower()) for x in dict.fromkeys([*block.split("\n"), block])]
+        score, name = 0.0, None
+        for k in near:
+            for unit in units:
+                found = self.cosine(k, unit)
+                if found > score + 1e-12:
+                    score, name = found, self.templates[k][0]
+            for bound, unit in self.windows(k, words, idf, max(score, SIMILAR)):
+                if bound <= score + 1e-12:
+                    break
+                found = self.cosine(k, unit)
+                if found > score + 1e-12:
+                    score, name = found, self.templates[k][0]
+        return (name, score) if score >= SIMILAR else (None, 0.0)
 
 
 def own_licences(text: Column, matcher) -> Column:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pkgutil
 import random
 import re
 from collections import Counter
@@ -369,6 +370,22 @@ def test_licences_and_inheritance(spark):
                    7: (None, "Apache-2.0", "a"), 8: (None, None, None)}
 
 
+def test_licence_headers_full_texts_and_notices_inside_lines(spark):
+    full = {name: pkgutil.get_data("scriptorium.llm", f"license_texts/{name}.txt").decode() for name in licenses.FULL}
+    long = "the harbour of the river and a garden in the silver window of morning light stood open"
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version %s of the License, or\n(at your option) any later version."
+    cases = [(t, name) for name, t in full.items()] + [
+        (full["GPL-3.0"].split("TERMS AND CONDITIONS")[0], "GPL-3.0"), (gnu % 3, "GPL-3.0"), (gnu % 2, "GPL-2.0"),
+        ("# " + (gnu % 3).replace("\n", "\n# "), "GPL-3.0"), (f"{prose(5, 200)}\n\n{full['MPL-2.0']}", "MPL-2.0"),
+        ("// SPDX-License-Identifier: MIT", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        (f"{long}. Released under the MIT License. {long}.", "MIT"), (prose(3, 300) + " Licensed under the Apache License, Version 2.0. " + prose(4, 300), "Apache-2.0"),
+        (prose(6, 400), None), (long, None), ("A licence is a permission; copyright law grants it to authors of works.", None)]
+    df = frame(spark, rows_of([t for t, _ in cases] + [prose(100 + k, 80) for k in range(60)]))
+    got = {r.doc_id: r.own_license for r in licenses.scan(df, "doc_id", "text", F.col("doc_id").cast("string"), F.lit(False)).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 REPORTS = {"secrets": secrets.report, "pieces": pieces.report, "fingerprint": fingerprint.against_next, "quality": quality.report, "mixing": mixing.report, "neardup": neardup.report, "langid": langid.report, "licenses": licenses.report}
 
 
