@@ -4,7 +4,9 @@ A text of a natural language needs few tokens of a byte-level vocabulary;
 random strings need many.  Every run of key characters that is long enough is
 therefore encoded with a tiktoken vocabulary, and runs with few characters per
 token are reported, unless they are known digests (hexadecimal of a digest's
-length) or identifiers (numbers, UUIDs, words and camel-case names).
+length), UUIDs or numbers.  Runs in the shape of names (parts of letters of one case or
+camel case, with up to four digits) are judged by their letters alone: by all parts
+of three or more letters together, and by each long part.
 
 Runs in Arrow batches of the scan's own partitions: no shuffle, no state, and
 the memory is that of one batch.
@@ -35,11 +37,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Letters of a name that say something at all, that are judged as a part of their own, and that are judged by the full ratio.
+LETTERS, LONG_PART, FULL_RATIO = 12, 16, 20
+#: Fewer letters spread more, so their ratio must be lower by this.
+SHORT_FACTOR = 0.875
 #: Hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_DIGITS = (32, 40, 56, 64, 96, 128)
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
+NUMBER = re.compile(r"0x[0-9A-Fa-f]{1,16}")
 NAME_PART = re.compile(r"\d+|[a-z]+\d{0,4}|[A-Z]+\d{0,4}|(?:[A-Z]?[a-z]{2,})+\d{0,4}")
 PART_BREAK = re.compile(r"[+/_=-]+")
 
@@ -60,10 +67,25 @@ def encoder(path: str):
 
 
 def known(run: str) -> bool:
-    """A digest or an identifier, which is no secret however random it looks."""
-    if len(run) in DIGEST_DIGITS and HEX_ONLY.fullmatch(run) or UUID.fullmatch(run):
+    """A digest, a UUID or a number, which is no secret however random it looks."""
+    if len(run) in DIGEST_DIGITS and HEX_ONLY.fullmatch(run) or UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return True
-    return all(NAME_PART.fullmatch(p) for p in PART_BREAK.split(run) if p)
+    return all(p.isdigit() for p in PART_BREAK.split(run) if p)
+
+
+def is_random(run: str, encoding, max_ratio: float) -> bool:
+    """Whether a run has too few characters a token."""
+    def tokens(x: str) -> int:
+        return len(encoding.encode_ordinary(x))
+
+    parts = [p for p in PART_BREAK.split(run) if p]
+    if not all(NAME_PART.fullmatch(p) for p in parts):
+        return len(run) < max_ratio * tokens(run)
+    words = [w for w in (p.rstrip("0123456789") for p in parts) if len(w) > 2]
+    # a word in capitals is as known as the same in small letters
+    counts = [(len(w), min(tokens(w), tokens(w.lower())) if w.isupper() else tokens(w)) for w in words]
+    judged = [(sum(n for n, _ in counts), sum(k for _, k in counts))] + [x for x in counts if x[0] >= LONG_PART]
+    return any(n >= LETTERS and n < max_ratio * (1 if n >= FULL_RATIO else SHORT_FACTOR) * k for n, k in judged)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -98,7 +120,7 @@ def find(text: str | None, encoding, max_ratio: float) -> list[tuple[int, int, i
             at += 1
         if at < len(taken) and taken[at][0] < e or known(m.group()):
             continue
-        if e - s < max_ratio * len(encoding.encode_ordinary(m.group())):
+        if is_random(m.group(), encoding, max_ratio):
             out.append((s, 3, e))
     return sorted(out)
 

@@ -70,6 +70,20 @@ def test_secrets_random_strings_but_no_digests_or_names(spark):
     assert hits > 180
 
 
+def test_secrets_of_one_case_and_short_ones_but_no_words():
+    enc = secrets.encoder(common.tokenizer_file("byte_bpe_50k.tiktoken"))
+    r, low = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
+    share = lambda make: sum(bool(secrets.find(f"key {make()} end", enc, 2.0)) for _ in range(300)) / 300
+    pick = lambda letters, n: "".join(r.choices(letters, k=n))
+    assert share(lambda: pick(low, 32)) > 0.9 and share(lambda: pick(low, 20)) > 0.85 and share(lambda: pick(low.upper(), 24)) > 0.85
+    assert share(lambda: "-".join(pick(low, 5) for _ in range(5))) > 0.85 and share(lambda: "report-" + pick(low, 24)) > 0.85
+    assert share(lambda: pick(low + "0123456789", 16)) > 0.9
+    words = """internationalization counterrevolutionaries Geschwindigkeitsbegrenzung electroencephalographically Donaudampfschifffahrtsgesellschaft getElementsByClassName SOME_CONSTANT_VALUE_NAME
+        INTERNATIONALIZATION anticonstitutionnellement spring-boot-starter-parent org/apache/spark/sql/catalyst Aufmerksamkeitsdefizit my-kebab-case-name-2024 state-of-the-art-results 2024-01-31-12-30-00
+        a/b/c/d/e/f/g/h/i/j/k =================== -------------------- 0x00007fff5fbff8a0 release-20240131-final1 unterschiedlichen responsabilidades"""
+    assert [words[s:e] for s, _, e in secrets.find(words, enc, 2.0)] == []
+
+
 def test_redact_masks_spans(spark):
     df = frame(spark, rows_of([None, "", "a password=abcdefgh1234 b", "plain"])).withColumn("f", secrets.spans(F.col("text")))
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("f")), "doc_id").orderBy("doc_id").collect()] == [None, "", "a [secret] b", "plain"]
