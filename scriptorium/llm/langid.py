@@ -221,8 +221,14 @@ def report(df: DataFrame) -> DataFrame:
 def page_report(df: DataFrame, model) -> DataFrame:
     """The same for web pages: markup's language, address suffix and host as evidence."""
     from scriptorium.llm import html_extract, urlfilter
-    host = urlfilter.host_of(F.col("url"))
+    # neither a user nor a port is part of the domain
+    host = F.regexp_replace(urlfilter.host_of(F.col("url")), r"^.*@|:[0-9]*$", "")
     base = df.select("page_id", host.alias("host"), urlfilter.path_of(F.col("url")).alias("path"),
                      F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1).alias("markup"), html_extract.extract(F.col("html")).alias("text"))
     done = identify(base, "page_id", "text", "markup", [F.col("markup"), suffix_language(F.col("host"), F.col("path"))], F.col("host"), model)
     return done.withColumnRenamed("doc_id", "page_id")
+
+
+def pages_by_documents(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """``page_report`` of all pages by a model fitted on the labelled documents."""
+    return page_report(pages, docs.sparkSession.sparkContext.broadcast(fit(docs, "doc_id", "text", "lang")))

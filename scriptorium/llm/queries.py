@@ -14,6 +14,7 @@ QUERIES = {
     "op7_minhash_neardup": lambda s, d: neardup.report(common.table(s, d, "documents")),
     "op8_url_filter": lambda s, d: urlfilter.report(common.table(s, d, "pages")),
     "op9_language_id": lambda s, d: langid.report(common.table(s, d, "documents")),
+    "op9_language_id_pages": lambda s, d: langid.pages_by_documents(common.table(s, d, "pages"), common.table(s, d, "documents")),
     "op10_license_scan": lambda s, d: licenses.report(common.table(s, d, "documents")),
 }
 

@@ -364,6 +364,71 @@ def test_language_id_on_held_out_rows(spark, sf_dir):
     assert {r.lang for r in langid.identify(short, model=model).collect()} == {"fr"}
 
 
+def test_suffix_languages(spark):
+    cases = [("a.b.fr", "/x", "fr"), ("a.b.fr", "/de/x", "de"), ("shop.example.at", "", "de"), ("example.com", "/es-MX/x", "es"), ("example.com", "/EN", "en"),
+             ("example.com", "/english/x", None), ("example.uk", "/pt/x", "en"), ("example.pl", "/", None), (None, None, None), ("fr", "/", None)]
+    df = spark.createDataFrame([(i, h, p) for i, (h, p, _) in enumerate(cases)], "i int, host string, path string")
+    got = {r.i: r.s for r in df.select("i", langid.suffix_language(F.col("host"), F.col("path")).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_pages_equal_brute_force_posterior(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    some = {r.lang: r.text for r in docs.where("doc_id < 400").collect()}
+    # (address, its host, markup's language, address's language, text)
+    cases = [("http://a.b.fr/x", "a.b.fr", "fr", "fr", some["fr"]), ("http://c.b.fr:8080/x", "c.b.fr", None, "fr", "la"), ("https://u:p@b.fr/de/x?q#f", "b.fr", None, "de", "la"),
+             ("http://a.b.fr/de/", "a.b.fr", "fr", "de", "la"), ("http://A.B.fr/y", "a.b.fr", "de-AT", "fr", "la"), ("http://x.example.com/", "x.example.com", None, None, some["en"]),
+             ("http://x.example.com/1", "x.example.com", None, None, "la"), ("http://example.com/2", "example.com", "xx", None, "la"), ("http://y.example.com", "y.example.com", "es", None, "la"),
+             ("http://y.example.com/en", "y.example.com", "es", "en", ""), (None, "", "de", None, "la"), ("http://www.x.de/", "www.x.de", None, "de", some["de"])]
+    html = [f"<html{f' lang={chr(34)}{m}{chr(34)}' if m else ''}><body><p>{t}</p></body></html>" for _, _, m, _, t in cases]
+    pages = spark.createDataFrame([(i, c[0], h) for i, (c, h) in enumerate(zip(cases, html))], "page_id long, url string, html string")
+    got = {r.page_id: r for r in langid.page_report(pages, spark.sparkContext.broadcast(model)).collect()}
+    assert len(got) == len(cases)
+
+    def softmax(x):
+        e = np.exp(x - np.max(x))
+        return e / e.sum()
+
+    def ups(host):
+        parts = host.split(".")
+        return list(dict.fromkeys([".".join(parts[i:]) for i in range(len(parts))] + [""]))
+
+    logs, text_logs = [], []
+    for (_, _, *claims, _), page in zip(cases, html):
+        tri = [x for x in langid.trigrams(html_extract.main_text(page))]
+        total = sum((model[x].sum(0, dtype=float) for x in tri), np.zeros(len(langid.LANGUAGES)))
+        text_logs.append((sum(map(len, tri)), total))
+        log = langid.TEMPER * total
+        for c in claims:
+            if c and c[:2] in langid.LANGUAGES:
+                log = log + np.log([langid.TRUST if l == c[:2] else (1 - langid.TRUST) / 3 for l in langid.LANGUAGES])
+        logs.append(log)
+    p = [softmax(x) for x in logs]
+    sums = {}
+    for c, x in zip(cases, p):
+        for u in ups(c[1]):
+            sums[u] = sums.get(u, 0) + x
+    for i, c in enumerate(cases):
+        prior = np.full(4, 0.25)
+        for u in reversed(ups(c[1])):
+            others = np.maximum(sums[u] - p[i], 0)
+            prior = (others + langid.KAPPA * prior) / (others.sum() + langid.KAPPA)
+        post = softmax(logs[i] + np.log(prior))
+        n, total = text_logs[i]
+        readable = n > 0 and total[post.argmax()] / n > -math.log(langid.BUCKETS)
+        assert abs(got[i].confidence - post.max()) < 1e-6, (i, got[i], post)
+        assert got[i].lang == (langid.LANGUAGES[post.argmax()] if readable else "und") and got[i].accepted == (readable and post.max() >= langid.CONFIDENT)
+
+
+def test_pages_query_covers_all_pages(spark, sf_dir):
+    from scriptorium.llm import queries
+    pages = common.table(spark, sf_dir, "pages")
+    got = queries.QUERIES["op9_language_id_pages"](spark, sf_dir)
+    met = got.join(pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("markup")), "page_id")
+    assert got.count() == pages.count() and met.where("accepted and lang = markup").count() >= 0.9 * met.where(F.col("markup").isin(*langid.LANGUAGES) & F.col("accepted")).count()
+
+
 def test_language_id_accepts_rows_whole(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     assert langid.accepted(docs).columns == docs.columns
