@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import common, fingerprint, html_extract, langid, licenses, mixing, neardup, pieces, quality, secrets, urlfilter
+from scriptorium.llm import common, fingerprint, html_extract, langid, licenses, merkle, mixing, neardup, pieces, quality, secrets, urlfilter
 
 QUERIES = {
     "op1_secret_scan": lambda s, d: secrets.report(common.table(s, d, "documents")),
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_language_id": lambda s, d: langid.report(common.table(s, d, "documents")),
     "op9_language_id_pages": lambda s, d: langid.pages_by_documents(common.table(s, d, "pages"), common.table(s, d, "documents")),
     "op10_license_scan": lambda s, d: licenses.report(common.table(s, d, "documents")),
+    "op11_merkle_manifest": lambda s, d: merkle.report(common.table(s, d, "documents")),
 }
 
 ORACLE = {
     "op4_quality_rules": quality.oracle(),
     "op8_url_filter": urlfilter.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
 }
