@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import common, fingerprint, html_extract, langid, licenses, merkle, mixing, neardup, pieces, quality, secrets, topk, urlfilter
+from scriptorium.llm import common, fingerprint, html_extract, langid, licenses, merkle, mixing, neardup, negatives, pieces, quality, secrets, topk, urlfilter
 
 QUERIES = {
     "op1_secret_scan": lambda s, d: secrets.report(common.table(s, d, "documents")),
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_language_id_pages": lambda s, d: langid.pages_by_documents(common.table(s, d, "pages"), common.table(s, d, "documents")),
     "op10_license_scan": lambda s, d: licenses.report(common.table(s, d, "documents")),
     "op11_merkle_manifest": lambda s, d: merkle.report(common.table(s, d, "documents")),
+    "op12_hard_negatives": lambda s, d: negatives.report(common.table(s, d, "embeddings")),
     "op13_exact_topk": lambda s, d: topk.report(common.table(s, d, "embeddings")),
 }
 
@@ -24,5 +25,6 @@ ORACLE = {
     "op4_quality_rules": quality.oracle(),
     "op8_url_filter": urlfilter.oracle(),
     "op11_merkle_manifest": merkle.oracle(),
+    "op12_hard_negatives": negatives.oracle(),
     "op13_exact_topk": topk.oracle(),
 }
