@@ -108,8 +108,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
     Cost per group with B = ``block_rows``: rows shuffled ≈
     n_b·⌈n_q/B⌉ + n_q·⌈n_b/B⌉, cells = ⌈n_q/B⌉·⌈n_b/B⌉, each holding at most
     ~B query and ~B base vectors (distances computed 1024 queries at a time).
-    Raising B trades memory per cell for less replication; beyond a few
-    million rows per side use :func:`approx_knn`.
+    Raising B trades memory per cell for less replication.  Beyond a few
+    blocks :func:`exact_knn` leaves out cells that cannot hold a neighbour.
     """
     extra = list(extra_cols or [])
     g = group_col or "_g"
@@ -156,6 +156,20 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
     return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Up to this many cells the plain grid costs less than looking for bounds.
+FEW_CELLS = 4
+
+
+def exact_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str, vec_col: str, sizes: tuple[int, int],
+              extra_cols: list[str] | None = None, block_rows: int = 2048) -> DataFrame:
+    """Exact neighbours by the grid while it has few cells, beyond that pruned by pivots; the rows are the same."""
+    from scriptorium.operators.metric_knn import pruned_knn
+    n_base, n_queries = sizes
+    if -(-n_base // block_rows) * -(-n_queries // block_rows) <= FEW_CELLS:
+        return knn(queries, base, k, id_col=id_col, vec_col=vec_col, extra_cols=extra_cols, block_rows=block_rows, sizes=sizes)
+    return pruned_knn(queries, base, k, id_col=id_col, vec_col=vec_col, extra_cols=extra_cols, block_rows=block_rows, n_base=n_base)
+
+
 def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec",
                bucket_length: float = 0.7, num_tables: int = 6,
                seed: int = fv.SEED, block_rows: int = 2048) -> DataFrame:
@@ -206,7 +220,7 @@ def approx_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
     n_short = short.count()
     if not n_short:
         return top
-    rest = knn(short, prep(base).select("id", "vec"), k, block_rows=block_rows, sizes=(stats["n"], n_short))
+    rest = exact_knn(short, prep(base).select("id", "vec"), k, id_col="id", vec_col="vec", block_rows=block_rows, sizes=(stats["n"], n_short))
     return top.join(full, "q_id", "left_semi").unionByName(rest.select("q_id", "b_id", "dist", "rank"))
 
 
@@ -216,13 +230,25 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_share: flo
     """Per class, the first ceil(share × n_class) rows in the
     arithmetic order go to test.  Adds boolean ``is_test``."""
     frac = Fraction(test_share).limit_denominator(10000)
-    ranked = group_row_number(df.withColumn("_o", order_key(df, id_col)), [label_col], ["_o", id_col], "_rn")
-    # counted from the numbered (checkpointed) rows, not from the input plan
+    df = materialize(df)   # written once, not shuffled: only keys travel to be numbered
+    keyed = df.select(label_col, order_key(df, id_col).alias("_o"), F.col(id_col).alias("_id"))
+    ranked = group_row_number(keyed, [label_col], ["_o", "_id"], "_rn")
     counts = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.floor((F.col("_n") * frac.numerator + frac.denominator - 1) / frac.denominator)
-    return (ranked.join(F.broadcast(counts), label_col)  # one row per class
-            .withColumn("is_test", F.col("_rn") <= n_test)
-            .drop("_o", "_rn", "_n"))
+    # the last test row of each class tells all others' side
+    last = ranked.join(per_class(counts), label_col).where(F.col("_rn") == n_test).select(
+        label_col, F.struct("_o", "_id").alias("_last"))
+    own = F.struct(order_key(df, id_col).alias("_o"), F.col(id_col).alias("_id"))
+    return df.join(per_class(last), label_col).withColumn("is_test", own <= F.col("_last")).drop("_last")
+
+
+MAX_BROADCAST_CLASSES = 100_000
+
+
+def per_class(table: DataFrame) -> DataFrame:
+    """A table with one row a class: broadcast while the classes are few, so that a class with most rows is no hot join key."""
+    table = materialize(table)
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_CLASSES else table
 
 
 def weighted_vote(neigh: DataFrame, label_col: str = "b_label") -> DataFrame:
@@ -240,7 +266,8 @@ def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max:
     """M7: k-NN over the split (train = base, test = queries).  Returns
     (``id, label, prediction``, k, n_train) with k = min(k_max, n_train).
 
-    ``method="exact"`` is the blocked exact search (work grows with
+    ``method="exact"`` is the exact search, pruned by pivots beyond a few
+    blocks (work grows with the cells that survive, at worst with
     test × train); ``method="lsh"`` uses random-projection LSH, whose work
     grows with the pairs sharing hash buckets — the choice for very large sets.
     """
@@ -252,8 +279,8 @@ def classify(split: DataFrame, id_col: str, vec_col: str, label_col: str, k_max:
         raise ValueError("nothing left to train on")
     k = min(k_max, n_train)
     if method == "exact":
-        neigh = knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows,
-                    sizes=(n_train, n_test))
+        neigh = exact_knn(test, train, k, id_col=id_col, vec_col=vec_col, extra_cols=[label_col], block_rows=block_rows,
+                          sizes=(n_train, n_test))
     elif method == "lsh":
         neigh = (approx_knn(test, train, k, id_col=id_col, vec_col=vec_col, **lsh)
                  .join(train.select(F.col(id_col).alias("b_id"), F.col(label_col).alias(f"b_{label_col}")), "b_id"))

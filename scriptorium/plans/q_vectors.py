@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.operators.evaluate import confusion, report, run_summary
+from scriptorium.operators.metric_knn import pruned_knn
 from scriptorium.operators.vectors import classify, knn, oversample, smote, smote_classify, stratified_split
 from scriptorium.plans.standins import SQL_PUBLICATION_DATES, SQL_YEAR
 from scriptorium.session import read_table, widen
@@ -61,6 +62,16 @@ def knn_neighbors_q(spark, sf_dir):
                      F.col("rank").cast("bigint").alias("rank"), F.round("dist", 6).alias("dist"))
 
 
+def knn_pruned_q(spark, sf_dir):
+    """The same neighbours by pivots, radii and the triangle inequality, in blocks of 128 rows."""
+    split = _split(spark, sf_dir)
+    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
+    n = train.count()
+    nb = pruned_knn(test, train, min(fv.MAX_NEIGHBOURS, n), id_col="vec_id", vec_col="embedding", block_rows=128, n_base=n)
+    return nb.select(F.col("q_id").alias("vec_id"), F.col("b_id").alias("neighbor_id"),
+                     F.col("rank").cast("bigint").alias("rank"), F.round("dist", 6).alias("dist"))
+
+
 def knn_predict_q(spark, sf_dir):
     return _classified(spark, sf_dir)[0]
 
@@ -173,6 +184,8 @@ d AS (
 nb AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, b_id) AS rank FROM d)
   WHERE rank <= (SELECT k FROM kk))"""
+_NEIGHBOURS = f"""WITH {_NEIGH}
+SELECT q_id AS vec_id, b_id AS neighbor_id, rank, round(dist, 6) AS dist FROM nb"""
 _PRED = _NEIGH + """,
 nbw AS (SELECT *, min(dist) OVER (PARTITION BY q_id) AS mind FROM nb),
 sc AS (
@@ -270,8 +283,8 @@ FROM pred"""
 
 ORACLE = {
     "stratified_split": f"WITH {_SPLIT} SELECT vec_id, label, is_test FROM split",
-    "knn_neighbors": f"""WITH {_NEIGH}
-SELECT q_id AS vec_id, b_id AS neighbor_id, rank, round(dist, 6) AS dist FROM nb""",
+    "knn_neighbors": _NEIGHBOURS,
+    "knn_pruned": _NEIGHBOURS,
     "knn_predict": f"WITH {_PRED} SELECT vec_id, label, prediction FROM pred",
     "knn_confusion": f"WITH {_PRED} SELECT label, prediction, n FROM conf",
     "knn_report": f"""WITH {_REPORT}
@@ -352,6 +365,7 @@ FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
 QUERIES = {
     "stratified_split": stratified_split_q,
     "knn_neighbors": knn_neighbors_q,
+    "knn_pruned": knn_pruned_q,
     "knn_predict": knn_predict_q,
     "knn_confusion": knn_confusion_q,
     "knn_report": knn_report_q,
