@@ -1,130 +1,296 @@
-"""Topic models.
-
-Tokens come from the SQL expressions of :mod:`scriptorium.functions.text`;
-counting and fitting are MLlib's ``CountVectorizer`` and ``LDA``.  The online
-optimizer with full mini-batches (``subsamplingRate=1``) and a learning rate
-held at 1 (``learningDecay`` ≈ 0, ``learningOffset`` = 1) performs the batch
-variational updates of the reference's library; symmetric priors 1/k.
-
-LDA results depend on how the documents are partitioned, so the corpus is
-hash-partitioned on the document id into a fixed number of partitions (the
-cluster's core count unless given) and sorted inside each before fitting:
-same data, settings and partition count → same topics.
+"""Topic models (M1–M4, W1, A4, A17): batch variational Bayes over tables.
+
+Documents are dealt to blocks of at most about ``BLOCK_TOKENS`` tokens, each packed
+into one row once: the block's terms, and per document its terms' places and
+counts.  The topics' weights are a table with one row a term.  A pass joins
+the blocks' terms to the weights, so that a block meets the weights of its
+own terms only, iterates its documents in numpy, and gives back expected
+counts per term, which one aggregation turns into the next weights.  Neither
+the vocabulary nor the terms × topics table is ever in one place; the driver
+holds one total a topic.
+
+Settings are the reference's: symmetric priors 1/k, every pass over all
+documents, at most 100 updates a document until the mean change falls below
+0.001.  The weights start from a hash of term, topic and seed, and a document's
+result depends on itself and the weights only, so topics do not depend on
+partitions or block sizes beyond the rounding of sums.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import topic_tokens, vectorizer_terms
-from scriptorium.session import checkpoint_dir, materialize
+from scriptorium.operators.indexing import consecutive_index
+from scriptorium.session import materialize, widen
+
+BLOCK_TOKENS, LEAST_TOKENS = 200_000, 5000
+DOC_UPDATES, DOC_CHANGE = 100, 1e-3   # updates of a document's topics at most; stop below this mean change
+
+
+# --- special functions, over Spark columns and arrays alike ----------------------
+
+def digamma(x, log):
+    """Of x > 0, by six steps up and the asymptotic series."""
+    y = x + 6
+    z = 1 / (y * y)
+    steps = 1 / x + 1 / (x + 1) + 1 / (x + 2) + 1 / (x + 3) + 1 / (x + 4) + 1 / (x + 5)
+    return log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - steps
+
+
+def log_gamma(x, log):
+    """Of x > 0, likewise."""
+    y = x + 6
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    steps = log(x) + log(x + 1) + log(x + 2) + log(x + 3) + log(x + 4) + log(x + 5)
+    return (y - 0.5) * log(y) - y + float(np.log(2 * np.pi) / 2) + series - steps
+
+
+# --- documents in blocks ------------------------------------------------------------
+
+PACKED = "block int, ids array<{id}>, doc binary, slot binary, n binary, terms array<string>, counts array<long>"
 
 
 @dataclass
 class TopicFit:
-    vectorizer: CountVectorizerModel
-    model: LDAModel
     k: int
-    corpus: DataFrame  # id, tf (sparse counts)
-    terms: DataFrame   # idx, term: the vectorizer's vocabulary
+    weights: DataFrame   # term, l0 .. of every topic
+    totals: list[float]  # of the weights, by topic
+    shares: DataFrame    # id, shares: of every document under the last weights
+    bounds: list[float] = field(default_factory=list)   # of the likelihood before each pass, where asked for
 
 
-def prepare_corpus(docs: DataFrame, id_col: str, text_col: str, num_partitions: int = 16) -> DataFrame:
-    # a fixed number, raised with the data: the fit depends on the partitions,
-    # so it must not depend on the cluster of the moment
-    n = num_partitions
+def prepare_corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, terms``: the counted tokens of each document."""
     terms = vectorizer_terms(topic_tokens(F.col(text_col)))
-    # partition the raw rows by id first: tokenizing then runs in all tasks,
-    # and the partitioning (hence the LDA result) depends only on the ids
-    return (docs.repartition(n, F.col(id_col))
-            .select(F.col(id_col).alias("id"), terms.alias("terms"))
-            .sortWithinPartitions("id"))
-
-
-def vocabulary(corpus: DataFrame, vocab_size: int | None) -> DataFrame:
-    """M1 vocabulary as one row ``vocabulary: array<string>``: every term in
-    alphabetical order, like the reference's vectorizer; with ``vocab_size``
-    only that many of the most frequent ones (ties by term).
-
-    MLlib's own ``CountVectorizer.fit`` orders equally frequent terms
-    arbitrarily, which moves term indices between runs and so changes the
-    seeded LDA start; this order is fixed.  The array is exactly what MLlib's
-    vectorizer model holds in any case, on the driver and in every task.
+    return widen(docs.select(F.col(id_col), F.col(text_col))).select(F.col(id_col).alias("id"), terms.alias("terms"))
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("id")
+    lists = rows["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = np.argsort(np.array(names, object), kind="stable") if names else np.zeros(0, np.int64)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+    keys, n = np.unique(doc * max(1, len(names)) + place[coded.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+    doc, slot = np.divmod(keys, max(1, len(names)))
+    packed = {"block": rows["block"][:1], "ids": [rows["id"].combine_chunks()],
+              "doc": pa.array([doc.astype(np.int32).tobytes()], pa.binary()), "slot": pa.array([slot.astype(np.int32).tobytes()], pa.binary()),
+              "n": pa.array([n.astype(np.int32).tobytes()], pa.binary()), "terms": pa.array([[names[i] for i in order]], pa.list_(pa.string())),
+              "counts": pa.array([np.bincount(slot, n, len(names)).astype(np.int64).tolist()], pa.list_(pa.int64()))}
+    packed["ids"] = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows["id"].combine_chunks())
+    return pa.table(packed)
+
+
+def pack_documents(corpus: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of documents, written once."""
+    corpus = materialize(corpus)   # tokens are needed to size the blocks and to fill them
+    size = corpus.agg(F.sum(F.size("terms") + 1)).first()[0] or 0
+    # few tokens: smaller blocks, enough for all cores (results do not depend on blocks)
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(size // block_tokens, min(4 * cores, size // LEAST_TOKENS)) + 1
+    dealt = corpus.withColumn("block", F.pmod(F.xxhash64("id", "terms"), F.lit(n_blocks)).cast("int"))
+    schema = PACKED.format(id=corpus.schema["id"].dataType.simpleString())
+    return materialize(dealt.groupBy("block").applyInArrow(_pack, schema))
+
+
+def vocabulary(blocks: DataFrame, vocab_size: int | None = None) -> DataFrame:
+    """M1: ``term, n`` of every term, like the reference's vectorizer; with
+    ``vocab_size`` only that many of the most frequent ones (ties by term)."""
+    terms = (blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+             .groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n")))
+    return terms if vocab_size is None else terms.orderBy(F.desc("n"), "term").limit(vocab_size)
+
+
+# --- one pass ---------------------------------------------------------------------------
+
+def update_documents(doc: np.ndarray, n: np.ndarray, beta: np.ndarray, n_docs: int, updates: int, change: float):
+    """Topic weights of documents and what they were left with; a row a topic throughout.
+
+    ``doc``, ``n`` and ``beta`` (exp of the expected log weights) are by
+    document and term, in the order of the documents.  Returns the weights (gamma)
+    and, by document and term, exp(expected log share) of the document times beta, and its sum.
+    """
+    k = len(beta)
+    alpha = 1.0 / k
+    gamma = np.repeat(alpha + np.bincount(doc, n, n_docs)[None, :] / k, k, 0)
+    live, first = np.unique(doc, return_index=True)
+    at = np.repeat(np.arange(len(live)), np.diff(np.append(first, len(doc))))
+    moving, count, weight = np.ones(len(live), bool), n, beta
+    for _ in range(updates if len(live) else 0):
+        now = gamma[:, live]
+        share = _shares(now)
+        norm = sum(np.take(share[j], at) * weight[j] for j in range(k))
+        ratio = count / (norm + 1e-100)
+        new = alpha + share * np.stack([np.add.reduceat(weight[j] * ratio, first) for j in range(k)])
+        gamma[:, live] = np.where(moving, new, now)
+        moving &= np.abs(new - now).mean(0) >= change
+        if not moving.any():
+            break
+        if moving.mean() < 0.7:   # leave the settled ones behind, not at every update
+            keep = moving[at]
+            live, count, weight = live[moving], count[keep], weight[:, keep]
+            lengths = np.bincount(at[keep], minlength=len(moving))[moving]
+            at, first, moving = np.repeat(np.arange(len(live)), lengths), np.cumsum(lengths) - lengths, np.ones(len(live), bool)
+    share = _shares(gamma)
+    parts = np.stack([np.take(share[j], doc) * beta[j] for j in range(k)])
+    return gamma, parts, parts.sum(0)
+
+
+def _shares(gamma: np.ndarray) -> np.ndarray:
+    return np.exp(digamma(gamma, np.log) - digamma(gamma.sum(0), np.log))
+
+
+def _block(packed: dict, weights: pa.Table, k: int):
+    """Place of document, place of term, count and beta, of the terms that have weights."""
+    doc, slot, n = (np.frombuffer(packed[c], np.int32) for c in ("doc", "slot", "n"))
+    beta = np.full((k, packed["n_terms"]), np.nan)
+    beta[:, weights["slot"].to_numpy()] = np.exp(np.stack([weights[f"e{j}"].to_numpy() for j in range(k)]))
+    known = ~np.isnan(beta[0, slot])
+    return doc[known], slot[known], n[known].astype(np.float64), beta[:, slot[known]]
+
+
+def _pass_task(k: int, updates: int, change: float):
+    """Expected counts by term's number, and the documents' part of the bound under -1."""
+    def task(packed: pa.Table, weights: pa.Table) -> pa.Table:
+        row = packed.to_pylist()[0]
+        doc, slot, n, beta = _block(row, weights, k)
+        gamma, parts, norm = update_documents(doc, n, beta, row["n_docs"], updates, change)
+        parts *= n / (norm + 1e-100)
+        alpha = 1.0 / k
+        left = np.log(_shares(gamma))
+        bound = (n * np.log(norm + 1e-100)).sum() + ((alpha - gamma) * left + log_gamma(gamma, np.log) - log_gamma(alpha, np.log)).sum() \
+            + (log_gamma(k * alpha, np.log) - log_gamma(gamma.sum(0), np.log)).sum()
+        at = weights["slot"].to_numpy()
+        out = {"id": np.append(weights["id"].to_numpy(), -1)}
+        return pa.table(out | {f"s{j}": np.append(np.bincount(slot, parts[j], row["n_terms"])[at], bound) for j in range(k)})
+    return task
+
+
+def _shares_task(k: int, updates: int, change: float):
+    def task(packed: pa.Table, weights: pa.Table) -> pa.Table:
+        doc, _, n, beta = _block(packed.drop_columns("ids").to_pylist()[0], weights, k)
+        gamma, _, _ = update_documents(doc, n, beta, packed["n_docs"][0].as_py(), updates, change)
+        shares = (gamma / gamma.sum(0)).T
+        return pa.table({"id": packed["ids"].combine_chunks().flatten(), "shares": pa.array(list(shares), pa.list_(pa.float64()))})
+    return task
+
+
+def expected_logs(weights: DataFrame, totals: list[float]) -> DataFrame:
+    """``id, e0 ..``: expected logarithms of the terms' probabilities."""
+    of_total = [float(digamma(np.float64(t), np.log)) if t else 0.0 for t in totals]   # 0: no term at all
+    logs = [(digamma(F.col(f"l{j}"), F.log) - t).alias(f"e{j}") for j, t in enumerate(of_total)]
+    return weights.select("id", *logs)
+
+
+class _Passes:
+    """What does not change from pass to pass: blocks by block, and which terms they ask for by term.
+
+    Both stay in the partitions that a pass needs (kept by Spark, computed again
+    if lost), so a pass moves weights and counts only.  Few bytes are much
+    work here, so the number of tasks is stated and not left to their size.
     """
-    kept = corpus.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    if vocab_size is not None:
-        kept = kept.orderBy(F.desc("n"), "term").limit(vocab_size)
-    return kept.agg(F.array_sort(F.collect_list("term")).alias("vocabulary"))
-
-
-def vectorizer(corpus: DataFrame, vocab_size: int | None) -> tuple[CountVectorizerModel, DataFrame]:
-    """A ``CountVectorizerModel`` over :func:`vocabulary`, built without
-    moving the vocabulary through Python: a model saved with MLlib's writer
-    gets the Spark-computed vocabulary as its data and is loaded back.
-    Returns the model and the ``(idx, term)`` table."""
-    spark = corpus.sparkSession
-    folder = os.path.join(checkpoint_dir(spark), "models", f"vectorizer-{uuid.uuid4().hex}")
-    CountVectorizerModel.from_vocabulary(["_"], inputCol="terms", outputCol="tf").write().save(folder)
-    data = os.path.join(folder, "data")
-    vocabulary(corpus, vocab_size).write.mode("overwrite").parquet(data)
-    model = CountVectorizerModel.load(folder)
-    terms = spark.read.parquet(data).select(F.posexplode("vocabulary").alias("idx", "term"))
-    return model, terms
 
+    def __init__(self, blocks: DataFrame, terms: DataFrame):
+        spark = blocks.sparkSession
+        n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("slot", "term")).join(terms, "term")
+        self.asked = asked.select("of", "slot", "id").repartition(n_tasks, "id").sortWithinPartitions("id").persist()
+        sized = blocks.select("block", "doc", "slot", "n", F.size("terms").alias("n_terms"), F.size("ids").alias("n_docs"), "ids")
+        self.blocks = sized.repartition(n_tasks, "block").persist()
 
-def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
-               seed: int = fv.SEED, vocab_size: int | None = None, num_partitions: int = 16,
-               subsampling_rate: float = 1.0) -> TopicFit:
-    """M1 + M2.
+    def cells(self, weights: DataFrame, totals: list[float], ids: bool = False):
+        """Blocks with the weights of their own terms."""
+        met = self.asked.join(expected_logs(weights, totals), "id")
+        return (self.blocks if ids else self.blocks.drop("ids")).groupBy("block").cogroup(met.groupBy("of"))
 
-    ``subsampling_rate=1`` makes every iteration a full pass (the reference's
-    batch updates).  On very large corpora a small rate turns the same fit
-    into true online learning: each iteration touches only that fraction.
-    """
-    # tokens are needed by the vocabulary pass and the vectorizer pass
-    corpus = materialize(prepare_corpus(docs, id_col, text_col, num_partitions))
-    cv, terms = vectorizer(corpus, vocab_size)
-    # every LDA iteration passes over the corpus: write the term counts once to
-    # the shared checkpoint folder instead of re-tokenizing per iteration
-    tf = materialize(cv.transform(corpus).select("id", "tf"))
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="tf",
-              subsamplingRate=subsampling_rate, learningDecay=1e-9 if subsampling_rate >= 1.0 else 0.51,
-              learningOffset=1.0 if subsampling_rate >= 1.0 else 1024.0,
-              docConcentration=[1.0 / k] * k, topicConcentration=1.0 / k,
-              optimizeDocConcentration=False)
-    return TopicFit(cv, lda.fit(tf), k, tf, terms)
+    def release(self) -> None:
+        self.asked.unpersist()
+        self.blocks.unpersist()
+
+
+def start_weight(term: Column, topic: int, seed: int) -> Column:
+    """From 0.5 to 1.5, by a digest of seed, topic and term."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{topic}:"), term))
+    return 0.5 + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0 ** 32
+
+
+def _totals(weights: DataFrame, k: int) -> list[float]:
+    return [float(t or 0) for t in weights.agg(*[F.sum(f"l{j}") for j in range(k)]).first()]
+
+
+def _terms_bound(weights: DataFrame, totals: list[float], k: int) -> float:
+    """The weights' part of the bound."""
+    eta = 1.0 / k
+    own = [(eta - F.col(f"l{j}")) * F.col(f"e{j}") + log_gamma(F.col(f"l{j}"), F.log) - float(log_gamma(np.float64(eta), np.log)) for j in range(k)]
+    both = weights.join(expected_logs(weights, totals), "id")
+    n, value = both.agg(F.count(F.lit(1)), F.sum(sum(own))).first()
+    return value + sum(float(log_gamma(np.float64(n * eta), np.log) - log_gamma(np.float64(t), np.log)) for t in totals)
+
+
+def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS, max_iter: int = 10,
+               seed: int = fv.SEED, vocab_size: int | None = None, block_tokens: int = BLOCK_TOKENS,
+               doc_updates: int = DOC_UPDATES, doc_change: float = DOC_CHANGE, track_bound: bool = False) -> TopicFit:
+    """M1 + M2.  Repeated ids are documents of their own, null and empty texts
+    documents without terms; without any term there are no weights and shares are even."""
+    blocks = pack_documents(prepare_corpus(docs, id_col, text_col), block_tokens)
+    # numbers stand for terms while weights and counts move
+    terms = consecutive_index(vocabulary(blocks, vocab_size).select("term"), ["term"], out="id")
+    terms = materialize(terms.select("id", "term"))
+    weights = materialize(terms.select("id", *[start_weight(F.col("term"), j, seed).alias(f"l{j}") for j in range(k)]))
+    totals = _totals(weights, k)
+    schema = "id long, " + ", ".join(f"s{j} double" for j in range(k))
+    passes, bounds = _Passes(blocks, terms), []
+    for _ in range(max_iter if totals[0] else 0):
+        counts = passes.cells(weights, totals).applyInArrow(_pass_task(k, doc_updates, doc_change), schema)
+        counts = materialize(counts.groupBy("id").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]))
+        if track_bound:
+            bounds.append(_terms_bound(weights, totals, k) + counts.where("id = -1").first()["s0"])
+        weights = counts.where("id >= 0").select("id", *[(1.0 / k + F.col(f"s{j}")).alias(f"l{j}") for j in range(k)])
+        totals = _totals(weights, k)
+    id_type = corpus_id_type(blocks)
+    shares = materialize(passes.cells(weights, totals, ids=True).applyInArrow(
+        _shares_task(k, doc_updates, doc_change), f"id {id_type}, shares array<double>"))
+    passes.release()
+    named = weights.join(terms, "id").select("term", *[f"l{j}" for j in range(k)])
+    return TopicFit(k, named, totals, shares, bounds)
+
+
+def corpus_id_type(blocks: DataFrame) -> str:
+    return blocks.schema["ids"].dataType.elementType.simpleString()
 
 
 def topic_shares(fit: TopicFit) -> DataFrame:
-    """M3: ``id, shares`` (array<double>).  An empty document gets the
-    uniform mixture 1/k (MLlib returns all zeros)."""
-    dist = vector_to_array(F.col("topicDistribution"))
-    total = F.aggregate(dist, F.lit(0.0), lambda acc, x: acc + x)
-    uniform = F.array_repeat(F.lit(1.0 / fit.k), fit.k)
-    return (fit.model.transform(fit.corpus)
-            .select("id", F.when(total > 0, dist).otherwise(uniform).alias("shares")))
+    """M3: ``id, shares`` (array<double>).  A document without terms gets the uniform mixture 1/k."""
+    return fit.shares
 
 
 def top_words(fit: TopicFit, n: int = fv.TOP_WORDS) -> DataFrame:
     """Per topic, the ``n`` strongest terms ordered weakest → strongest.
 
-    ``describeTopics`` yields k rows of term indices; they are joined to the
-    vocabulary table (the k×n side is broadcast) and folded per topic."""
-    return named_words(fit.model.describeTopics(n).select("topic", F.posexplode("termIndices").alias("rank", "idx")), fit.terms)
+    Each task keeps its ``n`` strongest a topic before any row moves."""
+    by_topic = F.posexplode(F.array(*[F.col(f"l{j}") for j in range(fit.k)])).alias("topic", "weight")
+    strongest = Window.partitionBy("topic").orderBy(F.desc("weight"), "term")
+    top = (fit.weights.select("term", by_topic).withColumn("rank", F.row_number().over(strongest) - 1).where(F.col("rank") < n))
+    return folded_words(top)
 
 
 def named_words(top: DataFrame, terms: DataFrame) -> DataFrame:
     """``topic, Top_Words`` from the few (topic, rank, idx), rank 0 the
     strongest, and the vocabulary table (idx, term)."""
-    named = terms.join(F.broadcast(top), "idx")
+    return folded_words(terms.join(F.broadcast(top), "idx"))
+
+
+def folded_words(named: DataFrame) -> DataFrame:
     return named.groupBy("topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("rank"), F.col("term")))),
                                  lambda x: x["term"]), ", ").alias("Top_Words"))

@@ -104,7 +104,7 @@ def sql_terms(x: str) -> str:
 SQL_WORD_PIECES = "list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 _HEAD = str_list(HEADINGS)
-_DOC_TERMS = f"""doc_terms AS (
+DOC_TERMS = f"""doc_terms AS (
   SELECT doc_id, term, count(*) AS n
   FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents)
   GROUP BY doc_id, term)"""
@@ -129,12 +129,12 @@ SELECT lang, count(*) AS n_docs,
        CAST(max(least(len({SQL_WORD_PIECES.format(x='text')}), 512)) AS BIGINT) AS max_model_tokens,
        CAST(sum(len({sql_topic_tokens('text')})) AS BIGINT) AS topic_tokens
 FROM documents GROUP BY lang""",
-    "doc_term_counts": f"WITH {_DOC_TERMS} SELECT doc_id, term, n FROM doc_terms",
-    "vocabulary": f"""WITH {_DOC_TERMS}
+    "doc_term_counts": f"WITH {DOC_TERMS} SELECT doc_id, term, n FROM doc_terms",
+    "vocabulary": f"""WITH {DOC_TERMS}
 SELECT term, count(*) AS doc_freq, CAST(sum(n) AS BIGINT) AS term_freq,
        row_number() OVER (ORDER BY term) - 1 AS term_index
 FROM doc_terms GROUP BY term""",
-    "top_terms_per_group": f"""WITH {_DOC_TERMS},
+    "top_terms_per_group": f"""WITH {DOC_TERMS},
 counts AS (SELECT d.lang, t.term, CAST(sum(t.n) AS BIGINT) AS freq
            FROM doc_terms t JOIN documents d USING (doc_id) GROUP BY d.lang, t.term)
 SELECT lang, term, freq, rank FROM (

@@ -1,13 +1,15 @@
-"""Registered queries: topic models (rows-only checks; topic ids are arbitrary), and the
-tables made from a model's shares and words."""
+"""Registered queries: topic models (rows-only checks where documents are updated until they
+settle; SQL for a fit of fixed steps), and the tables made from a model's shares and words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.dates import in_year_range, pub_year
 from scriptorium.operators.topics import (fit_topics, labelled_topics, mean_shares, named_words, shares_by_period,
-                                          topic_table, topics_by_period)
+                                          topic_shares, topic_table, topics_by_period)
+from scriptorium.plans.q_text import DOC_TERMS
 from scriptorium.plans.q_trends import FIXTURE_YEARS
 from scriptorium.plans.standins import publication_dates
 from scriptorium.session import read_table
@@ -46,6 +48,60 @@ def topics_by_period_q(spark, sf_dir):
     return topics_by_period(fit, docs.select(F.col("doc_id").alias("id"), "year"), "year")
 
 
+# --- a fit of fixed steps: M1, M2, M3 and A4 as SQL computes them too ---
+
+STEPS, STEP_UPDATES = 2, 3   # passes, and updates of each document in a pass and for the shares
+
+
+def topic_fit_steps_q(spark, sf_dir):
+    """Mean share and expected words of each topic after two passes of three updates a document."""
+    docs = read_table(spark, sf_dir, "documents")
+    fit = fit_topics(docs, "doc_id", "text", max_iter=STEPS, doc_updates=STEP_UPDATES, doc_change=0.0)
+    words = spark.createDataFrame([(j, t) for j, t in enumerate(fit.totals)], "topic int, words double")   # a row a topic
+    return (mean_shares(topic_shares(fit)).join(words, "topic")
+            .select("topic", F.round("Frequency", 6).alias("Frequency"), F.round("words", 3).alias("words")))
+
+
+def _sql_digamma(x: str) -> str:
+    """The same function by ten steps up."""
+    y = f"({x} + 10)"
+    return (f"(ln({y}) - 0.5::double / {y} - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6)"
+            + "".join(f" - 1 / ({x} + {i})" for i in range(10)) + ")")
+
+
+def _topic_fit_sql(k: int, passes: int, updates: int) -> str:
+    """Batch variational Bayes with every update a table."""
+    ctes = [f"""{DOC_TERMS}""",
+            "nt AS MATERIALIZED (SELECT doc_id, term, n::double AS n FROM doc_terms)",
+            f"topics AS (SELECT unnest(range({k})) AS k)",
+            "sizes AS MATERIALIZED (SELECT d.doc_id, coalesce(sum(n), 0) AS size FROM documents d LEFT JOIN nt USING (doc_id) GROUP BY d.doc_id)",
+            f"""lam0 AS MATERIALIZED (SELECT term, k, 0.5 + ('0x' || substr(md5('{fv.SEED}:' || k || ':' || term), 1, 8))::ubigint::double / 4294967296 AS l
+                FROM (SELECT DISTINCT term FROM nt), topics)"""]
+
+    def documents(name: str, lam: str) -> None:
+        """Tables ``name``_g (document, topic, gamma) after all updates and ``name``_p (parts of each term)."""
+        ctes.append(f"""{name}_b AS MATERIALIZED (SELECT term, k, exp({_sql_digamma('l')} - {_sql_digamma('total')}) AS b
+            FROM (SELECT *, sum(l) OVER (PARTITION BY k) AS total FROM {lam}))""")
+        ctes.append(f"{name}_g0 AS MATERIALIZED (SELECT doc_id, k, {1 / k}::double + size / {k} AS g FROM sizes, topics)")
+        for u in range(updates + 1):
+            ctes.append(f"""{name}_t{u} AS MATERIALIZED (SELECT doc_id, k, exp({_sql_digamma('g')} - {_sql_digamma('total')}) AS t
+                FROM (SELECT *, sum(g) OVER (PARTITION BY doc_id) AS total FROM {name}_g{u}))""")
+            ctes.append(f"""{name}_p{u} AS MATERIALIZED (SELECT doc_id, term, k, n * w / sum(w) OVER (PARTITION BY doc_id, term) AS p
+                FROM (SELECT nt.doc_id, nt.term, t.k, n, t * b AS w FROM nt JOIN {name}_t{u} t USING (doc_id) JOIN {name}_b b ON b.term = nt.term AND b.k = t.k))""")
+            if u < updates:
+                ctes.append(f"""{name}_g{u + 1} AS MATERIALIZED (SELECT g.doc_id, g.k, {1 / k}::double + coalesce(sum(p), 0) AS g
+                    FROM {name}_g0 g LEFT JOIN {name}_p{u} p ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY g.doc_id, g.k)""")
+
+    for i in range(passes):
+        documents(f"s{i}", f"lam{i}")
+        ctes.append(f"lam{i + 1} AS MATERIALIZED (SELECT term, k, {1 / k}::double + sum(p) AS l FROM s{i}_p{updates} GROUP BY term, k)")
+    documents("last", f"lam{passes}")
+    return f"""WITH {', '.join(ctes)},
+        freq AS (SELECT k, avg(g / total) AS f FROM (SELECT *, sum(g) OVER (PARTITION BY doc_id) AS total FROM last_g{updates}) GROUP BY k),
+        words AS (SELECT k, sum(l) AS w FROM lam{passes} GROUP BY k)
+        SELECT k::int AS topic, round(f, 6) AS "Frequency", round(w, 3) AS words FROM freq JOIN words USING (k)"""
+
+
 # --- the tables around a fit (A4, W1, P15, M4, A17), on shares and weights that SQL can compute too ---
 
 SHARE_TOPICS, SHARE_WORDS = 5, 10
@@ -92,10 +148,12 @@ QUERIES = {
     "topic_frequencies": topic_frequencies_q,
     "patent_topic_frequencies": patent_topic_frequencies_q,
     "topics_by_period": topics_by_period_q,
+    "topic_fit_steps": topic_fit_steps_q,
     "topic_table_of_shares": topic_table_of_shares_q,
     "shares_by_period": shares_by_period_q,
 }
 ORACLE = {
+    "topic_fit_steps": _topic_fit_sql(fv.N_TOPICS, STEPS, STEP_UPDATES),
     "topic_table_of_shares": f"""WITH {_SHARES},
 weights AS (
   SELECT t AS topic, p_partkey, p_name || ' ' || p_partkey AS term,
