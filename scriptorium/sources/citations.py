@@ -163,22 +163,51 @@ def read_blocks(spark: SparkSession, path: str, compat: bool = False) -> DataFra
         raw = raw.where(~F.col("value").startswith("Abstract #"))
     text = F.when(F.col("value").startswith("Abstract #"), F.col("value")) \
         .otherwise(F.concat(F.lit("Abstract #"), F.col("value")))
-    rec = raw.select(text.alias("block"))
-
-    # a field runs to the next label, over as many lines as it has; the abstract
-    # runs to the last "Journal:" label, since it may quote one
-    whole = (r"(?s)^[^\n]*\nTitle: (.*?)\nAuthors: (.*?)\nAbstract: (.*)\nJournal: (.*?)"
-             r"\nPublication Date: (.*?)\n*$")
-
-    def field(number: int, label: str) -> Column:
-        block = F.col("block")
-        line = F.regexp_extract(block, r"(?m)^" + label + r": (.*)$", 1)
-        return F.when(block.rlike(whole), F.regexp_extract(block, whole, number)).otherwise(line)
-
-    return rec.select(F.regexp_extract("block", r"^Abstract #(.*)", 1).alias("pmid"),
-                      field(1, "Title").alias("title"), field(2, "Authors").alias("authors"),
-                      field(3, "Abstract").alias("abstract"), field(4, "Journal").alias("journal"),
-                      field(5, "Publication Date").alias("pub_date"), "block")
+    return block_fields(raw.select(text.alias("block")))
+
+
+#: Labels of a block's fields, each at the start of a line.
+BLOCK_LABELS = ["\nTitle: ", "\nAuthors: ", "\nAbstract: ", "\nJournal: ", "\nPublication Date: "]
+
+
+def block_fields(blocks: DataFrame) -> DataFrame:
+    """``pmid, title, authors, abstract, journal, pub_date, block`` of text blocks.
+
+    A field runs to the next label, over as many lines as it has; the abstract
+    runs to the last "Journal:" label that a date follows, since it may quote
+    one.  Each label is looked for once, from the left or from the right.  Where
+    one is missing, every field is the rest of its label's line.
+    """
+    title, authors, abstract, journal, date = BLOCK_LABELS
+
+    def after(name: str, label: str, start: Column) -> Column:
+        """Place behind the next label, 0 without one."""
+        at = F.call_function("locate", F.lit(label), F.col(name), start)
+        return F.when(at > 0, at + len(label)).otherwise(0)
+
+    def without(name: str, end: str, label: str) -> Column:
+        """What stands before the label whose right side is ``end``, null without the label."""
+        left = F.length(name) - F.length(end) - len(label)
+        return F.when(left >= 0, F.substring(F.col(name), F.lit(1), left))
+
+    steps = (blocks.withColumn("_rest", F.substring(F.col("block"), F.length(F.substring_index("block", "\n", 1)) + 1, F.length("block")))
+             .withColumn("_authors", after("_rest", authors, F.lit(1)))
+             .withColumn("_abstract", F.when(F.col("_authors") > 0, after("_rest", abstract, F.col("_authors"))).otherwise(0))
+             .withColumn("_tail", F.substring(F.col("_rest"), F.col("_abstract"), F.length("_rest")))
+             .withColumn("_end", F.substring_index("_tail", date, -1))
+             .withColumn("_before", without("_tail", "_end", date))
+             .withColumn("_last", F.substring_index("_before", journal, -1))
+             .withColumn("_text", without("_before", "_last", journal))
+             # a second date label behind the last journal belongs to the date
+             .withColumn("_journal", F.substring_index("_last", date, 1)))
+    whole = F.col("_rest").startswith(title) & (F.col("_abstract") > 0) & F.col("_text").isNotNull()
+    between = lambda start, end: F.substring(F.col("_rest"), start, end - start)
+    dated = F.substring(F.concat("_last", F.lit(date), "_end"), F.length("_journal") + len(date) + 1, F.length("_tail"))
+    fields = {"title": between(F.lit(len(title) + 1), F.col("_authors") - len(authors)), "authors": between(F.col("_authors"), F.col("_abstract") - len(abstract)),
+              "abstract": F.col("_text"), "journal": F.col("_journal"), "pub_date": F.rtrim(dated, F.lit("\n"))}
+    line = lambda label: F.regexp_extract("block", r"(?m)^" + label.strip() + r" (.*)$", 1)
+    return steps.select(F.regexp_extract("block", r"^Abstract #(.*)", 1).alias("pmid"),
+                        *[F.when(whole, found).otherwise(line(label)).alias(name) for label, (name, found) in zip(BLOCK_LABELS, fields.items())], "block")
 
 
 # --- id lists (S2, F4) and the missing-id report (J2) -----------------------------
