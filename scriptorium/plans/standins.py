@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.functions.rules import country_rules
+
 # --- FIXED VALUES: affiliation templates picked by c_custkey % 20 -------------
 # They reach every rule tier and every quirk of the country rules.
 AFFILIATION_TEMPLATES = [
@@ -52,6 +54,16 @@ def affiliations(customer: DataFrame) -> DataFrame:
     )
 
 
+def rule_affiliations(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """``ID, Affiliations``: customer by customer a name with the next rule's pattern inside, every
+    other one in capitals, every third one with the customer's nation behind it."""
+    pattern = F.concat(F.lit("Unit "), F.col("c_name"), F.lit(" of "), pick([p for p, _ in country_rules()], F.col("c_custkey")), F.lit("-"))
+    cased = F.when(F.col("c_custkey") % 2 == 0, F.upper(pattern)).otherwise(pattern)
+    met = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.select(F.col("c_custkey").alias("ID"),
+                      F.when(F.col("c_custkey") % 3 == 0, F.concat(cased, F.lit("; "), F.col("n_name"))).otherwise(cased).alias("Affiliations"))
+
+
 # --- publication-date strings derived from orders ------------------------------
 # o_orderkey % 8 picks the rendering; 4-6 are values no format accepts.
 def publication_dates(orders: DataFrame) -> DataFrame:
