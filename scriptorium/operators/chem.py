@@ -5,7 +5,8 @@ local cache.  Here a term lexicon plays the NER part: each document's word
 pieces are expanded to 1..N-grams and joined to the lexicon.  A lexicon given as
 a list is a literal: only grams that *start with one of its first words* leave the
 row, and it is broadcast.  One given as a table, of any size, takes part in an
-ordinary join.  Overlapping candidates are resolved per document:
+ordinary join, before which a Bloom filter of its terms drops nearly all grams
+that are none (:func:`possible_terms`).  Overlapping candidates are resolved per document:
 the longest term at a start position wins, and a candidate that starts
 inside a kept one is dropped; what was dropped itself drops nothing.  Lookups run after the mentions are
 aggregated per term, so the dimension join sees one row per distinct term.
@@ -34,11 +35,47 @@ def lexicon_table(terms: DataFrame) -> DataFrame:
             .select(F.array_join("_w", " ").alias("term"), F.size("_w").alias("n_words")).distinct())
 
 
+#: Bits of the filter for each term, hashes of a term, most bytes of a filter that is broadcast.
+FILTER_BITS, FILTER_HASHES, MAX_FILTER_BYTES = 16, 3, 64 << 20
+_PAGE = 32768   # bits of one bitmap row
+
+
+def _filter_bits(n_terms: int) -> int:
+    return _PAGE * max(1, -(-n_terms * FILTER_BITS // _PAGE))
+
+
+def term_filter(lexicon: DataFrame, n_terms: int) -> DataFrame:
+    """A Bloom filter as bitmap rows: (page, bits), together ``FILTER_BITS`` bits a term."""
+    places = F.array(*[F.pmod(F.xxhash64("term", F.lit(j)), F.lit(_filter_bits(n_terms))) for j in range(FILTER_HASHES)])
+    return (lexicon.select(F.explode(places).alias("_p"))
+            .groupBy(F.floor(F.col("_p") / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("_p") % _PAGE).alias("bits")))
+
+
+def possible_terms(grams: DataFrame, lexicon: DataFrame, n_terms: int) -> DataFrame:
+    """``grams`` without those that are surely no term of the lexicon, before any of them moves.
+
+    Every hash asks one page of the broadcast filter for its bit.  About
+    (1 - exp(-3/16))^3 = 0.5 % of the grams that are no terms stay.  A lexicon whose filter
+    is larger than ``MAX_FILTER_BYTES`` (32 million terms) goes without: then all grams meet the join.
+    """
+    if _filter_bits(n_terms) // 8 > MAX_FILTER_BYTES:
+        return grams
+    pages = materialize(term_filter(lexicon, n_terms))
+    for j in range(FILTER_HASHES):
+        place = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(_filter_bits(n_terms)))
+        own = pages.select(F.col("page").alias("_page"), F.col("bits").alias("_bits"))
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (place % _PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = grams.join(F.broadcast(own), F.floor(place / _PAGE) == F.col("_page"))
+        grams = met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(grams.columns)
+    return grams
+
+
 def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | DataFrame) -> DataFrame:
     """All lexicon hits: (id, pos, n_words, term), pos 1-based."""
     if isinstance(terms, DataFrame):
-        lexicon = lexicon_table(terms)
-        max_n = lexicon.agg(F.max("n_words")).first()[0] or 1
+        lexicon = materialize(lexicon_table(terms))
+        n_terms, max_n = lexicon.agg(F.count(F.lit(1)), F.max("n_words")).first()
+        max_n = max_n or 1
     else:
         norm = sorted({" ".join(t.lower().split()) for t in terms})
         max_n = max(len(t.split(" ")) for t in norm)
@@ -61,6 +98,8 @@ def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Seque
     exploded = (docs.select(F.col(id_col), word_pieces(F.col(text_col)).alias("_toks"))
                 .where(F.size(toks) > 0)
                 .select(F.col(id_col), F.inline(grams)))
+    if isinstance(terms, DataFrame):
+        exploded = possible_terms(exploded, lexicon, n_terms)
     return exploded.join(lexicon, ["term", "n_words"])
 
 
