@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import word_pieces
@@ -114,12 +114,49 @@ def embed_increment(spark: SparkSession, docs: DataFrame, id_col: str, text_col:
     Re-running after a failure embeds only what is still missing, so the
     append is idempotent at record level.  An id that occurs twice in one run
     is embedded once.  Ids are strings in the store if they are in ``docs``,
-    else long.  Returns the number of rows added.
+    else long.  Returns the number of rows added, counted while they are written.
     """
     id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
-    before = read_store(spark, store_path, id_type).count()
-    todo = pending(docs, read_store(spark, store_path, id_type), id_col).dropDuplicates([id_col])
-    out = embed(todo, id_col, text_col, embedder).select(
-        F.col("id").cast(id_type), F.col("embedding").cast("array<double>"))
+    todo = pending(docs, read_store(spark, store_path, id_type), id_col)
+    added, out = _counted(_embedded(todo, id_col, text_col, id_type, embedder))
     out.write.mode("append").parquet(store_path)
-    return read_store(spark, store_path, id_type).count() - before
+    return added.get["n"]
+
+
+def _embedded(todo: DataFrame, id_col: str, text_col: str, id_type: str, embedder) -> DataFrame:
+    out = embed(todo.dropDuplicates([id_col]), id_col, text_col, embedder)
+    return out.select(F.col("id").cast(id_type), F.col("embedding").cast("array<double>"))
+
+
+def _counted(rows: DataFrame) -> tuple[Observation, DataFrame]:
+    seen = Observation()
+    return seen, rows.observe(seen, F.count(F.lit(1)).alias("n"))
+
+
+def embed_increment_table(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, table: str,
+                          embedder: Callable[[Column], Column] = hash_embedding, buckets: int = 64) -> int:
+    """:func:`embed_increment` into a table bucketed and sorted by id.
+
+    The first run creates the table.  Later ones meet its buckets where they
+    lie: the records are dealt to the same buckets, and no row of the store
+    moves to find out what is missing.  Choose ``buckets`` so that a bucket's ids
+    suit one task; a table keeps the number it was created with.  A run that
+    fails has added nothing, so it is repeated as it was.
+    """
+    id_type = "string" if dict(docs.dtypes)[id_col] == "string" else "bigint"
+    held = spark.catalog.tableExists(table)
+    todo = docs
+    if held:
+        spark.catalog.refreshTable(table)
+        todo = pending(docs.withColumn(id_col, F.col(id_col).cast(id_type)), spark.table(table), id_col)
+        buckets = _buckets(spark, table)
+    added, out = _counted(_embedded(todo, id_col, text_col, id_type, embedder))
+    # one file a bucket and run: rows are dealt as the buckets are
+    dealt = out.repartition(buckets, "id")
+    dealt.write.mode("append").format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
+    return added.get["n"]
+
+
+def _buckets(spark: SparkSession, table: str) -> int:
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    return int(described["data_type"])

@@ -8,11 +8,12 @@ what a user would get.  The oracle is written over the driver table itself.
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from scriptorium.operators.embed import embed_increment, model_embedding, read_store
+from scriptorium.operators.embed import embed_increment, embed_increment_table, model_embedding, read_store
 from scriptorium.plans.q_citations import _EXPECTED
 from scriptorium.plans.q_embed import ORACLE as EMBED_ORACLE
 from scriptorium.plans.standins import CORRUPT_EVERY, citation_xml
@@ -97,6 +98,16 @@ def store_resume_q(spark, sf_dir):
         F.col("id").alias("doc_id"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+def store_resume_table_q(spark, sf_dir):
+    """The same through a table bucketed by id, whose rows stay where they are."""
+    table = f"embedding_store_{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    embed_increment_table(spark, docs.where(F.pmod("doc_id", F.lit(2)) == 0), "doc_id", "text", table)
+    embed_increment_table(spark, docs, "doc_id", "text", table)
+    return spark.table(table).select(
+        F.col("id").alias("doc_id"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 def raw_landing_q(spark, sf_dir):
     """K3: raw payloads kept as data, one folder a batch."""
     path = os.path.join(work_dir(spark, "raw"), "raw")
@@ -134,6 +145,7 @@ SELECT p_name || ' ' || p_partkey AS term, CASE WHEN p_partkey % 7 <> 0 THEN p_b
        'a "quoted" ' || p_type AS iupac_name, CASE WHEN p_partkey % 3 <> 0 THEN 'CHEBI:' || p_size END AS chebi_class
 FROM part""",
     "store_resume": EMBED_ORACLE["hash_embedding"],
+    "store_resume_table": EMBED_ORACLE["hash_embedding"],
     "raw_landing": f"SELECT doc_id, CAST(doc_id % {BATCHES} AS BIGINT) AS batch, md5(text) AS raw_md5 FROM documents",
     "model_embedding": f"""
 SELECT doc_id, [CAST(length(t) AS DOUBLE), {_COUNT.format(t='t', c=' ')}, {_COUNT.format(t='t', c='e')}] AS embedding
@@ -148,6 +160,7 @@ QUERIES = {
     "wide_embeddings": wide_embeddings_q,
     "cache_json": cache_json_q,
     "store_resume": store_resume_q,
+    "store_resume_table": store_resume_table_q,
     "raw_landing": raw_landing_q,
     "model_embedding": model_embedding_q,
 }

@@ -92,23 +92,33 @@ def embed_stream(spark: SparkSession, source: DataFrame, id_col: str, text_col:
     """Embed arriving records into the keyed store, one folder per
     micro-batch (replays overwrite their own folder).
 
-    Records whose id other batches of this store, or an earlier store at
-    ``held``, already have are skipped (J8), as are repeats within a batch;
-    each batch reads the stored ids for it, not the vectors.  Batch form:
-    ``embed_increment``."""
+    Ids that the stream has brought before are kept in its state (in RocksDB
+    with this library's session), so a batch costs what it holds, however large
+    the store has grown; repeats are dropped there.  Stores of others are read by
+    each batch, ids only (J8): the earlier one at ``held``, and what lies at
+    ``store`` already when a checkpoint is new.  Batch form: ``embed_increment``."""
+    id_type = "string" if dict(source.dtypes)[id_col] == "string" else "bigint"
+    others = [] if held is None else [held]
+    if not path_exists(spark, os.path.join(checkpoint, "commits")) and path_exists(spark, store):
+        others.append(store)
+
     def write(batch: DataFrame, epoch: int) -> None:
-        spark_ = batch.sparkSession
-        id_type = "string" if dict(batch.dtypes)[id_col] == "string" else "bigint"
-        done = read_store(spark_, store, id_type)
-        if "epoch" in done.columns:
-            done = done.where(F.col("epoch") != epoch)  # a replay does not skip its own rows
-        todo = pending(batch, done, id_col)
-        if held is not None:
-            todo = pending(todo, read_store(spark_, held, id_type), id_col)
-        out = todo.dropDuplicates([id_col]).select(
+        todo = batch
+        for path in others:
+            done = read_store(batch.sparkSession, path, id_type)
+            if "epoch" in done.columns and path == store:
+                done = done.where(F.col("epoch") != epoch)  # a replay does not skip its own rows
+            todo = pending(todo, done, id_col)
+        out = todo.select(
             F.col(id_col).cast(id_type).alias("id"), embedder(F.col(text_col)).cast("array<double>").alias("embedding"))
         write_epoch(out, store, epoch)
 
-    q = (source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    q = (source.dropDuplicates([id_col]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """In whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
