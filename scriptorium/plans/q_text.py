@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.text import remove_forbidden_phrases
-from scriptorium.operators.textops import (dedupe_exact, group_term_counts, term_counts, token_stats,
+from scriptorium.operators.textops import (dedupe_exact, group_term_counts, subword_stats, term_counts, token_stats,
                                           top_terms, vocabulary)
 from scriptorium.plans.sqltext import q, str_list
 from scriptorium.plans.standins import pick
@@ -58,6 +58,23 @@ def token_stats_q(spark, sf_dir):
     return token_stats(documents(spark, sf_dir), "text", ["lang"])
 
 
+_SINGLE = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def piece_vocabulary(part: DataFrame) -> DataFrame:
+    """Stand-in for a model's vocabulary: the words of part names, their first and (to
+    continue) last three letters, and letters and digits either way."""
+    word = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).where("w <> ''").distinct()
+    forms = F.array("w", F.substring("w", 1, 3), F.concat(F.lit("##"), F.right("w", F.lit(3))))
+    single = F.split(F.lit(_SINGLE), "")
+    singles = part.sparkSession.range(1).select(F.explode(F.concat(single, F.transform(single, lambda c: F.concat(F.lit("##"), c)))).alias("piece"))
+    return word.select(F.explode(forms).alias("piece")).union(singles).where("piece NOT IN ('', '##')").distinct()
+
+
+def subword_stats_q(spark, sf_dir):
+    return subword_stats(documents(spark, sf_dir), "text", ["lang"], piece_vocabulary(read_table(spark, sf_dir, "part")))
+
+
 def doc_term_counts_q(spark, sf_dir):
     return term_counts(documents(spark, sf_dir), "doc_id", "text")
 
@@ -109,7 +126,29 @@ DOC_TERMS = f"""doc_terms AS (
   FROM (SELECT doc_id, unnest({sql_terms('text')}) AS term FROM documents)
   GROUP BY doc_id, term)"""
 
+_SUBWORDS = f"""pieces AS (
+  SELECT DISTINCT piece FROM (
+    SELECT unnest([w, substr(w, 1, 3), '##' || right(w, 3)]) AS piece FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> ''
+    UNION ALL SELECT unnest(list_concat(string_split('{_SINGLE}', ''), list_transform(string_split('{_SINGLE}', ''), lambda c: '##' || c))))),
+doc_words AS (SELECT doc_id, unnest({SQL_WORD_PIECES.format(x='text')}) AS w FROM documents),
+cut AS (
+  SELECT w, 0::bigint AS done, 0::bigint AS n FROM (SELECT DISTINCT w FROM doc_words)
+  UNION ALL
+  SELECT w, done + coalesce(max(l) FILTER (p.piece IS NOT NULL), 1000), n + 1
+  FROM cut JOIN (SELECT unnest(range(1, 101)) AS l) ON l <= length(w) - done
+  LEFT JOIN pieces p ON p.piece = CASE WHEN done = 0 THEN '' ELSE '##' END || substr(w, done + 1, l)
+  WHERE done < length(w) AND length(w) <= 100 GROUP BY w, done, n),
+per_word AS (SELECT w, CASE WHEN length(w) > 100 OR max(done) > length(w) THEN 1 ELSE max(n) END AS n FROM cut GROUP BY w),
+per_doc AS (
+  SELECT d.doc_id, any_value(d.lang) AS lang, 2 + coalesce(sum(p.n), 0)
+         + any_value(length(regexp_replace(coalesce(d.text, ''), '[\\p{{L}}\\p{{N}} \\t\\n\\r]', '', 'g'))) AS n
+  FROM documents d LEFT JOIN doc_words w USING (doc_id) LEFT JOIN per_word p USING (w) GROUP BY d.doc_id)"""
+
 ORACLE = {
+    "subword_stats": f"""WITH RECURSIVE {_SUBWORDS}
+SELECT lang, count(*) AS n_docs, round(avg(n), 6) AS avg_tokens, max(n)::bigint AS max_tokens,
+       round(avg(least(n, 512)), 6) AS avg_model_tokens, max(least(n, 512))::bigint AS max_model_tokens, count(*) FILTER (n > 512) AS n_truncated
+FROM per_doc GROUP BY lang""",
     "forbidden_phrases": f"""
 SELECT doc_id, {sql_remove_phrases('text2')} AS abstract
 FROM (SELECT doc_id,
@@ -143,6 +182,7 @@ WHERE rank <= 10""",
 }
 
 QUERIES = {
+    "subword_stats": subword_stats_q,
     "forbidden_phrases": forbidden_phrases_q,
     "processed_text": processed_text_q,
     "dedupe_records": dedupe_records_q,
