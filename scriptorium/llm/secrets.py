@@ -147,22 +147,31 @@ def render(spans_col: Column) -> Column:
     return F.array_join(F.transform(spans_col, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans_col: Column, mask: str = "[secret]") -> Column:
-    """The text with each stretch covered by spans replaced by ``mask``; null stays null."""
+def redacted(text: str | None, found: list[tuple[int, int, int]], mask: str) -> str | None:
+    """``text`` with each stretch covered by spans replaced by ``mask``."""
+    if not found:
+        return text
+    at, parts = 0, []
+    for s, e in merged(found):
+        parts += (text[at:s], mask)
+        at = e
+    return "".join([*parts, text[at:]])
+
+
+def masked(text: Column, mask: str = "[secret]", ranks: str | None = None, max_ratio: float = 2.0) -> Column:
+    """The text without its secrets, found and replaced in one pass; null stays null."""
+    path = ranks or common.tokenizer_file("byte_bpe_50k.tiktoken")
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array) -> pa.Array:
+        encoding = encoder(path)
         out = []
-        for t, f in zip(texts, found):
-            s, at, parts = t.as_py(), 0, []
-            for x in f.as_py() or ():
-                if x["start"] >= at:
-                    parts += (s[at:x["start"]], mask)
-                at = max(at, x["end"])
-            out.append("".join([*parts, s[at:]]) if parts else s)
+        for t in texts:
+            whole = t.as_py()
+            out.append(redacted(whole, find(whole, encoding, max_ratio), mask))
         return pa.array(out, pa.string())
 
-    return cut(text, spans_col)
+    return cut(text)
 
 
 def report(df, id_col: str = "doc_id", text_col: str = "text", **options):
