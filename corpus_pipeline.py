@@ -27,9 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = docs.withColumn("_spans", secrets.spans(F.col("text")))
-    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("_spans"))).withColumn("n_chars", F.length("text").cast("long"))
-    return masked.select(*docs.columns)
+    masked = docs.withColumn("text", secrets.masked(F.col("text")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
