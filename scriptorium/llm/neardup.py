@@ -15,8 +15,9 @@ size is fixed and which is the only thing broadcast.
    with all other nodes of the bucket, since a centre alone would lose links.
    This goes by blocks of at most ``BLOCK`` nodes, each pair of blocks in one
    task with an inverted index of shingles; two nodes are compared in the first
-   band they share only, not at all if they are in one component already, and
-   the task returns links that join components, never pairs.  Similarity is
+   band they share only, not at all if they are in one component already or their
+   total weights exclude the similarity, and the task returns links that join
+   components, never pairs.  Texts are fetched for nodes with a pair left only.  Similarity is
    weighted Jaccard similarity of the whole texts throughout.
 4. Classes are the connected components of the verified links, by least labels
    and pointer jumps; labels and links stay distributed.
@@ -292,30 +293,47 @@ class Postings:
         return shared / (self.totals + one[1].sum(dtype=np.float64) - shared)
 
 
-def block_links(block: pd.DataFrame, table: np.ndarray) -> list[tuple[str, str]]:
-    """Links that join components, between the nodes of seats i and j of one bucket.
+def open_pairs(block: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Places of chunk j, and for each place of chunk i with a pair to compare a mask over them.
 
-    ``block`` has key, label, total, bands, chunk, i, j, band, lead and text of each node.
+    Labels, total weights and earlier bands decide, so no text is needed.
     """
-    i, j, band, lead = (block[c].iloc[0] for c in ("i", "j", "band", "lead"))
-    block = block.sort_values("key").reset_index(drop=True)
-    sets = [weighted(s, table) for s in texts_shingles(pa.array(block["text"], pa.string()))]
-    keys, totals, chunk = block["key"].to_numpy(), block["total"].to_numpy(), block["chunk"].to_numpy()
+    i, j, band = (block[c].iloc[0] for c in ("i", "j", "band"))
+    totals, chunk, label = block["total"].to_numpy(), block["chunk"].to_numpy(), block["label"].to_numpy()
+    right, out = np.flatnonzero(chunk == j), []
+    if not len(right):
+        return right, out
     before = np.stack([np.asarray(b)[:band] for b in block["bands"]]) if band else np.zeros((len(block), 0), np.int64)
-    label = block["label"].to_numpy().copy()
-    right = np.flatnonzero(chunk == j)
-    if not len(right) or not (chunk == i).any():
-        return []
-    index, out = Postings([sets[k] for k in right]), []
     for a in np.flatnonzero(chunk == i):
-        if keys[a] == lead:
-            continue
-        test = (label[right] != label[a]) & (keys[right] != lead)
+        test = label[right] != label[a]
         test &= np.minimum(totals[right], totals[a]) >= SIMILARITY * np.maximum(totals[right], totals[a]) - 1e-3
         if i == j:
             test &= right > a
         if band:
             test &= ~(before[right] == before[a]).any(1)
+        if test.any():
+            out.append((a, test))
+    return right, out
+
+
+def block_links(block: pd.DataFrame, table: np.ndarray) -> list[tuple[str, str]]:
+    """Links that join components, between the nodes of seats i and j of one bucket.
+
+    ``block`` has key, label, total, bands, chunk, i, j, band and text of each node.  Only
+    texts with a pair to compare are hashed.
+    """
+    block = block.sort_values("key").reset_index(drop=True)
+    right, pairs = open_pairs(block)
+    if not pairs:
+        return []
+    met = np.logical_or.reduce([test for _, test in pairs])
+    right, pairs = right[met], [(a, test[met]) for a, test in pairs]
+    used = np.union1d(right, [a for a, _ in pairs])
+    sets = dict(zip(used, (weighted(s, table) for s in texts_shingles(pa.array(block["text"].iloc[used], pa.string())))))
+    keys, label = block["key"].to_numpy(), block["label"].to_numpy().copy()
+    index, out = Postings([sets[k] for k in right]), []
+    for a, test in pairs:
+        test = test & (label[right] != label[a])
         if not test.any():
             continue
         for b in right[test & (index.similarities(sets[a]) >= SIMILARITY)]:
@@ -331,20 +349,32 @@ def rest_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: D
     seated = members.join(labels, "key", "left").join(lead_label, "lead", "left").select(
         "band", "h", "key", "lead", F.coalesce("label", "key").alias("label"), F.coalesce("lead_label", "lead").alias("lead_label"))
     off = F.col("label") != F.col("lead_label")
-    sizes = seated.groupBy("band", "h").agg(F.count_if(off).alias("off"), F.count_if(~off).alias("on")).where("off > 0")
+    # the centre itself was compared with all others, so a bucket needs two more nodes to hold a pair
+    seated = seated.where("key != lead")
+    sizes = seated.groupBy("band", "h").agg(F.count_if(off).alias("off"), F.count_if(~off).alias("on")).where("off > 0 and off + on > 1")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     placed = seated.join(sizes.select("band", "h", blocks("off").alias("n_off"), blocks("on").alias("n_on")), ["band", "h"])
     spread = F.xxhash64("key")
     chunk = F.when(off, F.pmod(spread, "n_off")).otherwise(F.col("n_off") + F.pmod(spread, "n_on")).cast("int")
     others = F.sequence(F.lit(0), F.when(off, F.col("n_off") + F.col("n_on")).otherwise(F.col("n_off")) - 1)
-    seats = placed.select("band", "h", "key", "lead", "label", chunk.alias("chunk"), F.explode(others).alias("other")).select(
+    seats = placed.select("band", "h", "key", "label", chunk.alias("chunk"), F.explode(others).alias("other")).select(
         "*", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    full = seats.join(nodes.select("key", "total", "bands"), "key").join(texts, "key")
+    full = seats.join(nodes.select("key", "total", "bands"), "key")
+
+    def with_pair(block: pd.DataFrame) -> pd.DataFrame:
+        right, pairs = open_pairs(block)
+        keep = np.zeros(len(block), bool)
+        for a, test in pairs:
+            keep[a] = True
+            keep[right[test]] = True
+        return block[keep]
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(block_links(block, idf.value), columns=["a", "b"])
 
-    return full.groupBy("band", "h", "i", "j").applyInPandas(compare, "a string, b string")
+    # texts go only to seats that still have a pair
+    still = full.groupBy("band", "h", "i", "j").applyInPandas(with_pair, full.schema)
+    return still.join(texts, "key").groupBy("band", "h", "i", "j").applyInPandas(compare, "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
