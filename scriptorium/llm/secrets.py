@@ -4,7 +4,10 @@ A text of a natural language needs few tokens of a byte-level vocabulary;
 random strings need many.  Every run of key characters that is long enough is
 therefore encoded with a tiktoken vocabulary, and runs with few characters per
 token are reported, unless they are known digests (hexadecimal of a digest's
-length), UUIDs or numbers.  Runs in the shape of names (parts of letters of one case or
+length), UUIDs or numbers.  A run that has enough characters a token as a whole is
+measured again in the parts between its separators, so a readable name before a
+random string hides nothing; of a run that touches a fixed pattern's span what lies
+outside the span is measured.  Runs in the shape of names (parts of letters of one case or
 camel case, with up to four digits) are judged by their letters alone: by all parts
 of three or more letters together, and by each long part.
 
@@ -37,7 +40,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_RUN = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 #: Letters of a name that say something at all, that are judged as a part of their own, and that are judged by the full ratio.
 LETTERS, LONG_PART, FULL_RATIO = 12, 16, 20
 #: Fewer letters spread more, so their ratio must be lower by this.
@@ -49,6 +53,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-
 NUMBER = re.compile(r"0x[0-9A-Fa-f]{1,16}")
 NAME_PART = re.compile(r"\d+|[a-z]+\d{0,4}|[A-Z]+\d{0,4}|(?:[A-Z]?[a-z]{2,})+\d{0,4}")
 PART_BREAK = re.compile(r"[+/_=-]+")
+#: Separators at which a run that is not random as a whole is parted, one after the other.
+BREAKS = (re.compile(r"=+"), re.compile(r"[_-]+"), re.compile(r"[+/]+"))
 
 SPANS_TYPE = "array<struct<kind:string,start:int,end:int>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -108,6 +114,24 @@ def merged(found: list[tuple[int, int, int]]) -> list[list[int]]:
     return out
 
 
+def random_parts(run: str, encoding, max_ratio: float, breaks: tuple = BREAKS) -> list[tuple[int, int]]:
+    """Places of random strings in a run: the run itself, or else what its separators part."""
+    if len(run) < MIN_RUN or known(run):
+        return []
+    if is_random(run, encoding, max_ratio):
+        return [(0, len(run))]
+    if not breaks:
+        return []
+    out, at = [], 0
+    for m in [*breaks[0].finditer(run), None]:
+        end = m.start() if m else len(run)
+        if end - at >= MIN_RUN:
+            # a run without this separator goes on to the next one
+            out += [(at + s, at + e) for s, e in random_parts(run[at:end], encoding, max_ratio, breaks[1:])]
+        at = m.end() if m else end
+    return out
+
+
 def find(text: str | None, encoding, max_ratio: float) -> list[tuple[int, int, int]]:
     """All spans of one text as (start, kind number, end), in listing order."""
     if not text:
@@ -115,13 +139,17 @@ def find(text: str | None, encoding, max_ratio: float) -> list[tuple[int, int, i
     out = base_spans(text)
     taken, at = merged(out), 0
     for m in RUN.finditer(text):
-        s, e = m.span()
-        while at < len(taken) and taken[at][1] <= s:
+        start, end = m.span()
+        while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if at < len(taken) and taken[at][0] < e or known(m.group()):
-            continue
-        if is_random(m.group(), encoding, max_ratio):
-            out.append((s, 3, e))
+        # what base spans leave of the run
+        free, k = [], at
+        while k < len(taken) and taken[k][0] < end:
+            free.append((start, taken[k][0]))
+            start = taken[k][1]
+            k += 1
+        for s, e in [*free, (start, end)]:
+            out += [(s + a, 3, s + b) for a, b in random_parts(text[s:e], encoding, max_ratio)]
     return sorted(out)
 
 
