@@ -10,10 +10,14 @@ between the query's nearest pivot and the ring's.
 Round one finds each query a bound of its k-th distance: from the counts and
 outer radii alone, then by searching one block near it.  Round two sends a
 query only to the rings that can hold a row within that bound.  Queries are
-grouped by their nearest pivot in an order that keeps near pivots together, so
-a block is copied to the groups that need it and to no others.  Where nothing
-can be ruled out (evenly spread vectors of many dimensions) this is the grid
-of :func:`scriptorium.operators.vectors.knn`; it is never more cells than that.
+grouped by their nearest pivot in an order that keeps near pivots together, and
+blocks are shipped in chunks of neighbouring ones, so a block is copied to the
+groups that need it and to no others, and a group's queries once to each chunk.
+Groups and chunks grow with the tables up to a bound of bytes, whatever
+the blocks: a row travels as often as the other side has groups or chunks.
+Where nothing can be ruled out (evenly spread vectors of many dimensions) this
+is the grid of :func:`scriptorium.operators.vectors.knn`; it is never more cells
+than that.
 
 What is held whole is bounded: at most ``MAX_PIVOTS`` pivots of together
 ``PIVOT_BYTES``, and per pivot its radii, counts and at most ``MAX_RINGS``
@@ -28,11 +32,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from scriptorium.operators.vectors import _cell_kernel, has_string_ids
+from scriptorium.operators.vectors import _cell_kernel, has_string_ids, shipped_rows
 from scriptorium.session import materialize
 
 MAX_PIVOTS, PIVOT_BYTES, MAX_RINGS = 4096, 16 << 20, 64
 SAMPLE = 4     # rows sampled for each pivot
+DISTANCES = 1 << 20   # distances to pivots that a task computes at once
 SLACK = 1e-6   # of the lengths involved: distances to pivots are rounded, those to rows are not
 
 
@@ -71,6 +76,14 @@ def _stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _slices(batches: Iterator[pd.DataFrame], pivots: Pivots) -> Iterator[pd.DataFrame]:
+    """Few enough rows at a time that their distances to all pivots stay within ``DISTANCES``."""
+    step = max(1, DISTANCES // len(pivots.points))
+    for rows in batches:
+        for start in range(0, len(rows), step):
+            yield rows.iloc[start:start + step]
+
+
 def choose_pivots(base: DataFrame, n_base: int, block_rows: int, seed: int = 17) -> Pivots:
     """One pivot for each ``block_rows`` rows within the bounds.
 
@@ -93,11 +106,10 @@ def choose_pivots(base: DataFrame, n_base: int, block_rows: int, seed: int = 17)
 def assigned(base: DataFrame, pivots: Pivots) -> DataFrame:
     """``base`` with its nearest pivot and the distance to it."""
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d, _ = pivots.distances(_stacked(rows["vec"]))
-                best = d.argmin(1)
-                yield rows.assign(pivot=best.astype(np.int32), away=d[np.arange(len(d)), best])
+        for rows in _slices(batches, pivots):
+            d, _ = pivots.distances(_stacked(rows["vec"]))
+            best = d.argmin(1)
+            yield rows.assign(pivot=best.astype(np.int32), away=d[np.arange(len(d)), best])
     schema = T.StructType([*base.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType())])
     return base.mapInPandas(near, schema)
 
@@ -126,17 +138,17 @@ def rings(rows: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
 
 
 class Bounds:
-    """Per pivot: rows, inner and outer radius, and of its rings of k rows or more the outer radii."""
+    """Per pivot: number of rows, inner and outer radius, and of its rings of k rows or more the outer radii."""
 
     def __init__(self, table: DataFrame, n_pivots: int, k: int):
-        of = table.groupBy("pivot").agg(F.min("r_min").alias("low"), F.max("r_max").alias("high"),
+        of = table.groupBy("pivot").agg(F.sum("n").alias("n"), F.min("r_min").alias("low"), F.max("r_max").alias("high"),
                                         F.min(F.when(F.col("n") >= k, F.col("r_max"))).alias("full"),
                                         F.min_by("ring", F.when(F.col("n") >= k, F.col("r_max"))).alias("home")).collect()  # a row a pivot
         self.low, self.high, self.full = np.full(n_pivots, np.inf), np.full(n_pivots, -np.inf), np.full(n_pivots, np.inf)
-        self.home = np.full(n_pivots, -1, np.int32)
+        self.home, self.n = np.full(n_pivots, -1, np.int32), np.zeros(n_pivots, np.int64)
         for r in of:
             p = r["pivot"]
-            self.low[p], self.high[p] = r["low"], r["high"]
+            self.low[p], self.high[p], self.n[p] = r["low"], r["high"], r["n"]
             if r["full"] is not None:
                 self.full[p], self.home[p] = r["full"], r["home"]
 
@@ -144,12 +156,11 @@ class Bounds:
 def _near_queries(queries: DataFrame, pivots: Pivots, bounds: Bounds) -> DataFrame:
     """Queries with their nearest pivot, a pivot and ring to search first, and a bound of the k-th distance."""
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if len(rows):
-                d, off = pivots.distances(_stacked(rows["vec"]))
-                reach = d + off + bounds.full[None, :]   # k rows lie within
-                first, every = reach.argmin(1), np.arange(len(d))
-                yield rows.assign(pivot=d.argmin(1).astype(np.int32), home_pivot=first.astype(np.int32), home_ring=bounds.home[first], bound=reach[every, first])
+        for rows in _slices(batches, pivots):
+            d, off = pivots.distances(_stacked(rows["vec"]))
+            reach = d + off + bounds.full[None, :]   # k rows lie within
+            first, every = reach.argmin(1), np.arange(len(d))
+            yield rows.assign(pivot=d.argmin(1).astype(np.int32), home_pivot=first.astype(np.int32), home_ring=bounds.home[first], bound=reach[every, first])
     more = [("pivot", T.IntegerType()), ("home_pivot", T.IntegerType()), ("home_ring", T.IntegerType()), ("bound", T.DoubleType())]
     return queries.mapInPandas(near, T.StructType([*queries.schema.fields, *[T.StructField(*m) for m in more]]))
 
@@ -186,42 +197,62 @@ def _round_one(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
 
 def surviving(queries: DataFrame, table: DataFrame, pivots: Pivots, bounds: Bounds) -> DataFrame:
-    """Queries times the rings that can hold a row within their bound."""
+    """Groups of queries times the blocks of rings that can hold a row within the bound of one of them."""
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for start in range(0, len(rows), 256):
-                some = rows.iloc[start:start + 256]
-                d, off = pivots.distances(_stacked(some["vec"]))
-                least = np.maximum(np.maximum(d - bounds.high, bounds.low - d), pivots.least(d)) - 2 * off
-                i, p = np.nonzero(least <= some["bound"].to_numpy()[:, None])
-                yield some.iloc[i].assign(pivot=p.astype(np.int32), away=d[i, p], off=2 * off[i, p])
-    fields = [f for f in queries.schema.fields if f.name in ("id", "vec", "bound", "group")]
-    more = [("pivot", T.IntegerType()), ("away", T.DoubleType()), ("off", T.DoubleType())]
-    near = queries.select(*[f.name for f in fields]).mapInPandas(reach, T.StructType([*fields, *[T.StructField(*m) for m in more]]))
-    of = table.select(F.col("pivot").alias("_p"), "ring", "r_min", "r_max", "parts")
-    within = F.col("bound") + F.col("off")
-    return near.join(of, (F.col("pivot") == F.col("_p")) & (F.col("away") - F.col("r_max") <= within) & (F.col("r_min") - F.col("away") <= within)).select(
-        "id", "vec", "bound", "group", "pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-
-def _plan(queries: DataFrame, base: DataFrame, k: int, n_base: int, block_rows: int):
+        for rows in _slices(batches, pivots):
+            d, off = pivots.distances(_stacked(rows["vec"]))
+            bound = rows["bound"].to_numpy()[:, None]
+            least = np.maximum(np.maximum(d - bounds.high, bounds.low - d), pivots.least(d)) - 2 * off
+            group = rows["group"].to_numpy()
+            meets, within = least <= bound, bound + 2 * off
+            nearest, furthest = np.where(meets, d - within, np.inf), np.where(meets, d + within, -np.inf)
+            for g in np.unique(group):
+                own = group == g
+                p = np.flatnonzero(meets[own].any(0))
+                yield pd.DataFrame({"group": np.full(len(p), g, np.int32), "pivot": p.astype(np.int32),
+                                    "from": nearest[own].min(0)[p], "to": furthest[own].max(0)[p]})
+    # a group's queries side by side, so that few rows tell what it needs
+    asked = queries.select("vec", "bound", "group").repartition("group").sortWithinPartitions("group")
+    near = (asked.mapInPandas(reach, "group int, pivot int, from double, to double")
+            .groupBy("group", "pivot").agg(F.min("from").alias("from"), F.max("to").alias("to")))
+    of = table.select(F.col("pivot").alias("_p"), "ring", "r_min", "r_max", "n", "parts")
+    return near.join(of, (F.col("pivot") == F.col("_p")) & (F.col("from") <= F.col("r_max")) & (F.col("r_min") <= F.col("to"))).select(
+        "group", "pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _in_chunks(seats: DataFrame, table: DataFrame, bounds: Bounds, rows: int) -> DataFrame:
+    """Seats with their ``chunk``: blocks one after the other, about ``rows`` rows a chunk."""
+    before = np.cumsum(bounds.n) - bounds.n
+    start = table.sparkSession.createDataFrame([(p, int(n)) for p, n in enumerate(before)], "pivot int, _start long")   # a row a pivot
+    earlier = Window.partitionBy("pivot").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
+    at = (table.join(F.broadcast(start), "pivot").select(
+        "pivot", "ring", (F.col("_start") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("_at"), (F.col("n") / F.col("parts")).alias("_each")))
+    # pivots times rings
+    met = seats.join(F.broadcast(at), ["pivot", "ring"])
+    return met.withColumn("chunk", F.floor((F.col("_at") + F.col("part") * F.col("_each")) / rows).cast("int")).drop("_at", "_each")
+
+
+def _plan(queries: DataFrame, base: DataFrame, k: int, n_base: int, block_rows: int, wide: bool):
+    """Blocks, their rings, queries in groups (of about a block, or ``wide`` ones), the seats, and the rows of a chunk."""
     pivots = choose_pivots(base, n_base, block_rows)
     blocks, table = rings(materialize(assigned(base, pivots)), block_rows)
     bounds = Bounds(table, len(pivots.points), k)
-    queries = _in_groups(materialize(_near_queries(queries, pivots, bounds)), len(pivots.points), block_rows)
-    queries = materialize(_round_one(queries, blocks, k))
-    return blocks, table, queries, surviving(queries, table, pivots, bounds)
+    queries = materialize(_near_queries(queries, pivots, bounds))
+    rows = shipped_rows(n_base, queries.count(), block_rows, len(pivots.centre)) if wide else block_rows
+    queries = materialize(_round_one(_in_groups(queries, len(pivots.points), rows), blocks, k))
+    seats = surviving(queries, table, pivots, bounds)
+    return blocks, table, queries, _in_chunks(seats, table, bounds, rows)
 
 
-CELL = ["pivot", "ring", "part", "group"]
+BLOCK = ["pivot", "ring", "part"]
 
 
 def pruned_cells(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec", block_rows: int = 2048) -> tuple[int, int]:
-    """Cells that :func:`pruned_knn` searches, and those of all blocks with all groups."""
+    """Blocks that groups of ``block_rows`` queries search, and those of all blocks with all groups."""
     q, b = (df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")) for df in (queries, base))
-    _, table, asked, pairs = _plan(q, b, k, b.count(), block_rows)
+    _, table, asked, seats = _plan(q, b, k, b.count(), block_rows, False)
     n_blocks = table.agg(F.sum("parts")).first()[0]
-    return pairs.select(*CELL).distinct().count(), n_blocks * asked.select("group").distinct().count()
+    return seats.count(), n_blocks * asked.select("group").distinct().count()
 
 
 def pruned_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "vec",
@@ -242,7 +273,7 @@ def pruned_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
     n_base = b.count() if n_base is None else n_base
     if not n_base:
         return queries.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    blocks, _, _, pairs = _plan(q, b, k, n_base, block_rows)
+    blocks, _, asked, seats = _plan(q, b, k, n_base, block_rows, True)
     kernel = _cell_kernel(k, False, extra)
 
     def task(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -252,10 +283,11 @@ def pruned_knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id
         bound = found["q_id"].map(q.set_index("id")["bound"])
         return found[found["dist"].to_numpy() <= bound.to_numpy() * (1 + 1e-12)]
 
-    pairs = materialize(pairs)
-    seats = pairs.select(*[F.col(c).alias(f"_{c}") for c in CELL]).distinct()
-    of = [F.col(c) == F.col(f"_{c}") for c in CELL[:3]]
-    copies = blocks.join(seats, of[0] & of[1] & of[2]).drop(*CELL[:3])
-    cells = pairs.groupBy(*CELL).cogroup(copies.groupBy(*[f"_{c}" for c in CELL])).applyInPandas(task, schema)
+    seats = materialize(seats)   # numbers only: groups times blocks at most
+    of = seats.select(*[F.col(c).alias(f"_{c}") for c in BLOCK], F.col("group").alias("_g"), F.col("chunk").alias("_c"))
+    copies = blocks.join(of, (F.col("pivot") == F.col("_pivot")) & (F.col("ring") == F.col("_ring")) & (F.col("part") == F.col("_part")))
+    sent = asked.select("id", "vec", "bound", "group").join(seats.select("group", "chunk").distinct(), "group")
+    cells = (sent.groupBy("group", "chunk").cogroup(copies.select("id", "vec", *extra, "_g", "_c").groupBy("_g", "_c"))
+             .applyInPandas(task, schema))
     order = Window.partitionBy("q_id").orderBy("dist", "b_id")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -4,7 +4,7 @@ distance-weighted vote, SMOTE (J6, J7, W2, W3, W4, M5, M6, M7).
 Exact k-NN is a *blocked* nearest-neighbour join.  Within each group (all
 rows, or one class for SMOTE) the base side is hashed into ``nb`` blocks and
 the query side into ``nq`` blocks, with ``nb``/``nq`` derived from the
-group's size so a block holds about ``block_rows`` rows.  Every query block
+group's size so a block holds about ``block_rows`` rows, in large groups up to ``SHIPPED_ROWS``.  Every query block
 meets every base block of its group in one cogroup cell; the cell computes
 distances with NumPy and emits only its local top-k per query.  A final
 window per query keeps the global top-k.  Memory per task is bounded by the
@@ -40,6 +40,19 @@ def order_key(df: DataFrame, id_col: str):
 
 # --- exact blocked k-NN --------------------------------------------------------
 
+#: Rows of a block at most, bytes of its vectors at most, and cells from which blocks grow with the tables.
+SHIPPED_ROWS, SHIPPED_BYTES, ENOUGH_CELLS = 8192, 8 << 20, 64
+
+
+def shipped_rows(n_base: int, n_queries: int, block_rows: int, width: int) -> int:
+    """Rows of a block: ``block_rows`` while cells are few, more where that still leaves enough cells.
+
+    A row is copied once for each block of the other side, so blocks of one size
+    would let the copies grow with the square of the rows at once."""
+    most = max(block_rows, min(SHIPPED_ROWS, SHIPPED_BYTES // (8 * max(1, width))))
+    return min(most, max(block_rows, int((n_base * n_queries / ENOUGH_CELLS) ** 0.5)))
+
+
 def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
     def kernel(key, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["q_id", "b_id", "dist"] + [f"b_{c}" for c in extra]
@@ -57,7 +70,7 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
         Qm, Bm = Q - centre, B - centre
         bn, qn = (Bm * Bm).sum(1), (Qm * Qm).sum(1)
         need = min(len(B), k + (1 if exclude_self else 0))
-        out, s, step = [], 0, 1024
+        out, s, step = [], 0, max(1, min(1024, (1 << 21) // len(B)))
         while s < len(Q):
             Qc, ids, me = Q[s:s + step], qid[s:s + step], own[s:s + step]
             # expansion only to choose candidates; exact distances recomputed below
@@ -66,8 +79,8 @@ def _cell_kernel(k: int, exclude_self: bool, extra: list[str]):
             error = 8 * (B.shape[1] + 4) * np.finfo(np.float64).eps * (qn[s:s + step] + bn.max())
             kth = np.partition(approx, need - 1, axis=1)[:, need - 1]
             m = int((approx <= (kth + 2 * error)[:, None]).sum(1).max())
-            if len(Qc) > 1 and len(Qc) * m * B.shape[1] > 1 << 24:
-                step = max(1, (1 << 24) // (m * B.shape[1]))  # many equal distances: fewer queries at a time
+            if len(Qc) > 1 and len(Qc) * m * B.shape[1] > 1 << 22:
+                step = max(1, (1 << 22) // (m * B.shape[1]))  # many equal distances: fewer queries at a time
                 Qc, ids, me, approx = Qc[:step], ids[:step], me[:step], approx[:step]
             s += len(Qc)
             if exclude_self:
@@ -105,7 +118,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
     ``few_groups=True`` says that the groups are classes, whose table of sizes
     is small enough to be broadcast; a class with most rows is then no hot join key.
 
-    Cost per group with B = ``block_rows``: rows shuffled ≈
+    Cost per group with B from ``block_rows`` to ``SHIPPED_ROWS``: rows shuffled ≈
     n_b·⌈n_q/B⌉ + n_q·⌈n_b/B⌉, cells = ⌈n_q/B⌉·⌈n_b/B⌉, each holding at most
     ~B query and ~B base vectors (distances computed 1024 queries at a time).
     Raising B trades memory per cell for less replication.  Beyond a few
@@ -117,19 +130,25 @@ def knn(queries: DataFrame, base: DataFrame, k: int, *, id_col: str = "id", vec_
                        (F.col(group_col) if group_col else F.lit(0)).alias(g))
     b = base.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
                     (F.col(group_col) if group_col else F.lit(0)).alias(g), *extra)
+    some = b.select(F.size("vec")).first()   # vectors are of one width
+    width = some[0] if some else 1
     if group_col is None:
         # one group: the block counts are two scalars (no join on a constant)
         n_b, n_q = sizes if sizes is not None else (b.count(), q.count())
-        nb = max(1, -(-n_b // block_rows))
-        nq = max(1, -(-n_q // block_rows))
+        rows = shipped_rows(n_b, n_q, block_rows, width)
+        nb = max(1, -(-n_b // rows))
+        nq = max(1, -(-n_q // rows))
         b_blk, q_blk = F.lit(nb), F.lit(nq)
         b_sized, q_sized = b, q
     else:
         # one row per group with its block counts, equi-joined on the group
         sizes = (b.groupBy(g).agg(F.count(F.lit(1)).alias("_nb_rows"))
                  .join(q.groupBy(g).agg(F.count(F.lit(1)).alias("_nq_rows")), g))
-        sizes = sizes.select(g, F.ceil(F.col("_nb_rows") / block_rows).cast("int").alias("_nb"),
-                             F.ceil(F.col("_nq_rows") / block_rows).cast("int").alias("_nq"))
+        most = shipped_rows(1 << 40, 1 << 40, block_rows, width)
+        even = F.sqrt(F.col("_nb_rows").cast("double") * F.col("_nq_rows") / ENOUGH_CELLS)   # as in shipped_rows
+        rows = F.least(F.lit(most), F.greatest(F.lit(block_rows), F.floor(even)))
+        sizes = sizes.select(g, F.ceil(F.col("_nb_rows") / rows).cast("int").alias("_nb"),
+                             F.ceil(F.col("_nq_rows") / rows).cast("int").alias("_nq"))
         if few_groups:
             sizes = F.broadcast(sizes)
         b_sized, q_sized = b.join(sizes, g), q.join(sizes, g)

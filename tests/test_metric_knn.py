@@ -70,3 +70,21 @@ def test_exact_knn_takes_either_way_to_the_same_rows(spark):
     ways = [sorted((r.q_id, r["rank"], r.b_id) for r in exact_knn(queries, base, 4, id_col="id", vec_col="vec", sizes=(400, 60), block_rows=b).collect())
             for b in (30, 4096)]
     assert ways[0] == ways[1] and len(ways[0]) == 240
+
+
+def test_rows_of_a_call_and_copies_stay_bounded(spark):
+    """Distances to pivots are computed a slice at a time; seats carry no vectors; blocks grow with the tables up to bytes."""
+    import pandas as pd
+    pivots = metric_knn.Pivots(np.random.default_rng(1).normal(size=(64, 4)))
+    old, metric_knn.DISTANCES = metric_knn.DISTANCES, 640
+    try:
+        slices = [len(s) for s in metric_knn._slices(iter([pd.DataFrame({"x": range(25)}), pd.DataFrame({"x": []})]), pivots)]
+    finally:
+        metric_knn.DISTANCES = old
+    assert slices == [10, 10, 5]
+    q, b = (frame(spark, range(n), clustered(s, n)).drop("label") for s, n in ((11, 300), (12, 900)))
+    *_, seats = metric_knn._plan(q, b, 5, 900, 20, True)
+    assert set(seats.columns) == {"group", "pivot", "ring", "part", "chunk"}
+    from scriptorium.operators.vectors import SHIPPED_ROWS, shipped_rows
+    assert shipped_rows(1000, 1000, 128, 64) == 128 and 128 < shipped_rows(40000, 10000, 128, 64) < SHIPPED_ROWS
+    assert shipped_rows(10 ** 7, 10 ** 6, 128, 64) == SHIPPED_ROWS and shipped_rows(10 ** 7, 10 ** 6, 128, 4096) == 256
