@@ -7,7 +7,7 @@ codegen and run where the data lives; no Python worker is involved.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -17,9 +17,17 @@ from scriptorium.functions import fixed_values as fv
 _WS = r"(?U)\s"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ustrip(col: Column) -> Column:
-    """Strip leading and trailing Unicode whitespace."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Strip leading and trailing Unicode whitespace; the first and last character tell whether there is any."""
+    def strip(t: Column) -> Column:
+        ends = F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+        return F.when(ends.rlike(_WS), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t)
+    return let(col, strip)
 
 
 def clean_text(col: Column) -> Column:
@@ -40,15 +48,21 @@ def phrase_pattern(phrase: str) -> str:
 def remove_forbidden_phrases(col: Column, phrases: Sequence[str] = fv.FORBIDDEN_PHRASES) -> Column:
     """Replace each phrase (in list order) by one space, then strip.
 
-    A text in which no phrase occurs (case-insensitively) is only stripped:
-    if no phrase matches the original text, no step of the chain can match,
-    so one literal scan replaces the sequence of pattern scans.
+    A step's pattern is tried only on a text that holds its phrase
+    (case-insensitively) by then, which a scan for the literal tells; a text in which
+    none of them occurs at first, which one scan tells, is only stripped.
+    Texts between the steps are computed once.
     """
-    out = col
-    for phrase in phrases:
-        out = F.regexp_replace(out, phrase_pattern(phrase), " ")
-    any_phrase = "(?iu)" + "|".join("\\Q" + p + "\\E" for p in phrases)
-    return F.when(col.rlike(any_phrase), ustrip(out)).otherwise(ustrip(col))
+    def without(phrase: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.rlike("(?iu)\\Q" + phrase + "\\E"), F.regexp_replace(t, phrase_pattern(phrase), " ")).otherwise(t)
+
+    def chain(text: Column) -> Column:
+        for phrase in phrases:
+            text = let(text, without(phrase))
+        return text
+
+    any_phrase = "(?iu)" + "|".join("\\Q" + p + "\\E" for p in dict.fromkeys(p.lower() if p.isascii() else p for p in phrases))
+    return let(col, lambda t: ustrip(F.when(t.rlike(any_phrase), chain(t)).otherwise(t)))
 
 
 def strip_inline_tags(raw: Column, sections: Sequence[str] = fv.MIXED_SECTIONS) -> Column:
@@ -78,6 +92,10 @@ def xml_escape(col: Column) -> Column:
 EDGE_PUNCT = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 POSSESSIVE = r"['’]s$"
 ALNUM_TOKEN = r"^[\p{L}\p{N}]+$"
+# the same tokens in one pass over a lower-cased text: between whitespace, edge punctuation, a run, a possessive
+# and edge punctuation; texts with line ends that `$` knows and `\s` does not take the steps
+PLAIN_TOKEN = r"(?<!\S)[^\p{L}\p{N}\s]*+([\p{L}\p{N}]++)(?:['’]s)?[^\p{L}\p{N}\s]*+(?!\S)"
+OTHER_LINE_ENDS = "[\u0085\u2028\u2029]"
 
 
 def raw_tokens(col: Column) -> Column:
@@ -92,8 +110,9 @@ def topic_tokens(col: Column, stop_words: Sequence[str] = fv.ENGLISH_STOP_WORDS)
     Repeats are kept (an ``array_except`` would drop them, U5).  The stop-word
     test is an ``isin`` that Catalyst turns into a hash-set probe.
     """
-    toks = F.filter(raw_tokens(col),
-                    lambda t: t.rlike(ALNUM_TOKEN) & ~t.isin(*stop_words))
+    plain = F.regexp_extract_all(F.lower(col), F.lit(PLAIN_TOKEN), F.lit(1))
+    alnum = F.when(col.rlike(OTHER_LINE_ENDS), F.filter(raw_tokens(col), lambda t: t.rlike(ALNUM_TOKEN))).otherwise(plain)
+    toks = F.filter(alnum, lambda t: ~t.isin(*stop_words))
     return F.coalesce(toks, F.array().cast("array<string>"))
 
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from scriptorium.functions import fixed_values as fv
-from scriptorium.functions.text import word_pieces
+from scriptorium.functions.text import let, word_pieces
 
 DEFAULT_DIM = 64
 
@@ -30,11 +30,6 @@ def _minus(digest: Column) -> Column:
     return (F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8).cast("int")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also where lambdas in ``body`` use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def hash_embedding(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
     """P19 default: sum of ±1 per token in bucket md5(token) mod dim, L2
     normalised (all zeros for a text without tokens).
@@ -56,9 +51,9 @@ def hash_embedding(text: Column, dim: int = DEFAULT_DIM, max_tokens: int | None
 
     def unit(v: Column) -> Column:
         norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
-        return _let(norm, lambda n: F.transform(v, lambda x: x / n))
+        return let(norm, lambda n: F.transform(v, lambda x: x / n))
 
-    return _let(_let(marks, sums), unit)
+    return let(let(marks, sums), unit)
 
 
 def model_embedding(make_predict_fn: Callable, dim: int, batch_size: int = fv.BATCH_SIZE) -> Callable[[Column], Column]:

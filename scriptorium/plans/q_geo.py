@@ -8,7 +8,7 @@ from scriptorium.functions.rules import country_rules
 from scriptorium.operators.geo import country_frequency, country_of
 from scriptorium.plans.sqltext import str_list, values_rows
 from scriptorium.plans.standins import AFFILIATION_TEMPLATES, affiliations, rule_affiliations
-from scriptorium.session import read_table
+from scriptorium.session import read_table, widen
 
 
 def country_frequency_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,8 @@ def country_by_segment_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def country_of_rules_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7 on affiliations that reach every rule of the list, row by row."""
-    meta = rule_affiliations(read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
+    # the rules are much work a row: a table in a few splits is spread first
+    meta = rule_affiliations(widen(read_table(spark, sf_dir, "customer")), read_table(spark, sf_dir, "nation"))
     return meta.select("ID", "Affiliations", country_of(F.col("Affiliations")).alias("Country"))
 
 

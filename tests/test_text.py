@@ -65,3 +65,20 @@ def test_group_row_number_with_hot_group(spark):
     want = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
     assert got.join(want, ["g", "id"]).where(F.col("rn") != F.col("rn2")).count() == 0
     assert got.count() == 4000
+
+
+def test_forbidden_phrases_compute_their_text_once(spark):
+    from pyspark.sql import functions as F
+    joined = F.array_join(F.array("x", F.lit("RESULTS: good")), " ")
+    df = spark.createDataFrame([("a [Image: • see text] b",), ("conclusion: <b>Methods:</b> c",), (None,)], "x string")
+    out = df.select(remove_forbidden_phrases(joined).alias("y"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+    assert [r.y for r in out.collect()] == ["a   b good", "c good", "good"]
+
+
+def test_rules_on_a_table_in_one_split_use_all_cores(spark, tmp_path):
+    from scriptorium.plans.q_geo import country_of_rules_q
+    spark.range(40).selectExpr("id c_custkey", "concat('N', id) c_name", "id % 2 c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(2).selectExpr("id n_nationkey", "'Italy' n_name").write.parquet(str(tmp_path / "nation.parquet"))
+    got = country_of_rules_q(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 40
