@@ -30,6 +30,7 @@ from scriptorium.operators.indexing import consecutive_index
 from scriptorium.session import materialize, widen
 
 BLOCK_TOKENS, LEAST_TOKENS = 200_000, 5000
+SIDE_BY_SIDE = 16384   # places of terms that a task updates at a time: what the processor's cache holds
 DOC_UPDATES, DOC_CHANGE = 100, 1e-3   # updates of a document's topics at most; stop below this mean change
 
 
@@ -123,29 +124,57 @@ def update_documents(doc: np.ndarray, n: np.ndarray, beta: np.ndarray, n_docs: i
     k = len(beta)
     alpha = 1.0 / k
     gamma = np.repeat(alpha + np.bincount(doc, n, n_docs)[None, :] / k, k, 0)
-    live, first = np.unique(doc, return_index=True)
-    at = np.repeat(np.arange(len(live)), np.diff(np.append(first, len(doc))))
-    moving, count, weight = np.ones(len(live), bool), n, beta
-    for _ in range(updates if len(live) else 0):
-        now = gamma[:, live]
-        share = _shares(now)
-        norm = sum(np.take(share[j], at) * weight[j] for j in range(k))
-        ratio = count / (norm + 1e-100)
-        new = alpha + share * np.stack([np.add.reduceat(weight[j] * ratio, first) for j in range(k)])
-        gamma[:, live] = np.where(moving, new, now)
-        moving &= np.abs(new - now).mean(0) >= change
-        if not moving.any():
-            break
-        if moving.mean() < 0.7:   # leave the settled ones behind, not at every update
-            keep = moving[at]
-            live, count, weight = live[moving], count[keep], weight[:, keep]
-            lengths = np.bincount(at[keep], minlength=len(moving))[moving]
-            at, first, moving = np.repeat(np.arange(len(live)), lengths), np.cumsum(lengths) - lengths, np.ones(len(live), bool)
+    lengths = np.bincount(doc, minlength=n_docs)
+    firsts = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    # documents of like length side by side, a few at a time (shorter ones filled up with a term of no count)
+    padded, counts = np.concatenate([beta, np.ones((k, 1))], 1), np.append(n, 0.0)
+    upto = 0
+    while upto < len(order):
+        fits = np.arange(1, min(len(order) - upto, SIDE_BY_SIDE) + 1) * lengths[order[upto:upto + SIDE_BY_SIDE]] <= SIDE_BY_SIDE
+        own = order[upto:upto + max(1, int(fits.sum()))]
+        upto += len(own)
+        line = np.arange(lengths[own[-1]])[:, None]
+        place = np.where(line < lengths[own], firsts[own] + line, len(n))
+        _settle(gamma, own, counts[place], padded[:, place], updates, change)
     share = _shares(gamma)
     parts = np.stack([np.take(share[j], doc) * beta[j] for j in range(k)])
     return gamma, parts, parts.sum(0)
 
 
+def _settle(gamma: np.ndarray, own: np.ndarray, count: np.ndarray, weight: np.ndarray, updates: int, change: float) -> None:
+    """Updates gamma of documents ``own``; ``count`` is by term's place and document, ``weight`` by topic as well."""
+    k = len(gamma)
+    now, moving = gamma[:, own], np.ones(len(own), bool)
+    for _ in range(updates):
+        share = exp_digamma(now)   # a document's total cancels out
+        norm = share[0] * weight[0]
+        for j in range(1, k):
+            norm += share[j] * weight[j]
+        ratio = count / (norm + 1e-100)
+        new = 1.0 / k + share * np.stack([np.einsum("ld,ld->d", weight[j], ratio) for j in range(k)])
+        still = np.abs(new - now).mean(0) >= change
+        now = np.where(moving, new, now)
+        moving &= still
+        if not moving.any():
+            break
+        if moving.mean() < 0.9:   # leave the settled ones behind, not at every update
+            gamma[:, own] = now
+            own, now, count, weight = own[moving], now[:, moving], count[:, moving], weight[:, :, moving]
+            moving = np.ones(len(own), bool)
+    gamma[:, own] = now
+
+
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """exp(digamma(x)), the six steps put together in pairs."""
+    y = x + 6
+    z = 1 / (y * y)
+    s = x * (x + 5)
+    steps = (2 * x + 5) * ((3 * s + 20) * s + 24) / (s * (s + 4) * (s + 6))
+    return y * np.exp(-0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - steps)
+
+
 def _shares(gamma: np.ndarray) -> np.ndarray:
     return np.exp(digamma(gamma, np.log) - digamma(gamma.sum(0), np.log))
 

@@ -113,3 +113,18 @@ def test_special_functions():
     for x in (0.05, 0.2, 1.0, 3.7, 250.0):
         assert abs(topics.digamma(np.float64(x), np.log) - psi(x)) < 1e-10
         assert abs(topics.log_gamma(np.float64(x), np.log) - math.lgamma(x)) < 1e-9
+
+
+def test_documents_of_all_lengths_settle_as_one_by_one():
+    r = np.random.default_rng(5)
+    lengths = r.integers(0, 60, 900)
+    lengths[7] = 40_000   # longer than what goes side by side
+    doc = np.repeat(np.arange(900), lengths)
+    n, beta = r.integers(1, 5, len(doc)).astype(float), r.random((3, len(doc))) + 1e-3
+    gamma, parts, norm = topics.update_documents(doc, n, beta, 900, 50, 1e-3)
+    for d in (0, 7, 8, 500, 899):
+        own = doc == d
+        alone = topics.update_documents(np.zeros(own.sum(), int), n[own], beta[:, own], 1, 50, 1e-3)
+        assert np.allclose(gamma[:, d], alone[0][:, 0], rtol=1e-9) and np.allclose(norm[own], alone[2], rtol=1e-9)
+    x = np.array([0.05, 0.2, 1.0, 3.7, 250.0])
+    assert np.allclose(topics.exp_digamma(x), np.exp(PSI(x)), rtol=1e-9)
