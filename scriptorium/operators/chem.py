@@ -5,8 +5,9 @@ local cache.  Here a term lexicon plays the NER part: each document's word
 pieces are expanded to 1..N-grams and joined to the lexicon.  A lexicon given as
 a list is a literal: only grams that *start with one of its first words* leave the
 row, and it is broadcast.  One given as a table, of any size, takes part in an
-ordinary join, before which a Bloom filter of its terms drops nearly all grams
-that are none (:func:`possible_terms`).  Overlapping candidates are resolved per document:
+ordinary join: a Bloom filter of the terms' first words picks the positions at
+which grams are made, and one of the terms drops nearly all grams that are none
+(:func:`table_grams`, :func:`possible_terms`).  Overlapping candidates are resolved per document:
 the longest term at a start position wins, and a candidate that starts
 inside a kept one is dropped; what was dropped itself drops nothing.  Lookups run after the mentions are
 aggregated per term, so the dimension join sees one row per distinct term.
@@ -70,37 +71,44 @@ def possible_terms(grams: DataFrame, lexicon: DataFrame, n_terms: int) -> DataFr
     return grams
 
 
+def table_grams(toks: DataFrame, id_col: str, lexicon: DataFrame, n_terms: int, max_n: int) -> DataFrame:
+    """Grams (id, pos, n_words, term) of (id, _toks) that may be terms of a lexicon table.
+
+    Words are asked first: where no term begins with the word, no gram is made.
+    """
+    firsts = materialize(lexicon.select(F.substring_index("term", " ", 1).alias("term")).distinct())
+    words = toks.select(F.col(id_col), "_toks", F.posexplode("_toks").alias("pos", "term")).withColumn("pos", F.col("pos") + 1)
+    starts = possible_terms(words, firsts, firsts.count())
+    ns = F.sequence(F.lit(1), F.least(F.lit(max_n), F.size("_toks") - F.col("pos") + 1))
+    sized = starts.select(F.col(id_col), "_toks", "pos", F.explode(ns).alias("n_words"))
+    grams = sized.select(F.col(id_col), "pos", "n_words", F.array_join(F.slice("_toks", F.col("pos"), F.col("n_words")), " ").alias("term"))
+    return possible_terms(grams, lexicon, n_terms)
+
+
 def candidate_mentions(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str] | DataFrame) -> DataFrame:
     """All lexicon hits: (id, pos, n_words, term), pos 1-based."""
-    if isinstance(terms, DataFrame):
-        lexicon = materialize(lexicon_table(terms))
-        n_terms, max_n = lexicon.agg(F.count(F.lit(1)), F.max("n_words")).first()
-        max_n = max_n or 1
-    else:
-        norm = sorted({" ".join(t.lower().split()) for t in terms})
-        max_n = max(len(t.split(" ")) for t in norm)
-        first_words = sorted({t.split(" ")[0] for t in norm})
-        # a literal in the caller's code: broadcasting it is safe
-        lexicon = F.broadcast(lexicon_frame(docs.sparkSession, norm))
     # tokens become a column first: an expression referenced inside a lambda
     # would be re-evaluated for every array element
     toks = F.col("_toks")
+    pieces = docs.select(F.col(id_col), word_pieces(F.col(text_col)).alias("_toks")).where(F.size(toks) > 0)
+    if isinstance(terms, DataFrame):
+        lexicon = materialize(lexicon_table(terms))
+        n_terms, max_n = lexicon.agg(F.count(F.lit(1)), F.max("n_words")).first()
+        return table_grams(pieces, id_col, lexicon, n_terms, max_n or 1).join(lexicon, ["term", "n_words"])
+    norm = sorted({" ".join(t.lower().split()) for t in terms})
+    max_n = max(len(t.split(" ")) for t in norm)
+    first_words = sorted({t.split(" ")[0] for t in norm})
+    # a literal in the caller's code: broadcasting it is safe
+    lexicon = F.broadcast(lexicon_frame(docs.sparkSession, norm))
 
     def grams_at(i: Column) -> Column:
         ns = F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(toks) - i + 1))
         return F.transform(ns, lambda n: F.struct(i.alias("pos"), n.alias("n_words"),
                                                   F.array_join(F.slice(toks, i, n), " ").alias("term")))
 
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1)))
-    if not isinstance(terms, DataFrame):
-        starts = F.filter(starts, lambda i: F.get(toks, i - 1).isin(*first_words))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))), lambda i: F.get(toks, i - 1).isin(*first_words))
     grams = F.flatten(F.transform(starts, grams_at))
-    exploded = (docs.select(F.col(id_col), word_pieces(F.col(text_col)).alias("_toks"))
-                .where(F.size(toks) > 0)
-                .select(F.col(id_col), F.inline(grams)))
-    if isinstance(terms, DataFrame):
-        exploded = possible_terms(exploded, lexicon, n_terms)
-    return exploded.join(lexicon, ["term", "n_words"])
+    return pieces.select(F.col(id_col), F.inline(grams)).join(lexicon, ["term", "n_words"])
 
 
 def resolve_overlaps(cands: DataFrame, id_col: str) -> DataFrame:

@@ -33,3 +33,19 @@ def test_mentions_with_and_without_the_filter(spark, monkeypatch, limit):
 def test_empty_lexicon(spark):
     docs = spark.createDataFrame([(1, "Iron oxide")], "id long, text string")
     assert chem.mentions(docs, "id", "text", spark.createDataFrame([], "term string")).collect() == []
+
+
+def test_grams_of_a_table_start_at_first_words_only(spark):
+    from pyspark.sql import functions as F
+    text = "red iron oxide dust " * 50 + "iron"
+    docs = spark.createDataFrame([(1, text), (None, text), (None, text)], "id long, text string")
+    terms = spark.createDataFrame([("iron oxide dust",), ("iron",), ("oxide tin",), ("Dust Red",)], "term string")
+    lexicon = chem.lexicon_table(terms)
+    grams = chem.table_grams(docs.select("id", F.split(F.trim("text"), " ").alias("_toks")), "id", lexicon, 4, 3)
+    starts = {r.term.split(" ")[0] for r in grams.collect()}
+    assert starts <= {"iron", "oxide", "dust"} and "iron" in starts
+    got = chem.mentions(docs, "id", "text", terms)
+    assert got.where("id = 1").groupBy("term").count().orderBy("term").collect() == [("iron", 1), ("iron oxide dust", 50)]
+    cands = chem.candidate_mentions(docs, "id", "text", terms).groupBy("id", "term").count().collect()
+    per = {"iron": 51, "iron oxide dust": 50, "dust red": 49}
+    assert {(r.id, r.term): r["count"] for r in cands} == {(i, t): n * k for i, k in ((1, 1), (None, 2)) for t, n in per.items()}
