@@ -12,7 +12,9 @@ else; sixteen bits of its hash make four digits of the fingerprint.
 Every term takes part in all ``DRAWS`` draws.  They are made ``GROUP`` at a time:
 a row holds a term and one group of draws, whose least values are as many
 aggregates side by side, so that the aggregation looks up one key for all of them
-and no array is built a term.
+and no array is built a term.  Texts that are fingerprinted together, as a text
+and its edited form, share the row of a term: its numbers r, b and c do not
+depend on the weight and are made once for all of them.
 
 Plan of ``against_next``: documents go by blocks of adjacent ids to the tasks,
 once; each block also gets the first document of the next block, so that
@@ -89,35 +91,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(equal, F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def _codes(found: Column, text: int) -> Column:
-    """The digits of one text from its sorted (k, g, codes) groups; zeros for a text without words."""
-    groups = F.transform(F.filter(found, lambda e: e["k"] == text), lambda e: e["codes"])
-    return F.when(F.exists(found, lambda e: e["k"] == text), F.flatten(groups)).otherwise(F.array_repeat(F.lit(0), DRAWS))
+def term(word: Column) -> Column:
+    """58 bits of the word's hash and, below, its length up to 63."""
+    return F.xxhash64(word).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.length(word), F.lit(63)).cast("long"))
 
 
 def draw(df: DataFrame, keys: list[str], texts: list[str], carry: list[str]) -> DataFrame:
-    """Rows (keys, carry as long, codes0, codes1 ...): the digits of several texts a row.
+    """Rows (keys, carry as long, codes0, codes1 ...): the digits of several texts a row, zeros for a text without words.
 
     ``keys`` name a row.  Where ``df`` is distributed by one of them, no row
-    moves.  The carried values travel as pairs of their own beside the picks,
-    so that a pair keeps little beside the least values.
+    moves.  The carried values travel as rows of their own beside the terms,
+    numbered behind the groups of draws.
     """
-    marks = len(texts)
-    pair = "array<struct<k:int,h:bigint,n:int,v:bigint>>"
-    own = F.array(*[F.struct(F.lit(marks + j).alias("k"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("int").alias("n"), F.col(c).cast("long").alias("v"))
-                    for j, c in enumerate(carry)])
-    of_text = lambda i: F.transform(terms(F.col(texts[i])), lambda x: F.struct(F.lit(i).alias("k"), x["h"].alias("h"), x["n"].alias("n"), F.lit(None).cast("long").alias("v")))
-    spread = df.select(*keys, F.inline(F.concat(own.cast(pair), *[of_text(i).cast(pair) for i in range(len(texts))])))
-    groups = F.when(F.col("k") >= marks, F.array(F.lit(0))).otherwise(F.array(*[F.lit(g) for g in range(DRAWS // GROUP)]))
-    weighed = spread.select(*keys, "k", "h", "v", log_weight(F.col("h"), F.col("n")).alias("lnw"), F.explode(groups).alias("g"))
-    least = [F.min(log_a(F.xxhash64("h", F.col("g") * GROUP + j), F.col("lnw"))).alias(f"a{j}") for j in range(GROUP)]
-    picks = weighed.groupBy(*keys, "k", "g").agg(*least, F.min("v").alias("v"))
-    codes = F.array(*[F.xxhash64(f"a{j}").bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(GROUP)])
-    found = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "g", codes.alias("codes"), "v"))).alias("found"))
-    marked = F.filter("found", lambda e: e["k"] >= marks)
-    held = found.select(*keys, "found", marked.alias("marked"))
-    return held.select(*keys, *[F.get("marked", F.lit(j))["v"].alias(c) for j, c in enumerate(carry)],
-                       *[_codes(F.col("found"), i).alias(f"codes{i}") for i in range(len(texts))])
+    marks, groups = range(len(texts)), DRAWS // GROUP
+    side = "array<struct<k:int,words:array<string>,g:int,v:bigint>>"
+    none = F.lit(None)
+    own = [F.struct(none.alias("k"), F.array(none).alias("words"), F.lit(groups + j).alias("g"), F.col(c).cast("long").alias("v")) for j, c in enumerate(carry)]
+    held = [F.struct(F.lit(i).alias("k"), common.word_list(F.col(t)).alias("words"), none.alias("g"), none.alias("v")) for i, t in enumerate(texts)]
+    sides = df.select(*keys, F.inline(F.concat(*[F.array(x).cast(side) for x in [*held, *own]])))
+    words = sides.select(*keys, "k", "g", "v", F.explode("words").alias("word")).select(*keys, "k", "g", "v", F.when(F.col("k").isNotNull(), term(F.col("word"))).alias("h"))
+    counted = words.groupBy(*keys, "g", "h").agg(*[F.sum(F.when(F.col("k") == i, 1)).alias(f"n{i}") for i in marks], F.min("v").alias("v"))
+    part = F.when(F.col("g").isNull(), F.array(*[F.lit(g) for g in range(groups)])).otherwise(F.array("g"))
+    weighed = counted.select(*keys, "h", "v", *[log_weight(F.col("h"), F.col(f"n{i}")).alias(f"lnw{i}") for i in marks], F.explode(part).alias("g"))
+    least = [F.min(log_a(F.xxhash64("h", F.col("g") * GROUP + j), F.col(f"lnw{i}"))).alias(f"a{i}_{j}") for i in marks for j in range(GROUP)]
+    picks = weighed.groupBy(*keys, "g").agg(*least, F.min("v").alias("v"))
+    digit = lambda a: F.when(F.col(a).isNull(), 0).otherwise(F.xxhash64(a).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    codes = [F.array(*[digit(f"a{i}_{j}") for j in range(GROUP)]).alias(f"codes{i}") for i in marks]
+    found = picks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("g", "v", *codes))).alias("found"))
+    drawn = F.filter("found", lambda e: e["g"] < groups)
+    marked = F.filter("found", lambda e: e["g"] >= groups)
+    both = found.select(*keys, drawn.alias("drawn"), marked.alias("marked"))
+    digits = lambda i: F.flatten(F.transform("drawn", lambda e: e[f"codes{i}"]))
+    whole = [F.when(F.size("drawn") > 0, digits(i)).otherwise(F.array_repeat(F.lit(0), DRAWS)) for i in marks]
+    return both.select(*keys, *[F.get("marked", F.lit(j))["v"].alias(c) for j, c in enumerate(carry)], *[x.alias(f"codes{i}") for i, x in enumerate(whole)])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -181,6 +181,19 @@ def test_fingerprints_against_next(spark):
         assert by_text.setdefault(t or "", got[7 * i].fingerprint) == got[7 * i].fingerprint
 
 
+def test_texts_drawn_together_have_the_digits_each_has_alone(spark):
+    texts = AWKWARD + ["", None, " \t", "a", "a a b", prose(1, 60), prose(1, 60) + " " + prose(2, 30)]
+    alone = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(frame(spark, rows_of(texts))).collect()}
+    pairs = spark.createDataFrame([(i * 100 + j, None if i == j else i, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)],
+                                  "row long, own long, a string, b string")
+    drawn = fingerprint.draw(pairs, ["row"], ["a", "b"], ["own"])
+    got = drawn.select("row", "own", fingerprint.render(F.col("codes0")).alias("x"), fingerprint.render(F.col("codes1")).alias("y")).collect()
+    assert len(got) == len(texts) ** 2
+    for r in got:
+        i, j = divmod(r.row, 100)
+        assert (r.x, r.y, r.own) == (alone[i], alone[j], None if i == j else i)
+
+
 def test_fingerprint_collisions_equal_weighted_jaccard(spark):
     vocabulary = [f"word{k}" + "x" * (k % 5) for k in range(400)]
     r = random.Random(5)
