@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system.
+
+    A Python worker outlives its stage; what the allocators keep for later
+    would count beside the memory of the stages that follow.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+    if trim:
+        trim(0)
+
+
+def batchwise(f: Callable[[pa.Array], pa.Array]) -> Callable:
+    """``f`` of one array as a function over the batches of a task, which holds one batch at a time and gives its memory back."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = f(batch)
+            del batch
+            yield out
+            del out
+            give_back()
+
+    return run
+
+
 def word_list(text: Column) -> Column:
     """Words of a text as an array; null and blank texts give an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -97,6 +97,7 @@ def text_scores(text: Column, model) -> Column:
     kind = pa.struct([("n", pa.int64()), ("scores", pa.list_(pa.float64()))])
 
     @F.arrow_udf("struct<n:bigint,scores:array<double>>")
+    @common.batchwise
     def run(texts: pa.Array) -> pa.Array:
         table, out = model.value, []
         for t in texts:

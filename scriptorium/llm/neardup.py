@@ -228,6 +228,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
     """(doc_id, key, total, bands): node, total weight and bands of every document."""
 
     @F.arrow_udf("struct<key:string,total:double,bands:array<bigint>>")
+    @common.batchwise
     def sign(texts: pa.Array) -> pa.Array:
         table, keys, totals, out = idf.value, [], [], []
         for t, s in zip(texts, texts_shingles(texts)):
@@ -246,6 +247,7 @@ def texts_of(nodes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> Dat
     """(key, text) of nodes given as (key, doc_id)."""
 
     @F.arrow_udf("string")
+    @common.batchwise
     def key_of(texts: pa.Array) -> pa.Array:
         return pa.array([node_key(t.as_py()) for t in texts], pa.string())
 
@@ -423,6 +425,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chosen = first.select(F.col("f.doc_id").alias("_rep"), F.col("f.key").alias("_key"))
 
     @F.arrow_udf("string")
+    @common.batchwise
     def key_of(texts: pa.Array) -> pa.Array:
         return pa.array([node_key(t.as_py()) for t in texts], pa.string())
 

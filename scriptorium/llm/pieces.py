@@ -202,6 +202,7 @@ def digests(text: Column, path: str | None = None) -> Column:
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,spans_sha256:string>")
+    @common.batchwise
     def run(texts: pa.Array) -> pa.Array:
         m, out = model(path), []
         sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -162,6 +162,7 @@ def spans(text: Column, ranks: str | None = None, max_ratio: float = 2.0) -> Col
     path = ranks or common.tokenizer_file("byte_bpe_50k.tiktoken")
 
     @F.arrow_udf(SPANS_TYPE)
+    @common.batchwise
     def scan(texts: pa.Array) -> pa.Array:
         encoding = encoder(path)
         found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(t.as_py(), encoding, max_ratio)] for t in texts]
@@ -191,6 +192,7 @@ def masked(text: Column, mask: str = "[secret]", ranks: str | None = None, max_r
     path = ranks or common.tokenizer_file("byte_bpe_50k.tiktoken")
 
     @F.arrow_udf("string")
+    @common.batchwise
     def cut(texts: pa.Array) -> pa.Array:
         encoding = encoder(path)
         out = []

@@ -528,3 +528,12 @@ def test_empty_tables_nulls_and_repeats(spark, name):
 def test_empty_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.report(empty).count() == 0 and urlfilter.report(empty).count() == 0
+
+
+def test_workers_give_memory_back_between_batches(monkeypatch):
+    held, calls = [], []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(len(held)))
+    run = common.batchwise(lambda texts: pa.array([len(t.as_py()) for t in texts]))
+    for out in run(iter([pa.array(["a", "bb"]), pa.array([], pa.string()), pa.array(["ccc"])])):
+        held.append(out.to_pylist())
+    assert held == [[1, 2], [], [3]] and calls == [1, 2, 3]
