@@ -19,7 +19,7 @@ depend on the weight and are made once for all of them.
 Plan of ``against_next``: documents go by blocks of adjacent ids to the tasks,
 once; each block also gets the first document of the next block, so that
 every document meets its successor inside its block.  All that follows
-(windows, counting of terms in sorted arrays, sampling by hash aggregation)
+(windows, counting and sampling by hash aggregation)
 keeps that distribution, so the texts are shuffled once and nothing else is.
 The only broadcast is one row per block, of which there are at most ``MAX_BLOCKS``
 by the choice of the blocks' width.
@@ -46,22 +46,6 @@ BLOCK_IDS = 256
 MAX_BLOCKS = 1_000_000
 
 
-def terms(text: Column) -> Column:
-    """array<struct<h, n>>: distinct words with their counts.
-
-    ``h`` holds 58 bits of the word's hash and, below, its length up to 63.
-    Hashes are sorted and runs of equal ones counted.
-    """
-    hashes = F.sort_array(F.transform(common.word_list(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.length(w), F.lit(63)).cast("long"))))
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
-        return common.bound(starts, lambda st: F.transform(st, lambda p, k: F.struct(
-            F.get(s, p).alias("h"), (F.coalesce(F.get(st, k + 1), F.size(s)) - p).alias("n"))))
-
-    return common.bound(hashes, lambda s: F.when(F.size(s) == 0, F.array().cast("array<struct<h:bigint,n:int>>")).otherwise(runs(s)))
-
-
 def log_weight(h: Column, n: Column) -> Column:
     """Logarithm of a term's weight: count times squared length less one."""
     length = F.greatest(h.bitwiseAND(F.lit(63)) - 1, F.lit(1).cast("long"))
