@@ -9,7 +9,7 @@ from scriptorium.functions import fixed_values as fv
 from scriptorium.functions.dates import in_year_range, pub_year
 from scriptorium.operators.topics import (fit_topics, labelled_topics, mean_shares, named_words, shares_by_period,
                                           topic_shares, topic_table, topics_by_period)
-from scriptorium.plans.q_text import DOC_TERMS
+from scriptorium.plans.q_text import DOC_TERMS, documents
 from scriptorium.plans.q_trends import FIXTURE_YEARS
 from scriptorium.plans.standins import publication_dates
 from scriptorium.session import read_table
@@ -17,7 +17,7 @@ from scriptorium.session import read_table
 
 def dated_documents(spark, sf_dir):
     """metadata stand-in: abstract = documents.text, date from orders by key."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     pubs = publication_dates(read_table(spark, sf_dir, "orders"))
     return (docs.join(pubs, docs.doc_id == pubs.ID)
             .select("doc_id", "text", pub_year(F.col("Publication_Date")).alias("year")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +79,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Within it, shuffle files go when the job that wrote them ends: for loops whose rounds
+    are materialized.  Spark computes a lost one again if something still needs it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def give_up_unused(spark: SparkSession) -> None:
+    """Checkpoint files of results that nothing refers to any more go now, not when the driver's
+    JVM happens to collect its garbage; over the rounds of a loop they would add up."""
+    for _ in range(2):   # some are found to be unused once others are gone
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; Catalyst prunes columns and pushes filters."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
