@@ -37,7 +37,7 @@ BLOCK_TOKENS = 2_500_000
 SLICE_BYTES = 2 << 20    # of texts cut into pieces at a time
 SLICE_TERMS = 200_000    # terms of documents updated between two sums
 RANGE_TERMS = 1_000_000  # terms that blocks ask of a range of the weights, about
-SIDE_BY_SIDE = 16384   # places of terms that a task updates at a time: what the processor's cache holds
+SIDE_BY_SIDE = 32768   # places of terms that a task updates at a time: what the processor's cache holds
 DOC_UPDATES, DOC_CHANGE = 100, 1e-3   # updates of a document's topics at most; stop below this mean change
 
 
@@ -257,35 +257,32 @@ def update_documents(doc: np.ndarray, n: np.ndarray, beta: np.ndarray, n_docs: i
         fits = np.arange(1, min(len(order) - upto, SIDE_BY_SIDE) + 1) * lengths[order[upto:upto + SIDE_BY_SIDE]] <= SIDE_BY_SIDE
         own = order[upto:upto + max(1, int(fits.sum()))]
         upto += len(own)
-        line = np.arange(lengths[own[-1]])[:, None]
-        place = np.where(line < lengths[own], firsts[own] + line, len(n))
-        _settle(gamma, own, counts[place], padded[:, place], updates, change)
+        line = np.arange(lengths[own[-1]])
+        place = np.where(line < lengths[own, None], firsts[own, None] + line, len(n))
+        _settle(gamma, own, counts[place], np.ascontiguousarray(padded[:, place].swapaxes(0, 1)), updates, change)
     share = _shares(gamma)
     parts = np.stack([np.take(share[j], doc) * beta[j] for j in range(k)])
     return gamma, parts, parts.sum(0)
 
 
 def _settle(gamma: np.ndarray, own: np.ndarray, count: np.ndarray, weight: np.ndarray, updates: int, change: float) -> None:
-    """Updates gamma of documents ``own``; ``count`` is by term's place and document, ``weight`` by topic as well."""
-    k = len(gamma)
-    now, moving = gamma[:, own], np.ones(len(own), bool)
+    """Updates gamma of documents ``own``; ``count`` is by document and term's place, ``weight`` by document, topic and place."""
+    alpha = 1.0 / len(gamma)
+    now, moving = np.ascontiguousarray(gamma[:, own].T), np.ones(len(own), bool)
     for _ in range(updates):
         share = exp_digamma(now)   # a document's total cancels out
-        norm = share[0] * weight[0]
-        for j in range(1, k):
-            norm += share[j] * weight[j]
-        ratio = count / (norm + 1e-100)
-        new = 1.0 / k + share * np.stack([np.einsum("ld,ld->d", weight[j], ratio) for j in range(k)])
-        still = np.abs(new - now).mean(0) >= change
-        now = np.where(moving, new, now)
+        ratio = count / (np.matmul(share[:, None, :], weight)[:, 0] + 1e-100)
+        new = alpha + share * np.matmul(weight, ratio[:, :, None])[:, :, 0]
+        still = np.abs(new - now).mean(1) >= change
+        now = np.where(moving[:, None], new, now)
         moving &= still
         if not moving.any():
             break
         if moving.mean() < 0.9:   # leave the settled ones behind, not at every update
-            gamma[:, own] = now
-            own, now, count, weight = own[moving], now[:, moving], count[:, moving], weight[:, :, moving]
+            gamma[:, own] = now.T
+            own, now, count, weight = own[moving], now[moving], count[moving], weight[moving]
             moving = np.ones(len(own), bool)
-    gamma[:, own] = now
+    gamma[:, own] = now.T
 
 
 def exp_digamma(x: np.ndarray) -> np.ndarray:
