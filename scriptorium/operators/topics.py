@@ -5,7 +5,7 @@ Documents are packed, in the partitions they arrive in, into blocks of at most a
 places and counts.  Texts are cut at white space in numpy; what a piece's term is,
 the token expressions say once for each distinct piece of a block.  Terms are
 numbered, and the topics' weights are a table with one row a range of numbers.  In
-a pass each range sends each block the weights of the terms it asks for, as one
+a pass, or each of its few rounds over parts of the blocks, a range sends each block the weights of the terms it asks for, as one
 row of packed numbers; the block iterates its documents in numpy and sends expected
 counts back the same way, which the range sums to the next weights.  Neither
 the vocabulary nor the terms × topics table is ever in one place; the driver
@@ -21,6 +21,7 @@ partitions or block sizes beyond the rounding of sums.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ BLOCK_TOKENS = 2_500_000
 SLICE_BYTES = 2 << 20    # of texts cut into pieces at a time
 SLICE_TERMS = 200_000    # terms of documents updated between two sums
 RANGE_TERMS = 1_000_000  # terms that blocks ask of a range of the weights, about
+ROUND_TERMS, ROUNDS = 8_000_000, 4   # terms that blocks ask for in one round of a pass, about; rounds at most
 SIDE_BY_SIDE = 32768   # places of terms that a task updates at a time: what the processor's cache holds
 DOC_UPDATES, DOC_CHANGE = 100, 1e-3   # updates of a document's topics at most; stop below this mean change
 
@@ -392,6 +394,19 @@ def _first_weights(terms: DataFrame, k: int, seed: int, width: int) -> DataFrame
     return materialize(start.groupBy("range").applyInArrow(task, _weights_schema(k)))
 
 
+def _once_a_term(counts: DataFrame, k: int) -> DataFrame:
+    """Counts of a round, added up: a row a range."""
+    def task(rows: pa.Table) -> pa.Table:
+        at, s = _joined(rows["at"], np.int32), _joined(rows["s"], np.float64)
+        if rows["range"][0].as_py() < 0:
+            own, s = at, np.array([s.sum()])
+        else:
+            own, s = np.unique(at).astype(np.int32), s.reshape(-1, k)
+            s = np.stack([np.bincount(at, s[:, j])[own] for j in range(k)], 1)
+        return pa.table({"range": rows["range"][:1], "at": pa.array([own.tobytes()], pa.binary()), "s": pa.array([s.tobytes()], pa.binary())})
+    return materialize(counts.groupBy("range").applyInArrow(task, COUNTED))
+
+
 def _summed(counts: DataFrame, k: int) -> DataFrame:
     """The next weights: every term of a range was asked for, so each has counts."""
     def task(rows: pa.Table) -> pa.Table:
@@ -418,10 +433,11 @@ def _by_term(weights: DataFrame, k: int, width: int) -> DataFrame:
 class _Passes:
     """What does not change from pass to pass: blocks by block, and by range of terms which of them each block asks for.
 
-    Both stay in the partitions that a pass needs, so a pass moves weights and counts only.
+    Both stay in the partitions that a pass needs, so a pass moves weights and counts only; of
+    many blocks in a few rounds, each with a part of the blocks, as what moves lies on disk meanwhile.
     """
 
-    def __init__(self, blocks: DataFrame, terms: DataFrame, k: int, width: int, n_ranges: int):
+    def __init__(self, blocks: DataFrame, terms: DataFrame, k: int, width: int, n_ranges: int, rounds: int):
         def task(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("id")
             number, at = np.divmod(rows["id"].to_numpy(), width)
@@ -430,25 +446,28 @@ class _Passes:
             return pa.table({"range": pa.array(number[first].astype(np.int32)), "of": pa.array(np.repeat(rows["of"].to_numpy()[:1], len(first))),
                              "at": _cells(at.astype(np.int32), sizes), "slot": _cells(rows["slot"].to_numpy(), sizes)})
 
-        self.k = k
+        self.k, self.rounds = k, rounds
         asked = blocks.select(F.col("block").alias("of"), F.posexplode("terms").alias("slot", "term")).join(terms, "term").select("of", "slot", "id")
         asked = asked.groupBy("of").applyInArrow(task, "range int, of long, at binary, slot binary")
         self.asked = materialize(asked.repartition(n_ranges, "range"))
         give_up_unused(blocks.sparkSession)
         self.blocks = materialize(blocks.drop("terms", "counts").repartition(_n_tasks(blocks.sparkSession), "block"))
 
-    def cells(self, weights: DataFrame, totals: list[float], ids: bool = False):
-        """Blocks with the weights of their own terms."""
+    def cells(self, weights: DataFrame, totals: list[float], part: int, ids: bool = False):
+        """Blocks of a round with the weights of their own terms."""
         k, of_total = self.k, np.array(_log_totals(totals))
 
         def task(asked: pa.Table, weights: pa.Table) -> pa.Table:
-            own = np.exp(digamma(np.frombuffer(weights["w"][0].as_py(), np.float64).reshape(-1, k), np.log) - of_total)
+            sent = np.exp(digamma(np.frombuffer(weights["w"][0].as_py(), np.float64).reshape(-1, k), np.log) - of_total)
             sizes = np.array([len(x) // 4 for x in asked["at"].to_pylist()], np.int64)
-            return asked.append_column("w", _cells(own[_joined(asked["at"], np.int32)], sizes))
+            return asked.append_column("w", _cells(sent[_joined(asked["at"], np.int32)], sizes))
+
+        def own(table: DataFrame, block: str) -> DataFrame:
+            return table if self.rounds == 1 else table.where(F.pmod(F.xxhash64(block), F.lit(self.rounds)) == part)
 
-        sent = self.asked.groupBy("range").cogroup(weights.select("range", "w").groupBy("range"))
+        sent = own(self.asked, "of").groupBy("range").cogroup(weights.select("range", "w").groupBy("range"))
         sent = sent.applyInArrow(task, "range int, of long, at binary, slot binary, w binary")
-        return (self.blocks if ids else self.blocks.drop("ids")).groupBy("block").cogroup(sent.groupBy("of"))
+        return own(self.blocks if ids else self.blocks.drop("ids"), "block").groupBy("block").cogroup(sent.groupBy("of"))
 
 
 def start_weight(term: Column, topic: int, seed: int) -> Column:
@@ -487,20 +506,21 @@ def fit_topics(docs: DataFrame, id_col: str, text_col: str, k: int = fv.N_TOPICS
         width = terms.count() // n_ranges + 1
         weights, bounds = _first_weights(terms, k, seed, width), []
         totals = _totals(weights, k)
-        passes, id_type = _Passes(blocks, terms, k, width, n_ranges), corpus_id_type(blocks)
+        rounds = range(min(ROUNDS, asked // ROUND_TERMS + 1))
+        passes, id_type = _Passes(blocks, terms, k, width, n_ranges, len(rounds)), corpus_id_type(blocks)
         del blocks
         for _ in range(max_iter if totals[0] else 0):
             give_up_unused(spark)
-            counts = passes.cells(weights, totals).applyInArrow(_pass_task(k, doc_updates, doc_change), COUNTED)
-            summed = _summed(counts, k)
+            counts = [passes.cells(weights, totals, i).applyInArrow(_pass_task(k, doc_updates, doc_change), COUNTED) for i in rounds]
+            summed = _summed(counts[0] if len(rounds) == 1 else reduce(DataFrame.unionAll, [_once_a_term(c, k) for c in counts]), k)
             if track_bound:
                 bounds.append(_terms_bound(_by_term(weights, k, width), totals, k) + summed.where("range = -1").first()["t0"])
             weights = summed.where("range >= 0")
             totals = _totals(weights, k)
             del counts, summed
         give_up_unused(spark)
-        shares = materialize(passes.cells(weights, totals, ids=True).applyInArrow(
-            _shares_task(k, doc_updates, doc_change), f"id {id_type}, shares array<double>"))
+        shares = reduce(DataFrame.unionAll, [materialize(passes.cells(weights, totals, i, ids=True).applyInArrow(
+            _shares_task(k, doc_updates, doc_change), f"id {id_type}, shares array<double>")) for i in rounds])
         named = _by_term(weights, k, width).join(terms, "id").select("term", *[f"l{j}" for j in range(k)])
         del passes, weights, terms
         give_up_unused(spark)

@@ -45,3 +45,18 @@ def test_a_fit_leaves_no_shuffle_files(spark):
     before = found()
     fit = topics.fit_topics(docs, "doc", "text", max_iter=2)
     assert not found() - before and topics.topic_shares(fit).count() == 200
+
+
+def test_rounds_do_not_matter(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"word{(i * j) % 23}" for j in range(i % 30))) for i in range(90)], "doc string, text string").repartition(5)
+    def fitted():
+        fit = topics.fit_topics(docs, "doc", "text", k=3, max_iter=2, block_tokens=40, track_bound=True)
+        return {r.term: r[1:] for r in fit.weights.collect()}, {r.id: r.shares for r in topics.topic_shares(fit).collect()}, fit.bounds
+    monkeypatch.setattr(topics, "ROUNDS", 1)
+    whole = fitted()
+    monkeypatch.setattr(topics, "ROUNDS", 3)
+    monkeypatch.setattr(topics, "ROUND_TERMS", 50)
+    parts = fitted()
+    for a, b in zip(whole[:2], parts[:2]):
+        assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for t in a for x, y in zip(a[t], b[t]))
+    assert len(parts[1]) == 90 and all(abs(x - y) < 1e-6 for x, y in zip(whole[2], parts[2], strict=True))
