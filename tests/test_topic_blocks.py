@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -39,11 +40,14 @@ def test_terms_of_blocks_are_those_of_the_token_expressions(spark, monkeypatch,
 
 
 def test_a_fit_leaves_no_shuffle_files(spark):
-    held = spark.conf.get("spark.local.dir", None) or "/tmp"
-    found = lambda: set(glob.glob(os.path.join(held, "**/blockmgr-*/*/shuffle_*.data"), recursive=True)) if held != "/tmp" else set(glob.glob("/tmp/blockmgr-*/*/shuffle_*.data"))
+    own = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    found = lambda: {f for d in own for f in glob.glob(os.path.join(d, "*", "shuffle_*.data"))}
     docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i % 11}") for i in range(200)], "doc long, text string")
     before = found()
     fit = topics.fit_topics(docs, "doc", "text", max_iter=2)
+    until = time.time() + 20   # executors are told without waiting
+    while found() - before and time.time() < until:
+        time.sleep(0.2)
     assert not found() - before and topics.topic_shares(fit).count() == 200
 
 
